@@ -1,6 +1,6 @@
 """Substring deduplication: word windows seen in an earlier document, counted over super-k-mers.
 
-Documents are dealt into batches by a hash of their id. A batch cuts its texts into super-k-mers: runs of consecutive
+Documents are dealt into batches by a hash of their id and text. A batch cuts its texts into super-k-mers: runs of consecutive
 windows with the same minimiser (the least hash of three consecutive words in the window). Each distinct super-k-mer of a
 batch travels once, as one packed string with the smallest id that has it there, to the bucket of its minimiser. All equal
 windows have equal minimisers, so a bucket sees all occurrences of its windows; it sorts them by a 64-bit hash, compares
@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     batches = max(4 * scratch.partitions(spark), -(-total // BATCH_BYTES))
     buckets = max(4 * scratch.partitions(spark), -(-3 * total // BUCKET_BYTES))
-    dealt = rows.select(F.pmod(F.xxhash64("k"), F.lit(batches)).alias("batch"), *rows.columns).repartition("batch")
+    dealt = rows.select(F.pmod(F.xxhash64("k", "t"), F.lit(batches)).alias("batch"), *rows.columns).repartition("batch")
 
     def send(table: pa.Table) -> pa.Table:
         texts, ids, _ = _texts(table)
