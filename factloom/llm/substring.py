@@ -205,8 +205,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("k"), F.col("text").cast("binary").alias("t"), *([F.struct(*carry).alias("row")] if carry else []))
     kind = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    batches = max(4 * scratch.partitions(spark), -(-total // BATCH_BYTES))
-    buckets = max(4 * scratch.partitions(spark), -(-3 * total // BUCKET_BYTES))
+    batches = max(scratch.partitions(spark), -(-total // BATCH_BYTES))
+    buckets = max(scratch.partitions(spark), -(-3 * total // BUCKET_BYTES))
     dealt = rows.select(F.pmod(F.xxhash64("k", "t"), F.lit(batches)).alias("batch"), *rows.columns).repartition("batch")
 
     def send(table: pa.Table) -> pa.Table:
