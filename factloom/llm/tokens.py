@@ -28,38 +28,61 @@ from pyspark.sql import functions as F
 
 from factloom.llm import scratch
 
-END, BLOCK, CHUNK, MEMO = 2, 65_536, 1 << 20, 400_000
+END, BLOCK, CHUNK, MEMO = 2, 65_536, 1 << 20, 600_000
 SCHEMA = "file int, chunk int, first long, n_ids long, doc_ids array<long>, lens array<long>, width int, block int, planes array<int>, payload binary"
 #: A byte-level BPE with the usual split pattern never joins a token over the edge of these pieces: a run of other
 #: characters with the one space before it, white space up to the last before such a run, or that last one.
 #: White space is Unicode's, without the separators \x1c-\x1f that Python adds to it.
 PIECE = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]")
-_memo: dict[str, dict[str, bytes]] = {}
+_memo: dict[str, list[dict[str, bytes]]] = {}
 
 
 class Encoder:
-    """Encodes with the tokenizers library; ids of pieces that occur again are remembered, up to MEMO pieces a worker."""
+    """Encodes with the tokenizers library; ids of pieces that occur again are remembered by each
+    worker: MEMO pieces, and as many of an older generation, from which those still in use move on."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), _memo.setdefault(path, {})
+        self.tokenizer, self.memo = Tokenizer.from_file(path), _memo.setdefault(path, [{}, {}])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @property
+    def known(self) -> dict[str, bytes]:
+        return self.memo[0]
+
+    def _one(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Pieces without a line feed are encoded many at a time, with one between them: it is a token of its own there, and
+        its id cuts the result; where that gives another number of parts, and for all other pieces, one by one."""
+        apart = [p for p in new if "\n" in p or p.isspace() or any(x in p for x in self.special)]
+        joined = list(set(new) - set(apart))
+        feed = self._one(["\n"])[0]
+        for i in range(0, len(joined), 4000):
+            part = joined[i : i + 4000]
+            ids = self._one(["\n".join(part)])[0]
+            cuts = np.flatnonzero(ids == feed[0]).tolist() if len(feed) == 1 else []
+            if len(cuts) != len(part) - 1:
+                apart += part
+                continue
+            raw, w = ids.tobytes(), self.width
+            self.known.update(zip(part, [raw[w * a : w * b] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True)], strict=True))
+        self.known.update(zip(apart, [x.tobytes() for x in self._one(apart)], strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         # a special token ends the text before it, and with it a run of white space: such a text is one piece
         pieces = [([t] if any(x in t for x in self.special) else PIECE.findall(t)) if t else [] for t in texts]
         if len(self.known) > MEMO:
-            self.known.clear()
-        new = list({p for ps in pieces for p in ps} - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            self.known.update(zip(new[i : i + 20_000], self._ids(new[i : i + 20_000]), strict=True))
-        return [b"".join(map(self.known.__getitem__, ps)) for ps in pieces]
+            self.memo[:] = [{}, self.known]
+        known, older = self.memo
+        new = {p for ps in pieces for p in ps} - known.keys()
+        known.update({p: older[p] for p in new if p in older})
+        if new := new - known.keys():
+            self._learn(list(new))
+        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
