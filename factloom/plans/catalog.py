@@ -4,16 +4,532 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from factloom import vocab
+from factloom.functions import text, vectors
+from factloom.operators import analytics, dedup, graph, retrieval, verify
+from factloom.plans.fixtures import graph as g
+from factloom.plans.fixtures import oracle, table
+from factloom.sources import store
+from factloom.streaming import events as stream
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
+NP = ", ".join(f"'{t}'" for t in vocab.NON_PARTICIPANT)
+MEMBERS = f"members as (select distinct e.src as fact, n.uuid as entity, n.type as type, n.canonical_name as name from edges e join entities n on e.dst = n.uuid where e.type not in ({NP}))"
+ASK = [("ring", "Material"), ("NATION_16", "Location"), ("economy", None)]
+ASK_SQL = "asked(mention, kind) as (values ('ring', 'Material'), ('NATION_16', 'Location'), ('economy', null))"
+LINKED = "anchors as (select distinct a.mention, n.uuid as entity from asked a join entities n on (a.kind is null or a.kind = n.type) and (lower(n.canonical_name) = lower(a.mention) or (length(a.mention) >= 3 and contains(lower(n.canonical_name), lower(a.mention))) or (length(n.canonical_name) >= 3 and contains(lower(a.mention), lower(n.canonical_name)))))"
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+
+
+def members(spark, d):
+    return graph.participants(g(spark, d, "edges"), g(spark, d, "entities"))
+
+
+def asked(spark):
+    return spark.createDataFrame(ASK, "mention string, type string")
+
+
+# analytics
+
+
+@query("a_stats_entities", oracle("entities") + "select type, count(*) as n from entities group by type")
+def _(spark, d):
+    return g(spark, d, "entities").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a_stats_frames", oracle("facts") + "select frame_type, count(*) as n, count(*) filter (where status = 'contested') as contested from facts group by frame_type")
+def _(spark, d):
+    return g(spark, d, "facts").groupBy("frame_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "contested").alias("contested"))
+
+
+@query("a_stats_sources", oracle("facts") + "select paper_ref, count(*) as n from facts group by paper_ref order by n desc, paper_ref limit 25")
+def _(spark, d):
+    return g(spark, d, "facts").groupBy("paper_ref").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "paper_ref").limit(25)
+
+
+@query("a_stats_totals", oracle("facts") + "select count(*) as facts, count(distinct paper_ref) as papers, min(year) as first_year, max(year) as last_year from facts")
+def _(spark, d):
+    return g(spark, d, "facts").agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("paper_ref").alias("papers"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+
+
+@query("a_stats_top_entities", oracle("entities", "edges") + f", {MEMBERS} select name, type, count(*) as n from members group by name, type order by n desc, name, type limit 15")
+def _(spark, d):
+    return members(spark, d).groupBy("name", "type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name", "type").limit(15)
+
+
+@query("a_legend", oracle("edges") + "select type, count(*) as n from edges group by type")
+def _(spark, d):
+    return g(spark, d, "edges").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a_summary", oracle("entities", "edges") + ", a as (select src as node, type from edges union all select dst, type from edges) select n.uuid, n.type, count(a.node) as links, count(distinct a.type) as relations, count(a.node) <= 1 as lonely from entities n left join a on n.uuid = a.node group by n.uuid, n.type")
+def _(spark, d):
+    a = graph.adjacency(g(spark, d, "edges")).groupBy("node").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("type").alias("relations"))
+    n = g(spark, d, "entities")
+    return n.join(a, n["uuid"] == a["node"], "left").select("uuid", n["type"], F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("relations", F.lit(0)).alias("relations"), (F.coalesce("links", F.lit(0)) <= 1).alias("lonely"))
+
+
+@query("a_gaps", oracle("entities", "edges") + "select n.uuid, n.canonical_name, count(e.dst) as degree from entities n left join edges e on n.uuid = e.dst where n.type = 'Material' group by 1, 2 having count(e.dst) <= 20")
+def _(spark, d):
+    return analytics.gaps(g(spark, d, "entities"), g(spark, d, "edges"), "Material", 20)
+
+
+@query("a_geo", oracle("entities", "edges", "facts") + f", {MEMBERS} select name as place, f.frame_type, count(*) as n, count(*) filter (where f.status = 'verified') as verified from members m join facts f on m.fact = f.uuid where m.type = 'Location' group by 1, 2")
+def _(spark, d):
+    m, f = members(spark, d).where("type = 'Location'"), g(spark, d, "facts")
+    return m.join(f, m["fact"] == f["uuid"]).groupBy(F.col("name").alias("place"), "frame_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "verified").alias("verified"))
+
+
+@query("a_experts", oracle("entities", "edges") + f", {MEMBERS}, w as (select name as expert, count(*) as n from members where type = 'Facility' group by 1) select expert, n, cast(round(n * 100.0 / sum(n) over ()) as bigint) as share, round(n * 100.0 / sum(n) over ()) >= 50 as risk from w")
+def _(spark, d):
+    return analytics.experts(members(spark, d).where("type = 'Facility'").select(F.col("name").alias("expert")))
+
+
+@query("a_heatmap", oracle("entities", "edges") + f", {MEMBERS} select a.entity as r, b.entity as c, count(distinct a.fact) as n from members a join members b on a.fact = b.fact where a.type = 'Process' and b.type = 'Location' group by 1, 2")
+def _(spark, d):
+    return analytics.heatmap(members(spark, d), "Process", "Location")
+
+
+@query("a_research", oracle("entities", "edges", "facts") + f", {MEMBERS} select f.uuid, f.q_value, (select count(distinct entity) from members m where m.fact = f.uuid) as degree from facts f where q_value between 10 and 30 and exists (select 1 from members m where m.fact = f.uuid and m.type = 'Location' and m.name = 'NATION_16') and exists (select 1 from members m where m.fact = f.uuid and m.type = 'Process' and m.name = 'ECONOMY') order by degree desc, f.uuid limit 60")
+def _(spark, d):
+    return analytics.research(g(spark, d, "facts"), members(spark, d), [("Location", "NATION_16"), ("Process", "ECONOMY")], 10, 30).select("uuid", "q_value", "degree")
+
+
+@query("a_search", oracle("entities") + "select uuid, type from entities where contains(lower(canonical_name), 'ring')")
+def _(spark, d):
+    return g(spark, d, "entities").where(F.lower("canonical_name").contains("ring")).select("uuid", "type")
+
+
+@query("a_grouped_hits", oracle("entities") + "select type, uuid from (select type, uuid, row_number() over (partition by type order by uuid) as r from entities where contains(canonical_name, 'r')) where r <= 5")
+def _(spark, d):
+    r = F.row_number().over(Window.partitionBy("type").orderBy("uuid"))
+    return g(spark, d, "entities").where(F.col("canonical_name").contains("r")).withColumn("r", r).where("r <= 5").select("type", "uuid")
+
+
+@query("a_trace_cost", "select event_type, count(*) as calls, round(sum(value), 4) as cost, sum(cast(json_extract(props, '$.k') as bigint))::bigint as tokens from events group by event_type")
+def _(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("cost"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("tokens"))
+
+
+# texts
+
+
+@query("t_tokens", "select doc_id, greatest(1, length(text) // 4) as tokens from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.count_tokens(F.col("text")).alias("tokens"))
+
+
+@query("t_lang", r"select doc_id, case when length(regexp_replace(text[:4000], '[^\x{0400}-\x{04FF}]', '', 'g')) > length(regexp_replace(lower(text[:4000]), '[^a-z]', '', 'g')) then 'ru' when regexp_matches(lower(text[:4000]), '[a-z]') then 'en' end as lang from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.detect_lang(F.col("text")).alias("lang"))
+
+
+@query("t_hash", "select doc_id, sha1(text) as hash from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha1("text").alias("hash"))
+
+
+@query("t_slice", "select doc_id, substring(text, 11, 30) as span, trim(substring(text[:360], 1, 600)) as snippet from documents where length(text) >= 200")
+def _(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").where(F.char_length("text") >= 200).select("doc_id", text.slice_span(t, F.lit(10), F.lit(40)).alias("span"), text.snippet(t, F.lit(160), F.lit(200)).alias("snippet"))
+
+
+@query("t_lines", "select doc_id, n - 1 as n, line, coalesce(sum(length(line) + 1) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0)::bigint as off from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)")
+def _(spark, d):
+    # a document's lines stay in one row until their offsets are known: no shuffle
+    parts = F.split("text", "\n")
+    step = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("offs")), lambda a, x: F.struct((a["at"] + F.char_length(x) + 1).alias("at"), F.concat(a["offs"], F.array(a["at"])).alias("offs")), lambda a: a["offs"])
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.arrays_zip(parts.alias("line"), step.alias("off"))).alias("n", "x")).select("doc_id", F.col("n").cast("long").alias("n"), "x.line", "x.off")
+
+
+_HEAD = r"case when length(s) > 0 and length(s) <= 80 and len(string_split(regexp_replace(s, '\s+', ' ', 'g'), ' ')) <= 12 and (regexp_matches(s, '^\d+(\.\d+)*\.?\s+\S') or (upper(s) = s and lower(s) <> s and len(string_split(regexp_replace(s, '\s+', ' ', 'g'), ' ')) <= 8) or rtrim(lower(trim(regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), '(?i)^(?:[ivxlcdm]+|\d+(?:\.\d+)*|[a-z])[.)]?\s+', ''))), ':') in (" + ", ".join(f"'{k}'" for k, _ in vocab.SECTION_PRIORS) + ")) then true else false end"
+
+
+@query("t_is_heading", rf"with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') as s from documents) select doc_id, n, s as heading from l where {_HEAD}")
+def _(spark, d):
+    return lines(spark, d).where(text.is_heading(F.col("line"))).select("doc_id", F.col("n").cast("long").alias("n"), F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("heading"))
+
+
+_CASES = ["I.\nINTRODUCTION", "2.2 Methodology", "A. Results and discussion", "References", "Data availability statement", "Pareto Fronts", "IV) Conclusions:", "mild steel", "  3.1   Experimental   setup "]
+
+
+@query("t_role_hint", "with c(i, name) as (values " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(_CASES)) + r"), p(ord, k, role) as (values " + ", ".join(f"({i}, '{k}', '{r}')" for i, (k, r) in enumerate(vocab.SECTION_PRIORS)) + r"), n as (select i, rtrim(lower(trim(regexp_replace(trim(regexp_replace(name, '\s+', ' ', 'g')), '(?i)^(?:[ivxlcdm]+|\d+(?:\.\d+)*|[a-z])[.)]?\s+', ''))), ':') as norm from c) select i, norm, coalesce((select role from p where k = norm), (select arg_min(role, ord) from p where regexp_matches(norm, '\b' || k || '\b'))) as role from n")
+def _(spark, d):
+    return spark.createDataFrame(list(enumerate(_CASES)), "i int, name string").select("i", text.norm_heading(F.col("name")).alias("norm"), text.role_hint(F.col("name")).alias("role"))
+
+
+@query("t_key", oracle("entities") + r"select uuid, type || ':' || substring(regexp_replace(lower(trim(canonical_name)), '\s+', '-', 'g'), 1, 80) as entity_key from entities")
+def _(spark, d):
+    return g(spark, d, "entities").select("uuid", text.key(F.col("type"), F.col("canonical_name")).alias("entity_key"))
+
+
+@query("t_qstr", oracle("facts") + "select uuid, case when q_value > 25 then q_raw else trim(q_operator || cast(cast(q_value as bigint) as string) || ' ' || q_unit) end as q from facts")
+def _(spark, d):
+    return g(spark, d, "facts").select("uuid", text.quantity(F.when(F.col("q_value") > 25, F.col("q_raw")), F.col("q_operator"), F.col("q_value"), F.col("q_unit")).alias("q"))
+
+
+_NAMES = ["Ni-15Cr alloy", "", "RF power 500 W at 50 sccm", "grown at 300 nm", "a b c d e f g h i", None, "анод 20 °C и 5 мм"]
+
+
+@query("t_conceptual", r"select i, name is not null and trim(name) <> '' and len(string_split(trim(name), ' ')) <= 8 and len(regexp_extract_all(name, '(?i)\d+(?:\.\d+)?\s*(?:W|sccm|nm|°C)(?:\b|$)')) < 2 as ok from (values " + ", ".join(f"({i}, {'null' if n is None else repr(n)})" for i, n in enumerate(_NAMES)) + ") t(i, name)")
+def _(spark, d):
+    return spark.createDataFrame(list(enumerate(_NAMES)), "i int, name string").select("i", text.conceptual(F.col("name")).alias("ok"))
+
+
+@query("t_ent_text", "select p_partkey, array_to_string(list_distinct_ordered, ' ; ') as t from (select p_partkey, case when p_name = p_brand then [p_name] else [p_name, p_brand] end as list_distinct_ordered from part)")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.entity_text(F.col("p_name"), F.array("p_brand", F.lit(""), "p_name")).alias("t"))
+
+
+@query("t_cosine", "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, (select embedding from embeddings where vec_id = 0) b")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+
+
+# sources and store
+
+
+_REFS = ["arxiv:2401.01234v2", "2401.0123", "https://arxiv.org/abs/2401.01234", "a/b/C.PDF", "x.docx"]
+
+
+@query("s_route", r"select i, case when regexp_matches(ref, '(?i)^(arxiv:)?\d{4}\.\d{4,5}(v\d+)?$') or regexp_matches(ref, '(?i)arxiv\.org/(abs|html|pdf)/') then 'arxiv' when lower(ref) like '%.pdf' then 'pdf' end as adapter from (values " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(_REFS)) + ") t(i, ref)")
+def _(spark, d):
+    return spark.createDataFrame(list(enumerate(_REFS)), "i int, ref string").select("i", text.route(F.col("ref")).alias("adapter"))
+
+
+_LABELS = ["Table", "table_title", "doc_title", "figure_title", "Page-header", "paragraph", "formula", "abstract"]
+
+
+@query("s_categorize", "select i, case when contains(s, 'table') and not contains(s, 'title') and not contains(s, 'caption') then 'table' when contains(s, 'title') and not contains(s, 'table') and not contains(s, 'figure') and not contains(s, 'chart') and not contains(s, 'image') then 'title' when regexp_matches(s, 'figure|image|chart|formula|equation|header|footer|number|seal|stamp|watermark|aside') then 'drop' else 'text' end as category from (select i, lower(label) as s from (values " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(_LABELS)) + ") t(i, label))")
+def _(spark, d):
+    return spark.createDataFrame(list(enumerate(_LABELS)), "i int, label string").select("i", text.layout_category(F.col("label")).alias("category"))
+
+
+@query("s_needs_ocr", r"select doc_id, length(text) / 2.0 < 100 or length(regexp_replace(text, '\P{L}', '', 'g')) / greatest(length(text), 1) < 0.5 as ocr from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.needs_ocr(F.col("text"), F.lit(2)).alias("ocr"))
+
+
+@query("s_entity_merge", oracle("entities") + "select entity_key, min(uuid) as uuid, arg_min(canonical_name, uuid) as canonical_name, count(*) as n from entities group by entity_key")
+def _(spark, d):
+    e = g(spark, d, "entities")
+    n = e.groupBy("entity_key").agg(F.count(F.lit(1)).alias("n"))
+    return dedup.merge_by_key(e).select("entity_key", "uuid", "canonical_name").join(n, "entity_key")
+
+
+@query("s_upsert_uuid", "select user_id, event_id, value from (select *, row_number() over (partition by user_id order by event_id desc) as r from events) where r = 1")
+def _(spark, d):
+    return store.upsert(table(spark, d, "events"), ["user_id"], "event_id").select("user_id", "event_id", "value")
+
+
+@query("s_upsert_edges", oracle("edges", "entities") + "select src, dst, type from edges where src in (select uuid from entities) and dst in (select uuid from entities where uuid <> 'l3') group by all")
+def _(spark, d):
+    return store.upsert_edges(g(spark, d, "edges"), g(spark, d, "entities").where("uuid <> 'l3'").select(F.col("uuid").alias("node")))
+
+
+@query("s_by_key", oracle("entities") + "select uuid, canonical_name from entities where entity_key = 'Location:nation_3' order by uuid limit 1")
+def _(spark, d):
+    return g(spark, d, "entities").where("entity_key = 'Location:nation_3'").orderBy("uuid").limit(1).select("uuid", "canonical_name")
+
+
+@query("s_scan_facts", oracle("facts") + "select uuid, status, q_value from facts where frame_type = 'MaterialMeasurement' and year = 1998")
+def _(spark, d):
+    return g(spark, d, "facts").where("frame_type = 'MaterialMeasurement' and year = 1998").select("uuid", "status", "q_value")
+
+
+@query("s_paper_subgraph", oracle("facts", "edges") + "select f.uuid, e.dst, e.type from facts f join edges e on e.src = f.uuid where f.paper_ref = '7'")
+def _(spark, d):
+    f, e = g(spark, d, "facts").where("paper_ref = '7'").select("uuid"), g(spark, d, "edges")
+    return e.join(f, e["src"] == f["uuid"]).select("uuid", "dst", "type")
+
+
+_GONE = "gone as (select uuid from facts where paper_ref = '7'), kept as (select * from edges where src not in (select uuid from gone) and dst not in (select uuid from gone))"
+
+
+@query("s_delete_paper", oracle("facts", "edges", "entities") + f", {_GONE} select 'facts' as part, count(*) as n from facts where paper_ref <> '7' union all select 'edges', count(*) from kept union all select 'entities', count(*) from entities where not (uuid in (select dst from edges where src in (select uuid from gone)) and uuid not in (select dst from kept) and uuid not in (select src from kept))")
+def _(spark, d):
+    parts = store.delete_paper(g(spark, d, "facts"), g(spark, d, "edges"), g(spark, d, "entities"), "7")
+    count = lambda df, name: df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
+    return count(parts[0], "facts").union(count(parts[1], "edges")).union(count(parts[2], "entities"))
+
+
+@query("s_supersede", "select doc_id, case when doc_id % 10 = 3 then 'new' else 'old' end as version from documents")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    return store.supersede(docs.select("doc_id", F.lit("old").alias("version")), docs.where("doc_id % 10 = 3").select("doc_id", F.lit("new").alias("version")), "doc_id")
+
+
+_TEAMS = [("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")]
+
+
+@query("s_team_ancestors", "with recursive t(id, parent) as (values " + ", ".join(f"('{a}', {'null' if b is None else repr(b)})" for a, b in _TEAMS) + "), up(id, anc) as (select id, parent from t where parent is not null union select up.id, t.parent from up join t on up.anc = t.id where t.parent is not null) select id, anc from up")
+def _(spark, d):
+    t = spark.createDataFrame(_TEAMS, "id string, parent string")
+    up = known = t.where("parent is not null").select("id", F.col("parent").alias("anc"))
+    for _ in range(len(_TEAMS)):  # a chain is no longer than the teams; repeats are dropped, so cycles end
+        up = up.join(t.select(F.col("id").alias("anc"), "parent"), "anc").where("parent is not null").select("id", F.col("parent").alias("anc"))
+        known = known.union(up)
+    return known.distinct()
+
+
+# joins
+
+
+@query("j_participants", oracle("edges", "entities") + f", {MEMBERS} select fact, count(*) as n, string_agg(entity, ',' order by entity) as entities from members group by fact")
+def _(spark, d):
+    return members(spark, d).groupBy("fact").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("entity")), ",").alias("entities"))
+
+
+@query("j_fact_detail", oracle("edges", "entities", "facts") + f", {MEMBERS} select f.uuid, f.q_raw, f.paper_ref, (select string_agg(distinct name, ',' order by name) from members m where m.fact = f.uuid and m.type = 'Material') as materials from facts f where f.paper_ref in ('7', '8', '9')")
+def _(spark, d):
+    f = g(spark, d, "facts").where("paper_ref in ('7', '8', '9')")
+    own = members(spark, d).join(f.select(F.col("uuid").alias("fact")), "fact", "left_semi")
+    return graph.fact_detail(f, own).select("uuid", "q_raw", "paper_ref", F.array_join(F.try_element_at("parts", F.lit("Material")), ",").alias("materials"))
+
+
+@query("j_link_substr", oracle("entities") + f", {ASK_SQL}, {LINKED} select * from anchors")
+def _(spark, d):
+    return graph.link_mentions(asked(spark), g(spark, d, "entities"))
+
+
+_VEC = "select q.vec_id as mention, e.vec_id as id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings q, embeddings e where q.vec_id % 20 = 0"
+
+
+@query("j_link_vec", f"select mention, id, score from (select *, row_number() over (partition by mention order by score desc, id) as rank from ({_VEC}) where score >= 0.2) where rank <= 3")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q = e.where("id % 20 = 0").select(F.col("id").alias("mention"), F.col("embedding").alias("mv"))
+    return graph.link_by_vector(q, e, 3, 0.2).select("mention", "id", F.round("score", 6).alias("score"))
+
+
+@query("j_neardup", "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("type"), "embedding")
+    return graph.near_pairs(e, 0.3).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query("j_stitch_cands", oracle("edges", "entities", "facts") + f", {MEMBERS} select distinct c.uuid as claim, k.uuid as measurement from facts c join facts k on c.paper_ref = k.paper_ref and c.frame_type = 'ClaimFact' and k.frame_type = 'MaterialMeasurement' join members a on a.fact = c.uuid join members b on b.fact = k.uuid and a.entity = b.entity")
+def _(spark, d):
+    return graph.stitch_candidates(g(spark, d, "facts"), members(spark, d))
+
+
+@query("j_key_bridge", oracle("entities") + "select * from (select uuid as s, lead(uuid) over (partition by entity_key order by uuid) as t from entities) where t is not null")
+def _(spark, d):
+    return graph.key_bridges(g(spark, d, "entities"))
+
+
+@query("j_adj", oracle("edges") + "select node, dir, count(*) as n from (select src as node, 'out' as dir from edges union all select dst, 'in' from edges) group by all")
+def _(spark, d):
+    return graph.adjacency(g(spark, d, "edges")).groupBy("node", "dir").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j_rewire", oracle("edges", "entities") + ", m as (select uuid as old, min(uuid) over (partition by entity_key) as canon from entities) select distinct coalesce(a.canon, src) as src, coalesce(b.canon, dst) as dst, type from edges left join m a on src = a.old left join m b on dst = b.old where coalesce(a.canon, src) <> coalesce(b.canon, dst)")
+def _(spark, d):
+    return graph.rewire(g(spark, d, "edges"), dedup.key_merge(g(spark, d, "entities")))
+
+
+_TITLE = r"regexp_extract(html, '<title>([^<]*)', 1)"
+
+
+@query("j_discover_anti", f"with p as (select page_id, {_TITLE} as title from pages), k as (select distinct string_split(text, chr(10))[1] as title from documents) select page_id from p where not exists (select 1 from k where contains(lower(k.title), substring(lower(p.title), 1, 28)) or contains(lower(p.title), substring(lower(k.title), 1, 28)))")
+def _(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    known = table(spark, d, "documents").select(F.substring_index("text", "\n", 1).alias("title")).distinct()
+    return graph.discover_new(p, known).select("page_id")
+
+
+# canonicalisation
+
+
+@query("g_key_merge", oracle("entities") + "select uuid as old, min(uuid) over (partition by entity_key) as canon from entities")
+def _(spark, d):
+    return dedup.key_merge(g(spark, d, "entities"))
+
+
+@query("g_ent_context", oracle("edges", "entities", "facts") + f", {MEMBERS}, r as (select m.entity, f.statement, row_number() over (partition by m.entity order by f.uuid) as k from members m join facts f on m.fact = f.uuid) select entity, string_agg(substring(statement, 1, 120), '; ' order by k) as context from r where k <= 3 group by entity")
+def _(spark, d):
+    return dedup.contexts(g(spark, d, "facts"), members(spark, d))
+
+
+_SIG = "sigs as (select f.*, s.sig from facts f join (select src, string_agg(distinct dst, ',' order by dst) as sig from edges where type not in ('SUPPORTED_BY', 'CONTRADICTED_BY', 'SUBTYPE_OF', 'PART_OF') group by src) s on f.uuid = s.src), canon as (select *, min(uuid) over (partition by frame_type, sig, q_value, q_unit, q_operator) as canon from sigs), grp as (select frame_type, sig, count(*) as n, min(uuid) as group_id from canon where uuid = canon group by 1, 2 having count(*) >= 2)"
+
+
+def _kept(spark, d):
+    return dedup.exact_dedup(dedup.signatures(g(spark, d, "facts"), g(spark, d, "edges")))
+
+
+@query("g_signature", oracle("facts", "edges") + f", {_SIG} select uuid, sig from sigs")
+def _(spark, d):
+    return dedup.signatures(g(spark, d, "facts"), g(spark, d, "edges")).select("uuid", "sig")
+
+
+@query("g_exact_dedup", oracle("facts", "edges") + f", {_SIG} select uuid, canon, uuid = canon as keep from canon")
+def _(spark, d):
+    return _kept(spark, d).select("uuid", "canon", "keep")
+
+
+@query("g_conflict_groups", oracle("facts", "edges") + f", {_SIG} select group_id, frame_type, n from grp")
+def _(spark, d):
+    return dedup.conflict_groups(_kept(spark, d).where("keep")).select("group_id", "frame_type", "n")
+
+
+@query("g_contest", oracle("facts", "edges") + f", {_SIG} select group_id as src, c.uuid as dst, 'CONTRADICTED_BY' as type from canon c join grp using (frame_type, sig) where c.uuid = c.canon and c.uuid <> group_id")
+def _(spark, d):
+    kept = _kept(spark, d).where("keep")
+    return dedup.contest(kept, dedup.conflict_groups(kept))[1]
+
+
+# verification
+
+
+@query("v_table", oracle("facts") + "select uuid, case when source = 'table' and status <> 'contested' then 'verified' else status end as status from facts")
+def _(spark, d):
+    return verify.verify_tables(g(spark, d, "facts")).select("uuid", "status")
+
+
+@query("v_batches", oracle("facts") + "select uuid, paper_ref, (row_number() over (partition by paper_ref order by uuid) - 1) // 25 as batch from facts where source = 'text' and status <> 'contested'")
+def _(spark, d):
+    return verify.batches(g(spark, d, "facts"))
+
+
+@query("v_gate", oracle("facts") + "select f.uuid, case when l.doc_id is null or f.status = 'contested' then f.status when round((0.5 + l.quality * 0.4 + 1 - l.toxic) / 3, 9) >= 0.6 and 1 - l.toxic >= 0.4 then 'verified' else 'unverified' end as status from facts f left join labels l on cast(l.doc_id as string) = f.paper_ref")
+def _(spark, d):
+    f, l = g(spark, d, "facts"), table(spark, d, "labels")
+    v = f.select("uuid", "paper_ref").join(l.select(F.col("doc_id").cast("string").alias("paper_ref"), F.lit(0.5).alias("confidence"), (F.col("quality") * 0.4).alias("clarity"), (1.0 - F.col("toxic")).alias("relevance")), "paper_ref").drop("paper_ref")
+    return verify.gate(f, v).select("uuid", "status")
+
+
+@query("v_todo", oracle("facts") + "select uuid from facts where status = 'unverified' and not coalesce(v_checked, false)")
+def _(spark, d):
+    return verify.todo(g(spark, d, "facts")).select("uuid")
+
+
+# retrieval
+
+
+@query("r_overlap", oracle("edges", "entities") + f", {MEMBERS}, {ASK_SQL}, {LINKED} select fact, count(distinct entity) as overlap from members where entity in (select entity from anchors) group by fact")
+def _(spark, d):
+    return retrieval.overlap(members(spark, d), graph.link_mentions(asked(spark), g(spark, d, "entities")))
+
+
+_TOP = "select vec_id as id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = {q})), 6) as score from embeddings order by score desc, id limit {k}"
+
+
+def _top(spark, d, q: int, k: int) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.vector_top(e.where(F.col("id") == q).first()["embedding"], e, k)  # one row: the question
+
+
+@query("r_vec30", f"select id, score, row_number() over (order by score desc, id) - 1 as pos from ({_TOP.format(q=5, k=30)})")
+def _(spark, d):
+    return _top(spark, d, 5, 30).select("id", "score", F.col("pos").cast("long").alias("pos"))
+
+
+_LISTS = " union all ".join(f"select {i} as list, id, score, row_number() over (order by score desc, id) - 1 as pos from ({_TOP.format(q=q, k=30)})" for i, q in enumerate((5, 6, 7)))
+
+
+def _lists(spark, d):
+    tops = [_top(spark, d, q, 30).withColumn("list", F.lit(i)) for i, q in enumerate((5, 6, 7))]
+    return tops[0].unionByName(tops[1]).unionByName(tops[2])
+
+
+@query("r_rrf", f"select id, round(sum(1.0 / (60 + pos)), 6) as rrf from ({_LISTS}) group by id")
+def _(spark, d):
+    return retrieval.fuse(_lists(spark, d)).select("id", F.round("rrf", 6).alias("rrf"))
+
+
+@query("r_cut", f"select list, id, score from (select *, max(score) over (partition by list) as best, row_number() over (partition by list order by score desc, id) as rank from ({_LISTS})) where score >= 0.85 * best or rank <= 4")
+def _(spark, d):
+    return retrieval.relevance_cut(_lists(spark, d), "list").select("list", "id", "score")
+
+
+@query("r_roundrobin", f"with l as ({_LISTS}), f as (select id, pos, list, row_number() over (partition by id order by pos, list) as r from l) select id, row_number() over (order by pos, list, id) - 1 as pos from f where r = 1")
+def _(spark, d):
+    return retrieval.round_robin(_lists(spark, d)).select("id", F.col("pos").cast("long").alias("pos"))
+
+
+@query("r_interleave", f"with t as (select id, row_number() over (order by score desc, id) - 1 as pos, id % 3 = 0 as quantified from ({_TOP.format(q=5, k=30)})), n as (select *, row_number() over (partition by quantified order by pos) as n from t) select id, row_number() over (order by n, quantified desc) - 1 as pos from n")
+def _(spark, d):
+    return retrieval.interleave(_top(spark, d, 5, 30).withColumn("quantified", F.col("id") % 3 == 0)).select("id", F.col("pos").cast("long").alias("pos"))
+
+
+_HITS = f"{MEMBERS}, {ASK_SQL}, {LINKED}, top as (select fact, count(distinct entity) as overlap from members where entity in (select entity from anchors) group by fact order by overlap desc, fact limit 16)"
+
+
+@query("r_retrieve", oracle("edges", "entities", "facts") + f", {_HITS} select f.uuid, top.overlap, f.statement, f.q_raw, f.paper_ref, f.status, (select string_agg(distinct name, ',' order by name) from members m where m.fact = f.uuid and m.type = 'Location') as places from top join facts f on f.uuid = top.fact")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.retrieve(g(spark, d, "facts"), g(spark, d, "edges"), g(spark, d, "entities"), asked(spark))
+    return found.select("uuid", "overlap", "statement", "q_raw", "paper_ref", "status", F.array_join(F.try_element_at("parts", F.lit("Location")), ",").alias("places"))
+
+
+@query("r_sources", oracle("edges", "entities", "facts") + f", {_HITS} select f.paper_ref, count(*) as n from top join facts f on f.uuid = top.fact group by 1")
+def _(spark, d):
+    found = retrieval.retrieve(g(spark, d, "facts"), g(spark, d, "edges"), g(spark, d, "entities"), asked(spark))
+    return retrieval.sources(found.withColumn("pos", F.col("uuid"))).select("paper_ref", "n")
+
+
+def _rounds(n: int) -> str:
+    out = ["s0 as (select node, 1.0::double / (select count(*) from seeds) as score from seeds)"]
+    for i in range(1, n + 1):
+        out.append(f"s{i} as materialized (select node, sum(score) as score from (select e.b as node, 0.85 * s.score / deg.deg as score from s{i - 1} s join e on s.node = e.a join deg on deg.a = e.a union all select node, 0.15 / (select count(*) from seeds) from seeds) group by node)")
+    return ", ".join(out)
+
+
+def _ppr_sql(pairs: str) -> str:
+    e = f"e as materialized (select a, b from ({pairs}) where a <> b union select b, a from ({pairs}) where a <> b), deg as materialized (select a, count(*) as deg from e group by a)"
+    return oracle("edges", "entities", "facts") + f", {ASK_SQL}, {LINKED}, seeds as materialized (select distinct entity as node from anchors), {e}, {_rounds(20)} select node as fact, round(score, 7) as score from s20 where node in (select uuid from facts) order by round(score, 7) desc, node limit 30"
+
+
+def _ppr(spark, d, pairs):
+    seeds = graph.link_mentions(asked(spark), g(spark, d, "entities")).select(F.col("entity").alias("node"))
+    found = retrieval.pagerank(pairs, seeds, cut=store.cut).select(F.col("node").alias("fact"), F.round("score", 7).alias("score"))
+    return found.join(g(spark, d, "facts").select(F.col("uuid").alias("fact")), "fact", "left_semi").orderBy(F.desc("score"), "fact").limit(30)
+
+
+@query("r_ppr", _ppr_sql("select src as a, dst as b from edges"))
+def _(spark, d):
+    return _ppr(spark, d, g(spark, d, "edges").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query("r_ppr_bridge", _ppr_sql("select src as a, dst as b from edges union all select * from (select uuid as a, lead(uuid) over (partition by entity_key order by uuid) as b from entities) where b is not null"))
+def _(spark, d):
+    bridges = graph.key_bridges(g(spark, d, "entities")).select(F.col("s").alias("a"), F.col("t").alias("b"))
+    return _ppr(spark, d, g(spark, d, "edges").select(F.col("src").alias("a"), F.col("dst").alias("b")).union(bridges))
+
+
+# streaming operators on tables
+
+
+@query("x_trace_windows", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as cost from events group by 1, 2")
+def _(spark, d):
+    return stream.trace(table(spark, d, "events"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
