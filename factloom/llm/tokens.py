@@ -1,4 +1,4 @@
-"""Token ids in files of bit planes.
+"""Token ids in files of bit or byte planes.
 
 A table of token files is a Parquet table (Spark commits it whole, in any store it knows) with a row for each chunk:
 
@@ -6,11 +6,12 @@ A table of token files is a Parquet table (Spark commits it whole, in any store
     first, n_ids    the chunk's first id, counted over the file, and its ids
     doc_ids, lens   its whole documents in order, and the ids of each
     width, block    bytes of an id (2 or 4) and ids of a block
+    bits            1 for bit planes, 8 for byte planes
     planes          compressed bytes of each plane, block by block: the chunk's index
     payload         the planes, one after the other
 
-A block's ids, padded with zeros to a multiple of 8, are transposed into 8 * width bit planes, from the least bit on;
-each plane is compressed with zstandard. All columns but payload are the chunk index, read without it.
+A block's ids, padded with zeros to a multiple of 8, are transposed into 8 * width bit planes or width byte planes, from the
+least on; each plane is compressed with zstandard. All columns but payload are the chunk index, read without it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm import scratch
 
-END, BLOCK, CHUNK, MEMO = 2, 65_536, 1 << 20, 600_000
-SCHEMA = "file int, chunk int, first long, n_ids long, doc_ids array<long>, lens array<long>, width int, block int, planes array<int>, payload binary"
+END, BLOCK, CHUNK, MEMO = 2, 65_536, 1 << 20, 900_000
+SCHEMA = "file int, chunk int, first long, n_ids long, doc_ids array<long>, lens array<long>, width int, block int, bits int, planes array<int>, payload binary"
 #: A byte-level BPE with the usual split pattern never joins a token over the edge of these pieces: a run of other
 #: characters with the one space before it, white space up to the last before such a run, or that last one.
 #: White space is Unicode's, without the separators \x1c-\x1f that Python adds to it.
@@ -78,44 +80,55 @@ class Encoder:
         if len(self.known) > MEMO:
             self.memo[:] = [{}, self.known]
         known, older = self.memo
-        new = {p for ps in pieces for p in ps} - known.keys()
-        known.update({p: older[p] for p in new if p in older})
-        if new := new - known.keys():
-            self._learn(list(new))
-        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
-
-
-def to_planes(ids: np.ndarray) -> list[bytes]:
-    """The bit planes of a block, compressed."""
+        flat = list(chain.from_iterable(pieces))
+        got = list(map(known.get, flat))
+        if missing := [i for i, x in enumerate(got) if x is None]:
+            new = {flat[i] for i in missing}
+            known.update({p: older[p] for p in new if p in older})
+            if new := new - known.keys():
+                self._learn(list(new))
+            for i in missing:
+                got[i] = known[flat[i]]
+        out, at = [], 0
+        for ps in pieces:
+            out.append(b"".join(got[at : at + len(ps)]))
+            at += len(ps)
+        return out
+
+
+def to_planes(ids: np.ndarray, bits: int) -> list[bytes]:
+    """A block's bit planes (bits 1) or byte planes (bits 8), from the least on, each compressed."""
     width = ids.dtype.itemsize
     raw = np.zeros(-(-len(ids) // 8) * 8, ids.dtype)
     raw[: len(ids)] = ids
-    bits = np.unpackbits(raw.view(np.uint8).reshape(-1, width), axis=1, bitorder="little")
+    table = raw.view(np.uint8).reshape(-1, width)
+    planes = np.packbits(np.unpackbits(table, axis=1, bitorder="little").T, axis=1, bitorder="little") if bits == 1 else np.ascontiguousarray(table.T)
     z = zstandard.ZstdCompressor(level=1)
-    return [z.compress(p.tobytes()) for p in np.packbits(bits.T, axis=1, bitorder="little")]
+    return [z.compress(p) for p in planes]
 
 
-def from_planes(planes: list[bytes], n: int) -> np.ndarray:
+def from_planes(planes: list[bytes], n: int, bits: int) -> np.ndarray:
     z = zstandard.ZstdDecompressor()
-    packed = np.stack([np.frombuffer(z.decompress(p, max_output_size=n // 8 + 8), np.uint8) for p in planes])
-    bits = np.unpackbits(packed, axis=1, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").reshape(-1).view(f"<u{len(planes) // 8}")[:n]
+    table = np.stack([np.frombuffer(z.decompress(p, max_output_size=n + 8), np.uint8) for p in planes])
+    if bits == 1:
+        table = np.packbits(np.unpackbits(table, axis=1, bitorder="little").T, axis=1, bitorder="little").T
+    return np.ascontiguousarray(table.T).reshape(-1).view(f"<u{len(planes) * bits // 8}")[:n]
 
 
-def encode_chunk(ids: np.ndarray, block: int) -> tuple[list[int], bytes]:
-    planes = [p for i in range(0, len(ids), block) for p in to_planes(ids[i : i + block])]
+def encode_chunk(ids: np.ndarray, block: int, bits: int) -> tuple[list[int], bytes]:
+    planes = [p for i in range(0, len(ids), block) for p in to_planes(ids[i : i + block], bits)]
     return [len(p) for p in planes], b"".join(planes)
 
 
-def decode_chunk(sizes: list[int], payload: bytes, n: int, width: int, block: int) -> np.ndarray:
+def decode_chunk(sizes: list[int], payload: bytes, n: int, width: int, block: int, bits: int) -> np.ndarray:
     cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).tolist()
     planes = [payload[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    step = 8 * width
-    parts = [from_planes(planes[k * step : (k + 1) * step], min(block, n - k * block)) for k in range(len(planes) // step)]
+    step = 8 * width // bits
+    parts = [from_planes(planes[k * step : (k + 1) * step], min(block, n - k * block), bits) for k in range(len(planes) // step)]
     return np.concatenate(parts) if parts else np.zeros(0, f"<u{width}")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, block: int = BLOCK, chunk: int = CHUNK) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, block: int = BLOCK, chunk: int = CHUNK, bits: int = 8) -> None:
     """Encodes every whole text (null: empty), adds `end`, and writes the ids in ascending order of doc_id.
 
     Documents are dealt by ranges of the id before they are encoded, so they are encoded once; a range is a file. A chunk
@@ -129,9 +142,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = E
 
         def out() -> pa.RecordBatch:
             values = np.frombuffer(b"".join(parts), f"<u{encode.width}")
-            planes, payload = encode_chunk(values, block)
-            row = [file, number, first, len(values), ids, lens, encode.width, block, planes, payload]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+            planes, payload = encode_chunk(values, block, bits)
+            row = [file, number, first, len(values), ids, lens, encode.width, block, bits, planes, payload]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for b in batches:
@@ -156,8 +169,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = E
     dealt.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, in any order, and width and ids (little-endian bytes).
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, in any order, and width and, if wanted, ids (little-endian bytes).
 
     start counts the ids of all documents before: files' totals (a row a file) are summed up in front of the place in the file.
     """
@@ -169,15 +182,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                ids = decode_chunk(row["planes"], row["payload"], row["n_ids"], row["width"], row["block"])
+                ids = decode_chunk(row["planes"], row["payload"], row["n_ids"], row["width"], row["block"], row["bits"])
                 ends = np.cumsum(row["lens"], dtype=np.int64)
                 starts = ends - row["lens"]
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-                raw = [ids[i:j].tobytes() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+                raw = [ids[i:j].tobytes() if with_ids else None for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["offset"] + row["first"]), pa.array(row["lens"], pa.int64()), pa.array(crc, pa.int64()), pa.array([row["width"]] * len(raw), pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "width", "ids"])
 
-    chunks = files.join(offsets, F.col("file") == F.col("f")).select("offset", "first", "n_ids", "doc_ids", "lens", "width", "block", "planes", "payload")
+    chunks = files.join(offsets, F.col("file") == F.col("f")).select("offset", "first", "n_ids", "doc_ids", "lens", "width", "block", "bits", "planes", "payload")
     return chunks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, width int, ids binary")
 
 
@@ -187,4 +200,4 @@ def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> Dat
 
     path = scratch.new_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_tokens(spark, path, False).select("doc_id", "start", "n_tokens", "ids_crc32")
