@@ -104,7 +104,7 @@ def to_planes(ids: np.ndarray, bits: int) -> list[bytes]:
     table = raw.view(np.uint8).reshape(-1, width)
     planes = np.packbits(np.unpackbits(table, axis=1, bitorder="little").T, axis=1, bitorder="little") if bits == 1 else np.ascontiguousarray(table.T)
     z = zstandard.ZstdCompressor(level=1)
-    return [z.compress(p) for p in planes]
+    return [z.compress(p.tobytes()) for p in planes]
 
 
 def from_planes(planes: list[bytes], n: int, bits: int) -> np.ndarray:
