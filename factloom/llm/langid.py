@@ -33,16 +33,20 @@ def counts(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     out, table, any_letter = np.zeros(SLOTS, np.int64), _letters(), False
+    last = np.zeros(1, np.uint32)  # up to two codes from the step before; a text starts and ends with a blank
+    out[0] += 1
     for at in range(0, len(text), STEP):
-        c = np.frombuffer((" " * (at == 0) + text[max(0, at - 2) : at + STEP] + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.where(c < 0x30000, table[np.minimum(c, 0x2FFFF)], 0)
-        any_letter |= bool(c.any())
-        c = c[(c != 0) | np.concatenate([[True], c[:-1] != 0])]  # one blank for a run of them
+        raw = np.frombuffer((text[at : at + STEP] + " " * (at + STEP >= len(text))).encode("utf-32-le", "surrogatepass"), np.uint32)
+        new = np.where(raw < 0x30000, table[np.minimum(raw, 0x2FFFF)], 0)
+        any_letter |= bool(new.any())
+        new = new[(new != 0) | (np.concatenate([last[-1:], new[:-1]]) != 0)]  # one blank for a run of them
+        c = np.concatenate([last, new])
         one = c * np.uint32(2654435761)
         two = (one[:-1] ^ np.uint32(0x9E3779B9)) * np.uint32(668265263) + one[1:]
         three = (two[:-1] ^ np.uint32(0x85EBCA6B)) * np.uint32(374761393) + one[2:]
-        for h in (one, two, three):
+        for h in (one[len(last) :], two[len(last) - 1 :], three):
             out += np.bincount((h ^ (h >> np.uint32(15))) % np.uint32(SLOTS), minlength=SLOTS)
+        last = c[-2:]
     return out if any_letter else None
 
 

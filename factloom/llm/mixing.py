@@ -106,15 +106,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def apply(docs: DataFrame, seed: int = SEED, **parameters) -> DataFrame:
     """The mixed documents with docs' columns: a row for each whole take, with the text as it was, and a row with the words
     of each part taken once more; n_chars follows the text. Documents that the mix does not take go."""
-    plan = mix(docs, seed=seed, **parameters).where("taken > 0").select(F.col("doc_id").alias("_id"), "h", "size", "rounds", "from", "to", "from2", "to2").dropDuplicates(["_id", "h"])
-    own = docs.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)))
-    both = own.join(plan, own["doc_id"].eqNullSafe(plan["_id"]) & (own["_h"] == plan["h"]))
-    part = lambda a, b: F.when(F.col(b) > F.col(a), F.struct(F.col(a).alias("lo"), F.col(b).alias("hi")))
-    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi")), F.col("rounds"))
-    takes = both.withColumn("_take", F.explode(F.filter(F.concat(whole, F.array(part("from", "to"), part("from2", "to2"))), lambda x: x.isNotNull())))
-    lo, hi = F.col("_take.lo"), F.col("_take.hi")
+    names = ["doc_id", "h", "size", "rounds", "from", "to", "from2", "to2"]
+    plan = mix(docs, seed=seed, **parameters).where("taken > 0").select(*[F.col(c).alias(f"_mix_{c}") for c in names]).dropDuplicates(["_mix_doc_id", "_mix_h"])
+    own = docs.withColumn("_mix_own", F.xxhash64(F.lit(seed), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)))
+    both = own.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")) & (F.col("_mix_own") == F.col("_mix_h")))
+    m = {c: F.col(f"_mix_{c}") for c in names}
+    span = lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))
+    part = lambda a, b: F.when(b > a, span(a, b))
+    whole = F.array_repeat(span(F.lit(0).cast("long"), m["size"]), m["rounds"])
+    takes = both.withColumn("_mix_take", F.explode(F.filter(F.concat(whole, F.array(part(m["from"], m["to"]), part(m["from2"], m["to2"]))), lambda x: x.isNotNull())))
+    lo, hi = F.col("_mix_take.lo"), F.col("_mix_take.hi")
     cut = F.array_join(F.slice(columns.words(F.col("text")), (lo + 1).cast("int"), (hi - lo).cast("int")), " ")
-    out = takes.withColumn("text", F.when((lo == 0) & (hi == F.col("size")), F.col("text")).otherwise(cut))
+    out = takes.withColumn("text", F.when((lo == 0) & (hi == m["size"]), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -289,7 +289,18 @@ def test_language_id(spark):
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[4].lang_pred == "de" and got[5].lang_pred == "en" and got[6].lang_pred in ("de", "en")
     assert all(0 <= r.score <= 1 for r in got.values())
     assert langid.fit(train.limit(0)) is None and langid.identify(test, None, ["doc_id"]).where("lang_pred <> 'und'").count() == 0
-    assert (langid.counts("ab " * 800_000)[: langid.SLOTS] > 0).sum() == (langid.counts("ab ab ab") > 0).sum()
+
+
+def test_language_counts_do_not_depend_on_steps(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice([*"abcÄ ß.\n1"], int(n))) for n in rng.integers(1, 60, 200)]
+    whole = [langid.counts(t) for t in texts]
+    assert langid.counts("ab " * 500_000).sum() == 3 * 1_500_000 + 1 - 1
+    for step in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "STEP", step)
+        for t, w in zip(texts, whole, strict=True):
+            got = langid.counts(t)
+            assert (got is None and w is None) or (got == w).all()
 
 
 def test_chat(spark):
