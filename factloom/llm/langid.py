@@ -58,14 +58,19 @@ def _weigh(n: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Centroids:
     """A fitted model: idf of each slot, unit centroids with their languages, and the distance beyond which each rejects."""
 
-    def __init__(self, langs: list[str], vectors: list[np.ndarray], per_lang: int = CENTROIDS):
-        n = np.array(vectors)
-        self.idf = np.log((1 + len(n)) / (1 + (n > 0).sum(axis=0))) + 0.1
-        x = np.stack([_weigh(v, self.idf) for v in n])
-        own = np.array(langs)
+    def __init__(self, langs: list[str], vectors: list[tuple[np.ndarray, np.ndarray]], per_lang: int = CENTROIDS):
+        """vectors: the slots that a document has and their counts; one language's documents at a time are laid out in full."""
+        seen = np.zeros(SLOTS, np.int64)
+        for slots, _ in vectors:
+            seen[slots] += 1
+        self.idf = np.log((1 + len(vectors)) / (1 + seen)) + 0.1
         self.langs, cents, reject = [], [], []
         for lang in sorted(set(langs)):
-            y = x[own == lang]
+            own = [v for v, x in zip(vectors, langs, strict=True) if x == lang]
+            y = np.zeros((len(own), SLOTS), np.float32)
+            for row, (slots, n) in zip(y, own, strict=True):
+                w = np.log1p(n) * self.idf[slots]
+                row[slots] = w / np.sqrt(w @ w)
             c = spherical_kmeans(y, min(per_lang, len(y)))
             self.langs += [lang] * len(c)
             cents.append(c)
@@ -100,16 +105,16 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Centroids | None:
         for b in batches:
             for lang, text, key in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if (n := counts(text)) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([key], pa.int64()), pa.array([n.astype("<u4").tobytes()], pa.binary())], ["lang", "h", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([key], pa.int64()), pa.array([np.flatnonzero(n).astype("<u2").tobytes()], pa.binary()), pa.array([n[n > 0].astype("<u4").tobytes()], pa.binary())], ["lang", "h", "slots", "n"])
 
-    got = sorted(((r[0], r[1], bytes(r[2])) for r in picked.mapInArrow(run, "lang string, h long, n binary").limit(2 * sample).collect()), key=lambda r: (r[1], r[0], r[2]))
+    got = sorted(((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in picked.mapInArrow(run, "lang string, h long, slots binary, n binary").limit(2 * sample).collect()), key=lambda r: (r[1], *r))
     taken: dict[str, int] = {}
     langs, vectors = [], []
-    for lang, _, n in got:
+    for lang, _, slots, n in got:
         if (seen := taken.get(lang, 0)) < bound:
             taken[lang] = seen + 1
             langs.append(lang)
-            vectors.append(np.frombuffer(n, "<u4"))
+            vectors.append((np.frombuffer(slots, "<u2"), np.frombuffer(n, "<u4")))
     return Centroids(langs, vectors) if langs else None
 
 
