@@ -38,3 +38,49 @@ def research(facts: DataFrame, members: DataFrame, wanted: list[tuple[str, str]]
         out = out.join(members.where((F.col("type") == kind) & (F.col("name") == name)).select(F.col("fact").alias("uuid")), "uuid", "left_semi")
     n = members.groupBy(F.col("fact").alias("uuid")).agg(F.countDistinct("entity").alias("degree"))
     return out.join(n, "uuid").orderBy(F.desc("degree"), "uuid").limit(most)
+
+
+def occurrences(body, tokens: list[str]):
+    """How often the tokens occur in a lower-cased text, summed."""
+    each = [F.floor((F.char_length(body) - F.char_length(F.replace(body, F.lit(t), F.lit("")))) / len(t)) for t in tokens]
+    return sum(each[1:], each[0]).cast("long")
+
+
+def graph_rag(nodes: DataFrame, links: DataFrame, tokens: list[str], seeds: int = 8, each: int = 6, most: int = 16) -> DataFrame:
+    """(node, score): the best nodes (node, body) by occurrences, and up to `each` neighbours (node, other) of each at 0.3."""
+    found = nodes.select("node", occurrences(F.lower("body"), tokens).cast("double").alias("score")).where("score > 0")
+    top = found.orderBy(F.desc("score"), "node").limit(seeds)
+    near = links.join(F.broadcast(top.select("node")), "node", "left_semi").select("node", "other").distinct()  # at most `seeds` rows
+    few = near.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("other"))).where(F.col("r") <= each)
+    more = few.select(F.col("other").alias("node")).distinct().join(F.broadcast(top.select("node")), "node", "left_anti").withColumn("score", F.lit(0.3))
+    return top.union(more).orderBy(F.desc("score"), "node").limit(most)
+
+
+def literature(nodes: DataFrame, links: DataFrame, disputed: DataFrame, tokens: list[str], most: int = 10) -> DataFrame:
+    """(node, place, contested): findings about a topic, by place.
+
+    nodes: node, body, finding (boolean), place. Findings that hold a token, and those linked (node, other) to one of the `most`
+    best other nodes; contested ones are in disputed (a, b) with a finding of the result at either end.
+    """
+    scored = nodes.select("node", "finding", "place", occurrences(F.lower("body"), tokens).alias("score"))
+    top = scored.where("not finding and score > 0").orderBy(F.desc("score"), "node").limit(most).select("node")
+    near = links.join(F.broadcast(top), "node", "left_semi").select(F.col("other").alias("node"))
+    ids = scored.where("finding and score > 0").select("node").union(near).distinct()
+    own = scored.where("finding").join(ids, "node", "left_semi")
+    pairs = disputed.select("a", "b").union(disputed.select("b", "a"))
+    hit = pairs.join(own.select(F.col("node").alias("a")), "a", "left_semi")
+    bad = hit.select(F.col("a").alias("node")).union(hit.select("b")).distinct().withColumn("c", F.lit(True))
+    return own.join(bad, "node", "left").select("node", F.coalesce("place", F.lit("")).alias("place"), F.coalesce("c", F.lit(False)).alias("contested"))
+
+
+def compare(props: DataFrame, nodes: list[str], order: list[str]) -> DataFrame:
+    """(key, pos, a column a node): the properties (node, key, value) of up to four nodes side by side, known keys first."""
+    first = F.array_position(F.array(*map(F.lit, order)), F.col("key"))
+    own = props.where(F.col("node").isin(nodes[-4:]) & (F.coalesce("value", F.lit("")) != ""))
+    return own.groupBy("key").pivot("node", nodes[-4:]).agg(F.max("value")).withColumn("pos", F.when(first > 0, first).otherwise(len(order) + 1).cast("long"))
+
+
+def catalogue(items: DataFrame, tokens: list[str], most: int = 6) -> DataFrame:
+    """(item, score): the items (item, body) that hold the most of the tokens."""
+    held = [F.lower("body").contains(t).cast("long") for t in tokens]
+    return items.select("item", sum(held[1:], held[0]).alias("score")).where("score > 0").orderBy(F.desc("score"), "item").limit(most)

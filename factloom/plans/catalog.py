@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom import vocab
 from factloom.functions import text, vectors
 from factloom.operators import analytics, dedup, graph, retrieval, verify
+from factloom.plans import knowledge  # noqa: F401  adds its queries
 from factloom.plans.fixtures import graph as g
 from factloom.plans.fixtures import oracle, table
+from factloom.plans.register import ORACLES, QUERIES, Query, query
 from factloom.sources import store
 from factloom.streaming import events as stream
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 NP = ", ".join(f"'{t}'" for t in vocab.NON_PARTICIPANT)
 MEMBERS = f"members as (select distinct e.src as fact, n.uuid as entity, n.type as type, n.canonical_name as name from edges e join entities n on e.dst = n.uuid where e.type not in ({NP}))"
 ASK = [("ring", "Material"), ("NATION_16", "Location"), ("economy", None)]
@@ -26,16 +22,6 @@ ASK_SQL = "asked(mention, kind) as (values ('ring', 'Material'), ('NATION_16', '
 LINKED = "anchors as (select distinct a.mention, n.uuid as entity from asked a join entities n on (a.kind is null or a.kind = n.type) and (lower(n.canonical_name) = lower(a.mention) or (length(a.mention) >= 3 and contains(lower(n.canonical_name), lower(a.mention))) or (length(n.canonical_name) >= 3 and contains(lower(a.mention), lower(n.canonical_name)))))"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
 def lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
 
@@ -528,8 +514,8 @@ def _(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(ORACLES)

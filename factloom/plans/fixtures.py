@@ -27,6 +27,14 @@ union all select {_ID}, concat('f', cast(l_suppkey as string)), 'CONDUCTED_BY' f
 union all select {_ID}, concat('l', cast(s_nationkey as string)), 'LOCATED_IN' from lineitem join supplier on l_suppkey = s_suppkey
 union all select {_ID}, concat('p:', p_type), 'VIA_PROCESS' from lineitem join part on l_partkey = p_partkey
 union all select concat('f', cast(s_suppkey as string)), concat('l', cast(s_nationkey as string)), 'AFFILIATED_WITH' from supplier""",
+    "frames": f"""
+select {_ID} as chunk, '0' as ord, cast(l_orderkey as string) as paper_ref,
+  case when l_linenumber = 1 then 'Rumour' when l_returnflag = 'A' then 'MaterialMeasurement' when l_returnflag = 'R' then 'SynthesisProcedure' else 'HypothesisFact' end as frame_type,
+  concat('Part  ', cast(l_partkey as string)) as material, case when l_linenumber % 2 = 0 then ' ' else concat('Process ', l_linestatus) end as process,
+  case when l_suppkey % 3 <> 0 then concat('Place ', cast(l_suppkey as string)) end as location,
+  concat('Maker ', cast(l_suppkey as string)) as mention, case when l_suppkey % 2 = 0 then 'Person' else 'Mood' end as mention_type,
+  case when l_linenumber <> 3 then concat('Line ', cast(l_linenumber as string)) end as statement, case when l_linenumber <> 3 then l_linenumber = 4 end as negated
+from lineitem""",
 }
 
 

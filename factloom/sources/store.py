@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_local: dict[str, str] = {}
+
 
 def upsert(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The newest row of each key."""
@@ -44,11 +49,18 @@ def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as checkpointed rows in the shared folder of spark.checkpoint.dir; where none is set, on a local master, in a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="factloom-"))
-    return df.checkpoint()
+    """df as a table written to the shared folder of spark.checkpoint.dir and read back; where none is set, on a local master, to
+    a temporary one. Later steps start from the files, also after executors are lost, and are planned by their sizes."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            _local[app] = tempfile.mkdtemp(prefix="factloom-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+        shared = f"file://{_local[app]}"
+    path = f"{shared.rstrip('/')}/factloom-{uuid.uuid4().hex}/cut"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
