@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import vocab
@@ -81,3 +81,30 @@ def discover_new(feed: DataFrame, known: DataFrame, head: int = 28) -> DataFrame
     """
     a, b = F.lower(F.col("title")), F.lower(F.col("known"))
     return feed.join(known.select(F.col("title").alias("known")), b.contains(F.substring(a, 1, head)) | a.contains(F.substring(b, 1, head)), "left_anti")
+
+
+def trace(facts: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, kind, label) and edges (src, dst) of an answer: its facts, and their participants by name."""
+    own = members.join(facts.select(F.col("uuid").alias("fact")), "fact", "left_semi")
+    named = own.groupBy("name").agg(F.min("type").alias("kind")).select(F.concat(F.lit("e:"), "name").alias("id"), "kind", F.col("name").alias("label"))
+    nodes = facts.select(F.concat(F.lit("f:"), "uuid").alias("id"), F.lit("Fact").alias("kind"), F.substring("statement", 1, 90).alias("label")).union(named)
+    return nodes, own.select(F.concat(F.lit("f:"), "fact").alias("src"), F.concat(F.lit("e:"), "name").alias("dst")).distinct()
+
+
+def neighbors(links: DataFrame, most: int = 30) -> DataFrame:
+    """(node, other, type): up to `most` different neighbours of each node."""
+    one = links.groupBy("node", "other").agg(F.max("type").alias("type"))
+    r = F.row_number().over(Window.partitionBy("node").orderBy("other"))
+    return one.withColumn("r", r).where(F.col("r") <= most).drop("r")
+
+
+def disputes(pairs: DataFrame, facts: DataFrame, cap: int = 180) -> DataFrame:
+    """pairs (a, b) with the statements of both."""
+    say = lambda end, name: facts.select(F.col("uuid").alias(end), F.substring("statement", 1, cap).alias(name))
+    return pairs.join(say("a", "left_text"), "a").join(say("b", "right_text"), "b")
+
+
+def value_range(low: Column, high: Column, value: Column, unit: Column) -> Column:
+    """'low–high unit', else 'value unit', else nothing."""
+    tail = F.coalesce(F.concat(F.lit(" "), F.nullif(unit, F.lit(""))), F.lit(""))
+    return F.coalesce(F.concat(low.cast("string"), F.lit("–"), high.cast("string"), tail), F.concat(value.cast("string"), tail), F.lit(""))

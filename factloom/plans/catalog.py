@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom import vocab
 from factloom.functions import text, vectors
-from factloom.operators import analytics, dedup, graph, retrieval, verify
-from factloom.plans import knowledge  # noqa: F401  adds its queries
+from factloom.operators import analytics, dedup, graph, retrieval, sections, verify
+from factloom.plans import knowledge, reading  # noqa: F401  add their queries
 from factloom.plans.fixtures import graph as g
 from factloom.plans.fixtures import oracle, table
 from factloom.plans.register import ORACLES, QUERIES, Query, query
@@ -156,6 +156,12 @@ def _(spark, d):
     return lines(spark, d).where(text.is_heading(F.col("line"))).select("doc_id", F.col("n").cast("long").alias("n"), F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("heading"))
 
 
+@query("t_sections", rf'''with l as (select doc_id, length(text) as size, generate_subscripts(string_split(text, chr(10)), 1) as n, unnest(string_split(text, chr(10))) as line from documents), o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0)::int as off, regexp_replace(line, '^\s+|\s+$', '', 'g') as s from l), h as (select doc_id, size, off, s, lead(off) over (partition by doc_id order by off) as nxt, min(off) over (partition by doc_id) as fst from o where {_HEAD}) select doc_id, off as start, coalesce(nxt, size)::int as "end", s as name from h union all select distinct doc_id, 0, fst, 'frontmatter' from h where fst > 0 union all select doc_id, 0, length(text)::int, 'body' from documents where length(text) > 0 and doc_id not in (select doc_id from h)''')
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.explode(sections.sections(F.col("text"))).alias("s"))
+    return docs.select("doc_id", "s.start", "s.end", "s.name")
+
+
 _CASES = ["I.\nINTRODUCTION", "2.2 Methodology", "A. Results and discussion", "References", "Data availability statement", "Pareto Fronts", "IV) Conclusions:", "mild steel", "  3.1   Experimental   setup "]
 
 

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from factloom.functions import text
@@ -15,7 +16,7 @@ SLOW = {"r_ppr", "r_ppr_bridge"}
 
 def norm(df):
     df = df[sorted(df.columns)]
-    say = lambda v: None if v is None or v != v else round(float(v), 6) if not isinstance(v, str) and not hasattr(v, "isoformat") else str(v)
+    say = lambda v: None if pd.isna(v) else round(float(v), 6) if not isinstance(v, str) and not hasattr(v, "isoformat") else str(v)
     return sorted([tuple(say(v) for v in row) for row in df.astype(object).values.tolist()], key=repr)
 
 
