@@ -98,3 +98,9 @@ def route(ref: Column) -> Column:
     """The source adapter of a reference: arXiv ids and addresses first, then PDF files; null for others."""
     arxiv = ref.rlike(r"(?i)^(arxiv:)?\d{4}\.\d{4,5}(v\d+)?$") | ref.rlike(r"(?i)arxiv\.org/(abs|html|pdf)/")
     return F.when(arxiv, "arxiv").when(F.lower(ref).endswith(".pdf"), "pdf")
+
+
+def cluster(node: Column, source: Column) -> Column:
+    """The folder letter of a node: from its id, else from its source, else X."""
+    own, given = F.regexp_extract(node, r"^pub_([a-f])\d*$", 1), F.regexp_extract(F.coalesce(source, F.lit("")), r"pub_([a-f])\d*", 1)
+    return F.upper(F.coalesce(F.nullif(own, F.lit("")), F.nullif(given, F.lit("")), F.lit("x")))

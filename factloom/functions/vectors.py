@@ -23,3 +23,11 @@ def cosine(a: Column, b: Column) -> Column:
 def blend(name: Column, context: Column, weight: float = 0.7) -> Column:
     """weight * name + (1 - weight) * context, both scaled to length 1 first."""
     return F.zip_with(F.transform(name, lambda x: x / norm(name)), F.transform(context, lambda x: x / norm(context)), lambda x, y: x * weight + y * (1 - weight))
+
+
+def hash_embedding(text: Column) -> Column:
+    """64 numbers from the SHA-256 of the trimmed, lower-cased text: its bytes twice, over 255, as a unit vector."""
+    digest = F.sha2(F.lower(F.trim(text)), 256)
+    half = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255)
+    both = F.concat(half, half)
+    return F.transform(both, lambda x: x / norm(both))

@@ -31,3 +31,9 @@ def gate(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
 def todo(facts: DataFrame) -> DataFrame:
     """Unverified facts that no verdict was asked for yet; one that failed the gate is not asked again."""
     return facts.where((F.col("status") == "unverified") & ~F.coalesce("v_checked", F.lit(False)))
+
+
+def apply(facts: DataFrame, checked: DataFrame) -> DataFrame:
+    """facts with the status of checked ones (uuid, status) written over; those count as checked from then on."""
+    told = facts.join(checked.select("uuid", F.col("status").alias("_s")), "uuid", "left")
+    return told.withColumn("status", F.coalesce("_s", "status")).withColumn("v_checked", F.col("_s").isNotNull() | F.coalesce("v_checked", F.lit(False))).drop("_s")

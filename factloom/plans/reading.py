@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions import vectors
-from factloom.operators import graph, sections
+from factloom.functions import text, vectors
+from factloom.operators import graph, resolution, sections, verify
 from factloom.plans.fixtures import graph as g
 from factloom.plans.fixtures import oracle, table
 from factloom.plans.register import query
@@ -73,3 +73,28 @@ def _(spark, d):
     y, v = F.col("year"), F.col("q_value").cast("int")
     low, high = F.when(y % 2 == 0, v), F.when(y % 2 == 0, v + 1)
     return g(spark, d, "facts").select("uuid", graph.value_range(low, high, F.when(y % 3 != 0, v), F.when(y % 2 == 0, F.col("q_unit"))).alias("range"))
+
+
+@query("a_cluster", r"select doc_id, upper(coalesce(nullif(regexp_extract(n, '^pub_([a-f])\d*$', 1), ''), nullif(regexp_extract(s, 'pub_([a-f])\d*', 1), ''), 'x')) as folder from (select doc_id, case when doc_id % 3 = 0 then 'pub_' || chr((97 + doc_id % 8)::int) || doc_id else 'n' end as n, case when doc_id % 3 = 1 then 'see pub_' || chr((97 + doc_id % 8)::int) || '7' else '' end as s from documents)")
+def _(spark, d):
+    k = F.col("doc_id")
+    letter = F.char(97 + k % 8)
+    return table(spark, d, "documents").select("doc_id", text.cluster(F.when(k % 3 == 0, F.concat(F.lit("pub_"), letter, k)).otherwise("n"), F.when(k % 3 == 1, F.concat(F.lit("see pub_"), letter, F.lit("7")))).alias("folder"))
+
+
+@query("t_hash_embed", "with b as (select p_partkey, [('0x' || sha256(lower(trim(p_name)))[2 * i + 1 : 2 * i + 2])::int / 255.0::double for i in range(32)] as v from part) select p_partkey, round(v[1] / sqrt(2 * list_sum([x * x for x in v])), 6) as first, round(v[32] / sqrt(2 * list_sum([x * x for x in v])), 6) as last from b")
+def _(spark, d):
+    v = table(spark, d, "part").select("p_partkey", vectors.hash_embedding(F.col("p_name")).alias("v"))
+    return v.select("p_partkey", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"))
+
+
+@query("v_apply", oracle("facts") + "select uuid, case when year = 1995 then 'verified' else status end as status, year = 1995 or v_checked as v_checked from facts")
+def _(spark, d):
+    f = g(spark, d, "facts")
+    return verify.apply(f, f.where("year = 1995").select("uuid", F.lit("verified").alias("status"))).select("uuid", "status", "v_checked")
+
+
+@query("j_nmap", oracle("entities") + "select type as grp, canonical_name as name, min(uuid) as uuid from entities group by 1, 2 union all select type, 'all ' || type, min(uuid) from entities group by 1")
+def _(spark, d):
+    e = g(spark, d, "entities").select(F.col("type").alias("grp"), "uuid", "canonical_name", F.array("canonical_name", F.concat(F.lit("all "), "type")).alias("aliases"))
+    return resolution.names(e)
