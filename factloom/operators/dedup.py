@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +55,28 @@ def contexts(facts: DataFrame, members: DataFrame, k: int = 3, cap: int = 120) -
     rank = F.row_number().over(Window.partitionBy("entity").orderBy("fact"))
     few = own.withColumn("rank", rank).where(F.col("rank") <= k)
     return few.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.substring("statement", 1, cap).alias("s")))), lambda x: x["s"]), "; ").alias("context"))
+
+
+def near_merge(pairs: DataFrame) -> DataFrame:
+    """(grp, old, canon) of pairs (grp, pos, a, b) that a judge called the same, taken in the order of pos: b goes into a, unless
+    either went into another one before; what went into b follows. A group is the entities of one type in one paper, so its
+    pairs fit one task; the order matters, so groups are worked through in Python.
+    """
+
+    def greedy(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["pos", "a", "b"])
+        into: dict = {}
+        for a, b in zip(df["a"], df["b"]):
+            if a != b and a not in into and b not in into:
+                into[b] = a
+        rows = []
+        for old in into:
+            canon = into[old]
+            while canon in into:
+                canon = into[canon]
+            rows.append((df["grp"].iloc[0], old, canon))
+        return pd.DataFrame(rows, columns=["grp", "old", "canon"])
+
+    kinds = dict(pairs.dtypes)
+    own = pairs.select("grp", "pos", "a", "b").where("a is not null and b is not null")
+    return own.groupBy("grp").applyInPandas(greedy, f"grp {kinds['grp']}, old {kinds['b']}, canon {kinds['a']}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import vocab
-from factloom.functions import vectors
+from factloom.functions import text, vectors
 
 
 def overlap(members: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -86,3 +86,39 @@ def retrieve(facts: DataFrame, edges: DataFrame, entities: DataFrame, mentions:
     rows = facts.join(F.broadcast(top), facts["uuid"] == top["fact"])  # k rows
     own = members.join(F.broadcast(top.select("fact")), "fact", "left_semi")
     return graph.fact_detail(rows.drop("fact"), own)
+
+
+def evidence(facts: DataFrame, members: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(pos, uuid, statement, quantity, participants, source, year, status) of an answer's facts, ranked (id, pos)."""
+    from factloom.operators import graph
+
+    few = ranked.select(F.col("id").alias("uuid"), "pos")  # one answer's facts
+    own = members.join(few.select(F.col("uuid").alias("fact")), "fact", "left_semi")
+    told = graph.fact_detail(facts.join(few, "uuid"), own)
+    quantity = text.quantity(F.col("q_raw"), F.col("q_operator"), F.col("q_value"), F.col("q_unit"))
+    return told.select("pos", "uuid", F.coalesce("statement", F.lit("")).alias("statement"), quantity.alias("quantity"), F.col("parts").alias("participants"), F.coalesce("paper_ref", F.lit("")).alias("source"), "year", F.coalesce("status", F.lit("")).alias("status"))
+
+
+def related(members: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(name, pos): the different names of participants in an answer's facts, by where they first appear."""
+    own = members.join(ranked.select(F.col("id").alias("fact"), F.col("pos").alias("at")), "fact")
+    first = own.groupBy("name").agg(F.min(F.struct("at", "type")).alias("at"))
+    return first.select("name", (F.row_number().over(Window.orderBy("at.at", "at.type", "name")) - 1).alias("pos"))
+
+
+def decompose(answers: DataFrame, most: int = 6) -> DataFrame:
+    """answers (question, subs array) with subs trimmed, blank ones gone, the first few kept; the question itself where none is left."""
+    kept = F.filter(F.transform("subs", lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    few = F.slice(kept, 1, most)
+    return answers.withColumn("subs", F.when(F.size(few) > 0, few).otherwise(F.array("question")))
+
+
+def discover(feed: DataFrame, known: DataFrame, n: int = 6) -> DataFrame:
+    """(pos, title, authors, year, venue, doi, url): the first n of a feed (pos, title, authors array<struct<given,family>>, year,
+    venue, doi, url) that the corpus (title) does not have; three authors at most, blank ones left out. n is the feature."""
+    from factloom.operators import graph
+
+    say = lambda a: F.trim(F.concat(F.coalesce(a["given"], F.lit("")), F.lit(" "), F.coalesce(a["family"], F.lit(""))))
+    names = F.array_join(F.filter(F.transform(F.slice("authors", 1, 3), say), lambda s: s != ""), ", ")
+    new = graph.discover_new(feed.where("title <> ''"), known)
+    return new.orderBy("pos").limit(n).select("pos", "title", F.coalesce(names, F.lit("")).alias("authors"), "year", "venue", "doi", "url")

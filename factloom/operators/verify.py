@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MEAN_LEAST, RELEVANCE_LEAST, BATCH = 0.6, 0.4, 25  # fixed values
+from factloom.functions import anchors
+
+MEAN_LEAST, RELEVANCE_LEAST, BATCH, FIRST, RATIONALE = 0.6, 0.4, 25, 20, 400  # fixed values
 
 
 def verify_tables(facts: DataFrame) -> DataFrame:
@@ -37,3 +39,24 @@ def apply(facts: DataFrame, checked: DataFrame) -> DataFrame:
     """facts with the status of checked ones (uuid, status) written over; those count as checked from then on."""
     told = facts.join(checked.select("uuid", F.col("status").alias("_s")), "uuid", "left")
     return told.withColumn("status", F.coalesce("_s", "status")).withColumn("v_checked", F.col("_s").isNotNull() | F.coalesce("v_checked", F.lit(False))).drop("_s")
+
+
+def requests(facts: DataFrame, evidence: DataFrame, passages: DataFrame, papers: DataFrame, first: int = FIRST) -> DataFrame:
+    """(uuid, statement, quantity, source): the first facts of an answer's evidence (uuid, pos) that no verdict was asked for.
+
+    The source is the best passages (uuid, source) of the statement's paper, else the window around its words in the paper's
+    text (paper_ref, text), else empty. The limit is the feature: one answer asks for few verdicts.
+    """
+    few = todo(facts).drop("source").join(evidence.select("uuid", "pos"), "uuid").orderBy("pos", "uuid").limit(first)
+    told = few.join(passages, "uuid", "left").join(papers.select("paper_ref", "text"), "paper_ref", "left")
+    source = F.coalesce("source", anchors.window(F.col("text"), F.coalesce("statement", F.lit(""))))
+    return told.select("uuid", "statement", F.col("q_raw").alias("quantity"), source.alias("source"))
+
+
+def settle(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(uuid, status, conf, rationale) of requests that got a verdict (uuid, confidence, clarity, relevance, rationale); the others
+    stay unchecked and are asked again. `apply` writes them to the facts."""
+    mean = (F.col("confidence") + F.col("clarity") + F.col("relevance")) / 3
+    good = (F.round(mean, 9) >= MEAN_LEAST) & (F.col("relevance") >= RELEVANCE_LEAST)
+    own = asked.select("uuid").join(verdicts, "uuid")
+    return own.select("uuid", F.when(good, "verified").otherwise("unverified").alias("status"), F.round(mean, 3).alias("conf"), F.substring(F.coalesce("rationale", F.lit("")), 1, RATIONALE).alias("rationale"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from factloom import vocab
 from factloom.functions import text, vectors
 from factloom.operators import analytics, dedup, graph, retrieval, sections, verify
-from factloom.plans import knowledge, reading  # noqa: F401  add their queries
+from factloom.plans import answers, knowledge, reading  # noqa: F401  add their queries
+from factloom.plans.fixtures import HEAD as _HEAD
 from factloom.plans.fixtures import graph as g
 from factloom.plans.fixtures import oracle, table
 from factloom.plans.register import ORACLES, QUERIES, Query, query
@@ -148,9 +149,6 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.arrays_zip(parts.alias("line"), step.alias("off"))).alias("n", "x")).select("doc_id", F.col("n").cast("long").alias("n"), "x.line", "x.off")
 
 
-_HEAD = r"case when length(s) > 0 and length(s) <= 80 and len(string_split(regexp_replace(s, '\s+', ' ', 'g'), ' ')) <= 12 and (regexp_matches(s, '^\d+(\.\d+)*\.?\s+\S') or (upper(s) = s and lower(s) <> s and len(string_split(regexp_replace(s, '\s+', ' ', 'g'), ' ')) <= 8) or rtrim(lower(trim(regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), '(?i)^(?:[ivxlcdm]+|\d+(?:\.\d+)*|[a-z])[.)]?\s+', ''))), ':') in (" + ", ".join(f"'{k}'" for k, _ in vocab.SECTION_PRIORS) + ")) then true else false end"
-
-
 @query("t_is_heading", rf"with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') as s from documents) select doc_id, n, s as heading from l where {_HEAD}")
 def _(spark, d):
     return lines(spark, d).where(text.is_heading(F.col("line"))).select("doc_id", F.col("n").cast("long").alias("n"), F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("heading"))

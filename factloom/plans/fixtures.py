@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom import vocab
+
 _ID = "sha1(concat_ws('|', cast(l_orderkey as string), cast(l_partkey as string), cast(l_suppkey as string), cast(l_linenumber as string), cast(cast(l_quantity as int) as string), cast(cast(round(l_extendedprice * 100) as bigint) as string), cast(cast(round(l_discount * 100) as int) as string), cast(cast(round(l_tax * 100) as int) as string), l_returnflag, l_linestatus, cast(cast(l_shipdate as date) as string)))"
 
 VIEWS = {
@@ -38,6 +40,10 @@ from lineitem""",
 }
 
 
+#: whether a trimmed line s is a heading, in the oracle's SQL
+HEAD = r"case when length(s) > 0 and length(s) <= 80 and len(string_split(regexp_replace(s, '\s+', ' ', 'g'), ' ')) <= 12 and (regexp_matches(s, '^\d+(\.\d+)*\.?\s+\S') or (upper(s) = s and lower(s) <> s and len(string_split(regexp_replace(s, '\s+', ' ', 'g'), ' ')) <= 8) or rtrim(lower(trim(regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), '(?i)^(?:[ivxlcdm]+|\d+(?:\.\d+)*|[a-z])[.)]?\s+', ''))), ':') in (" + ", ".join(f"'{k}'" for k, _ in vocab.SECTION_PRIORS) + ")) then true else false end"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
