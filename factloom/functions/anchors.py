@@ -11,22 +11,17 @@ from factloom.operators.structure import WORD
 SPAN = "struct<start:int,end:int>"
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with the value worked out once: a lambda over an array of one element binds it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def pattern(anchor: Column) -> Column:
     """A regular expression for an anchor's words with any white space between them; null for a blank anchor."""
     words = F.regexp_replace(fn.squeeze(anchor), r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    return _let(words, lambda w: F.when(w != "", F.concat(F.lit("(?U)"), F.regexp_replace(w, " ", r"\\s+"))))
+    return fn.bind(words, lambda w: F.when(w != "", F.concat(F.lit("(?U)"), F.regexp_replace(w, " ", r"\\s+"))))
 
 
 def _first(text: Column, anchor: Column, search_from: Column) -> Column:
     """The first match as a span. What matched is looked up as it stands: an earlier copy of it would have matched before."""
     hit = F.regexp_substr(F.substring(text, search_from + 1, F.char_length(text)), pattern(anchor))
-    at = _let(hit, lambda h: F.struct(F.position(h, text, search_from + 1).alias("at"), F.char_length(h).alias("n")))
-    return _let(at, lambda x: F.when(x["at"] > 0, F.struct((x["at"] - 1).alias("start"), (x["at"] - 1 + x["n"]).alias("end")).cast(SPAN)))
+    at = fn.bind(hit, lambda h: F.struct(F.position(h, text, search_from + 1).alias("at"), F.char_length(h).alias("n")))
+    return fn.bind(at, lambda x: F.when(x["at"] > 0, F.struct((x["at"] - 1).alias("start"), (x["at"] - 1 + x["n"]).alias("end")).cast(SPAN)))
 
 
 def find(text: Column, anchor: Column, search_from: Column | None = None, end_anchor: Column | None = None) -> Column:
@@ -38,7 +33,7 @@ def find(text: Column, anchor: Column, search_from: Column | None = None, end_an
     if end_anchor is None:
         return own
     to = lambda x: F.coalesce(_first(text, end_anchor, x["end"])["end"], x["end"])
-    return _let(own, lambda x: F.when(x.isNotNull(), F.struct(x["start"].alias("start"), to(x).alias("end"))))
+    return fn.bind(own, lambda x: F.when(x.isNotNull(), F.struct(x["start"].alias("start"), to(x).alias("end"))))
 
 
 def verify_span(text: Column, start: Column, end: Column, anchor: Column | None = None) -> Column:
@@ -57,8 +52,8 @@ def window(text: Column, statement: Column, width: int = 700, words: int = 14, f
     """
     half = width // 2
     asked = F.slice(F.transform(F.regexp_extract_all(statement, F.lit(WORD), F.lit(0)), F.lower), 1, words)
-    at = _let(F.lower(text), lambda low: F.filter(F.transform(asked, lambda w: F.position(w, low) - 1), lambda p: p >= 0))
+    at = fn.bind(F.lower(text), lambda low: F.filter(F.transform(asked, lambda w: F.position(w, low) - 1), lambda p: p >= 0))
     near = lambda ps, p: F.size(F.filter(ps, lambda q: (q >= p - half) & (q <= p + half)))
-    best = _let(at, lambda ps: F.array_max(F.transform(ps, lambda p, i: F.struct(near(ps, p).alias("n"), (-i).alias("i"), p.alias("p"))))["p"])
+    best = fn.bind(at, lambda ps: F.array_max(F.transform(ps, lambda p, i: F.struct(near(ps, p).alias("n"), (-i).alias("i"), p.alias("p"))))["p"])
     cut = lambda p: F.substring(text, F.greatest(F.lit(0), p - half) + 1, p + half - F.greatest(F.lit(0), p - half))
-    return F.coalesce(_let(best, lambda p: F.when(p.isNotNull(), cut(p))), F.substring(text, 1, fallback), F.lit(""))
+    return F.coalesce(fn.bind(best, lambda p: F.when(p.isNotNull(), cut(p))), F.substring(text, 1, fallback), F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ ROMAN_OR_NUMBER = r"(?i)^(?:[ivxlcdm]+|\d+(?:\.\d+)*|[a-z])[.)]?\s+"
 UNIT = r"(?iu)\d+(?:\.\d+)?\s*(?:W|kW|V|mV|A|mA|sccm|nm|µm|um|mm|cm|Å|K|°C|℃|µbar|ubar|bar|Pa|kPa|MPa|GPa|Torr|rpm|Hz|kHz|MHz|GHz|min|mins|hr|h|ms|eV|meV|wt%|at%|%)\b"  # fixed values
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once a row: a lambda over an array of one element binds it, where Spark would put the
+    whole expression at each place that names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def count_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.char_length(text) / 4)).cast("long")
 
@@ -38,19 +46,24 @@ def norm_heading(name: Column) -> Column:
 
 def role_hint(name: Column) -> Column:
     """The prior of the whole normalised heading, else of the first prior, in their order, that it holds as words."""
-    norm = norm_heading(name)
-    whole = F.try_element_at(F.create_map(*[F.lit(x) for kv in vocab.SECTION_PRIORS for x in kv]), norm)
-    first = F.coalesce(*[F.when(norm.rlike(rf"\b{key}\b"), F.lit(role)) for key, role in vocab.SECTION_PRIORS])
-    return F.when(norm != "", F.coalesce(whole, first))
+    table = F.create_map(*[F.lit(x) for kv in vocab.SECTION_PRIORS for x in kv])
+
+    def hint(norm: Column) -> Column:
+        first = F.coalesce(*[F.when(norm.rlike(rf"\b{key}\b"), F.lit(role)) for key, role in vocab.SECTION_PRIORS])
+        return F.when(norm != "", F.coalesce(F.try_element_at(table, norm), first))
+
+    return bind(norm_heading(name), hint)
 
 
 def is_heading(line: Column) -> Column:
-    s = F.trim(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""))
-    words = F.size(F.split(squeeze(s), " "))
-    prior = norm_heading(s).isin([k for k, _ in vocab.SECTION_PRIORS])
-    numbered = s.rlike(r"^\d+(\.\d+)*\.?\s+\S")
-    capitals = (F.upper(s) == s) & (F.lower(s) != s) & (words <= 8)
-    return (s != "") & (F.char_length(s) <= 80) & (words <= 12) & (prior | numbered | capitals)
+    def check(s: Column) -> Column:
+        words = F.size(F.split(squeeze(s), " "))
+        prior = norm_heading(s).isin([k for k, _ in vocab.SECTION_PRIORS])
+        numbered = s.rlike(r"^\d+(\.\d+)*\.?\s+\S")
+        capitals = (F.upper(s) == s) & (F.lower(s) != s) & (words <= 8)
+        return (s != "") & (F.char_length(s) <= 80) & (words <= 12) & (prior | numbered | capitals)
+
+    return bind(F.trim(F.regexp_replace(line, r"(?U)^\s+|\s+$", "")), check)
 
 
 def slug(name: Column) -> Column:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import vocab
@@ -60,23 +59,16 @@ def contexts(facts: DataFrame, members: DataFrame, k: int = 3, cap: int = 120) -
 def near_merge(pairs: DataFrame) -> DataFrame:
     """(grp, old, canon) of pairs (grp, pos, a, b) that a judge called the same, taken in the order of pos: b goes into a, unless
     either went into another one before; what went into b follows. A group is the entities of one type in one paper, so its
-    pairs fit one task; the order matters, so groups are worked through in Python.
+    pairs fit one row, in which they are worked through in order.
     """
+    told = pairs.where("a is not null and b is not null and a <> b").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b"))).alias("ps"))
+    kind = dict(pairs.dtypes)["a"]
+    none = F.array().cast(f"array<struct<old:{kind},canon:{kind}>>")
 
-    def greedy(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["pos", "a", "b"])
-        into: dict = {}
-        for a, b in zip(df["a"], df["b"]):
-            if a != b and a not in into and b not in into:
-                into[b] = a
-        rows = []
-        for old in into:
-            canon = into[old]
-            while canon in into:
-                canon = into[canon]
-            rows.append((df["grp"].iloc[0], old, canon))
-        return pd.DataFrame(rows, columns=["grp", "old", "canon"])
-
-    kinds = dict(pairs.dtypes)
-    own = pairs.select("grp", "pos", "a", "b").where("a is not null and b is not null")
-    return own.groupBy("grp").applyInPandas(greedy, f"grp {kinds['grp']}, old {kinds['b']}, canon {kinds['a']}")
+    def step(done: Column, p: Column) -> Column:
+        gone = F.transform(done, lambda x: x["old"])
+        moved = F.transform(done, lambda x: F.struct(x["old"].alias("old"), F.when(x["canon"] == p["b"], p["a"]).otherwise(x["canon"]).alias("canon")))
+        more = F.array(F.struct(p["b"].alias("old"), p["a"].alias("canon")))
+        return F.when(F.array_contains(gone, p["a"]) | F.array_contains(gone, p["b"]), done).otherwise(F.concat(moved, more))
+
+    return told.select("grp", F.explode(F.aggregate("ps", none, step)).alias("m")).select("grp", "m.old", "m.canon")
