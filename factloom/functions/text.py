@@ -82,7 +82,8 @@ def snippet(text: Column, start: Column, end: Column, around: int = 160, most: i
     """The span with `around` characters on both sides, trimmed, `most` at most; empty without a span."""
     lo = F.greatest(F.lit(0), start - around)
     hi = F.least(F.char_length(text), end + around)
-    return F.coalesce(F.trim(F.substring(F.substring(text, lo + 1, hi - lo), F.lit(1), F.lit(most))), F.lit(""))
+    cut = F.trim(F.substring(F.substring(text, lo + 1, hi - lo), F.lit(1), F.lit(most)))  # greatest and least pass over nulls
+    return F.coalesce(F.when(start.isNotNull() & end.isNotNull(), cut), F.lit(""))
 
 
 def quantity(raw: Column, op: Column, value: Column, unit: Column) -> Column:

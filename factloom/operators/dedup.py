@@ -72,3 +72,10 @@ def near_merge(pairs: DataFrame) -> DataFrame:
         return F.when(F.array_contains(gone, p["a"]) | F.array_contains(gone, p["b"]), done).otherwise(F.concat(moved, more))
 
     return told.select("grp", F.explode(F.aggregate("ps", none, step)).alias("m")).select("grp", "m.old", "m.canon")
+
+
+def link_chain(facts: DataFrame, entities: DataFrame, edges: DataFrame, strict: bool = False) -> DataFrame:
+    """exact_dedup of facts after entities of one key became one and the edges followed them."""
+    from factloom.operators import graph
+
+    return exact_dedup(signatures(facts, graph.rewire(edges, key_merge(entities))), strict)

@@ -18,6 +18,12 @@ def names(entities: DataFrame) -> DataFrame:
     return own.unionByName(other).groupBy("grp", "name").agg(F.min(F.struct("prio", "uuid")).alias("x")).select("grp", "name", "x.uuid")
 
 
+def clean_clusters(clusters: DataFrame, least: int = 2) -> DataFrame:
+    """clusters (names array) with names trimmed and blank ones gone; those with fewer than two names left go."""
+    kept = F.filter(F.transform("names", F.trim), filled)
+    return clusters.withColumn("names", kept).where(F.size("names") >= least)
+
+
 def merges(entities: DataFrame, clusters: DataFrame) -> DataFrame:
     """(old, canon) of clusters (grp, cluster, pos, name): each goes to the cluster's first known entity.
 

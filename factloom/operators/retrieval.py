@@ -21,6 +21,21 @@ def vector_top(query_vector: list[float], df: DataFrame, k: int = vocab.VECTOR_T
     return top.select("id", "score", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("pos"))
 
 
+def anchors(by_name: DataFrame, by_vector: DataFrame) -> DataFrame:
+    """(entity): entities linked by name or by vector, once each."""
+    return by_name.select("entity").union(by_vector.select("entity")).distinct()
+
+
+def seeds(lists: DataFrame, k: int = 5) -> DataFrame:
+    """(id): the first k of each list (list, id, pos), once each."""
+    return lists.where(F.col("pos") < k).select("id").distinct()
+
+
+def first(ordered: DataFrame, asked: int, k: int = 8) -> DataFrame:
+    """The first rows (pos) of an answer: k, or four a sub-question if that is more."""
+    return ordered.where(F.col("pos") < max(k, 4 * asked))
+
+
 def fuse(ranked: DataFrame, c: int = vocab.RRF_C) -> DataFrame:
     """(id, rrf): the sum of 1 / (c + pos) over lists (list, id, pos from 0)."""
     return ranked.groupBy("id").agg(F.sum(1.0 / (F.lit(c) + F.col("pos"))).alias("rrf"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import vocab
 from factloom.functions import text, vectors
-from factloom.operators import analytics, dedup, graph, retrieval, sections, verify
+from factloom.operators import analytics, dedup, graph, resolution, retrieval, sections, verify
 from factloom.plans import answers, knowledge, reading  # noqa: F401  add their queries
 from factloom.plans.fixtures import HEAD as _HEAD
 from factloom.plans.fixtures import graph as g
@@ -509,6 +509,90 @@ def _(spark, d):
     return _ppr(spark, d, g(spark, d, "edges").select(F.col("src").alias("a"), F.col("dst").alias("b")).union(bridges))
 
 
+# the chain of linking, names of its parts, and what the stores and rankings are made of
+
+_NORM = r"rtrim(lower(trim(regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '(?i)^(?:[ivxlcdm]+|\d+(?:\.\d+)*|[a-z])[.)]?\s+', ''))), ':')"
+
+
+@query("t_norm_heading", f"with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n, unnest(string_split(text, chr(10))) as line from documents) select doc_id, n, {_NORM} as norm from l")
+def _(spark, d):
+    return lines(spark, d).select("doc_id", F.col("n").cast("long").alias("n"), text.norm_heading(F.col("line")).alias("norm"))
+
+
+@query("t_snippet", "select doc_id, case when doc_id % 4 = 0 then '' else trim(text[greatest(0, doc_id % 500 - 160) + 1 : doc_id % 500 + 200]) end as snippet from documents")
+def _(spark, d):
+    start = F.when(F.col("doc_id") % 4 != 0, (F.col("doc_id") % 500).cast("int"))
+    return table(spark, d, "documents").select("doc_id", text.snippet(F.col("text"), start, start + 40).alias("snippet"))
+
+
+@query("g_ent_context140", oracle("edges", "entities", "facts") + f", {MEMBERS}, r as (select m.entity, f.statement, row_number() over (partition by m.entity order by f.uuid) as k from members m join facts f on m.fact = f.uuid) select entity, string_agg(substring(statement, 1, 140), '; ' order by k) as context from r where k <= 3 group by entity")
+def _(spark, d):
+    return dedup.contexts(g(spark, d, "facts"), members(spark, d), cap=140)
+
+
+@query("g_clean_merge", "with c as (select doc_id, list_filter(list_transform(string_split(string_split(text, chr(10))[1], ' '), lambda x: trim(x)), lambda x: x <> '') as names from documents) select doc_id, array_to_string(names, '|') as names from c where len(names) >= 2")
+def _(spark, d):
+    """The words of a document's first line stand for an answer's cluster."""
+    c = table(spark, d, "documents").select("doc_id", F.split(F.substring_index("text", "\n", 1), " ").alias("names"))
+    return resolution.clean_clusters(c).select("doc_id", F.array_join("names", "|").alias("names"))
+
+
+@query("g_s4", oracle("entities", "edges", "facts") + ", m as (select uuid as old, min(uuid) over (partition by entity_key) as canon from entities), e2 as (select distinct coalesce(a.canon, src) as src, coalesce(b.canon, dst) as dst, type from edges left join m a on a.old = src left join m b on b.old = dst), sg as (select src, string_agg(distinct dst, ',' order by dst) as sig from e2 where src <> dst and type not in ('SUPPORTED_BY', 'CONTRADICTED_BY', 'SUBTYPE_OF', 'PART_OF') group by 1) select uuid, min(uuid) over (partition by frame_type, sig, q_value, q_unit, q_operator) as canon from facts join sg on src = uuid")
+def _(spark, d):
+    return dedup.link_chain(g(spark, d, "facts"), g(spark, d, "entities"), g(spark, d, "edges")).select("uuid", "canon")
+
+
+@query("s_upsert_facts", oracle("facts") + "select uuid, case when year = 1995 then q_value + 1 else q_value end as q_value, q_unit, q_operator from facts")
+def _(spark, d):
+    f = g(spark, d, "facts")
+    quantity = lambda v: F.struct(v.cast("double").alias("value"), F.col("q_unit").alias("unit"), F.col("q_operator").alias("operator"), F.col("q_raw").alias("raw"))
+    old = f.select("uuid", quantity(F.col("q_value")).alias("quantity"), F.lit(0).alias("seq"))
+    new = f.where("year = 1995").select("uuid", quantity(F.col("q_value") + 1).alias("quantity"), F.lit(1).alias("seq"))
+    return store.upsert(store.flatten_quantity(old.union(new)), ["uuid"], "seq").select("uuid", "q_value", "q_unit", "q_operator")
+
+
+@query("s_doc_roundtrip", "select doc_id, n, case when doc_id % 3 = 0 then 'new ' || line else line end as unit from (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n, unnest(string_split(text, chr(10))) as line from documents) where doc_id % 3 <> 0 or n % 2 = 0")
+def _(spark, d):
+    """The lists of a third of the papers are replaced by shorter ones; the table is written and read back."""
+    own = lines(spark, d).select("doc_id", F.col("n").cast("long").alias("n"), F.col("line").alias("unit"))
+    new = own.where("doc_id % 3 = 0 and n % 2 = 0").withColumn("unit", F.concat(F.lit("new "), "unit"))
+    return store.cut(store.supersede(own, new, "doc_id"))
+
+
+@query("r_anchors", oracle("entities") + f", {ASK_SQL}, {LINKED} select entity from anchors union select 'm' || id from ({_TOP.format(q=5, k=30)}) where score >= 0.2")
+def _(spark, d):
+    near = _top(spark, d, 5, 30).where("score >= 0.2").select(F.concat(F.lit("m"), "id").alias("entity"))
+    return retrieval.anchors(graph.link_mentions(asked(spark), g(spark, d, "entities")), near)
+
+
+_BY = "by_q as (select uuid, row_number() over (order by q_value desc, uuid) - 1 as pos from facts), by_y as (select uuid, row_number() over (order by year desc, uuid) - 1 as pos from facts), fused as (select uuid as id, sum(1.0 / (60 + pos)) as rrf from (select * from by_q where pos < 25 union all select * from by_y where pos < 25) group by 1)"
+
+
+@query("r_rank", oracle("edges", "entities", "facts") + f", {MEMBERS}, {ASK_SQL}, {LINKED}, o as (select fact, count(distinct entity) as overlap from members where entity in (select entity from anchors) group by fact), {_BY} select coalesce(id, fact) as id, coalesce(overlap, 0)::bigint as overlap, round(coalesce(rrf, 0), 6) as rrf from fused full join o on id = fact order by overlap desc, rrf desc, id limit 8")
+def _(spark, d):
+    f = g(spark, d, "facts").select(F.col("uuid").alias("id"), "q_value", "year")
+    first = lambda c: f.orderBy(F.desc(c), "id").limit(25).select("id", (F.row_number().over(Window.orderBy(F.desc(c), "id")) - 1).alias("pos"))
+    over = retrieval.overlap(members(spark, d), graph.link_mentions(asked(spark), g(spark, d, "entities")))
+    return retrieval.rank(retrieval.fuse(first("q_value").union(first("year"))), over, 8).select("id", "overlap", F.round("rrf", 6).alias("rrf"))
+
+
+@query("r_vsearch", "select vec_id as id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 5)), 6) as score from embeddings where label = (select label from embeddings where vec_id = 5) order by score desc, id limit 12")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    q = e.where("id = 5").first()
+    return retrieval.vector_top(list(q["embedding"]), e.where(F.col("label") == q["label"]), 12).select("id", "score")
+
+
+@query("r_ppr_anchors", " union ".join(f"select id from ({_TOP.format(q=q, k=5)})" for q in (5, 6, 7)))
+def _(spark, d):
+    return retrieval.seeds(_lists(spark, d), 5)
+
+
+@query("r_top", f"with f as (select id, min((pos, list)) as k from ({_LISTS}) group by id), o as (select id, row_number() over (order by k, id) - 1 as pos from f) select id, pos from o where pos < 12")
+def _(spark, d):
+    return retrieval.first(retrieval.round_robin(_lists(spark, d)), 3).select("id", F.col("pos").cast("long").alias("pos"))
+
+
 # streaming operators on tables
 
 

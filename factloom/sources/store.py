@@ -19,6 +19,11 @@ def upsert(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return df.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
+def flatten_quantity(facts: DataFrame) -> DataFrame:
+    """facts with their quantity (struct value, unit, operator, raw) as columns q_value, q_unit, q_operator, q_raw; null without one."""
+    return facts.select("*", *[F.col(f"quantity.{c}").alias(f"q_{c}") for c in ("value", "unit", "operator", "raw")]).drop("quantity")
+
+
 def upsert_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of which both ends (node) exist, once each."""
     ok = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
