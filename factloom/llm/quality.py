@@ -17,10 +17,8 @@ PART, STEPS = 0.75, 4
 #: Fixed values for 4 statistics: the factor that makes a 75 % subset's covariance consistent for a normal distribution
 #: (PART / P(chi2_6 <= q), q the 75 % point of chi2_4), and the 1 - 1e-6 point of chi2_4 as the cut.
 CONSISTENT, CUT = 1.49, 33.4
-#: Least standard deviation of each statistic. A statistic that is constant in a group (most texts hold no symbol) would
-#: else reject any other value.
-FLOOR = (0.08, 0.3, 0.5, 0.15)
-P, UNIT = len(FLOOR), 10_000
+#: Statistics in a vector, and the units of its integers.
+P, UNIT = 4, 10_000
 
 
 def _repeat_words(words: Column) -> Column:
@@ -73,15 +71,27 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, [v * v for v in z])
 
 
-def _triangle(moments: DataFrame) -> DataFrame:
-    """From n, s{i} (sums) and q{i}{j} (sums of products): means, the regularised covariance's triangle, log determinant."""
+def _floors() -> list[Column]:
+    """Each statistic's resolution: what one character, symbol, line or window more does to a text of the median length.
+
+    The least standard deviation. It counts only where the estimate lies below it: a statistic that is constant in a
+    group (most texts hold no symbol) would else reject any other value.
+    """
+    n = F.greatest(F.col("length"), F.lit(1)).cast("double")
+    f = [1 / (F.exp("m0") * n), F.log1p(20 / n), F.log1p(100 / n), 3 / n]
+    return [F.greatest(v, F.lit(1 / UNIT)).alias(f"f{i}") for i, v in enumerate(f)]
+
+
+def _triangle(moments: DataFrame, floors: DataFrame) -> DataFrame:
+    """From n, s{i} (sums) and q{i}{j} (sums of products): means, the covariance's triangle, log determinant."""
     n = F.col("n").cast("double")
-    d = moments.select("key", "start", "n", *[(F.col(f"s{i}").cast("double") / n / UNIT).alias(f"m{i}") for i in range(P)], *[(F.col(f"q{i}{j}").cast("double") / n / UNIT**2).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)])
+    d = moments.join(floors, "key").select("key", "start", "n", *[f"f{i}" for i in range(P)], *[(F.col(f"s{i}").cast("double") / n / UNIT).alias(f"m{i}") for i in range(P)], *[(F.col(f"q{i}{j}").cast("double") / n / UNIT**2).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)])
     for i in range(P):
         for j in range(i + 1):
             s = F.lit(CONSISTENT) * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
-            s = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), s + (FLOOR[i] ** 2 if i == j else 0.0))
-            d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(FLOOR[i] ** 2 / 100))) if i == j else s / F.col(f"l{j}{j}"))
+            least = F.col(f"f{i}") * F.col(f"f{i}")
+            s = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.greatest(s, least) if i == j else s)
+            d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, least / 100)) if i == j else s / F.col(f"l{j}{j}"))
     return d.select("key", "start", "n", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)], reduce(lambda a, b: a + b, [F.log(f"l{i}{i}") for i in range(P)]).alias("logdet"))
 
 
@@ -101,21 +111,23 @@ def _rank_bin(counts: DataFrame, by: list[str], part: float) -> DataFrame:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """For every key of rows (key, x0..), its robust estimate: the better, by log determinant, of two starts.
+    """For every key of rows (key, n_words, x0..), its robust estimate: the better, by log determinant, of two starts.
 
     One start is all rows; the other the coordinates' medians with the least deviations. A concentration step takes the
     PART of a key's rows with the smallest distances (whole bins of 1/16 of a power of two, so ties stay together) and
     estimates anew. Bins, sums and their triangle are small tables with a row for each key; the rows are never gathered.
     """
-    dims = rows.select("key", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(P)])).alias("dim", "x")).withColumn("bin", F.floor(F.col("x") / 100))
+    dims = rows.select("key", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(P)], 100 * F.col("n_words"))).alias("dim", "x")).withColumn("bin", F.floor(F.col("x") / 100))
     medians = _rank_bin(dims.groupBy("key", "dim", "bin").agg(F.count(F.lit(1)).alias("n")), ["key", "dim"], 0.5)
-    middle = medians.groupBy("key").agg(*[F.max(F.when(F.col("dim") == i, (F.col("top") + 0.5) / 100)).alias(f"m{i}") for i in range(P)])
-    middle = middle.select("key", F.lit(1).alias("start"), F.lit(0).cast("long").alias("n"), *[f"m{i}" for i in range(P)], *[F.lit(FLOOR[i] if i == j else 0.0).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)], F.lit(0.0).alias("logdet"))
-    now = scratch.small(_triangle(_moments(rows.withColumn("start", F.lit(0)))).unionByName(middle), "quality-start")
+    middle = medians.groupBy("key").agg(*[F.max(F.when(F.col("dim") == i, (F.col("top") + 0.5) / 100)).alias(f"m{i}") for i in range(P)], F.max(F.when(F.col("dim") == P, F.col("top"))).alias("length"))
+    middle = scratch.small(middle.select("key", *[f"m{i}" for i in range(P)], *_floors()), "quality-middle")
+    floors = middle.select("key", *[f"f{i}" for i in range(P)])
+    middle = middle.select("key", F.lit(1).alias("start"), F.lit(0).cast("long").alias("n"), *[f"m{i}" for i in range(P)], *[(F.col(f"f{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)], F.lit(0.0).alias("logdet"))
+    now = scratch.small(_triangle(_moments(rows.withColumn("start", F.lit(0))), floors).unionByName(middle), "quality-start")
     for k in range(STEPS):
         at = rows.join(now, "key").select("key", "start", *[f"x{i}" for i in range(P)], F.floor(16 * F.log2(1 + _distance())).alias("bin"))
         tops = scratch.small(_rank_bin(at.groupBy("key", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["key", "start"], PART), f"quality-top-{k}")
-        now = scratch.small(_triangle(_moments(at.join(tops, ["key", "start"]).where("bin <= top"))), f"quality-step-{k}")
+        now = scratch.small(_triangle(_moments(at.join(tops, ["key", "start"]).where("bin <= top")), floors), f"quality-step-{k}")
     best = Window.partitionBy("key").orderBy("logdet", "start")
     return scratch.small(now.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "start", "n", "logdet"), "quality-estimates")
 
@@ -133,7 +145,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     stats = statistics(docs, ["doc_id", "lang", "source", *keep])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = scratch.stage(stats.select("doc_id", *keep, columns.key_of(F.col("lang"), F.col("source")).alias("own"), columns.key_of(F.col("lang")).alias("tongue"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *_vector()), "quality-rows")
-    keys = rows.where("not base_failed").select(F.explode(F.array("own", "tongue", F.lit("all"))).alias("key"), *[f"x{i}" for i in range(P)])
+    keys = rows.where("not base_failed").select(F.explode(F.array("own", "tongue", F.lit("all"))).alias("key"), "n_words", *[f"x{i}" for i in range(P)])
     found = estimates(keys)
     counts = rows.groupBy("own", "tongue").agg(F.count_if(~F.col("base_failed")).alias("n"))
     counts = counts.withColumn("n_tongue", F.sum("n").over(Window.partitionBy("tongue")))

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from factloom.llm import nearcopies
+from factloom.llm import nearcopies, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,6 +53,22 @@ def test_near_copies_of_similarity_from_0_8(spark, monkeypatch):
     assert 60 < len(set(want)) < 160
 
 
+def test_quality_estimates_decide(spark):
+    """Each statistic alone rejects what lies far outside its group's spread, and the base rules pass."""
+    rng = np.random.default_rng(8)
+    say = lambda at, k=200, wide=0: [f"{'x' * (int(n) + wide)}{at:04d}q{i}" for i, n in enumerate(rng.integers(3, 8, k))]
+    rows = [(i, " ".join(say(i)), "en", "s", 0) for i in range(400)]
+    for i in range(1000, 1010):
+        w = say(i)
+        rows.append((i, " ".join(say(i, wide=4)), "en", "s", 0))
+        rows.append((i + 100, " ".join(w[:160] + w[:40]), "en", "s", 0))
+        rows.append((i + 200, "\n".join(w + ["x" * 8] * 16), "en", "s", 0))
+        rows.append((i + 300, " ".join(w[:-1] + [w[-1] + "%"]), "en", "s", 0))  # one symbol is within the resolution
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(r.kept == (i < 1000 or i >= 1300) for i, r in got.items())
+
+
 def test_near_copies_keep_one_row_for_null_and_repeated_ids(spark):
     t, u = (" ".join(f"{c}{i}" for i in range(70)) for c in "tu")
     df = spark.createDataFrame([(None, t, "en", "s", 1), (None, t, "en", "s", 1), (5, t, "en", "s", 1), (5, t, "en", "s", 1), (5, u, "en", "s", 1), (None, u + " x", "en", "s", 1)], SCHEMA)
