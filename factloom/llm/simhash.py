@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import scratch
 from factloom.llm.components import components
+from factloom.llm.nearcopies import NO_ID, mark
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 LEAF, BLOCK, SAMPLE, MOST_LEAVES = 2048, 8192, 131_072, 4096
@@ -174,7 +175,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their component: one document of each group stays (all rows with a null id do)."""
-    found = near_duplicates(docs).where("id = component").select(F.col("id").alias("_id")).distinct()
-    stay = docs.join(found, docs["doc_id"] == found["_id"], "left_semi")
-    return stay.unionByName(docs.where("doc_id is null"))
+    """One row of docs for each component: the one with the smallest doc_id (null last), then the smallest row hash."""
+    marked = mark(docs)
+    named = near_duplicates(marked, "_h").select("id", "component").distinct()  # row hashes tell rows of one id apart
+    rows = named.join(marked.select("_id", "_h").distinct(), F.col("id") == F.col("_h"))
+    order = F.struct(F.col("_id") == NO_ID, "_id", "_h")
+    stay = rows.groupBy("component").agg(F.min(order).alias("o")).select(F.col("o._id").alias("i"), F.col("o._h").alias("h"))
+    return marked.join(stay, (F.col("_id") == F.col("i")) & (F.col("_h") == F.col("h"))).dropDuplicates(["_id", "_h"]).select(docs.columns)

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from factloom.llm import nearcopies, quality
+from factloom.llm import nearcopies, quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -76,3 +76,9 @@ def test_near_copies_keep_one_row_for_null_and_repeated_ids(spark):
     nulls = df.where("doc_id is null")
     assert sorted(r.text for r in corpus_pipeline.simhash_dedup(spark, nulls, "").collect()) == [t, u + " x"]
     assert corpus_pipeline.simhash_dedup(spark, df.limit(0), "").count() == 0
+
+
+def test_simhash_deduplicate_keeps_one_row_for_null_and_repeated_ids(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(70)) for c in "tu")
+    df = spark.createDataFrame([(None, t, "en", "s", 1), (None, t, "en", "s", 1), (5, t, "en", "s", 1), (5, t, "en", "s", 1), (None, u, "en", "s", 1), (None, u, "en", "s", 1)], SCHEMA)
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.deduplicate(df).collect()) == [(0, u), (5, t)]
