@@ -17,7 +17,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating stars (Kiveris et al., "Connected Components in MapReduce and Beyond"): every round points the larger
     neighbours of each node to the smallest one, then the smaller neighbours too, and is written to the shared folder;
-    minima are combined before they are shuffled. Ends when a round changes nothing. No links: no rows.
+    minima are combined before they are shuffled, and tables of the rounds before are deleted. Ends when a round changes nothing.
+    No links: no rows.
     """
     state = scratch.stage(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components-0")
 
@@ -28,6 +29,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not seen[0]:
         return state.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for n in range(1, max_rounds):
+        older = state
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _mins(both).select("k", F.least("k", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -35,6 +37,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = _mins(large)
         small = large.join(low, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = scratch.stage(small.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), f"components-{n}b")
+        scratch.drop(large, older)
         now = mark(state)
         if now == seen:
             break

@@ -43,5 +43,19 @@ def small(df: DataFrame, tag: str, max_rows: int = 20_000) -> DataFrame:
     return F.broadcast(out) if out.count() <= max_rows else out
 
 
+def drop(*staged: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing reads any more."""
+    for df in staged:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def tasks(spark: SparkSession, size: int, each: int = 32 << 20, most: int = 100_000) -> int:
+    """Tasks for `size` bytes: the shuffle partitions, or more where one would get over `each` bytes, up to `most`."""
+    return max(partitions(spark), min(most, -(-size // each)))
