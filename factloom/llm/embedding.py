@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import scratch
 from factloom.llm.components import components
 
-THRESHOLD = 0.93
-#: Vectors that a cell should hold; rows of a block; vectors that k-means learns from in all; cells in all.
-CELL, BLOCK, SAMPLE, MOST_CELLS = 2048, 2048, 20_000, 1024
+THRESHOLD = 0.93  # also named in ORACLE
+#: Vectors that a cell should hold at most, and at least; an eighth of a label's in between. Rows of a block; vectors that k-means
+#: learns from in all; cells in all.
+CELL, LEAST_CELL, BLOCK, SAMPLE, MOST_CELLS = 2048, 16, 2048, 20_000, 1024
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -68,31 +70,33 @@ def _stars(hit: np.ndarray) -> np.ndarray:
 def link(classes: DataFrame, threshold: float) -> DataFrame:
     """(id, links, root): for each task and class with a partner in it, the partners' copies, and a class joined to it.
 
-    classes: id, label, v (array), n (copies). k-means is fitted for each label on a bounded sample, in the order of a
-    hash; a label of up to CELL vectors is one cell. Home and visiting rows of a cell are cut into blocks of BLOCK by hash,
-    and two blocks meet in one task as one product of matrices.
+    classes: id, label (text), v (array), n (copies). k-means is fitted for each label on a bounded sample, in the order of a
+    hash, whatever the label's size; of more labels than half of MOST_CELLS the smaller ones are one cell each. Home and
+    visiting rows of a cell are cut into blocks of BLOCK by hash, and two blocks meet in one task as one product of matrices.
+    The cells set the cost: every partner is found whatever they are.
     """
     spark = classes.sparkSession
-    sizes = classes.groupBy("label").count().where(F.col("count") > CELL).orderBy(F.desc("count"), "label").limit(MOST_CELLS // 2).collect()
+    sizes = classes.groupBy("label").count().where(F.col("count") > 2 * LEAST_CELL).orderBy(F.desc("count"), "label").limit(MOST_CELLS // 2).collect()
     total = sum(r["count"] for r in sizes)
-    centroids: dict[int, np.ndarray] = {}
+    centroids: dict[str, np.ndarray] = {}
     if sizes:
         share = min(1.0, SAMPLE / total)
         picked = classes.where(F.col("label").isin([r["label"] for r in sizes]) & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("label", "id", "v").orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE + SAMPLE // 4).collect()
         for r in sizes:
             rows = [p["v"] for p in picked if p["label"] == r["label"]]
-            k = max(1, min(-(-r["count"] // CELL), MOST_CELLS * r["count"] // (2 * total) + 1, len(rows) // 8))
+            cell = min(CELL, max(LEAST_CELL, r["count"] // 8))
+            k = max(1, min(-(-r["count"] // cell), MOST_CELLS * r["count"] // (2 * total) + 1, len(rows) // 8))
             if k > 1 and len({len(v) for v in rows}) == 1:
                 centroids[r["label"]] = spherical_kmeans(unit(np.array(rows)), k)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label = b.column(1).to_numpy(zero_copy_only=False)
-            size = pa.compute.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
-            for one in np.unique(label):
+            label = np.array(b.column(1).to_pylist(), object)
+            size = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+            for one in sorted(set(label)):
                 for dim in np.unique(size[label == one]):
                     own = np.flatnonzero((label == one) & (size == dim))
-                    c = centroids.get(int(one))
+                    c = centroids.get(one)
                     if c is None or c.shape[1] != dim:
                         found = [(0, np.arange(len(own)), True)]
                     else:
@@ -102,7 +106,7 @@ def link(classes: DataFrame, threshold: float) -> DataFrame:
                             part = b.take(pa.array(own[rows]))
                             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(rows), dim, np.int32)), pa.array(np.full(len(rows), cell, np.int32)), pa.array(np.full(len(rows), home))], ["id", "label", "v", "n", "dim", "cell", "home"])
 
-    routed = scratch.stage(classes.select("id", "label", "v", "n").mapInArrow(route, "id long, label long, v array<float>, n long, dim int, cell int, home boolean"), "embedding-cells")
+    routed = scratch.stage(classes.select("id", "label", "v", "n").mapInArrow(route, f"id long, label string, v {classes.schema['v'].dataType.simpleString()}, n long, dim int, cell int, home boolean"), "embedding-cells")
     key = ["label", "dim", "cell"]
     counts = routed.groupBy(*key).agg(*[F.ceil(F.count_if(c) / BLOCK).cast("int").alias(n) for n, c in (("homes", F.col("home")), ("visits", ~F.col("home")))])
     dealt = routed.join(scratch.small(counts, "embedding-counts"), key)
@@ -130,13 +134,16 @@ def link(classes: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row for each row of rows (vec_id, embedding, label).
 
-    Only vectors with equal, non-null labels and as many components are compared. Vectors that are null, zero, empty, or
-    hold null or non-finite components link with nothing. Equal vectors of a label become one class first; its copies count
-    as links of each other and are never expanded. Rows that repeat count as further vectors. Extra columns are ignored.
+    Only vectors with equal, non-null labels (of any type that has a text) and as many components are compared, in double
+    precision; components wider than a float stay as they are. Vectors that are null, zero, empty, or hold null or non-finite
+    components link with nothing, nor does a row with a null vec_id: no links, component null, kept. Equal vectors of a
+    label become one class first; its copies count as links of each other and are never expanded. Rows that repeat count as
+    further vectors. Extra columns are ignored; an empty table gives no row.
     """
+    narrow = rows.schema["embedding"].dataType.elementType.simpleString() in ("float", "tinyint", "smallint")
     v = F.col("embedding")
     good = v.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    d = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.cast("array<float>").alias("v"), F.coalesce(good, F.lit(False)).alias("good"))
+    d = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.cast("array<float>" if narrow else "array<double>").alias("v"), F.coalesce(good, F.lit(False)).alias("good"))
     classes = scratch.stage(d.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "embedding-classes")
     found = scratch.stage(link(classes, threshold), "embedding-links")
     joined = components(found.select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("id", "cid")
@@ -151,3 +158,13 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings at cosine 0.93."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE = """
+with recursive good as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as materialized (select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) as (select a, b from pairs union select r.a, p.b from reach r join pairs p on r.b = p.a),
+n as (select a, count(*) as n_links from pairs group by a), c as (select a, min(b) as low from reach group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(low, vec_id)) as component_id, vec_id <= coalesce(low, vec_id) as kept
+from embeddings left join n on n.a = vec_id left join c on c.a = vec_id
+"""
