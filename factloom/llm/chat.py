@@ -39,8 +39,9 @@ def _role(role: Column) -> Column:
 
 
 def _unrole(role: Column) -> Column:
-    marked = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    """One pass from the left: at a written backslash the role is cut, and between the cuts backslash n is a line feed."""
+    parts = F.split(unescape(role), r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def render(role: Column, text: Column) -> Column:
@@ -72,8 +73,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     Turns follow by turn, null first, then role and text. A null role or text is an empty one; so is its reading. Every
     turn is rendered bare and reparsed; where the reading differs from the source it is escaped. The whole is reparsed
-    again and must give the source, or the query fails. A conversation is one row, as long as its turns. Extra columns are
-    ignored; an empty table gives no row. Roles may hold anything but U+0000.
+    again and must give the source, or the query fails. A conversation is one row, as long as its turns; rows with a null
+    conv_id are one conversation, and turns that repeat are as many turns. Roles and texts may hold anything. Extra columns are
+    ignored; an empty table gives no row.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     alone = parse(render(role, text))

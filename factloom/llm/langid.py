@@ -18,11 +18,11 @@ _letter: np.ndarray | None = None
 
 
 def _letters() -> np.ndarray:
-    """For every code point below 0x30000, itself in lower case if it is a letter, else 0."""
+    """For every code point, itself in lower case if it is a letter, else 0."""
     global _letter
     if _letter is None:
-        _letter = np.zeros(0x30000, np.uint32)
-        for c in range(0x30000):
+        _letter = np.zeros(0x110000, np.uint32)
+        for c in range(0x110000):
             if not 0xD800 <= c < 0xE000 and (x := chr(c)).isalpha():
                 _letter[c] = ord(x.lower()[0])
     return _letter
@@ -37,7 +37,7 @@ def counts(text: str | None) -> np.ndarray | None:
     out[0] += 1
     for at in range(0, len(text), STEP):
         raw = np.frombuffer((text[at : at + STEP] + " " * (at + STEP >= len(text))).encode("utf-32-le", "surrogatepass"), np.uint32)
-        new = np.where(raw < 0x30000, table[np.minimum(raw, 0x2FFFF)], 0)
+        new = table[raw]
         any_letter |= bool(new.any())
         new = new[(new != 0) | (np.concatenate([last[-1:], new[:-1]]) != 0)]  # one blank for a run of them
         c = np.concatenate([last, new])
@@ -91,14 +91,15 @@ class Centroids:
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Centroids | None:
     """Learns from rows (doc_id, text, lang): at most `sample` labelled documents with a letter, an equal bound for each
-    language, taken by a hash of doc_id. Whole texts are counted where they lie; only their n-gram counts are gathered."""
+    language, taken by a hash of doc_id and text, so null and repeated ids are rows like any other. Whole texts are counted where
+    they lie; only their n-gram counts are gathered. Texts without a letter teach nothing; without any other there is no model."""
     rows = rows.where("lang is not null and text is not null")
     per = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
     if not per:
         return None
     bound = max(1, sample // len(per))
     cut = F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(1.0, bound / n))])
-    h = F.xxhash64("doc_id", F.lit(29))
+    h = F.xxhash64("doc_id", "text", F.lit(29))
     picked = rows.where(F.pmod(h, F.lit(1 << 30)) < F.element_at(cut, F.col("lang")) * (1 << 30)).select("lang", "text", h.alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +123,9 @@ def identify(docs: DataFrame, model: Centroids | None, keep: list[str]) -> DataF
     """`keep` and lang_pred, score, rejected for every row of docs, from its whole text alone.
 
     lang_pred is `und` (score 0) if the text is null or has no letter, or if nothing could be learned; else the language of
-    the nearest centroid. rejected tells that even this one is too far. An empty table gives no row.
+    the nearest centroid, of equally near ones the first language's. rejected tells that even this one is too far. A text of
+    any length is counted in steps. Rows that repeat get equal answers; columns beside `keep` are ignored; an empty table
+    gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +139,7 @@ def identify(docs: DataFrame, model: Centroids | None, keep: list[str]) -> DataF
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; those whose crc32(doc_id as text) mod 3 is 1 are held out of what is learned from."""
+    """All documents; those whose crc32(doc_id as text) mod 3 is 1 are held out of what is learned from. A null doc_id is not."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
     model = fit(docs.where("not held_out"))
     return identify(docs, model, ["doc_id", "held_out"])
