@@ -157,11 +157,70 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdicts of all documents."""
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("distance")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with docs' columns."""
-    marked = docs.withColumn("_h", F.xxhash64(*docs.columns)).withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-    good = judge(marked, ["_h", "_id"]).where("kept").select("_id", "_h").distinct()
-    return marked.join(good, ["_id", "_h"], "left_semi").select(docs.columns)
+    """The rows of docs that are kept, with docs' columns, whatever their names. Rows that repeat stay or go together; a null
+    doc_id, lang or source is a value like any other."""
+    marked = docs.select("doc_id", "text", "lang", "source", F.xxhash64(*docs.columns).alias("_h"), F.struct(*docs.columns).alias("_row"))
+    good = judge(marked, ["_h"]).where("kept").select("doc_id", "_h").distinct()
+    kept = marked.join(good.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_semi")
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def _triangle_sql(source: str) -> str:
+    """The triangle of moments (n, s.., q..) joined to floors (f..): each column may name those before it."""
+    out = [f"s{i}::double / n / {UNIT} as m{i}" for i in range(P)]
+    for i in range(P):
+        for j in range(i + 1):
+            cov = f"{CONSISTENT} * (q{i}{j}::double / n / {UNIT**2} - m{i} * m{j})"
+            less = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            out.append(f"sqrt(greatest(greatest({cov}, f{i} * f{i}){less}, f{i} * f{i} / 100)) as l{i}{j}" if i == j else f"({cov}{less}) / l{j}{j} as l{i}{j}")
+    names = ", ".join([*[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)]])
+    return f"select key, start, {names}, {' + '.join(f'ln(l{i}{i})' for i in range(P))} as logdet from (select key, start, {', '.join(out)} from {source} join (select key, {', '.join(f'f{i}' for i in range(P))} from floors) using (key))"
+
+
+def _distance_sql() -> str:
+    z: list[str] = []
+    for i in range(P):
+        z.append(f"((x{i} / {float(UNIT)} - m{i}" + "".join(f" - l{i}{j} * {z[j]}" for j in range(i)) + f") / l{i}{i})")
+    return " + ".join(f"{v} * {v}" for v in z)
+
+
+def _sql() -> str:
+    """Statistics, the three keys of every row, medians, two starts and the concentration steps, as in `estimates` and `judge`."""
+    xs = [f"x{i}" for i in range(P)]
+    moments = "select key, start, count(*) as n, " + ", ".join([*[f"sum({x}) as s{i}" for i, x in enumerate(xs)], *[f"sum({xs[i]} * {xs[j]}) as q{i}{j}" for i in range(P) for j in range(i + 1)]]) + " from {} group by key, start"
+    middle = "select key, 1 as start, " + ", ".join([*[f"m{i}" for i in range(P)], *[f"f{i} as l{i}{j}" if i == j else f"0.0::double as l{i}{j}" for i in range(P) for j in range(i + 1)]]) + ", 0.0::double as logdet from floors"
+    steps = [f"n0 as materialized ({_triangle_sql('(' + moments.format('(select *, 0 as start from rows)') + ')')} union all {middle})"]
+    for k in range(STEPS):
+        steps.append(f"at{k} as materialized (select key, start, {', '.join(xs)}, floor(16 * log2(1 + {_distance_sql()})) as bin from rows join n{k} using (key))")
+        steps.append(f"b{k} as (select key, start, bin, sum(count(*)) over (partition by key, start order by bin) as up, sum(count(*)) over (partition by key, start) as whole from at{k} group by key, start, bin)")
+        steps.append(f"top{k} as (select key, start, min(bin) as top from b{k} where up >= ceil(whole * {PART}) group by key, start)")
+        steps.append(f"n{k + 1} as materialized ({_triangle_sql('(' + moments.format(f'(select a.* from at{k} a join top{k} t on a.key = t.key and a.start = t.start where bin <= top)') + ')')})")
+    n = "greatest(n_words, 1)::double"
+    vector = [f"ln((word_chars + 1) / {n})", f"ln(1 + 20 * n_symbols / {n})", f"ln(1 + 100 * n_dup_lines / {n})", f"n_repeat_words / {n}"]
+    m = [f"(max(top) filter (where dim = {i}) + 0.5::double) / 100" for i in range(P)]
+    floors = ["1 / (exp(m0) * n)", "ln(1 + 20 / n)", "ln(1 + 100 / n)", "3 / n"]
+    return f"""
+with t as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from documents),
+w as (select doc_id, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] as win from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as p from t)),
+r as (select doc_id, count(distinct p + k) as n_repeat_words from (select doc_id, p from w qualify count(*) over (partition by doc_id, win) > 1), range(3) r(k) group by doc_id),
+st as (select t.doc_id, coalesce(lang, chr(1)) as tongue, coalesce(lang, chr(1)) || chr(2) || coalesce(source, chr(1)) as own, len(ws) as n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from t left join r using (doc_id)),
+j as materialized (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {", ".join(f"round({v} * {UNIT})::bigint as x{i}" for i, v in enumerate(vector))} from st),
+rows as materialized (select unnest([own, tongue, 'all']) as key, n_words, {", ".join(xs)} from j where not base_failed),
+dims as (select key, unnest(range({P + 1})) as dim, unnest([{", ".join(f"floor(x{i} / 100)" for i in range(P))}, n_words]) as bin from rows),
+c as (select key, dim, bin, sum(count(*)) over (partition by key, dim order by bin) as up, sum(count(*)) over (partition by key, dim) as whole from dims group by key, dim, bin),
+med as (select key, {", ".join(f"{v} as m{i}" for i, v in enumerate(m))}, greatest(max(top) filter (where dim = {P}), 1)::double as n from (select key, dim, min(bin) as top from c where up >= ceil(whole * 0.5) group by key, dim) group by key),
+floors as materialized (select key, {", ".join(f"m{i}" for i in range(P))}, {", ".join(f"greatest({v}, {1 / UNIT}) as f{i}" for i, v in enumerate(floors))} from med),
+{", ".join(steps)},
+best as (select * from n{STEPS} qualify row_number() over (partition by key order by logdet, start) = 1),
+g as (select own, tongue, count(*) filter (where not base_failed) as n from j group by own, tongue),
+h as (select own, case when n >= {LEAST_ROWS} then own when sum(n) over (partition by tongue) >= {LEAST_ROWS} then tongue else 'all' end as key from g)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, case when base_failed then false else {_distance_sql()} <= {CUT} end as kept
+from j join h using (own) left join best using (key)
+"""
+
+
+ORACLE = _sql()
