@@ -4,8 +4,13 @@ Documents are dealt into batches by a hash of their id and text. A batch cuts it
 windows with the same minimiser (the least hash of three consecutive words in the window). Each distinct super-k-mer of a
 batch travels once, as one packed string with the smallest id that has it there, to the bucket of its minimiser. All equal
 windows have equal minimisers, so a bucket sees all occurrences of its windows; it sorts them by a 64-bit hash, compares
-the words of equal hashes, and returns to each batch the smallest id of every window. A passage that a third of the
-documents share costs a bucket one string for each batch, not for each document.
+the words of equal hashes, and returns to each batch the smallest id of every window.
+
+Inside a passage that a third of the documents share, a bucket gets one string for each batch, not for each document. At its
+edges every document's own words follow, in windows that hold words of the passage too: would these share the passage's
+minimiser, one bucket had them all. So words in a row that many of a sample of documents hold count as larger than all
+others: such a window takes its minimiser from the document's own words, and the edges spread over the buckets. The sample
+sets the order of minimisers, so cost, not results.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from factloom.llm import scratch
 
 WINDOW, MINIMISER, NONE = 13, 3, 2**63 - 1
 BATCH_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+#: Documents that tell which words in a row are common, in how many of them they must lie for that, and how many count as common.
+SAMPLE, COMMON, MOST_COMMON = 2048, 4, 65_536
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -41,6 +48,32 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _grams(flat: list[bytes]) -> np.ndarray:
+    """Hashes of all MINIMISER words in a row."""
+    n = len(flat)
+    seen: dict[bytes, int] = dict.fromkeys(flat)  # type: ignore[arg-type]
+    h = xxhash.xxh3_64_intdigest
+    for w in seen:
+        seen[w] = h(w)
+    hashes = np.fromiter(map(seen.__getitem__, flat), np.uint64, n)
+    return _mix(sum((hashes[k : n - MINIMISER + 1 + k] * _M[k] for k in range(MINIMISER)), np.zeros(n - MINIMISER + 1, np.uint64))) >> np.uint64(1)
+
+
+def _common(rows: DataFrame) -> np.ndarray:
+    """The sorted hashes of words in a row that many documents of a sample hold; rows: k, t."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                words = (t.as_py() or b"").split()
+                yield pa.RecordBatch.from_arrays([pa.array((np.unique(_grams(words)) if len(words) >= MINIMISER else np.zeros(0, np.uint64)).view(np.int64))], ["h"])
+
+    part = max(1, rows.count() // SAMPLE)
+    sample = rows.where(F.pmod(F.xxhash64("k", F.octet_length("t"), F.lit(7)), F.lit(part)) == 0).select("t")
+    top = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON)
+    return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
+
+
 class Batch:
     """The words of a batch and its distinct super-k-mers, numbered in the order of their first occurrence.
 
@@ -48,7 +81,7 @@ class Batch:
     the batch), windows[k], string[k] (number of its distinct string).
     """
 
-    def __init__(self, texts: list[bytes | None], ids: np.ndarray, window: int):
+    def __init__(self, texts: list[bytes | None], ids: np.ndarray, window: int, common: np.ndarray):
         self.ids, self.words = ids, [(t or b"").split() for t in texts]
         self.counts = np.fromiter(map(len, self.words), np.int64, len(texts))
         flat = [w for ws in self.words for w in ws]
@@ -58,13 +91,10 @@ class Batch:
         self.minimiser, self.strings = np.zeros(0, np.uint64), []
         if n < window:
             return
-        seen: dict[bytes, int] = dict.fromkeys(flat)  # type: ignore[arg-type]
-        h = xxhash.xxh3_64_intdigest
-        for w in seen:
-            seen[w] = h(w)
-        hashes = np.fromiter(map(seen.__getitem__, flat), np.uint64, n)
-        del seen
-        grams = _mix(sum((hashes[k : n - MINIMISER + 1 + k] * _M[k] for k in range(MINIMISER)), np.zeros(n - MINIMISER + 1, np.uint64)))
+        grams = _grams(flat)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+            grams |= (common[at] == grams).astype(np.uint64) << np.uint64(63)
         least = _least(grams, window - MINIMISER + 1)  # of the window at each word
         doc_of = np.repeat(np.arange(len(texts)), self.counts)
         real = doc_of[: len(least)] == doc_of[window - 1 :][: len(least)]
@@ -194,11 +224,12 @@ def _texts(table: pa.Table) -> tuple[list[bytes | None], np.ndarray, pa.Table]:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, text and, if asked for, `carry` as struct row: every word goes that a window of `window` consecutive words covers whose word
-    sequence also starts in a document with a smaller id; what is left is joined by one space. Windows are judged on the input.
+    """doc_id, n_words, n_removed, text and, if asked for, `carry` as struct row: every word goes that a window of `window`
+    consecutive words covers whose word sequence also starts in a document with a smaller id; what is left is joined by one
+    space. Windows are judged on the input.
 
     Words are runs other than \\x20 \\x09-\\x0D, unchanged. Null and empty texts have no words and an empty result; texts
-    of fewer words than a window keep them. Rows of one id count as one document. A null id counts as larger than any
+    of fewer words than a window keep them. A text of any length is cut whole, in the batch that it lies in. Rows of one id count as one document. A null id counts as larger than any
     other, and such rows as one document. An empty table gives no row. Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -207,11 +238,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     batches = max(scratch.partitions(spark), -(-total // BATCH_BYTES))
     buckets = max(scratch.partitions(spark), -(-3 * total // BUCKET_BYTES))
-    dealt = rows.select(F.pmod(F.xxhash64("k", "t"), F.lit(batches)).alias("batch"), *rows.columns).repartition("batch")
+    common = _common(rows)
+    dealt = rows.select(F.pmod(F.xxhash64("k", "t"), F.lit(batches)).alias("batch"), *rows.columns).repartition(scratch.tasks(spark, total), "batch")
 
     def send(table: pa.Table) -> pa.Table:
         texts, ids, _ = _texts(table)
-        out = list(_send(Batch(texts, ids, window), table.column("batch")[0].as_py(), buckets))
+        out = list(_send(Batch(texts, ids, window, common), table.column("batch")[0].as_py(), buckets))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "batch": pa.array([x[1] for x in out], pa.int64()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
@@ -220,7 +252,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
 
     def apply(table: pa.Table, told: pa.Table) -> pa.Table:
         texts, ids, table = _texts(table)
-        b = Batch(texts, ids, window)
+        b = Batch(texts, ids, window, common)
         gone = _covered(b, told.column("verdict").to_pylist(), window)
         kept, removed = [], []
         for k, ws in enumerate(b.words):
@@ -229,7 +261,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
             kept.append(b" ".join(w for w, g in zip(ws, own.tolist(), strict=True) if not g) if removed[-1] else b" ".join(ws))
         return pa.table({"doc_id": pa.array([None if i == NONE else i for i in ids.tolist()], pa.int64()), "n_words": pa.array(b.counts), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(kept, pa.binary()).cast(pa.string())} | ({"row": table.column("row")} if carry else {}))
 
-    verdicts = dealt.groupBy("batch").applyInArrow(send, "bucket long, batch long, blob binary").groupBy("bucket").applyInArrow(count, "batch long, verdict binary")
+    sent = dealt.groupBy("batch").applyInArrow(send, "bucket long, batch long, blob binary").repartition(scratch.tasks(spark, 3 * total), "bucket")
+    verdicts = sent.groupBy("bucket").applyInArrow(count, "batch long, verdict binary")
     return dealt.groupBy("batch").cogroup(verdicts.groupBy("batch")).applyInArrow(apply, f"doc_id long, n_words long, n_removed long, text string{kind}")
 
 
@@ -238,7 +271,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-
 def apply(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without their repeats, with docs' columns: a text that loses words becomes its other words joined by one space
     (empty if none is left), any other text stays as it was; n_chars follows the text."""
@@ -248,3 +280,17 @@ def apply(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+_FOUND = f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+w as (select doc_id, p, array_to_string(ws[p + 1 : p + {WINDOW}], ' ') as win from (select doc_id, ws, unnest(range(len(ws) - {WINDOW - 1})) as p from d)),
+f as (select win, min(doc_id) as first from w group by win),
+hit as (select w.doc_id, p from w join f using (win) where f.first < w.doc_id),
+gone as (select distinct doc_id, p + k as p from hit, range({WINDOW}) r(k)),
+g as (select doc_id, list(p) as ps from gone group by doc_id),
+k as (select d.doc_id, len(ws) as n_words, coalesce(len(ps), 0) as n_removed, array_to_string(case when ps is null then ws else list_filter(ws, lambda x, i: not list_contains(ps, i - 1)) end, ' ') as kept from d left join g using (doc_id))
+"""
+ORACLE = f"{_FOUND} select doc_id, n_words, n_removed, sha256(kept) as kept_sha256 from k"
+#: `apply` over documents
+APPLY_SQL = f"{_FOUND} select doc_id, case when n_removed > 0 then kept else text end as text, lang, source from k join documents using (doc_id)"
