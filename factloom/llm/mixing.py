@@ -123,7 +123,8 @@ def apply(docs: DataFrame, seed: int = SEED, **parameters) -> DataFrame:
 
 
 def _sql() -> str:
-    """Targets by one level for all sources, found among the levels of each; seats of all houses by quotients; then the ring."""
+    """Targets by one level for all sources, found among the levels of each; seats of all houses by quotients; then the ring: a
+    document lies at `start` in each of three turns, and the cuts between the shards' quotas follow from the seats."""
     key = columns.order_key_sql
     return f"""
 with d as (select doc_id, coalesce('0' || source, '1') as s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, {key(SEED, "doc_id", "sha256(coalesce(text, ''))")} as h from documents),
@@ -144,10 +145,17 @@ b as (select f.*, k, least(2 * n, coalesce((select seats from won where won.s =
 c as (select *, ((off + got) // n) * source_size + ((off + got) % n) * block as cut from b),
 cuts as (select s, any_value(source_size) as source_size, any_value(target) as target, list(cut order by k) as cuts from c group by s),
 p as (select doc_id, s, size, coalesce(sum(size) over (partition by s order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from d),
-x as (select doc_id, size, source_size, target, cuts, start + turn * source_size as start from p join cuts using (s), range(3) r(turn)),
-y as (select *, k, greatest(0, least(size, cuts[k + 2] - start) - greatest(0, cuts[k + 1] - start)) as part from x, range({SHARDS}) r(k))
-select doc_id, size, source_size, target, sum(part)::bigint as taken, coalesce(string_agg(distinct k::varchar, ',' order by k::varchar) filter (where part > 0), '') as shards from y group by all
+x as (select doc_id, size, source_size, target, cuts, start + turn * source_size as start from p join cuts using (s), range(3) r(turn))
 """
 
 
-ORACLE = _sql()
+ORACLE = f"""
+{_sql()},
+y as (select *, k, greatest(0, least(size, cuts[k + 2] - start) - greatest(0, cuts[k + 1] - start)) as part from x, range({SHARDS}) r(k))
+select doc_id, size, source_size, target, sum(part)::bigint as taken, coalesce(string_agg(distinct k::varchar, ',' order by k::varchar) filter (where part > 0), '') as shards from y group by all
+"""
+#: `apply` over documents
+APPLY_SQL = f"""
+{_sql()}, z as (select doc_id, size, greatest(0, least(size, cuts[1] - start)) as lo, greatest(0, least(size, cuts[{SHARDS + 1}] - start)) as hi from x)
+select doc_id, case when lo = 0 and hi = size then text else array_to_string((regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))[lo + 1 : hi], ' ') end as text, lang, source from z join documents using (doc_id) where hi > lo
+"""

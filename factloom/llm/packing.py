@@ -96,8 +96,8 @@ with d as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x
 f as (select length as x, count(*) as n from d group by 1),
 g as materialized (select row_number() over (order by x) as j, x, (sum(n) over (order by x))::bigint as r, (sum(n * x) over (order by x))::bigint as t from f),
 {", ".join(best)}, {", ".join(back)},
-edges as (select x, row_number() over (order by x) - 1 as bucket from ({cuts})),
-p as (select d.doc_id, d.length, min(e.x) as edge, min(e.bucket)::int as bucket from d join edges e on e.x >= d.length group by 1, 2),
+edges as (select x, lag(x, 1, -1) over (order by x) as low, (row_number() over (order by x) - 1)::int as bucket from ({cuts})),
+p as (select doc_id, length, x as edge, bucket from d join edges on length > low and length <= x),
 q as (select *, greatest(1, {BUDGET} // greatest(edge, 1)) as fits, row_number() over (partition by bucket order by {columns.order_key_sql(SEED, "doc_id", "length")}, doc_id) - 1 as seq from p)
 select doc_id, length, bucket, edge as bucket_length, seq // fits as batch, (seq % fits)::int as slot, edge - length as padding from q
 """

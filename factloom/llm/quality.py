@@ -224,3 +224,5 @@ from j join h using (own) left join best using (key)
 
 
 ORACLE = _sql()
+#: `keep_good` over documents
+APPLY_SQL = f"select doc_id, text, lang, source from documents where doc_id in (select doc_id from ({ORACLE}) where kept)"

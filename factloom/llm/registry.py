@@ -17,4 +17,13 @@ QUERIES = {
     "op10_quality_rules": quality.query,
 }
 
-ORACLES = {"op9_chat_formatting": chat.ORACLE}
+ORACLES = {
+    "op1_sharding": sharding.ORACLE,
+    "op2_packing": packing.ORACLE,
+    "op3_substring_dedup": substring.ORACLE,
+    "op4_simhash_dedup": simhash.ORACLE,
+    "op5_embedding_dedup": embedding.ORACLE,
+    "op7_mixing": mixing.ORACLE,
+    "op9_chat_formatting": chat.ORACLE,
+    "op10_quality_rules": quality.ORACLE,
+}
