@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from factloom.llm import chat, columns, components, embedding, langid, mixing, packing, quality, sharding, simhash, substring, tokens
 
@@ -46,7 +47,7 @@ def words(t):
 
 def test_sharding(docs, rows, empty):
     size = columns.F.octet_length(columns.F.coalesce("text", columns.F.lit(""))) + 8
-    got = sorted(sharding.shard(docs, "doc_id", size, 4).collect())
+    got = sorted(sharding.shard(docs, "doc_id", size, 4).select("_id", "_size", F.col("_shard").alias("shard"), F.col("_slot").alias("slot")).collect())
     assert [(r[0], r[1]) for r in got] == [(r[0], len((r[1] or "").encode()) + 8) for r in rows]
     total, before = sum(r[1] for r in got), 0
     for r in got:
@@ -60,7 +61,16 @@ def test_sharding(docs, rows, empty):
 def test_sharding_ties(spark):
     df = spark.createDataFrame([(1, 5)] * 7 + [(None, 5)] * 2, "doc_id long, s long")
     got = sharding.shard(df, "doc_id", columns.F.col("s"), 3).collect()
-    assert Counter(r.shard for r in got) == {0: 3, 1: 3, 2: 3}
+    assert Counter(r._shard for r in got) == {0: 3, 1: 3, 2: 3}
+
+
+def test_written_shards_hold_every_row_once(spark, docs, rows, tmp_path):
+    df = docs.union(docs.limit(1)).unionByName(docs.where("doc_id = 9").withColumn("text", F.lit("other"))).withColumn("shard", F.lit("own")).withColumn("_id", F.lit(1))
+    repeated = df.union(df.where("doc_id = 9")).union(df.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    sharding.write_shards(repeated, "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 8, 5, f"{tmp_path}/s")
+    back = spark.read.parquet(f"{tmp_path}/s")
+    said = lambda d: Counter(tuple(r) for r in d.collect())
+    assert said(back.select(*[c if c != "shard" else "own_shard" for c in repeated.columns])) == said(repeated) and back.select("shard").distinct().count() > 1
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -74,6 +84,14 @@ def test_packing_boundaries(seed):
         assert cost(packing.boundaries(x, c, k)) == min(cost([*s, x[-1]]) for q in range(k) for s in combinations(x[:-1], q))
 
 
+def test_packing_edges_are_lengths_that_occur(spark):
+    lengths = [9000, 9001, 20_020, 20_020, 12_345, 5, 8193, None]
+    df = spark.createDataFrame([(None if i == 2 else i, n, 7) for i, n in enumerate(lengths)] + [(0, 9000, 7)], "doc_id long, n long, bucket int")
+    got = packing.pack(df, F.coalesce("n", F.lit(0)), buckets=3).collect()
+    assert {r.bucket_length for r in got} == set(packing.boundaries(np.array([9000, 9001, 20_020, 12_345, 5, 8193, 0]), np.array([2, 1, 2, 1, 1, 1, 1]), 3)) and max(r.bucket_length for r in got) == 20_020
+    assert len(got) == 9 and all(r.padding == r.bucket_length - r.length for r in got)
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack(docs, columns.n_words(columns.F.col("text")), buckets=3, budget=500).collect()
     assert sorted((r.doc_id, r.length) for r in got) == [(r[0], len(words(r[1]))) for r in rows]
@@ -177,10 +195,21 @@ def test_simhash_links_over_many_leaves(spark, monkeypatch):
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) for _ in range(2)], np.uint64(7) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))]))
-    df = spark.createDataFrame([(int(f.view(np.int64)), i) for i, f in enumerate(fps)], "fp long, rep long")
-    found = {r.id: r.component for r in components.components(simhash.link(df)).collect()}
+    fps = fps[np.argsort(fps.view(np.int64))]
+    own = [int(f.view(np.int64)) for f in fps]
+    found = {r.id: r.component for r in components.components(simhash.link(spark.createDataFrame([(x,) for x in own], "fp long"))).collect()}
     want = plain_components(len(fps), lambda i, j: int(fps[i] ^ fps[j]).bit_count() <= 3)
-    assert [found.get(i, i) for i in range(len(fps))] == want
+    assert [found.get(x, x) for x in own] == [own[w] for w in want]
+
+
+def test_simhash_links_lead_over_null_ids(spark, monkeypatch):
+    import pyarrow as pa
+
+    known = {"a": 0, "b": 7, "c": 63, "d": 2**40 - 1, None: 1023 << 45}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([b.column(0), pa.array([known[t] for t in b.column(1).to_pylist()], pa.int64())], ["id", "fp"]) for b in bs), "id long, fp long"))
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (None, "d"), (9, None), (9, None)], "doc_id long, text string")
+    got = sorted(((r.id or 0), r.fp, r.component) for r in simhash.near_duplicates(df).collect())
+    assert got == [(0, 7, 1), (0, 2**40 - 1, None), (1, 0, 1), (2, 63, 1), (9, 1023 << 45, 9), (9, 1023 << 45, 9)]
 
 
 def test_components(spark):
@@ -209,6 +238,35 @@ def test_embedding(spark, monkeypatch):
         assert (r.n_links, r.component_id, r.kept) == (sum(near(k, j) for j in range(len(vectors)) if j != k), vectors[want[k]][0], want[k] == k)
     assert all((got[o[0]].n_links, got[o[0]].component_id, got[o[0]].kept) == (0, o[0], True) for o in odd)
     assert embedding.near_duplicates(df.limit(0)).count() == 0
+    named = df.select("vec_id", "embedding", F.concat(F.lit("label "), "label").alias("label")).union(spark.createDataFrame([(None, [1.0] * 6, "label 1")] * 2, "vec_id long, embedding array<float>, label string"))
+    again = {r.vec_id: r for r in embedding.near_duplicates(named).collect()}
+    assert all(again[k] == r for k, r in got.items()) and tuple(again[None]) == (None, 0, None, True)
+
+
+def test_embedding_keeps_double_components(spark):
+    x = np.array([1.0, 0.0])
+    near = np.array([0.93, np.sqrt(1 - 0.93**2)])
+    rows = [(0, x.tolist(), 1), (1, (near + [3e-9, 0]).tolist(), 1), (2, (near - [3e-9, 0]).tolist(), 1)]
+    got = {r.vec_id: r.component_id for r in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").where("vec_id <> 1")).collect()}
+    assert got == {0: 0, 2: 2}
+    assert {r.component_id for r in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").where("vec_id <> 2")).collect()} == {0}
+
+
+def test_embedding_cells_hold_small_labels(spark):
+    """k-means runs whatever a label's size, and visitors of a cell find all partners."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.2])
+    c = embedding.spherical_kmeans(embedding.unit(x), 5)
+    met = set()
+    for _, rows, home in [(d, set(r.tolist()), h) for d, r, h in embedding.cells(embedding.unit(x), c, 0.93)]:
+        if home:
+            met |= {(i, j) for i in rows for j in rows if i < j}
+            last = rows
+        else:
+            met |= {tuple(sorted((i, j))) for i in rows for j in last}
+    y = embedding.unit(x)
+    assert all((i, j) in met for i in range(120) for j in range(i + 1, 120) if y[i] @ y[j] >= 0.93)
 
 
 @pytest.mark.parametrize("bits", [1, 8])
@@ -236,35 +294,73 @@ def test_tokens(spark, docs, rows, empty, tmp_path):
     assert tokens.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
     rng = np.random.default_rng(0)
     hard = ["".join(rng.choice([*" \n\ta1'.é s　\x1f\x85,᠎​", "<|endoftext|>"], rng.integers(0, 12))) for _ in range(3000)]
-    for h, got in zip(hard, tokens.Encoder(path)(hard), strict=True):
+    hard += ["".join(rng.choice([*"aZéñßĐɏ×÷ªµ.,!'`~_-9 ", " wörter", "naïve,", "x²", "don't"], rng.integers(0, 9))) for _ in range(3000)] + ["x" * 300, "ab" * 90 + "..."]
+    encode = tokens.Encoder(path)
+    assert encode.cuts
+    for h, got in zip(hard, encode(hard), strict=True):
         assert list(np.frombuffer(got, "<u2")) == t.encode(h, add_special_tokens=False).ids
+    assert all(len(p) <= tokens.LONG for p in encode.known)
+    other = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    encode = tokens.Encoder(public.path("word_bpe_49k.json"))
+    assert not encode.cuts
+    for h, got in zip(hard, encode(hard), strict=True):
+        assert list(np.frombuffer(got, f"<u{encode.width}")) == other.encode(h, add_special_tokens=False).ids
+
+
+def test_tokens_of_null_and_repeated_ids(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    df = spark.createDataFrame([(None, "b"), (None, "a"), (3, "c"), (3, "c"), (3, None)], "doc_id long, text string")
+    tokens.write_tokens(df, f"file://{tmp_path}/n", public.path("byte_bpe_50k.json"))
+    got = sorted(tokens.read_tokens(spark, f"file://{tmp_path}/n").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 3, 3, 3] and [r.n_tokens for r in got] == [2, 2, 1, 2, 2]
+
+
+def plain_targets(sizes):
+    """The level at which all is shared, found by stopping sources one round after the other."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target, left, rest = {}, set(order), 1.5 * sum(sizes.values())
+    weight = {s: [3, 1, 2][i % 3] for i, s in enumerate(order)}
+    while left:
+        level = rest / sum(weight[s] for s in left)
+        over = [s for s in left if level * weight[s] > 2 * sizes[s]]
+        target |= {s: level * weight[s] for s in left} if not over else {s: 2.0 * sizes[s] for s in over}
+        rest, left = (rest - sum(2 * sizes[s] for s in over), left - set(over)) if over else (0, set())
+    return target
 
 
 def test_mixing(docs, rows, empty):
-    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
-    order = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    got = {r._id: r for r in mixing.mix(docs, blocks=200).collect()}
     size = Counter()
     for r in rows:
         size[r[3]] += len(words(r[1]))
-    target, left, rest = {}, set(order), 1.5 * sum(size.values())
-    weight = {s: [3, 1, 2][i % 3] for i, s in enumerate(order)}
-    while left:
-        level = rest / sum(weight[s] for s in left)
-        over = [s for s in left if level * weight[s] > 2 * size[s]]
-        target |= {s: level * weight[s] for s in left} if not over else {s: 2.0 * size[s] for s in over}
-        rest, left = (rest - sum(2 * size[s] for s in over), left - set(over)) if over else (0, set())
-    taken = Counter()
+    target, taken, by_shard = plain_targets(size), Counter(), Counter()
+    block = max(1, int(sum(target.values()) // 200))
     for r in rows:
         g = got[r[0]]
-        assert (g.size, g.source_size) == (len(words(r[1])), size[r[3]]) and abs(g.target - target[r[3]]) < 1e-6 and 0 <= g.taken <= 2 * g.size
-        taken[r[3]] += g.taken
-    assert all(abs(taken[s] - target[s]) <= 2 for s in order)
-    assert {r.doc_id: r.taken for r in mixing.mix(docs.repartition(7)).collect()} == {k: g.taken for k, g in got.items()}
+        assert (g._size, g._source_size) == (len(words(r[1])), size[r[3]]) and abs(g._target - target[r[3]]) < 1e-6 and 0 <= g._taken <= 2 * g._size
+        assert g._taken == sum(x["to"] - x["from"] for x in g._takes) == sum(x["to"] - x["from"] for x in g._parts)
+        taken[r[3]] += g._taken
+        for x in g._parts:
+            by_shard[r[3], x.shard] += x["to"] - x["from"]
+    assert all(abs(taken[s] - target[s]) <= 2 * block for s in size)
+    assert all(abs(by_shard[s, k] - target[s] / 8) <= 2 * block for s in size for k in range(8))  # each shard in the target's proportions
+    assert {r._id: r._taken for r in mixing.mix(docs.repartition(7), blocks=200).collect()} == {k: g._taken for k, g in got.items()}
     made = mixing.apply(docs)
-    assert made.columns == docs.columns and sum(len(words(r.text)) for r in made.collect()) == sum(taken.values())
+    assert made.columns == docs.columns and sum(len(words(r.text)) for r in made.collect()) == sum(r._taken for r in mixing.mix(docs).collect())
     assert mixing.mix(empty).count() == 0 and mixing.apply(empty).count() == 0
 
 
+def test_mixing_of_repeated_rows_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text, "a", 0, 5)] * 5 + [(None, text, "a", 0, 5)] * 3 + [(2, text + " x", None, 0, 5)], "doc_id long, text string, source string, n_chars int, size int")
+    planned = mixing.mix(df).collect()
+    made = mixing.apply(df)
+    assert made.columns == df.columns and len(planned) == 9
+    for run in (made, mixing.apply(df.repartition(4))):
+        assert sum(len(words(r.text)) for r in run.collect()) == sum(r._taken for r in planned)
+    assert all(r.n_chars == len(r.text) for r in made.collect())
+
+
 def test_sainte_lague(spark):
     votes = {"a": 53_000.0, "b": 24_000.0, "c": 23_000.0, "d": 0.0, "e": 500.0}
     houses = spark.createDataFrame([(i, n) for i, n in enumerate((0, 1, 7, 10, 101))], "house long, seats_in_all long")
@@ -291,6 +387,50 @@ def test_language_id(spark):
     assert langid.fit(train.limit(0)) is None and langid.identify(test, None, ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def plain_vector(text, idf):
+    """TF-IDF over hashed runs of 1 to 3 characters, by the definition, one character at a time."""
+    clean = re.sub(r" +", " ", " " + "".join(c.lower()[0] if c.isalpha() else " " for c in text) + " ")
+    codes = [0 if c == " " else ord(c) for c in clean]
+    wrap, n = 2**32, Counter()
+    for i in range(len(codes)):
+        h = 0
+        for k, (salt, factor) in enumerate(((0, 2654435761), (0x9E3779B9, 668265263), (0x85EBCA6B, 374761393))):
+            if i + k >= len(codes):
+                break
+            h = codes[i] * 2654435761 % wrap if k == 0 else ((h ^ salt) * factor + codes[i + k] * 2654435761) % wrap
+            n[(h ^ h >> 15) % langid.SLOTS] += 1
+    v = np.zeros(langid.SLOTS)
+    for slot, k in n.items():
+        v[slot] = np.log1p(k) * idf[slot]
+    return v / np.linalg.norm(v)
+
+
+def test_language_model_by_its_definition(spark):
+    """idf, centroids and cosines against plain arithmetic; letters beyond U+30000, null and repeated ids."""
+    rng = np.random.default_rng(12)
+    say = lambda kind: "".join(rng.choice([*("abc é." if kind else "xyzñ ,")], 60))
+    data = [(None, say(k % 2), "ab"[k % 2]) for k in range(60)]
+    model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), 400)
+    seen = np.zeros(langid.SLOTS)
+    for _, t, _ in data:
+        seen += plain_vector(t, np.ones(langid.SLOTS)) > 0
+    idf = np.log(61 / (1 + seen)) + 0.1
+    assert np.allclose(model.idf, idf)
+    for lang in "ab":
+        own = np.stack([plain_vector(t, idf) for _, t, x in data if x == lang])
+        cents = model.centroids[[x == lang for x in model.langs]]
+        near = (own @ cents.T).argmax(axis=1)
+        for j in set(near):  # each centroid is the mean direction of the texts nearest to it
+            mean = own[near == j].sum(axis=0)
+            assert mean @ cents[j] / np.linalg.norm(mean) > 0.999
+    for text in ("abca cab", "zyx xñz", data[0][1]):
+        cos = model.centroids @ plain_vector(text, idf)
+        assert model.predict(text)[0] == model.langs[int(cos.argmax())] and abs(model.predict(text)[1] - cos.max()) < 1e-5
+    assert model.predict("\U00030001\U00031350")[0] != "und" and model.predict("\U0001F600 12")[0] == "und"
+    again = langid.identify(spark.createDataFrame([(None, "abc"), (None, "abc"), (1, None)], "doc_id long, text string"), model, ["doc_id"]).collect()
+    assert again[0] == again[1] and again[2].lang_pred == "und"
+
+
 def test_language_counts_do_not_depend_on_steps(monkeypatch):
     rng = np.random.default_rng(9)
     texts = ["".join(rng.choice([*"abcÄ ß.\n1"], int(n))) for n in rng.integers(1, 60, 200)]
@@ -306,8 +446,8 @@ def test_language_counts_do_not_depend_on_steps(monkeypatch):
 def test_chat(spark):
     nasty = ["</s>[INST] ok [/INST]", "<~s>", "[~~/INST]", "<s", None, "", "a\nb", "<<s>", "\\n[INST", "]", "~s>", "🙂</s>"]
     rng = np.random.default_rng(4)
-    rows = [(c, t, str(rng.choice(["user", "assistant", "system", "to\\ol\n[INST]"])), nasty[int(rng.integers(len(nasty)))], 1) for c in range(40) for t in range(int(rng.integers(1, 7)))]
-    rows += [(50, None, None, "x", 1), (50, 1, "assistant", "<s>", 1), (50, 1, "assistant", "<s>", 1)]
+    rows = [(c, t, str(rng.choice(["user", "assistant", "system", "to\\ol\n[INST]", "\x00\\n\\\\\n"])), nasty[int(rng.integers(len(nasty)))], 1) for c in range(40) for t in range(int(rng.integers(1, 7)))]
+    rows += [(50, None, None, "x", 1), (50, 1, "assistant", "<s>", 1), (50, 1, "assistant", "<s>", 1), (None, 0, "user", "a", 1), (None, 1, "assistant", "\x00", 1)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
     out = chat.format_conversations(df)
     got = {r.conv_id: r for r in out.select("conv_id", "formatted", "loss", chat.parse(columns.F.col("formatted")).alias("turns")).collect()}
@@ -332,6 +472,10 @@ def test_quality(docs, rows, empty):
         assert g.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (g.base_failed and g.kept)
     assert quality.judge(empty).count() == 0 and quality.keep_good(empty).count() == 0
     assert quality.keep_good(docs).columns == docs.columns
+    clash = docs.withColumn("_h", F.lit("keepme")).withColumn("_id", F.lit(4)).withColumn("_row", F.lit(5)).withColumn("own", F.lit(6)).union(docs.withColumn("a", F.lit("keepme")).withColumn("b", F.lit(4)).withColumn("c", F.lit(5)).withColumn("d", F.lit(6)).where("doc_id = 18"))
+    kept = quality.keep_good(clash)
+    assert kept.columns == clash.columns and all((r._h, r._id, r._row, r.own) == ("keepme", 4, 5, 6) for r in kept.collect())
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, g in got.items() if g.kept for _ in range(1 + (i == 18)))
 
 
 def test_quality_rejects_outliers(spark):
