@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from factloom import vocab
 
+#: fixed values: a section number before a heading; references to arXiv by id and by address; numbers with a unit
 ROMAN_OR_NUMBER = r"(?i)^(?:[ivxlcdm]+|\d+(?:\.\d+)*|[a-z])[.)]?\s+"
-UNIT = r"(?iu)\d+(?:\.\d+)?\s*(?:W|kW|V|mV|A|mA|sccm|nm|µm|um|mm|cm|Å|K|°C|℃|µbar|ubar|bar|Pa|kPa|MPa|GPa|Torr|rpm|Hz|kHz|MHz|GHz|min|mins|hr|h|ms|eV|meV|wt%|at%|%)\b"  # fixed values
+ARXIV_ID, ARXIV_URL = r"(?i)^(?:arxiv:)?\d{4}\.\d{4,5}(?:v\d+)?$", r"(?i)arxiv\.org/(?:abs|html|pdf)/\d{4}\.\d{4,5}"
+UNIT = r"(?iu)\d+(?:\.\d+)?\s*(?:W|kW|V|mV|A|mA|sccm|nm|µm|um|mm|cm|Å|K|°C|℃|µbar|ubar|bar|Pa|kPa|MPa|GPa|Torr|rpm|Hz|kHz|MHz|GHz|min|mins|hr|h|ms|eV|meV|wt%|at%|%)\b"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -86,8 +88,24 @@ def snippet(text: Column, start: Column, end: Column, around: int = 160, most: i
     return F.coalesce(F.when(start.isNotNull() & end.isNotNull(), cut), F.lit(""))
 
 
+def number(value: Column) -> Column:
+    """A double as text: its shortest digits, a point, and an exponent only below 1e-4 and from 1e16 on."""
+
+    def plain(s: Column) -> Column:
+        part = lambda n: F.regexp_extract(s, r"^(-?)(\d)\.(\d+)E(-?\d+)$", n)
+        e, tail = part(4).cast("int"), F.regexp_replace(part(3), "^0$", "")
+        digits = F.concat(part(2), tail)
+        whole = F.concat(F.rpad(F.substring(digits, F.lit(1), e + 1), e + 1, F.lit("0")), F.lit("."), F.coalesce(F.nullif(F.substring(digits, e + 2, F.char_length(digits)), F.lit("")), F.lit("0")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        science = F.concat(part(2), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.char_length(F.abs(e).cast("string"))), F.lit("0")))
+        return F.when(~s.contains("E"), s).otherwise(F.concat(part(1), F.when((e >= 0) & (e < 16), whole).when((e < 0) & (e >= -4), small).otherwise(science)))
+
+    return bind(value.cast("double").cast("string"), plain)
+
+
 def quantity(raw: Column, op: Column, value: Column, unit: Column) -> Column:
-    made = F.trim(F.concat(F.coalesce(op, F.lit("")), value.cast("long").cast("string"), F.lit(" "), F.coalesce(unit, F.lit(""))))
+    """The quantity as it was written, else operator, value and unit, else nothing."""
+    made = F.trim(F.concat(F.coalesce(op, F.lit("")), number(value), F.lit(" "), F.coalesce(unit, F.lit(""))))
     return F.coalesce(F.when(raw != "", raw), made, F.lit(""))
 
 
@@ -110,8 +128,11 @@ def layout_category(label: Column) -> Column:
 
 def route(ref: Column) -> Column:
     """The source adapter of a reference: arXiv ids and addresses first, then PDF files; null for others."""
-    arxiv = ref.rlike(r"(?i)^(arxiv:)?\d{4}\.\d{4,5}(v\d+)?$") | ref.rlike(r"(?i)arxiv\.org/(abs|html|pdf)/")
-    return F.when(arxiv, "arxiv").when(F.lower(ref).endswith(".pdf"), "pdf")
+
+    def adapter(s: Column) -> Column:
+        return F.when(s.rlike(ARXIV_ID) | s.rlike(ARXIV_URL), "arxiv").when(F.lower(s).endswith(".pdf"), "pdf")
+
+    return bind(F.regexp_replace(ref, r"(?U)^\s+|\s+$", ""), adapter)
 
 
 def cluster(node: Column, source: Column) -> Column:

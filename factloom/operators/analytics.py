@@ -2,42 +2,147 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import text
+from factloom.operators import graph
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree) over both ends."""
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def gaps(entities: DataFrame, edges: DataFrame, kind: str, most: int = 1) -> DataFrame:
-    """Entities of a type with at most `most` links."""
-    own = entities.where(F.col("type") == kind)
-    d = edges.join(own.select(F.col("uuid").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    return own.join(d, own["uuid"] == d["node"], "left").select("uuid", "canonical_name", F.coalesce("degree", F.lit(0)).alias("degree")).where(F.col("degree") <= most)
-
-
-def experts(work: DataFrame) -> DataFrame:
-    """(expert, n, share, risk): facts of each, the rounded percentage of all, and whether it is 50 or more."""
-    g = work.groupBy("expert").agg(F.count(F.lit(1)).alias("n"))
-    share = F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1)))).cast("long")
-    return g.withColumn("share", share).withColumn("risk", F.col("share") >= 50)
-
-
-def heatmap(members: DataFrame, rows: str, cols: str) -> DataFrame:
-    """(r, c, n): facts that join an entity of type `rows` to one of type `cols`."""
-    a, b = (members.where(F.col("type") == t).select("fact", F.col("entity").alias(n)) for t, n in ((rows, "r"), (cols, "c")))
-    return a.join(b, "fact").groupBy("r", "c").agg(F.countDistinct("fact").alias("n"))
-
-
-def research(facts: DataFrame, members: DataFrame, wanted: list[tuple[str, str]], low: float, high: float, most: int = 60) -> DataFrame:
-    """Facts with all wanted (type, name) participants and a value in [low, high], most participants first."""
-    out = facts.where(F.col("q_value").between(low, high))
-    for kind, name in wanted:
-        out = out.join(members.where((F.col("type") == kind) & (F.col("name") == name)).select(F.col("fact").alias("uuid")), "uuid", "left_semi")
-    n = members.groupBy(F.col("fact").alias("uuid")).agg(F.countDistinct("entity").alias("degree"))
-    return out.join(n, "uuid").orderBy(F.desc("degree"), "uuid").limit(most)
+# The explorer's graph: nodes (node, kind, label, name, statement, geography, source, is_gap, low, high, value) and links (node,
+# other, type), every edge from both of its ends. WITHOUT_CONDITIONS need none; DIRECT, SHARED and NONE are the heat map's levels.
+WITHOUT_CONDITIONS = ["Condition", "Publication", "Expert", "Facility"]  # fixed values
+DIRECT, SHARED, NONE = 3, 2, 0  # fixed values
+
+
+def in_geography(geography: Column, wanted: str | None) -> Column:
+    """Whether a node passes a geography filter: any without one; a node without geography, of the wanted one, or of both."""
+    if wanted is None or wanted == "all":
+        return F.lit(True)
+    return F.coalesce(geography == "", F.lit(True)) | geography.isin(wanted, "RU+world")
+
+
+def visible(nodes: DataFrame, kinds: list[str] | None = None, geography: str | None = None) -> DataFrame:
+    """nodes with whether they are shown: of the chosen kinds (none chosen: all), and of the geography."""
+    kind = F.col("kind").isin(kinds) if kinds else F.lit(True)
+    return nodes.withColumn("visible", kind & in_geography(F.col("geography"), geography))
+
+
+def visible_links(links: DataFrame, active: list[str]) -> DataFrame:
+    """links with whether their type is switched on."""
+    return links.withColumn("visible", F.col("type").isin(active))
+
+
+def search(nodes: DataFrame, term: str) -> DataFrame:
+    """nodes whose label, or else name, or statement where there is no name, holds the trimmed, lower-cased term; none for a blank one."""
+    t = term.strip().lower()
+    said = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.nullif(F.col("statement"), F.lit("")), F.lit(""))
+    return nodes.where(F.lit(bool(t)) & (F.lower(F.coalesce("label", F.lit(""))).contains(t) | F.lower(said).contains(t)))
+
+
+def neighbours_by_relation(links: DataFrame) -> DataFrame:
+    """(node, type, n, others): the different neighbours of each node over each type, sorted, the first five of them named."""
+    one = links.select("node", "type", "other").distinct()
+    r = F.row_number().over(Window.partitionBy("node", "type").orderBy("other"))
+    few = one.withColumn("r", r).where("r <= 5").groupBy("node", "type").agg(F.array_sort(F.collect_list("other")).alias("others"))
+    return one.groupBy("node", "type").agg(F.count(F.lit(1)).alias("n")).join(few, ["node", "type"])
+
+
+def summary(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, links, sources, no_source, no_conditions, lonely, disputed): what a node's card counts and warns of."""
+    has = lambda *types: F.count_if(F.col("type").isin(*types))
+    near = links.where(F.col("type").isin("DESCRIBED_IN", "VALIDATED_BY")).groupBy("node").agg(F.countDistinct("other").alias("sources"))
+    g = links.groupBy("node").agg(F.count(F.lit(1)).alias("links"), has("OPERATES_AT_CONDITION").alias("c"), has("CONTRADICTS").alias("d"))
+    told = nodes.select("node", "kind").join(g, "node", "left").join(near, "node", "left").fillna(0, ["links", "c", "d", "sources"])
+    return told.select("node", "links", "sources", (F.col("sources") == 0).alias("no_source"), ((F.col("c") == 0) & ~F.coalesce(F.col("kind").isin(WITHOUT_CONDITIONS), F.lit(False))).alias("no_conditions"), (F.col("links") <= 1).alias("lonely"), (F.col("d") > 0).alias("disputed"))
+
+
+def gaps(nodes: DataFrame, links: DataFrame, most: int = 1) -> DataFrame:
+    """(node, reason, degree, processes, conditions): findings that say they are gaps, and materials with at most `most` links."""
+    kinds = nodes.select(F.col("node").alias("other"), F.col("kind").alias("k"))
+    own = links.join(nodes.where("kind = 'Material'").select("node"), "node", "left_semi").join(kinds, "other", "left")
+    d = own.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.count_if(F.col("k") == "Process").alias("processes"), F.count_if(F.col("k") == "Condition").alias("conditions"))
+    sparse = nodes.where("kind = 'Material'").select("node").join(d, "node", "left").fillna(0).where(F.col("degree") <= most)
+    none = F.lit(None).cast("long")
+    said = nodes.where("kind = 'Finding' and coalesce(is_gap, false)").select("node", F.lit("said").alias("reason"), none.alias("degree"), none.alias("processes"), none.alias("conditions"))
+    return said.unionByName(sparse.withColumn("reason", F.lit("sparse")))
+
+
+def geography(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(geography, n) over all nodes, blank for none; (folder, members, ru, world, zero_ru) of the folders A to F that have
+    members; and one row (pure_ru, total) of materials and processes."""
+    place = F.coalesce("geography", F.lit(""))
+    overall = nodes.groupBy(place.alias("geography")).agg(F.count(F.lit(1)).alias("n"))
+    own = nodes.select(text.cluster(F.col("node"), F.col("source")).alias("folder"), place.alias("g")).where("folder <> 'X'")
+    ru, world = F.count_if(F.col("g").isin("RU", "RU+world")), F.count_if(F.col("g").isin("world", "RU+world"))
+    folders = own.groupBy("folder").agg(F.count(F.lit(1)).alias("members"), ru.alias("ru"), world.alias("world")).withColumn("zero_ru", F.col("ru") == 0)
+    pure = nodes.where("kind in ('Material', 'Process')").agg(F.count_if(F.col("geography") == "RU").alias("pure_ru"), F.count(F.lit(1)).alias("total"))
+    return overall, folders, pure
+
+
+def experts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(expert, authored, works_at, total, share, risk, orphan): links of each expert; share is the rounded percentage of all
+    authorships (src, dst, type), a half and more of them a risk; an orphan has no link of either kind."""
+    ends = edges.where("type in ('AUTHORED_BY', 'WORKS_AT')")
+    both = ends.select(F.col("src").alias("node"), "type").union(ends.select("dst", "type"))
+    g = both.groupBy("node").agg(F.count_if(F.col("type") == "AUTHORED_BY").alias("authored"), F.count_if(F.col("type") == "WORKS_AT").alias("works_at"))
+    whole = edges.where("type = 'AUTHORED_BY'").agg(F.count(F.lit(1)).alias("whole"))  # one row
+    told = nodes.where("kind = 'Expert'").select("node").join(g, "node", "left").fillna(0).crossJoin(F.broadcast(whole))
+    share = F.when(F.col("whole") > 0, F.floor(F.col("authored") * 100.0 / F.col("whole") + 0.5)).otherwise(0).cast("long")
+    told = told.withColumn("total", F.col("authored") + F.col("works_at")).withColumn("share", share)
+    return told.select(F.col("node").alias("expert"), "authored", "works_at", "total", "share", (F.col("share") >= 50).alias("risk"), (F.col("total") == 0).alias("orphan"))
+
+
+def heatmap(nodes: DataFrame, links: DataFrame, rows: int = 20, columns: int = 18) -> DataFrame:
+    """(material, condition, level) of the first materials and conditions by id: DIRECT for a link, SHARED for a common neighbour,
+    else NONE. A way over two more nodes that has no common one does not exist, since every link counts from both ends.
+
+    The numbers of rows and columns are the feature; links are looked up from these few nodes, not from the whole graph."""
+    m = nodes.where("kind = 'Material'").select(F.col("node").alias("material")).orderBy("material").limit(rows)
+    c = nodes.where("kind = 'Condition'").select(F.col("node").alias("condition")).orderBy("condition").limit(columns)
+    near_m = links.join(F.broadcast(m.select(F.col("material").alias("node"))), "node", "left_semi").select(F.col("node").alias("material"), "other").distinct()
+    near_c = links.join(F.broadcast(c.select(F.col("condition").alias("node"))), "node", "left_semi").select(F.col("node").alias("condition"), "other").distinct()
+    direct = near_m.join(F.broadcast(c), F.col("other") == F.col("condition")).select("material", "condition", F.lit(DIRECT).alias("level"))
+    shared = near_m.join(near_c, "other").select("material", "condition", F.lit(SHARED).alias("level")).distinct()
+    best = direct.union(shared).groupBy("material", "condition").agg(F.max("level").alias("level"))
+    grid = m.crossJoin(F.broadcast(c))  # 20 rows and 18
+    return grid.join(best, ["material", "condition"], "left").withColumn("level", F.coalesce("level", F.lit(NONE)))
+
+
+def research(nodes: DataFrame, links: DataFrame, chosen: list[str], geography: str | None = None, low: float | None = None, high: float | None = None, most: int = 60) -> DataFrame:
+    """(node, degree): nodes that are, or are linked to, every one of the chosen ones, of the geography, whose range (low to high, for
+    either the value where it is null) meets [low, high]; those with most links first, `most` of them."""
+    out = nodes
+    for x in chosen:
+        near = links.where(F.col("node") == x).select(F.col("other").alias("node")).union(nodes.where(F.col("node") == x).select("node"))
+        out = out.join(near.distinct(), "node", "left_semi")
+    out = out.where(in_geography(F.col("geography"), geography or None))
+    lo, hi = F.coalesce("low", "value"), F.coalesce("high", "value")
+    if low is not None or high is not None:
+        out = out.where(lo.isNotNull())
+    if low is not None:
+        out = out.where(F.coalesce(hi, F.lit(0.0)) >= low)
+    if high is not None:
+        out = out.where(lo <= high)
+    own = links.join(out.select("node"), "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return out.select("node").join(own, "node", "left").fillna(0, ["degree"]).orderBy(F.desc("degree"), "node").limit(most)
+
+
+def grouped(hits: DataFrame, nodes: DataFrame, each: int = 5, context: int = 14) -> tuple[DataFrame, DataFrame]:
+    """(kind, node): the first of each kind among hits (node, pos), and (node, name, kind, definition, range, geography, source, pos) of
+    the first `context` hits, for the model that words the answer."""
+    own = hits.join(nodes, "node")
+    r = F.row_number().over(Window.partitionBy("kind").orderBy("pos"))
+    few = own.withColumn("r", r).where(F.col("r") <= each).select("kind", "node")
+    first = own.orderBy("pos").limit(context)
+    name = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.nullif(F.col("statement"), F.lit("")), "node")
+    said = F.substring(F.coalesce("statement", F.lit("")), 1, 220)
+    return few, first.select("node", name.alias("name"), "kind", said.alias("definition"), graph.value_range(F.col("low"), F.col("high"), F.col("value"), F.lit("")).alias("range"), "geography", "source", "pos")
 
 
 def occurrences(body, tokens: list[str]):

@@ -6,17 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import vocab
+from factloom.sources import store
 
 
-def key_merge(entities: DataFrame) -> DataFrame:
-    """(old, canon): entities of one key become its first one, in the order of their ids."""
-    return entities.select(F.col("uuid").alias("old"), F.first("uuid").over(Window.partitionBy("entity_key").orderBy("uuid")).alias("canon"))
+def key_merge(entities: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(old, canon): entities of one key, within `scope` if given, become its first one, in the order of their ids.
+
+    Keys' minima are combined before they are shuffled and joined back, so no window gathers a key."""
+    by = [*(scope or []), "entity_key"]
+    first = entities.groupBy(*by).agg(F.min("uuid").alias("canon"))
+    return entities.select(*by, F.col("uuid").alias("old")).join(first, by).select("old", "canon")
 
 
 def merge_by_key(entities: DataFrame) -> DataFrame:
-    """One row a key: the first id and name, and the other names as sorted aliases. Partial aggregation keeps hot keys small."""
-    own = entities.groupBy("entity_key").agg(F.min("uuid").alias("uuid"), F.min_by("canonical_name", "uuid").alias("canonical_name"), F.min_by("type", "uuid").alias("type"), F.collect_set("canonical_name").alias("names"))
-    return own.select("entity_key", "uuid", "type", "canonical_name", F.array_sort(F.array_except("names", F.array("canonical_name"))).alias("aliases"))
+    """One row a key: the first id, name and type, all other names and aliases sorted, and, if entities have the column
+    `provenance` (array), all of it in the order of their ids. Partial aggregation keeps hot keys small."""
+    aliases = F.array_distinct(F.flatten(F.collect_set("aliases"))) if "aliases" in entities.columns else F.array().cast("array<string>")
+    more = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("uuid", "provenance"))), lambda x: x["provenance"])).alias("provenance")] if "provenance" in entities.columns else []
+    own = entities.groupBy("entity_key").agg(F.min("uuid").alias("uuid"), F.min_by("canonical_name", "uuid").alias("canonical_name"), F.min_by("type", "uuid").alias("type"), F.collect_set("canonical_name").alias("names"), aliases.alias("more"), *more)
+    every = F.array_sort(F.array_except(F.array_union("names", F.filter("more", lambda x: x.isNotNull())), F.array("canonical_name")))
+    return own.select("entity_key", "uuid", "type", "canonical_name", every.alias("aliases"), *(["provenance"] if more else []))
 
 
 def signatures(facts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,12 +35,15 @@ def signatures(facts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def exact_dedup(signed: DataFrame, strict: bool = False) -> DataFrame:
-    """`keep` tells the first fact (by id) of those with equal frame type, signature, value, unit and operator.
+    """`keep` tells the first fact (by id) of those with equal frame type, signature, value, unit and operator (`canon`).
 
-    As in the model, facts without a quantity are equal whatever they state; strict adds the statement.
+    As in the model, facts without a quantity are equal whatever they state; strict adds the statement. The first facts are
+    combined before they are shuffled and joined back by a digest that tells null from all values.
     """
     by = ["frame_type", "sig", "q_value", "q_unit", "q_operator"] + (["statement"] if strict else [])
-    return signed.withColumn("canon", F.min("uuid").over(Window.partitionBy(*by))).withColumn("keep", F.col("uuid") == F.col("canon"))
+    keyed = signed.withColumn("_k", F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in by])), 256))
+    first = keyed.groupBy("_k").agg(F.min("uuid").alias("canon"))
+    return keyed.join(first, "_k").drop("_k").withColumn("keep", F.col("uuid") == F.col("canon"))
 
 
 def conflict_groups(kept: DataFrame) -> DataFrame:
@@ -40,11 +52,43 @@ def conflict_groups(kept: DataFrame) -> DataFrame:
     return g.where("n >= 2")
 
 
-def contest(kept: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Without a verdict a whole group is contested: (fact, status) and star edges from its first fact."""
+def group_participants(groups: DataFrame, entities: DataFrame) -> DataFrame:
+    """(group_id, participants): the sorted names of the entities in a group's signature; an unknown one is named by its id."""
+    ends = groups.select("group_id", F.explode(F.split("sig", ",")).alias("uuid"))
+    named = ends.join(entities.select("uuid", "canonical_name"), "uuid", "left")
+    return named.groupBy("group_id").agg(F.sort_array(F.collect_list(F.coalesce("canonical_name", "uuid"))).alias("participants"))
+
+
+def group_facts(kept: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, id, uuid): a group's representatives, numbered from 0 in the order of their ids, as verdicts call them."""
     own = kept.join(groups.select("frame_type", "sig", "group_id"), ["frame_type", "sig"])
-    status = own.select(F.col("uuid").alias("fact"), F.lit("contested").alias("status"))
-    star = own.where("uuid <> group_id").select(F.col("group_id").alias("src"), F.col("uuid").alias("dst"), F.lit("CONTRADICTED_BY").alias("type"))
+    return own.select("group_id", (F.row_number().over(Window.partitionBy("group_id").orderBy("uuid")) - 1).alias("id"), "uuid")
+
+
+def contest(kept: DataFrame, groups: DataFrame, answered: DataFrame | None = None, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fact, status), star edges (src, dst, type), and (fact) that go.
+
+    A group without a verdict (answered: group_id) is contested as a whole, with edges from its first fact. A verdict's lists
+    (group_id, kind, list, pos, id) name facts of the group: of `duplicates` all but the list's first go; the facts of
+    `contradictions` that did not go are contested, with edges from the first of them. Numbers that no fact has are passed over.
+    """
+    members = group_facts(kept, groups)
+    if answered is None:
+        none = members.select(F.col("uuid").alias("fact")).where("false")
+        return _stars(members.select("group_id", F.lit(0).alias("list"), F.col("id").alias("pos"), "uuid")) + (none,)
+    told = lists.join(members, ["group_id", "id"])
+    first = Window.partitionBy("group_id", "list").orderBy("pos")
+    gone = told.where("kind = 'duplicates'").withColumn("r", F.row_number().over(first)).where("r > 1").select(F.col("uuid").alias("fact")).distinct()
+    mute = members.join(answered, "group_id", "left_anti").select("group_id", F.lit(0).alias("list"), F.col("id").alias("pos"), "uuid")
+    open_ = told.where("kind = 'contradictions'").select("group_id", "list", "pos", "uuid").join(gone, F.col("uuid") == F.col("fact"), "left_anti")
+    return _stars(mute.unionByName(open_)) + (gone,)
+
+
+def _stars(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contested facts and edges from the first fact of each list (group_id, list, pos, uuid) to the others."""
+    status = lists.select(F.col("uuid").alias("fact"), F.lit("contested").alias("status")).distinct()
+    head = lists.groupBy("group_id", "list").agg(F.min_by("uuid", "pos").alias("src"))
+    star = lists.join(head, ["group_id", "list"]).where("uuid <> src").select("src", F.col("uuid").alias("dst"), F.lit("CONTRADICTED_BY").alias("type")).distinct()
     return status, star
 
 
@@ -74,8 +118,50 @@ def near_merge(pairs: DataFrame) -> DataFrame:
     return told.select("grp", F.explode(F.aggregate("ps", none, step)).alias("m")).select("grp", "m.old", "m.canon")
 
 
-def link_chain(facts: DataFrame, entities: DataFrame, edges: DataFrame, strict: bool = False) -> DataFrame:
-    """exact_dedup of facts after entities of one key became one and the edges followed them."""
-    from factloom.operators import graph
+def link_chain(facts: DataFrame, entities: DataFrame, edges: DataFrame, clusters: DataFrame | None = None, relations: DataFrame | None = None, predicates: DataFrame | None = None, answered: DataFrame | None = None, lists: DataFrame | None = None, approved: DataFrame | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """facts, entities and edges after all linking: entities resolved, open predicates named, facts deduplicated, claims supported.
 
-    return exact_dedup(signatures(facts, graph.rewire(edges, key_merge(entities))), strict)
+    Entities of one key become one, then those that clusters (grp, cluster, pos, name; grp is the type) join; edges follow,
+    and relations (grp, child, parent, rel) add those of the hierarchy. Open edges take the core types of predicates (rel,
+    core_type). Equal facts become one, verdicts (answered, lists: see `contest`) drop or contest others, and edges of facts that
+    went go too. Candidates (claim, measurement) that were approved become SUPPORTED_BY edges. A verdict table that is missing is a
+    judge that did not answer: its step leaves the rows as they are, but unanswered conflicts are contested.
+    """
+    from factloom.operators import graph, resolution
+
+    keys = key_merge(entities)
+    one = merge_by_key(entities)
+    mapping = keys
+    if clusters is not None:
+        named = one.select(F.col("type").alias("grp"), "uuid", "canonical_name", "aliases")
+        more = resolution.merges(named, clusters)
+        to = more.select(F.col("old").alias("canon"), F.col("canon").alias("_to"))
+        mapping = keys.join(to, "canon", "left").select("old", F.coalesce("_to", "canon").alias("canon"))
+        victims = one.join(more.select(F.col("old").alias("uuid"), "canon"), "uuid").select(F.col("canon").alias("uuid"), F.array_union(F.array("canonical_name"), "aliases").alias("_a")).groupBy("uuid").agg(F.array_distinct(F.flatten(F.collect_list("_a"))).alias("_a"))
+        one = one.join(more.select(F.col("old").alias("uuid")), "uuid", "left_anti").join(victims, "uuid", "left")
+        one = one.withColumn("aliases", F.array_sort(F.array_except(F.array_union("aliases", F.coalesce("_a", F.array().cast("array<string>"))), F.array("canonical_name")))).drop("_a")
+    columns = [c for c in ("src", "dst", "type", "rel", "rel_def") if c in edges.columns]
+    moved = graph.rewire(edges.select(columns), mapping)
+    for c in ("rel", "rel_def"):
+        moved = moved if c in columns else moved.withColumn(c, F.lit(None).cast("string"))
+    if relations is not None:
+        named = entities.select(F.col("type").alias("grp"), "uuid", "canonical_name", F.col("aliases") if "aliases" in entities.columns else F.array().cast("array<string>").alias("aliases"))
+        new = resolution.relations(named, moved.select("src", "dst", "type"), relations, mapping)
+        moved = moved.unionByName(new.withColumn("rel", F.lit(None).cast("string")).withColumn("rel_def", F.lit(None).cast("string")))
+    if predicates is not None:
+        moved = resolution.canon_predicates(moved, predicates, vocab.EDGE_TYPES)
+    moved = store.cut(moved)
+    deduped = exact_dedup(signatures(facts, moved), strict)
+    kept = store.cut(deduped)
+    reps = kept.where("keep")
+    status, star, gone = contest(reps, conflict_groups(reps), answered, lists)
+    drop = kept.where("not keep").select(F.col("uuid").alias("fact")).union(gone)
+    left = facts.join(drop, F.col("uuid") == F.col("fact"), "left_anti").join(status.withColumnRenamed("status", "_s"), F.col("uuid") == F.col("fact"), "left").drop("fact")
+    left = left.withColumn("status", F.coalesce("_s", "status")).drop("_s")
+    none = F.lit(None).cast("string")
+    moved = moved.join(drop, F.col("src") == F.col("fact"), "left_anti").join(drop, F.col("dst") == F.col("fact"), "left_anti")
+    moved = moved.unionByName(star.select("src", "dst", "type", none.alias("rel"), none.alias("rel_def")))
+    if approved is not None:
+        support = resolution.stitch(graph.stitch_candidates(left, moved), approved)
+        moved = moved.unionByName(support.select("src", "dst", "type", none.alias("rel"), none.alias("rel_def")))
+    return left, one, moved

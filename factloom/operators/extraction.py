@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import vocab
+from factloom.functions import anchors
+
+QUANTITY = "struct<value:double,unit:string,operator:string,uncertainty:double,lower:double,upper:double,raw:string>"
 
 
 def filled(x: Column) -> Column:
@@ -48,39 +51,55 @@ def mentions(frames: DataFrame) -> DataFrame:
 def build(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """facts, entities and edges of cleaned frames: a fact a frame, an entity and an edge a mention; ids follow from the place.
 
-    A fact's anchor is its first mention (slots in their order, then about), else the first eight words of its statement.
+    A fact's anchor is its first mention (slots in their order, then about), else the first eight words of its statement; where
+    it stands in its paper tells `provenance`. Frames may carry source, year and quantity; facts start unverified.
     """
     from factloom.functions import text
 
     first = F.try_element_at(F.concat(F.map_values("slots"), F.transform("about", lambda a: a["mention"])), F.lit(1))
     words = F.filter(F.split(text.squeeze(F.col("statement")), " "), lambda w: w != "")
     anchor = F.coalesce(first, F.array_join(F.slice(words, 1, 8), " "))
-    facts = frames.select(F.sha1(F.concat_ws("|", "chunk", "ord")).alias("uuid"), "frame_type", "paper_ref", F.nullif(F.col("statement"), F.lit("")).alias("statement"), "negated", anchor.alias("anchor"))
+    own = {"source": F.lit("text"), "year": F.lit(None).cast("int"), "quantity": F.lit(None).cast(QUANTITY)}
+    more = [(F.col(c) if c in frames.columns else x).alias(c) for c, x in own.items()]
+    facts = frames.select(F.sha1(F.concat_ws("|", "chunk", "ord")).alias("uuid"), "chunk", "frame_type", "paper_ref", F.nullif(F.col("statement"), F.lit("")).alias("statement"), "negated", anchor.alias("anchor"), *more, F.lit("unverified").alias("status"))
     own = mentions(frames).withColumn("uuid", F.sha1(F.concat_ws("|", "fact", "place")))
     entities = own.select("uuid", "type", F.trim("mention").alias("canonical_name"), text.key(F.col("type"), F.col("mention")).alias("entity_key"), "paper_ref")
     return facts, entities, own.select(F.col("fact").alias("src"), F.col("uuid").alias("dst"), F.col("edge").alias("type"))
 
 
-def frames_of(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+def provenance(facts: DataFrame, chunks: DataFrame, papers: DataFrame) -> DataFrame:
+    """(uuid, paper_ref, text_hash, title, start, end, anchor): where each fact's anchor stands in its paper (paper_ref, title, raw_text),
+    whatever white space is between its words; where it does not stand there, the fact's chunk (chunk, start, end)."""
+    at = facts.select("uuid", "paper_ref", "chunk", "anchor").join(chunks.select("chunk", "start", "end"), "chunk").join(papers.select("paper_ref", "title", "raw_text"), "paper_ref")
+    found = at.withColumn("span", anchors.find(F.col("raw_text"), F.col("anchor")))
+    return found.select("uuid", "paper_ref", F.sha1("raw_text").alias("text_hash"), F.nullif(F.col("title"), F.lit("")).alias("title"), F.coalesce("span.start", "start").cast("int").alias("start"), F.coalesce("span.end", "end").cast("int").alias("end"), F.nullif(F.col("anchor"), F.lit("")).alias("anchor"))
+
+
+def frames_of(chunks: DataFrame, answers: DataFrame, tables_measure: bool = True) -> DataFrame:
     """Answers (chunk, ...) of the chunks that are read: not those of role 'other'; `source` tells tables from text.
 
-    chunks: chunk, role_hint, atomic_ref. A chunk without an answer gives no frames.
+    chunks: chunk, role_hint, atomic_ref. A chunk without an answer gives no frames. From tables only measurements are taken,
+    where answers have a frame_type; with tables_measure off, all.
     """
     read = chunks.where(F.col("role_hint").isNull() | (F.col("role_hint") != "other"))
-    return answers.join(read.select("chunk", F.when(F.col("atomic_ref").isNotNull(), "table").otherwise("text").alias("source")), "chunk")
+    told = answers.join(read.select("chunk", F.when(F.col("atomic_ref").isNotNull(), "table").otherwise("text").alias("source")), "chunk")
+    return told.where("source = 'text' or frame_type = 'MaterialMeasurement'") if tables_measure and "frame_type" in answers.columns else told
 
 
 def units(chunks: DataFrame, tags: DataFrame) -> DataFrame:
     """(unit_id, chunk, start, end, role, confidence) of chunks (chunk, start, end, text, atomic_ref).
 
     A table or figure is one result of confidence 0.5. Else each tag (chunk, ord, anchor, role, confidence) is a unit where its
-    anchor is found in the chunk, the whole chunk where it is not; a chunk without tags is one unit of role 'other'.
+    anchor is found from the chunk's start on, whatever white space is between its words: in the paper's text, where chunks have
+    it (raw_text), else in the chunk's own. Where it is not found, the unit is the whole chunk; a chunk without tags is one of
+    role 'other'.
     """
     whole = chunks.where("atomic_ref is not null").select(F.concat("chunk", F.lit("-u0")).alias("unit_id"), "chunk", "start", "end", F.lit("result").alias("role"), F.lit(0.5).alias("confidence"))
     rest = chunks.where("atomic_ref is null").join(tags.where("anchor is not null"), "chunk", "left")
-    at = F.when(F.col("anchor") != "", F.expr("locate(anchor, text)")).otherwise(0)
-    lo = F.when(at > 0, F.col("start") + at - 1).otherwise(F.col("start"))
-    hi = F.when(at > 0, F.col("start") + at - 1 + F.char_length("anchor")).otherwise(F.col("end"))
+    whole_text = "raw_text" in chunks.columns
+    rest = rest.withColumn("span", anchors.find(F.col("raw_text"), F.col("anchor"), F.col("start")) if whole_text else anchors.find(F.col("text"), F.col("anchor")))
+    off = F.lit(0) if whole_text else F.col("start")
+    lo, hi = F.coalesce(F.col("span.start") + off, "start"), F.coalesce(F.col("span.end") + off, "end")
     none = F.col("ord").isNull()
     cut = rest.select(F.concat("chunk", F.lit("-u"), F.coalesce("ord", F.lit(0))).alias("unit_id"), "chunk", lo.alias("start"), hi.alias("end"), F.when(none, "other").otherwise(F.col("role")).alias("role"), F.when(none, 0.0).otherwise(F.col("confidence")).alias("confidence"))
     return whole.unionByName(cut)
@@ -88,6 +107,6 @@ def units(chunks: DataFrame, tags: DataFrame) -> DataFrame:
 
 def label_sections(sections: DataFrame, answers: DataFrame) -> DataFrame:
     """Sections (name, role_hint) without a hint take the answer (title, role) of the same name; 'body' takes none."""
-    own = answers.select(F.lower(F.trim("title")).alias("t"), "role").dropDuplicates(["t"])
+    own = answers.groupBy(F.lower(F.trim("title")).alias("t")).agg(F.min("role").alias("role"))  # of several answers the first in the alphabet
     open_ = F.col("role_hint").isNull() & filled(F.col("name")) & (F.col("name") != "body")
     return sections.join(own, open_ & (F.lower(F.trim("name")) == F.col("t")), "left").withColumn("role_hint", F.coalesce("role_hint", "role")).drop("t", "role")

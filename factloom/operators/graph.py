@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import vocab
-from factloom.functions import vectors
+from factloom.functions import text
+from factloom.operators import similar
+from factloom.sources import store
 
 
 def participants(edges: DataFrame, entities: DataFrame) -> DataFrame:
@@ -23,54 +25,78 @@ def fact_detail(facts: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def link_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """(mention, entity): equal names, or one inside the other (3 characters at least), of the mention's type if it has one.
+    """(mention, entity): equal texts, or, for a mention of 3 characters at least, one inside the other, of the mention's type if it
+    has a known one. An entity's text is its name with its aliases, if it has such a column; blank mentions link with nothing.
 
     mentions (mention, type) come from one question and are few; they are the broadcast side of the nested loop.
     """
-    m, n = F.lower(F.trim("mention")), F.lower("canonical_name")
-    near = (n == m) | ((F.char_length(m) >= 3) & n.contains(m)) | ((F.char_length(n) >= 3) & m.contains(n))
-    few = F.broadcast(mentions.select("mention", F.col("type").alias("kind")))
-    return entities.join(few, near & (F.col("kind").isNull() | (F.col("kind") == F.col("type")))).select("mention", F.col("uuid").alias("entity")).distinct()
+    own = text.entity_text(F.col("canonical_name"), F.col("aliases")) if "aliases" in entities.columns else F.col("canonical_name")
+    m, n = F.lower(F.trim("mention")), F.lower("_text")
+    near = (m != "") & ((n == m) | ((F.char_length(m) >= 3) & (n.contains(m) | m.contains(n))))
+    few = F.broadcast(mentions.select("mention", F.when(F.col("type").isin(vocab.ENTITY_TYPES), F.col("type")).alias("kind")))
+    return entities.withColumn("_text", own).join(few, near & (F.col("kind").isNull() | (F.col("kind") == F.col("type")))).select("mention", F.col("uuid").alias("entity")).distinct()
 
 
 def link_by_vector(mentions: DataFrame, vectors_df: DataFrame, k: int = vocab.LINK_TOPK, least: float = vocab.LINK_COSINE) -> DataFrame:
-    """(mention, id, score): each mention's k nearest vectors with a cosine of `least`; few mentions, broadcast."""
-    score = vectors.cosine(F.col("mv"), F.col("embedding"))
-    found = vectors_df.crossJoin(F.broadcast(mentions)).withColumn("score", score).where(F.col("score") >= least)
+    """(mention, id, score, rank): the k nearest vectors (id, embedding) of each mention (mention, mv) with a cosine of `least`.
+
+    Neither side is broadcast: blocks of both meet, and only the best of a block are ranked."""
+    m = mentions.select(F.col("mention").alias("id"), F.lit(0).alias("type"), F.col("mv").alias("embedding"))
+    found = similar.join(m, vectors_df.select("id", F.lit(0).alias("type"), "embedding"), least, top=k).select(F.col("a").alias("mention"), F.col("b").alias("id"), "score")
     rank = F.row_number().over(Window.partitionBy("mention").orderBy(F.desc(F.round("score", 6)), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("mention", "id", "score", "rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def near_pairs(vectors_df: DataFrame, least: float) -> DataFrame:
-    """(a, b, score), a < b: vectors (id, type, embedding) of one type with a cosine of `least`. Types are the blocks."""
-    l, r = (vectors_df.select(F.col("id").alias(n), F.col("type").alias(f"t{n}"), F.col("embedding").alias(f"v{n}")) for n in "ab")
-    return l.join(r, (F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b"))).withColumn("score", vectors.cosine(F.col("va"), F.col("vb"))).where(F.col("score") >= least).select("a", "b", F.col("ta").alias("type"), "score")
+    """(a, b, type, score), a < b: vectors (id, type, embedding) of one type with a cosine of `least`."""
+    return similar.pairs(vectors_df, least)
 
 
-def stitch_candidates(facts: DataFrame, members: DataFrame) -> DataFrame:
-    """(claim, measurement): claims and measurements of one paper that share an entity."""
-    own = members.join(facts.select(F.col("uuid").alias("fact"), "frame_type", "paper_ref"), "fact").select("fact", "entity", "frame_type", "paper_ref")
-    c = own.where("frame_type = 'ClaimFact'").select(F.col("fact").alias("claim"), "entity", "paper_ref")
-    m = own.where("frame_type = 'MaterialMeasurement'").select(F.col("fact").alias("measurement"), "entity", "paper_ref")
+def stitch_candidates(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(claim, measurement): claims or hypotheses and measurements of one paper whose edges of any type share an end."""
+    own = edges.select(F.col("src").alias("uuid"), F.col("dst").alias("entity")).join(facts.select("uuid", "frame_type", "paper_ref"), "uuid").distinct()
+    c = own.where("frame_type in ('ClaimFact', 'HypothesisFact')").select(F.col("uuid").alias("claim"), "entity", "paper_ref")
+    m = own.where("frame_type = 'MaterialMeasurement'").select(F.col("uuid").alias("measurement"), "entity", "paper_ref")
     return c.join(m, ["entity", "paper_ref"]).select("claim", "measurement").distinct()
 
 
 def key_bridges(entities: DataFrame) -> DataFrame:
-    """(s, t): entities with one key, chained in the order of their ids."""
-    nxt = F.lead("uuid").over(Window.partitionBy("entity_key").orderBy("uuid"))
-    return entities.select(F.col("uuid").alias("s"), nxt.alias("t")).where("t is not null")
+    """(s, t): entities with one key, chained in the order of their ids.
+
+    The table is dealt by ranges of key and id, and written with its partition's number, so a key that a third of the
+    entities share is cut into many tasks; a partition's last row is followed by the next one's first, of which there is a row
+    a partition.
+    """
+    own = entities.where("entity_key is not null").select(F.struct(F.col("entity_key").alias("k"), F.col("uuid").alias("u")).alias("x"))
+    dealt = store.cut(own.repartitionByRange(F.col("x")).withColumn("part", F.spark_partition_id()))
+    heads = dealt.groupBy("part").agg(F.min("x").alias("head"))
+    after = heads.select("part", F.lead("head").over(Window.orderBy("part")).alias("after"))
+    nxt = F.lead("x").over(Window.partitionBy("part").orderBy("x"))
+    both = dealt.withColumn("n", nxt).join(after, "part").withColumn("n", F.coalesce("n", "after"))
+    return both.where("n.k = x.k").select(F.col("x.u").alias("s"), F.col("n.u").alias("t"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """(node, other, type, dir): every edge from both of its ends."""
-    return edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "type", F.lit("out").alias("dir")).union(edges.select("dst", "src", "type", F.lit("in")))
+    """(node, other, type, dir): every edge from both of its ends; and eid, if edges have it."""
+    more = [c for c in ("eid",) if c in edges.columns]
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "type", F.lit("out").alias("dir"), *more).union(edges.select("dst", "src", "type", F.lit("in"), *more))
+
+
+def resolve_sources(nodes: DataFrame, props: DataFrame) -> DataFrame:
+    """(node, source): each node's source, a list of node ids by commas, with the ids in props (node, name, code) replaced by name
+    and (code), joined by semicolons; other parts stay as they are, a null or empty source is empty."""
+    parts = nodes.select("node", F.posexplode_outer(F.transform(F.split(F.nullif(F.col("source"), F.lit("")), ","), lambda p: F.trim(p))).alias("n", "part"))
+    known = props.select(F.col("node").alias("part"), F.concat(F.coalesce("name", "node"), F.coalesce(F.concat(F.lit(" ("), F.nullif(F.col("code"), F.lit("")), F.lit(")")), F.lit(""))).alias("said"))
+    told = parts.join(known, "part", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", F.coalesce("said", "part").alias("s")))).alias("ps"))
+    return told.select("node", F.array_join(F.transform(F.filter("ps", lambda p: p["s"].isNotNull()), lambda p: p["s"]), "; ").alias("source"))
 
 
 def rewire(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """edges with both ends replaced by `canon` of mapping (old, canon); loops that this makes go, repeats too."""
-    s, d = (mapping.select(F.col("old").alias(f"{n}_old"), F.col("canon").alias(f"{n}_new")) for n in ("s", "d"))
-    moved = edges.join(s, F.col("src") == F.col("s_old"), "left").join(d, F.col("dst") == F.col("d_old"), "left")
-    return moved.select(F.coalesce("s_new", "src").alias("src"), F.coalesce("d_new", "dst").alias("dst"), "type").where("src <> dst").distinct()
+    """edges, all of them and with all their columns, with both ends replaced by `canon` of mapping (old, canon)."""
+    s, d = (mapping.select(F.col("old").alias(f"_{n}_old"), F.col("canon").alias(f"_{n}_new")) for n in ("s", "d"))
+    moved = edges.join(s, F.col("src") == F.col("_s_old"), "left").join(d, F.col("dst") == F.col("_d_old"), "left")
+    ends = {"src": F.coalesce("_s_new", "src"), "dst": F.coalesce("_d_new", "dst")}
+    return moved.select(*[ends.get(c, F.col(c)).alias(c) for c in edges.columns])
 
 
 def discover_new(feed: DataFrame, known: DataFrame, head: int = 28) -> DataFrame:
@@ -83,19 +109,23 @@ def discover_new(feed: DataFrame, known: DataFrame, head: int = 28) -> DataFrame
     return feed.join(known.select(F.col("title").alias("known")), b.contains(F.substring(a, 1, head)) | a.contains(F.substring(b, 1, head)), "left_anti")
 
 
-def trace(facts: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (id, kind, label) and edges (src, dst) of an answer: its facts, and their participants by name."""
-    own = members.join(facts.select(F.col("uuid").alias("fact")), "fact", "left_semi")
-    named = own.groupBy("name").agg(F.min("type").alias("kind")).select(F.concat(F.lit("e:"), "name").alias("id"), "kind", F.col("name").alias("label"))
-    nodes = facts.select(F.concat(F.lit("f:"), "uuid").alias("id"), F.lit("Fact").alias("kind"), F.substring("statement", 1, 90).alias("label")).union(named)
-    return nodes, own.select(F.concat(F.lit("f:"), "fact").alias("src"), F.concat(F.lit("e:"), "name").alias("dst")).distinct()
+def trace(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, kind, label, source, value, status, rank) and edges (src, dst) of an answer's evidence (pos, uuid, statement,
+    quantity, participants, source, status): its facts, and their participants by name, of the first type that bears it."""
+    none = F.lit(None)
+    own = evidence.select("pos", "uuid", F.explode("participants").alias("kind", "names")).select("pos", "uuid", "kind", F.explode("names").alias("name"))
+    named = own.groupBy("name").agg(F.min(F.struct("pos", "kind")).alias("f"))
+    named = named.select(F.concat(F.lit("e:"), "name").alias("id"), "f.kind", F.col("name").alias("label"), *[none.cast("string").alias(c) for c in ("source", "value", "status")], none.cast("long").alias("rank"))
+    facts = evidence.select(F.concat(F.lit("f:"), "uuid").alias("id"), F.lit("Fact").alias("kind"), F.substring("statement", 1, 90).alias("label"), "source", F.col("quantity").alias("value"), "status", F.col("pos").cast("long").alias("rank"))
+    return facts.union(named), own.select(F.concat(F.lit("f:"), "uuid").alias("src"), F.concat(F.lit("e:"), "name").alias("dst")).distinct()
 
 
 def neighbors(links: DataFrame, most: int = 30) -> DataFrame:
-    """(node, other, type): up to `most` different neighbours of each node."""
-    one = links.groupBy("node", "other").agg(F.max("type").alias("type"))
-    r = F.row_number().over(Window.partitionBy("node").orderBy("other"))
-    return one.withColumn("r", r).where(F.col("r") <= most).drop("r")
+    """(node, other, type): up to `most` different neighbours of each node (node, other, type, eid), in the order of their first
+    edge, with the type of their last one. Neighbours are combined before they are ranked, and a task keeps the first of each node."""
+    one = links.groupBy("node", "other").agg(F.min("eid").alias("first"), F.max_by("type", "eid").alias("type"))
+    r = F.row_number().over(Window.partitionBy("node").orderBy("first", "other"))
+    return one.withColumn("r", r).where(F.col("r") <= most).drop("r", "first")
 
 
 def disputes(pairs: DataFrame, facts: DataFrame, cap: int = 180) -> DataFrame:

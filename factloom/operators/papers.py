@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,22 @@ def assemble_text(regions: DataFrame) -> DataFrame:
     return place(regions).groupBy("paper_ref").agg(F.array_join(texts, "\n").alias("raw_text"))
 
 
+def extract_text(pages: DataFrame, force_ocr: bool = False, lang: str | None = None) -> DataFrame:
+    """(paper_ref, raw_text, n_pages, ocr_used, lang) of pages (paper_ref, page, text): texts follow one another without a separator;
+    ocr_used tells that optical recognition is asked for or needed; a language that is named goes before the one found."""
+    own = pages.groupBy("paper_ref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "").alias("raw_text"), F.count(F.lit(1)).alias("n_pages"))
+    need = F.lit(True) if force_ocr else fn.needs_ocr(F.col("raw_text"), F.col("n_pages"))
+    return own.select("paper_ref", "raw_text", "n_pages", need.alias("ocr_used"), F.lit(lang).alias("lang") if lang else fn.detect_lang(F.col("raw_text")).alias("lang"))
+
+
+def load_layout(pages: DataFrame, detect: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts, sections and tables of papers whose pages (paper_ref, page, ...) a detector turns into regions (paper_ref, page, ord, label,
+    text): figures, formulas, headers and the like go, the rest is put together in the order of pages."""
+    found = detect(pages).withColumn("category", fn.layout_category(F.col("label"))).where("category <> 'drop'")
+    regions = found.select("paper_ref", F.struct("page", "ord").alias("n"), "category", "text")
+    return assemble_text(regions), assemble_sections(regions), assemble_tables(regions)
+
+
 def load(docs: DataFrame) -> DataFrame:
     """(paper_ref, source, title, year, raw_text, text_hash, parsed, meta) of documents (paper_ref, source, text, n_pages).
 
@@ -54,9 +72,7 @@ def load(docs: DataFrame) -> DataFrame:
     """
     t = F.col("text")
     spans = lambda pattern, tag: F.transform(structure.found(t, pattern), lambda m, i: F.struct(F.concat(F.lit(tag), i).alias("ref"), m["start"].alias("start"), m["end"].alias("end"), F.trim(F.substring_index(F.substring(t, m["start"] + 1, F.lit(140)), "\n", 1)).alias("caption")))
-    lines = F.filter(F.transform(F.split(F.get(F.split(t, structure.REFERENCES, 2), F.lit(1)), "\n"), F.trim), lambda x: x.rlike(structure.REFERENCE))
-    refs = F.coalesce(F.transform(lines, lambda x, i: F.struct(F.concat(F.lit("ref-"), i).alias("ref"), F.substring(x, 1, 300).alias("raw"))), F.array().cast("array<struct<ref:string,raw:string>>"))
-    parsed = F.struct(sections.sections(t).alias("sections"), spans(structure.TABLE, "tbl-").alias("tables"), spans(structure.FIGURE, "fig-").alias("figures"), refs.alias("refs"))
+    parsed = F.struct(sections.sections(t).alias("sections"), spans(structure.TABLE, "tbl-").alias("tables"), spans(structure.FIGURE, "fig-").alias("figures"), structure.reference_lines(t).alias("refs"))
     own = docs.select("paper_ref", "source", F.coalesce("text", F.lit("")).alias("text"), "n_pages")
     own = own.select("*", parsed.alias("parsed"))
     headings = F.size(F.filter("parsed.sections", lambda s: ~s["name"].isin("body", "frontmatter")))

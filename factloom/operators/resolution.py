@@ -20,7 +20,7 @@ def names(entities: DataFrame) -> DataFrame:
 
 def clean_clusters(clusters: DataFrame, least: int = 2) -> DataFrame:
     """clusters (names array) with names trimmed and blank ones gone; those with fewer than two names left go."""
-    kept = F.filter(F.transform("names", F.trim), filled)
+    kept = F.filter(F.transform("names", lambda n: F.trim(n)), filled)
     return clusters.withColumn("names", kept).where(F.size("names") >= least)
 
 
@@ -48,7 +48,8 @@ def relations(entities: DataFrame, edges: DataFrame, answers: DataFrame, mapping
 
 def canon_predicates(edges: DataFrame, answers: DataFrame, core: list[str]) -> DataFrame:
     """Open edges (type OPEN, rel, rel_def) whose relation has an answer (rel, core_type) among `core` become edges of that type."""
-    told = edges.join(answers.where(F.col("core_type").isin(core)).dropDuplicates(["rel"]), "rel", "left")
+    one = answers.where(F.col("core_type").isin(core)).groupBy("rel").agg(F.min("core_type").alias("core_type"))  # of several answers the first in the alphabet
+    told = edges.join(one, "rel", "left")
     hit = (F.col("type") == "OPEN") & F.col("core_type").isNotNull()
     clear = lambda c: F.when(~hit, F.col(c)).alias(c)
     return told.select("src", "dst", F.when(hit, F.col("core_type")).otherwise(F.col("type")).alias("type"), clear("rel"), clear("rel_def"))

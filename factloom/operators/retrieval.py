@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import vocab
 from factloom.functions import text, vectors
+from factloom.sources import store
 
 
 def overlap(members: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -16,8 +23,9 @@ def overlap(members: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def vector_top(query_vector: list[float], df: DataFrame, k: int = vocab.VECTOR_TOP) -> DataFrame:
     """The k vectors (id, embedding) nearest to a query vector, with pos from 0: a top-k in each task, then one of k rows a task."""
-    q = F.array(*[F.lit(float(x)) for x in query_vector])
-    top = df.withColumn("score", F.round(vectors.cosine(F.col("embedding"), q), 6)).orderBy(F.desc("score"), "id").limit(k)
+    n = math.sqrt(sum(float(x) ** 2 for x in query_vector)) or 1.0
+    q = F.array(*[F.lit(float(x) / n) for x in query_vector])  # of length 1: one dot and one norm a row
+    top = df.withColumn("score", F.round(vectors.dot(F.col("embedding"), q) / vectors.norm(F.col("embedding")), 6)).orderBy(F.desc("score"), "id").limit(k)
     return top.select("id", "score", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("pos"))
 
 
@@ -66,23 +74,97 @@ def rank(rrf: DataFrame, overlaps: DataFrame, k: int) -> DataFrame:
     return both.orderBy(F.desc("overlap"), F.desc(F.round("rrf", 6)), "id").limit(k)
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85, cut=lambda df: df, every: int = 4) -> DataFrame:
+def rank_tagged(overlaps: DataFrame, lists: DataFrame, k: int = 8) -> DataFrame:
+    """(id, overlap, rrf): the first k by overlap, fused score and id, where all facts with an overlap (fact, overlap) are themselves a
+    ranked list beside the short lists (list, id, pos).
+
+    A fact outside the short lists and behind k others in the tagged one is behind them in the answer too. So only the first k
+    of that list and the short lists' facts get their place in it: the latter by counting who is ahead, in one pass.
+    """
+    tagged = overlaps.where("overlap > 0").select(F.col("fact").alias("id"), "overlap")
+    few = lists.select("id").distinct()  # as many as the short lists hold
+    top = tagged.orderBy(F.desc("overlap"), "id").limit(k)
+    ask = F.broadcast(tagged.join(few, "id", "left_semi").select(F.col("id").alias("q"), F.col("overlap").alias("qo")))
+    ahead = tagged.join(ask, (F.col("overlap") > F.col("qo")) | ((F.col("overlap") == F.col("qo")) & (F.col("id") < F.col("q")))).groupBy("q").agg(F.count(F.lit(1)).alias("pos"))
+    placed = tagged.join(few, "id", "left_semi").join(ahead, F.col("id") == F.col("q"), "left").select("id", F.coalesce("pos", F.lit(0)).alias("pos"))
+    first = top.select("id", (F.row_number().over(Window.orderBy(F.desc("overlap"), "id")) - 1).cast("long").alias("pos"))
+    own = placed.union(first).distinct().select(F.lit(-1).alias("list"), "id", "pos")
+    fused = fuse(own.unionByName(lists.select(F.col("list").cast("int").alias("list"), "id", F.col("pos").cast("long").alias("pos"))))
+    return rank(fused, tagged.join(fused.select("id"), "id", "left_semi").select(F.col("id").alias("fact"), "overlap"), k)
+
+
+#: Directed edges up to which one task holds a graph as numbers: 8 bytes each for both ends and some rounds' scores.
+KERNEL = 8_000_000
+
+
+def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85, kernel: int = KERNEL) -> DataFrame:
     """(node, score): personalised PageRank over undirected distinct edges (a, b) from seeds (node), all mass starting there.
 
-    One join and one combined sum a round, with the nodes that carry mass only; `cut` writes the edges once and the scores
-    of every few rounds to the shared folder, which keeps lineage short. A node without edges gives its mass back to the seeds.
+    A seed without edges gives its mass back to the seeds, so the scores sum to 1. Nodes that no mass reaches have no row;
+    without seeds there is none. A graph of `kernel` directed edges at most is worked through in one task, whose size so is
+    bounded; a larger one round by round: edges stay partitioned by their start, and only scores travel.
     """
-    e = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct()
-    deg = e.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-    e = cut(e.join(deg, "a").select("a", "b", "deg"))
-    start = cut(seeds.select("node").distinct().crossJoin(F.broadcast(seeds.select("node").distinct().agg((1.0 / F.count(F.lit(1))).alias("share")))))
-    score = start.select("node", F.col("share").alias("score"))
-    for n in range(1, rounds + 1):
-        flow = score.join(e, score["node"] == e["a"]).select(F.col("b").alias("node"), (damping * F.col("score") / F.col("deg")).alias("score"))
-        back = start.select("node", ((1 - damping) * F.col("share")).alias("score"))
-        score = flow.union(back).groupBy("node").agg(F.sum("score").alias("score"))
-        score = cut(score) if n % every == 0 else score
-    return score
+    pairs = edges.where("a <> b and a is not null and b is not null")
+    both = store.cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    start = store.cut(seeds.select("node").distinct())
+    n_seeds = start.count()
+    if not n_seeds:
+        return start.withColumn("score", F.lit(0.0)).where("false")
+    alone = start.join(both.select(F.col("a").alias("node")), "node", "left_anti").count() / n_seeds
+    # what the seeds get in each round: the teleported part, and what those without edges had of it before
+    back = [1.0]
+    for _ in range(rounds):
+        back.append((1 - damping) + damping * alone * back[-1])
+    run = _in_one_task if both.count() <= kernel else _by_rounds
+    return run(both, start, [x / n_seeds for x in back], damping)
+
+
+def _in_one_task(both: DataFrame, start: DataFrame, back: list[float], damping: float) -> DataFrame:
+    """Nodes are 64-bit hashes there: of the few millions that a bounded graph has, two share one with a probability below 1e-6."""
+    h = lambda c: F.xxhash64(c)
+    rows = both.select(h("a").alias("a"), h("b").alias("b")).unionByName(start.select(h("node").alias("a"), F.lit(None).cast("long").alias("b")))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).fill_null(0).to_numpy(), b.column(1).is_null().to_numpy(zero_copy_only=False)) for b in batches]
+        if not parts:
+            return
+        start, end, seed = (np.concatenate(x) for x in zip(*parts, strict=True))
+        a, b = start[~seed], end[~seed]
+        nodes, at = np.unique(np.concatenate([a, start[seed]]), return_inverse=True)
+        a, seeds, b = at[: len(a)], at[len(a) :], np.searchsorted(nodes, b)
+        degree = np.maximum(1, np.bincount(a, minlength=len(nodes)))
+        score = np.zeros(len(nodes))
+        score[seeds] = back[0]
+        for x in back[1:]:
+            score = damping * np.bincount(b, weights=(score / degree)[a], minlength=len(nodes))
+            score[seeds] += x
+        some = np.flatnonzero(score)
+        for i in range(0, len(some), 65_536):
+            own = some[i : i + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(score[own])], ["h", "score"])
+
+    scores = rows.coalesce(1).mapInArrow(walk, "h long, score double")
+    names = both.select(F.col("a").alias("node")).union(start).distinct()
+    return names.join(scores, F.xxhash64("node") == F.col("h")).select("node", "score")
+
+
+def _by_rounds(both: DataFrame, start: DataFrame, back: list[float], damping: float, every: int = 5) -> DataFrame:
+    """Nodes are numbered once; the numbered edges are kept, partitioned by their start, for all rounds."""
+    nodes = store.cut(both.select(F.col("a").alias("node")).union(start).distinct())
+    ids = store.cut(nodes.withColumn("id", F.monotonically_increasing_id()))  # written: the numbers stay
+    end = lambda c, name: ids.select(F.col("node").alias(c), F.col("id").alias(name))
+    e = both.join(end("a", "s"), "a").join(end("b", "t"), "b").select("s", "t")
+    degree = e.groupBy("s").agg(F.count(F.lit(1)).alias("degree"))
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = store.cut(e.join(degree, "s").select("s", "t", "degree")).repartition(parts, "s").persist(StorageLevel.DISK_ONLY)
+    own = store.cut(start.join(ids, "node").select("id"))
+    score = own.select("id", F.lit(back[0]).alias("score"))
+    for n, x in enumerate(back[1:], 1):
+        flow = score.join(e, F.col("id") == F.col("s")).select(F.col("t").alias("id"), (damping * F.col("score") / F.col("degree")).alias("score"))
+        score = flow.union(own.select("id", F.lit(x).alias("score"))).groupBy("id").agg(F.sum("score").alias("score"))
+        score = store.cut(score) if n % every == 0 or n == len(back) - 1 else score
+    e.unpersist()
+    return score.join(ids, "id").select("node", "score")
 
 
 def sources(evidence: DataFrame) -> DataFrame:
@@ -91,33 +173,22 @@ def sources(evidence: DataFrame) -> DataFrame:
     return g.orderBy(F.desc("n"), "first")
 
 
-def retrieve(facts: DataFrame, edges: DataFrame, entities: DataFrame, mentions: DataFrame, k: int = 16) -> DataFrame:
-    """The flagship: facts whose participants match the mentions, most matches first, with quantity, source and participants."""
-    from factloom.operators import graph
-
-    anchors = graph.link_mentions(mentions, entities)
-    members = graph.participants(edges, entities)
-    top = overlap(members, F.broadcast(anchors)).orderBy(F.desc("overlap"), "fact").limit(k)
-    rows = facts.join(F.broadcast(top), facts["uuid"] == top["fact"])  # k rows
-    own = members.join(F.broadcast(top.select("fact")), "fact", "left_semi")
-    return graph.fact_detail(rows.drop("fact"), own)
-
-
 def evidence(facts: DataFrame, members: DataFrame, ranked: DataFrame) -> DataFrame:
     """(pos, uuid, statement, quantity, participants, source, year, status) of an answer's facts, ranked (id, pos)."""
     from factloom.operators import graph
 
-    few = ranked.select(F.col("id").alias("uuid"), "pos")  # one answer's facts
+    few = ranked.select(F.col("id").alias("uuid"), "pos")
     own = members.join(few.select(F.col("uuid").alias("fact")), "fact", "left_semi")
     told = graph.fact_detail(facts.join(few, "uuid"), own)
     quantity = text.quantity(F.col("q_raw"), F.col("q_operator"), F.col("q_value"), F.col("q_unit"))
     return told.select("pos", "uuid", F.coalesce("statement", F.lit("")).alias("statement"), quantity.alias("quantity"), F.col("parts").alias("participants"), F.coalesce("paper_ref", F.lit("")).alias("source"), "year", F.coalesce("status", F.lit("")).alias("status"))
 
 
-def related(members: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(name, pos): the different names of participants in an answer's facts, by where they first appear."""
+def related(members: DataFrame, ranked: DataFrame, most: int | None = None) -> DataFrame:
+    """(name, pos): the different names of participants in an answer's facts, by where they first appear, the first `most`."""
     own = members.join(ranked.select(F.col("id").alias("fact"), F.col("pos").alias("at")), "fact")
     first = own.groupBy("name").agg(F.min(F.struct("at", "type")).alias("at"))
+    first = first if most is None else first.orderBy("at.at", "at.type", "name").limit(most)
     return first.select("name", (F.row_number().over(Window.orderBy("at.at", "at.type", "name")) - 1).alias("pos"))
 
 

@@ -84,8 +84,9 @@ def pieces(text: str, budget: int, overlap: int, marks: tuple[str, ...] = ("\n\n
 
 
 def chunks(docs: DataFrame, budget: int = 1200, overlap: int = 120) -> DataFrame:
-    """(doc_id, index, start, end, text, role_hint, atomic_ref, tokens) of documents (doc_id, text).
+    """(doc_id, chunk_id, index, start, end, text, sec_id, role_hint, atomic_ref, tokens, overlap_prev) of documents (doc_id, text).
 
+    sec_id is null for a text without headings; overlap_prev is the overlap for every part of a region but its first.
     Tables and figures are chunks of their own; the text between is cut by `pieces`, blank parts go. A part's place is the first
     where it occurs after the start of the part before it: in a text that repeats itself that may be an earlier copy. Sections and regions are
     expressions of one row; only the cutting itself runs in Python, in Arrow batches.
@@ -104,10 +105,11 @@ def chunks(docs: DataFrame, budget: int = 1200, overlap: int = 120) -> DataFrame
         return texts.map(one)
 
     atom = lambda pattern, tag: F.transform(structure.found(F.col("text"), pattern), lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.concat(F.lit(tag), i).alias("ref")))
-    own = docs.select("doc_id", "text", F.explode(sections(F.col("text"))).alias("s"), F.concat(atom(structure.TABLE, "tbl-"), atom(structure.FIGURE, "fig-")).alias("atoms"))
-    r = own.select("doc_id", "s.role_hint", F.explode(structure.regions(F.col("s.start"), F.col("s.end"), F.col("atoms"))).alias("r"), "text")
-    r = r.select("doc_id", "role_hint", "r.start", "r.ref", F.substring(F.col("text"), F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("text"))
-    whole = r.where("ref is not null").select("doc_id", "role_hint", "start", "ref", "text")
-    parts = r.where("ref is null").select("doc_id", "role_hint", "start", "ref", F.explode(cut("text")).alias("p")).select("doc_id", "role_hint", (F.col("start") + F.col("p.at")).alias("start"), "ref", "p.text")
+    own = docs.select("doc_id", "text", F.posexplode(sections(F.col("text"))).alias("sec", "s"), F.concat(atom(structure.TABLE, "tbl-"), atom(structure.FIGURE, "fig-")).alias("atoms"))
+    sec = F.when(F.col("s.name") != "body", F.concat(F.lit("sec-"), F.col("sec")))
+    r = own.select("doc_id", sec.alias("sec_id"), "s.role_hint", F.explode(structure.regions(F.col("s.start"), F.col("s.end"), F.col("atoms"))).alias("r"), "text")
+    r = r.select("doc_id", "sec_id", "role_hint", "r.start", "r.ref", F.substring(F.col("text"), F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("text"))
+    whole = r.where("ref is not null").select("doc_id", "sec_id", "role_hint", "start", "ref", "text", F.lit(0).alias("overlap_prev"))
+    parts = r.where("ref is null").select("doc_id", "sec_id", "role_hint", "start", "ref", F.posexplode(cut("text")).alias("k", "p")).select("doc_id", "sec_id", "role_hint", (F.col("start") + F.col("p.at")).alias("start"), "ref", "p.text", F.when(F.col("k") > 0, overlap).otherwise(0).alias("overlap_prev"))
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "text")) - 1
-    return whole.union(parts).select("doc_id", index.alias("index"), "start", (F.col("start") + F.char_length("text")).alias("end"), "text", "role_hint", F.col("ref").alias("atomic_ref"), fn.count_tokens(F.col("text")).alias("tokens"))
+    return whole.union(parts).select("doc_id", F.concat(F.lit("chunk-"), index).alias("chunk_id"), index.alias("index"), "start", (F.col("start") + F.char_length("text")).alias("end"), "text", "sec_id", "role_hint", F.col("ref").alias("atomic_ref"), fn.count_tokens(F.col("text")).alias("tokens"), "overlap_prev")

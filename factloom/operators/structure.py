@@ -31,11 +31,17 @@ def captions(docs: DataFrame, pattern: str, tag: str) -> DataFrame:
     return at.select("doc_id", F.concat(F.lit(f"{tag}-"), F.col("n")).alias("ref"), "m.start", "m.end", F.trim(line).alias("caption"))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """(doc_id, ref, raw): numbered lines after the first line that says 'references', 300 characters of each at most."""
-    tail = F.get(F.split("text", REFERENCES, 2), 1)
+def reference_lines(text: Column) -> Column:
+    """array<struct<ref,raw>>: numbered lines after the first line that says 'references', 300 characters of each at most."""
+    tail = F.get(F.split(text, REFERENCES, 2), F.lit(1))
     lines = F.filter(F.transform(F.split(tail, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(REFERENCE))
-    return docs.select("doc_id", F.posexplode(lines).alias("n", "line")).select("doc_id", F.concat(F.lit("ref-"), F.col("n")).alias("ref"), F.substring("line", 1, 300).alias("raw"))
+    refs = F.transform(lines, lambda x, i: F.struct(F.concat(F.lit("ref-"), i).alias("ref"), F.substring(x, 1, 300).alias("raw")))
+    return F.coalesce(refs, F.array().cast("array<struct<ref:string,raw:string>>"))
+
+
+def references(docs: DataFrame) -> DataFrame:
+    """(doc_id, ref, raw) of documents (doc_id, text)."""
+    return docs.select("doc_id", F.explode(reference_lines(F.col("text"))).alias("r")).select("doc_id", "r.ref", "r.raw")
 
 
 def regions(lo: Column, hi: Column, atoms: Column) -> Column:

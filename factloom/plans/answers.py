@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import anchors
-from factloom.operators import dedup, graph, papers, retrieval, verify
+from factloom.operators import answers, dedup, graph, papers, retrieval, verify
+from factloom.plans.catalog import ASK_SQL, BRIDGED, LINKED, MEMBERS, asked, members, ppr_sql, said
 from factloom.plans.fixtures import HEAD, oracle, table
 from factloom.plans.fixtures import graph as g
 from factloom.plans.register import query
@@ -36,10 +36,25 @@ def _(spark, d):
     return papers.assemble_text(_regions(spark, d)).withColumnRenamed("paper_ref", "doc_id")
 
 
-@query("s_papers", rf"with l as (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') as s from documents), h as (select doc_id, count(*) as k from l where {HEAD} group by 1) select doc_id, sha1(text) as text_hash, length(text)::bigint as n_chars, greatest(1, length(text) // 4)::bigint as n_tokens, len(regexp_extract_all(text, '(?im)^\s*table\s+\d+'))::bigint as n_tables, coalesce(k, 0) >= 3 as reliable from documents left join h using (doc_id)")
+_PAPER = r"d as (select doc_id, text || chr(10) || 'Table 1. First' || chr(10) || 'Fig. 2 Second' || chr(10) || 'References' || chr(10) || '[1] one' || chr(10) || '  12. two' || chr(10) || 'no' as text from documents), l as (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') as s, generate_subscripts(string_split(text, chr(10)), 1) as n from d), h as (select doc_id, count(*) as k, string_agg(s, '|' order by n) as names from l where " + HEAD + r" group by 1), r as (select doc_id, string_agg(s, '|' order by n) as refs from (select *, min(case when lower(s) = 'references' then n end) over (partition by doc_id) as fst from l) where n > fst and regexp_matches(s, '^\[?\d+\]?[.\)]?\s+\w') group by 1)"
+
+
+@query("s_papers", rf"with {_PAPER} select doc_id, sha1(text) as text_hash, length(text)::bigint as n_chars, greatest(1, length(text) // 4)::bigint as n_tokens, len(regexp_extract_all(text, '(?im)^\s*table\s+\d+'))::bigint as n_tables, len(regexp_extract_all(text, '(?im)^\s*(?:figure|fig\.?)\s+\d+'))::bigint as n_figures, coalesce(refs, '') as refs, coalesce(names, '') as sections, coalesce(k, 0) >= 3 as reliable from d left join h using (doc_id) left join r using (doc_id)")
+def _(spark, d):
+    """Every text with a table, a figure and references behind it, one of them indented."""
+    tail = "\nTable 1. First\nFig. 2 Second\nReferences\n[1] one\n  12. two\nno"
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("paper_ref"), "source", F.concat("text", F.lit(tail)).alias("text"), F.lit(1).alias("n_pages"))
+    named = F.array_join(F.transform(F.filter("parsed.sections", lambda s: ~s["name"].isin("body", "frontmatter")), lambda s: s["name"]), "|")
+    size = lambda c: F.size(f"parsed.{c}").cast("long")
+    return papers.load(docs).select(F.col("paper_ref").alias("doc_id"), "text_hash", "meta.n_chars", "meta.n_tokens", size("tables").alias("n_tables"), size("figures").alias("n_figures"), F.array_join(F.transform("parsed.refs", lambda r: r["raw"]), "|").alias("refs"), named.alias("sections"), F.col("meta.structure_reliable").alias("reliable"))
+
+
+@query("s_layout", rf"with {_REGIONS.replace('documents)', 'documents where text is not null)', 1)}, kept as (select * from p where kind <> 'table') select doc_id, string_agg(t, chr(10) order by n) as raw_text from kept group by 1")
 def _(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("paper_ref"), "source", "text", F.lit(1).alias("n_pages"))
-    return papers.load(docs).select(F.col("paper_ref").alias("doc_id"), "text_hash", "meta.n_chars", "meta.n_tokens", F.size("parsed.tables").cast("long").alias("n_tables"), F.col("meta.structure_reliable").alias("reliable"))
+    """Lines stand for pages, each with one region; what is long like a table is called a figure and goes."""
+    pages = _regions(spark, d).where("text is not null").select("paper_ref", F.col("n").alias("page"), "category", "text")
+    detect = lambda rows: rows.select("paper_ref", "page", F.lit(0).alias("ord"), F.when(F.col("category") == "table", "figure_block").when(F.col("category") == "title", "doc_title").otherwise("paragraph").alias("label"), "text")
+    return papers.load_layout(pages, detect)[0].withColumnRenamed("paper_ref", "doc_id")
 
 
 # anchors: words 4 to 7 of each text, up to its words 12 and 13
@@ -97,31 +112,145 @@ def _(spark, d):
     return verify.settle(asked, rule)
 
 
-# answers
+# answers: every fact, ranked by its year, stands for an answer's where no limit is asked for
 
-_OWN = "own as (select *, row_number() over (order by uuid) - 1 as pos from facts where paper_ref in ('7', '8')), mem as (select distinct o.pos, n.type, n.canonical_name as name from own o join edges e on e.src = o.uuid join entities n on n.uuid = e.dst)"
+_NAMES = "t as (select fact, type, string_agg(name, ',' order by name) as names from (select distinct fact, type, name from members) group by 1, 2), parts as (select fact, string_agg(type || ':' || names, ';' order by type) as parts from t group by 1)"
 
 
 def _ranked(spark, d):
-    """The facts of two orders, asked for by name, stand for an answer's."""
-    f = g(spark, d, "facts").where("paper_ref in ('7', '8')").select(F.col("uuid").alias("id"))
-    return f.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("pos"))
+    return g(spark, d, "facts").select(F.col("uuid").alias("id"), F.col("year").alias("pos"))
+
+
+def _evidence(spark, d):
+    return retrieval.evidence(g(spark, d, "facts"), members(spark, d), _ranked(spark, d))
+
+
+@query("r_evidence", oracle("facts", "edges", "entities") + f", {MEMBERS}, {_NAMES} select year as pos, uuid, statement, q_raw as quantity, coalesce(parts, '') as parts, paper_ref as source, year, status from facts left join parts on fact = uuid")
+def _(spark, d):
+    return _evidence(spark, d).withColumn("parts", said("participants")).drop("participants")
+
+
+@query("r_related", oracle("facts", "edges", "entities") + f", {MEMBERS}, k as (select name, min((year, type)) as k from members join facts on fact = uuid group by 1) select name, (row_number() over (order by k, name) - 1)::int as pos from k")
+def _(spark, d):
+    return retrieval.related(members(spark, d), _ranked(spark, d))
+
+
+@query("r_trace_nodes", oracle("facts", "edges", "entities") + f", {MEMBERS}, e as (select name, min((year, type)) as k from members join facts on fact = uuid group by 1) select 'f:' || uuid as id, 'Fact' as kind, statement[:90] as label, paper_ref as source, q_raw as value, status, year::bigint as rank from facts union all select 'e:' || name, k[2], name, null, null, null, null from e")
+def _(spark, d):
+    return graph.trace(_evidence(spark, d))[0]
+
+
+@query("r_trace_edges", oracle("facts", "edges", "entities") + f", {MEMBERS} select distinct 'f:' || fact as src, 'e:' || name as dst from members")
+def _(spark, d):
+    return graph.trace(_evidence(spark, d))[1]
+
+
+@query("r_mentions", "select conv_id, turn, case when turn % 2 = 0 then 'word ' || turn else text end as mention, case when turn % 2 = 0 then 'Material' end as type from conversations where text is not null and role = 'user'")
+def _(spark, d):
+    """A model that finds one mention in the questions of even turns and none in the others."""
+    q = table(spark, d, "conversations").where("text is not null and role = 'user'")
+    found = F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.concat(F.lit("word "), "turn").alias("mention"), F.lit("Material").alias("type"))))
+    return q.select("conv_id", "turn", F.explode(answers.mentions(F.col("text"), found)).alias("m")).select("conv_id", "turn", "m.mention", "m.type")
+
+
+# Vectors of facts and entities are those of the embeddings whose number follows from their keys, so many facts share one; the vectors
+# with the numbers 5, 6 and 7 ask.
+
+_ASKED = (5, 6, 7)
+_VECTORS = "emb as materialized (select vec_id, embedding::double[] as e from embeddings), nv as (select count(*) as n from emb), fv as (select uuid as id, (part * 7 + supp) % n as v, q_value from facts, nv), ev as (select uuid as id, substr(uuid, 2)::bigint % n as v from entities, nv where type <> 'Process')"
+
+
+def _score(q: int) -> str:
+    return f"(select vec_id as v, round(list_cosine_similarity(e, (select e from emb where vec_id = {q})), 6) as score from emb)"
+
+
+def _sub_lists(k: int) -> str:
+    """Each sub-question's facts after the relevance cut, and the seeds."""
+    per = answers.width(k, len(_ASKED))
+    lists = " union all ".join(f"select {i} as list, id, score, row_number() over (order by score desc, id) as r from fv join {_score(q)} using (v)" for i, q in enumerate(_ASKED))
+    seeds = " union ".join(f"select id as node from (select id, row_number() over (order by score desc, id) as r from ev join {_score(q)} using (v)) where r <= 5" for q in _ASKED)
+    return f"tops as materialized (select * from ({lists}) where r <= {per}), near as (select list, id, r - 1 as pos from (select *, max(score) over (partition by list) as best from tops) where score >= 0.85 * best or r <= 4)", seeds
 
 
-def _members(spark, d):
-    return graph.participants(g(spark, d, "edges"), g(spark, d, "entities"))
+def _graph(spark, d):
+    e = table(spark, d, "embeddings")
+    n = F.lit(e.count())
+    v = e.select(F.col("vec_id").alias("v"), "embedding")
+    f, x = g(spark, d, "facts"), g(spark, d, "entities")
+    fv = f.select(F.col("uuid").alias("id"), ((F.col("part") * 7 + F.col("supp")) % n).alias("v")).join(v, "v").select("id", "embedding")
+    ev = x.where("type <> 'Process'").select(F.col("uuid").alias("id"), (F.substring("uuid", 2, 20).cast("long") % n).alias("v")).join(v, "v").select("id", "embedding")
+    return answers.Graph(f, g(spark, d, "edges"), x, fv, ev)
+
+
+def _subs(spark, d):
+    rows = {r.vec_id: list(r.embedding) for r in table(spark, d, "embeddings").where(F.col("vec_id").isin(*_ASKED)).collect()}  # three rows: the questions
+    return [rows[q] for q in _ASKED]
+
+
+def _answer_sql(k: int) -> str:
+    """The order of an answer's facts (id, pos)."""
+    lists, seeds = _sub_lists(k)
+    n = len(_ASKED)
+    walk = f"walk as (select id, row_number() over (order by score desc, id) - 1 as pos from (select node as id, round(score, 7) as score from s20 where node in (select uuid from facts)) where score > 0 qualify row_number() over (order by score desc, id) <= {max(k, 25)})"
+    turns = f"ls as (select list, id, pos from near union all select {n}, id, pos from walk), one as (select id, min((pos, list)) as k from ls group by id), robin as (select id, row_number() over (order by k, id) - 1 as pos from one)"
+    mixed = "num as (select robin.id, robin.pos, q_value is not null as q from robin join fv using (id)), alt as (select id, q, row_number() over (partition by q order by pos) as n from num), ranked as (select id, row_number() over (order by n, q desc) - 1 as pos from alt)"
+    return f"{_VECTORS}, {lists}, {ppr_sql(BRIDGED, seeds)}, {walk}, {turns}, {mixed}, own as materialized (select id, pos from ranked where pos < {max(k, 4 * n)})"
+
+
+@query("r_retrieve", oracle("edges", "entities", "facts") + f", {MEMBERS}, {_NAMES}, {_answer_sql(16)} select pos::int as pos, uuid, statement, q_raw as quantity, coalesce(parts, '') as parts, paper_ref as source, year, status from own join facts on uuid = id left join parts on fact = uuid")
+def _(spark, d):
+    """The flagship: three sub-questions over vectors, PageRank from their nearest entities, and the facts in turns."""
+    return answers.retrieve(_graph(spark, d), _subs(spark, d))[0].withColumn("parts", said("participants")).drop("participants")
+
+
+@query("r_retrieve_related", oracle("edges", "entities", "facts") + f", {MEMBERS}, {_answer_sql(16)}, k as (select name, min((pos, type)) as k from members join own on fact = id group by 1) select name, (row_number() over (order by k, name) - 1)::int as pos from k qualify row_number() over (order by k, name) <= 40")
+def _(spark, d):
+    return answers.retrieve(_graph(spark, d), _subs(spark, d))[1]
+
+
+_TAGGED = f"{_VECTORS}, over as (select fact, count(distinct entity) as overlap from members where entity in (select entity from anchors) group by fact), {ppr_sql('select fact as a, entity as b from members', 'select entity as node from anchors')}, walk as (select node as id, row_number() over (order by round(score, 7) desc, node) - 1 as pos from s20 where node in (select uuid from facts) and round(score, 7) > 0 qualify row_number() over (order by round(score, 7) desc, node) <= 30), vec as (select id, row_number() over (order by score desc, id) - 1 as pos from fv join {_score(5)} using (v) qualify row_number() over (order by score desc, id) <= 30), tag as (select fact as id, row_number() over (order by overlap desc, fact) - 1 as pos from over), fused as (select id, sum(1.0 / (60 + pos)) as rrf from (select id, pos from walk union all select id, pos from vec union all select id, pos from tag) group by id), own as materialized (select id, row_number() over (order by coalesce(overlap, 0) desc, round(rrf, 6) desc, id) - 1 as pos from fused left join over on id = fact qualify pos < 8)"
+
+
+@query("r_retrieve_overlap", oracle("edges", "entities", "facts") + f", {MEMBERS}, {ASK_SQL}, {LINKED}, {_NAMES}, {_TAGGED} select pos::int as pos, uuid, statement, q_raw as quantity, coalesce(parts, '') as parts, paper_ref as source, year, status from own join facts on uuid = id left join parts on fact = uuid")
+def _(spark, d):
+    """Mentions instead of sub-questions: overlap first, then tagged facts, nearest facts and PageRank fused."""
+    return answers.retrieve(_graph(spark, d), _subs(spark, d)[:1], asked(spark))[0].withColumn("parts", said("participants")).drop("participants")
+
+
+@query("r_rank", oracle("edges", "entities", "facts") + f", {MEMBERS}, {ASK_SQL}, {LINKED}, {_TAGGED} select id, pos::int as pos from own")
+def _(spark, d):
+    return answers.by_mentions(_graph(spark, d), asked(spark), _subs(spark, d)[0])
+
+
+_CHECKED = "ask as (select facts.*, pos from own join facts on uuid = id where status = 'unverified' and not v_checked qualify row_number() over (order by pos, uuid) <= 20), told as (select uuid, case when (q_value / 50 + 0.7 + (q_value % 10) / 10) / 3 >= 0.6 - 1e-10 and (q_value % 10) / 10 >= 0.4 then 'verified' else 'unverified' end as said from ask where q_value % 5 <> 0)"
+
+
+def _answered(spark, d):
+    g_ = _graph(spark, d)
+    q = F.col("q_value").cast("double")
+    rule = g_.facts.where("q_value % 5 <> 0").select("uuid", (q / 50).alias("confidence"), F.lit(0.7).alias("clarity"), ((q % 10) / 10).alias("relevance"), F.lit("rule").alias("rationale"))
+    return answers.answer(g_, _subs(spark, d), verdicts=rule)
+
+
+@query("r_answer", oracle("edges", "entities", "facts") + f", {_answer_sql(16)}, {_CHECKED} select own.pos::int as pos, f.uuid, coalesce(said, f.status) as status from own join facts f on f.uuid = id left join told on told.uuid = f.uuid")
+def _(spark, d):
+    """An answer's evidence after the check of facts that none was asked for."""
+    return _answered(spark, d).evidence.select("pos", "uuid", "status")
+
+
+@query("r_answer_requests", oracle("edges", "entities", "facts") + f", {_answer_sql(16)}, {_CHECKED} select uuid, statement, q_raw as quantity from ask")
+def _(spark, d):
+    return _answered(spark, d).requests.select("uuid", "statement", "quantity")
 
 
-@query("r_evidence", oracle("facts", "edges", "entities") + f", {_OWN}, t as (select pos, type, string_agg(name, ',' order by name) as names from mem group by 1, 2), s as (select pos, string_agg(type || ':' || names, ';' order by type) as parts from t group by 1) select pos::int as pos, uuid, statement, q_raw as quantity, coalesce(parts, '') as parts, paper_ref as source, year, status from own left join s using (pos)")
+@query("r_answer_trace", oracle("edges", "entities", "facts") + f", {MEMBERS}, {_answer_sql(16)} select distinct 'f:' || fact as src, 'e:' || name as dst from members join own on fact = id")
 def _(spark, d):
-    e = retrieval.evidence(g(spark, d, "facts"), _members(spark, d), _ranked(spark, d))
-    parts = F.array_join(F.transform(F.array_sort(F.map_entries("participants")), lambda x: F.concat(x["key"], F.lit(":"), F.array_join(x["value"], ","))), ";")
-    return e.withColumn("parts", parts).drop("participants")
+    return _answered(spark, d).edges
 
 
-@query("r_related", oracle("facts", "edges", "entities") + f", {_OWN}, t as (select name, min((pos, type)) as k from mem group by 1) select name, (row_number() over (order by k, name) - 1)::int as pos from t")
+@query("r_sources", oracle("edges", "entities", "facts") + f", {_answer_sql(16)} select paper_ref, count(*) as n, min(pos)::int as first from own join facts on uuid = id group by 1")
 def _(spark, d):
-    return retrieval.related(_members(spark, d), _ranked(spark, d))
+    return retrieval.sources(_answered(spark, d).evidence.select(F.col("source").alias("paper_ref"), "pos"))
 
 
 @query("r_decompose", r"with q as (select conv_id, turn, text, list_filter(list_transform(string_split(text, '.'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')[:6] as subs from conversations where role = 'user' and text is not null), u as (select conv_id, turn, case when len(subs) > 0 then subs else [text] end as subs from q) select conv_id, turn, array_to_string(subs, '|') as subs from u")
@@ -156,8 +285,8 @@ def _(spark, d):
     return exports.subgraph_lines(graph.adjacency(g(spark, d, "edges")), g(spark, d, "entities"))
 
 
-@query("s_export_md", oracle("facts") + ", own as (select * from facts where paper_ref in ('7', '8')), f as (select count(*) as k, coalesce(string_agg('- ' || statement || ' (**' || q_raw || '**) — _' || paper_ref || '_ [' || status || ']' || chr(10), '' order by uuid), '') as facts from own), s as (select coalesce(string_agg('- ' || paper_ref || ' (' || n || ' фактов)', chr(10) order by n desc, paper_ref), '') as files from (select paper_ref, count(*) as n from own group by 1)) select '# Ответ на запрос' || chr(10) || chr(10) || '**Вопрос:** Which parts?' || chr(10) || chr(10) || 'These.' || chr(10) || chr(10) || '## Факты (' || k || ')' || chr(10) || facts || chr(10) || '## Файлы-источники' || chr(10) || files || chr(10) as md from f, s")
+@query("s_export_md", oracle("edges", "entities", "facts") + f", {_answer_sql(16)}, o as (select facts.*, pos from own join facts on uuid = id), f as (select count(*) as k, coalesce(string_agg('- ' || statement || ' (**' || q_raw || '**) — _' || paper_ref || '_ [' || status || ']' || chr(10), '' order by pos), '') as facts from o), s as (select coalesce(string_agg('- ' || paper_ref || ' (' || n || ' фактов)', chr(10) order by n desc, paper_ref), '') as files from (select paper_ref, count(*) as n from o group by 1)) select '# Ответ на запрос' || chr(10) || chr(10) || '**Вопрос:** Which parts?' || chr(10) || chr(10) || 'These.' || chr(10) || chr(10) || '## Факты (' || k || ')' || chr(10) || facts || chr(10) || '## Файлы-источники' || chr(10) || files || chr(10) as md from f, s")
 def _(spark, d):
-    e = retrieval.evidence(g(spark, d, "facts"), _members(spark, d), _ranked(spark, d))
-    sources = retrieval.sources(e.select(F.col("source").alias("paper_ref"), "pos"))
-    return exports.answer_markdown("Which parts?", "These.", e, sources)
+    """The flagship's answer."""
+    e = answers.retrieve(_graph(spark, d), _subs(spark, d))[0]
+    return exports.answer_markdown("Which parts?", "These.", e, retrieval.sources(e.select(F.col("source").alias("paper_ref"), "pos")))

@@ -7,20 +7,18 @@ from pyspark.sql import functions as F
 
 from factloom import vocab
 from factloom.functions import text, vectors
-from factloom.operators import analytics, dedup, graph, resolution, retrieval, sections, verify
-from factloom.plans import answers, knowledge, reading  # noqa: F401  add their queries
+from factloom.operators import dedup, graph, papers, resolution, retrieval, sections, verify
 from factloom.plans.fixtures import HEAD as _HEAD
 from factloom.plans.fixtures import graph as g
 from factloom.plans.fixtures import oracle, table
 from factloom.plans.register import ORACLES, QUERIES, Query, query
-from factloom.sources import store
-from factloom.streaming import events as stream
+from factloom.sources import control, store
 
 NP = ", ".join(f"'{t}'" for t in vocab.NON_PARTICIPANT)
 MEMBERS = f"members as (select distinct e.src as fact, n.uuid as entity, n.type as type, n.canonical_name as name from edges e join entities n on e.dst = n.uuid where e.type not in ({NP}))"
 ASK = [("ring", "Material"), ("NATION_16", "Location"), ("economy", None)]
 ASK_SQL = "asked(mention, kind) as (values ('ring', 'Material'), ('NATION_16', 'Location'), ('economy', null))"
-LINKED = "anchors as (select distinct a.mention, n.uuid as entity from asked a join entities n on (a.kind is null or a.kind = n.type) and (lower(n.canonical_name) = lower(a.mention) or (length(a.mention) >= 3 and contains(lower(n.canonical_name), lower(a.mention))) or (length(n.canonical_name) >= 3 and contains(lower(a.mention), lower(n.canonical_name)))))"
+LINKED = "anchors as (select distinct a.mention, n.uuid as entity from asked a join entities n on (a.kind is null or a.kind = n.type) and (lower(n.canonical_name) = lower(a.mention) or (length(a.mention) >= 3 and (contains(lower(n.canonical_name), lower(a.mention)) or contains(lower(a.mention), lower(n.canonical_name))))))"
 
 
 def lines(spark, d):
@@ -68,50 +66,6 @@ def _(spark, d):
     return g(spark, d, "edges").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a_summary", oracle("entities", "edges") + ", a as (select src as node, type from edges union all select dst, type from edges) select n.uuid, n.type, count(a.node) as links, count(distinct a.type) as relations, count(a.node) <= 1 as lonely from entities n left join a on n.uuid = a.node group by n.uuid, n.type")
-def _(spark, d):
-    a = graph.adjacency(g(spark, d, "edges")).groupBy("node").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("type").alias("relations"))
-    n = g(spark, d, "entities")
-    return n.join(a, n["uuid"] == a["node"], "left").select("uuid", n["type"], F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("relations", F.lit(0)).alias("relations"), (F.coalesce("links", F.lit(0)) <= 1).alias("lonely"))
-
-
-@query("a_gaps", oracle("entities", "edges") + "select n.uuid, n.canonical_name, count(e.dst) as degree from entities n left join edges e on n.uuid = e.dst where n.type = 'Material' group by 1, 2 having count(e.dst) <= 20")
-def _(spark, d):
-    return analytics.gaps(g(spark, d, "entities"), g(spark, d, "edges"), "Material", 20)
-
-
-@query("a_geo", oracle("entities", "edges", "facts") + f", {MEMBERS} select name as place, f.frame_type, count(*) as n, count(*) filter (where f.status = 'verified') as verified from members m join facts f on m.fact = f.uuid where m.type = 'Location' group by 1, 2")
-def _(spark, d):
-    m, f = members(spark, d).where("type = 'Location'"), g(spark, d, "facts")
-    return m.join(f, m["fact"] == f["uuid"]).groupBy(F.col("name").alias("place"), "frame_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "verified").alias("verified"))
-
-
-@query("a_experts", oracle("entities", "edges") + f", {MEMBERS}, w as (select name as expert, count(*) as n from members where type = 'Facility' group by 1) select expert, n, cast(round(n * 100.0 / sum(n) over ()) as bigint) as share, round(n * 100.0 / sum(n) over ()) >= 50 as risk from w")
-def _(spark, d):
-    return analytics.experts(members(spark, d).where("type = 'Facility'").select(F.col("name").alias("expert")))
-
-
-@query("a_heatmap", oracle("entities", "edges") + f", {MEMBERS} select a.entity as r, b.entity as c, count(distinct a.fact) as n from members a join members b on a.fact = b.fact where a.type = 'Process' and b.type = 'Location' group by 1, 2")
-def _(spark, d):
-    return analytics.heatmap(members(spark, d), "Process", "Location")
-
-
-@query("a_research", oracle("entities", "edges", "facts") + f", {MEMBERS} select f.uuid, f.q_value, (select count(distinct entity) from members m where m.fact = f.uuid) as degree from facts f where q_value between 10 and 30 and exists (select 1 from members m where m.fact = f.uuid and m.type = 'Location' and m.name = 'NATION_16') and exists (select 1 from members m where m.fact = f.uuid and m.type = 'Process' and m.name = 'ECONOMY') order by degree desc, f.uuid limit 60")
-def _(spark, d):
-    return analytics.research(g(spark, d, "facts"), members(spark, d), [("Location", "NATION_16"), ("Process", "ECONOMY")], 10, 30).select("uuid", "q_value", "degree")
-
-
-@query("a_search", oracle("entities") + "select uuid, type from entities where contains(lower(canonical_name), 'ring')")
-def _(spark, d):
-    return g(spark, d, "entities").where(F.lower("canonical_name").contains("ring")).select("uuid", "type")
-
-
-@query("a_grouped_hits", oracle("entities") + "select type, uuid from (select type, uuid, row_number() over (partition by type order by uuid) as r from entities where contains(canonical_name, 'r')) where r <= 5")
-def _(spark, d):
-    r = F.row_number().over(Window.partitionBy("type").orderBy("uuid"))
-    return g(spark, d, "entities").where(F.col("canonical_name").contains("r")).withColumn("r", r).where("r <= 5").select("type", "uuid")
-
-
 @query("a_trace_cost", "select event_type, count(*) as calls, round(sum(value), 4) as cost, sum(cast(json_extract(props, '$.k') as bigint))::bigint as tokens from events group by event_type")
 def _(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("cost"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("tokens"))
@@ -135,10 +89,10 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha1("text").alias("hash"))
 
 
-@query("t_slice", "select doc_id, substring(text, 11, 30) as span, trim(substring(text[:360], 1, 600)) as snippet from documents where length(text) >= 200")
+@query("t_slice", "select doc_id, substring(text, 11, 30) as span, case when length(text) is null then '' else trim(substring(text[:least(length(text), 360)], 1, 600)) end as snippet from documents")
 def _(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").where(F.char_length("text") >= 200).select("doc_id", text.slice_span(t, F.lit(10), F.lit(40)).alias("span"), text.snippet(t, F.lit(160), F.lit(200)).alias("snippet"))
+    return table(spark, d, "documents").select("doc_id", text.slice_span(t, F.lit(10), F.lit(40)).alias("span"), text.snippet(t, F.lit(160), F.lit(200)).alias("snippet"))
 
 
 @query("t_lines", "select doc_id, n - 1 as n, line, coalesce(sum(length(line) + 1) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0)::bigint as off from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)")
@@ -163,9 +117,12 @@ def _(spark, d):
 _CASES = ["I.\nINTRODUCTION", "2.2 Methodology", "A. Results and discussion", "References", "Data availability statement", "Pareto Fronts", "IV) Conclusions:", "mild steel", "  3.1   Experimental   setup "]
 
 
-@query("t_role_hint", "with c(i, name) as (values " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(_CASES)) + r"), p(ord, k, role) as (values " + ", ".join(f"({i}, '{k}', '{r}')" for i, (k, r) in enumerate(vocab.SECTION_PRIORS)) + r"), n as (select i, rtrim(lower(trim(regexp_replace(trim(regexp_replace(name, '\s+', ' ', 'g')), '(?i)^(?:[ivxlcdm]+|\d+(?:\.\d+)*|[a-z])[.)]?\s+', ''))), ':') as norm from c) select i, norm, coalesce((select role from p where k = norm), (select arg_min(role, ord) from p where regexp_matches(norm, '\b' || k || '\b'))) as role from n")
+@query("t_role_hint", "with c(i, name) as (values " + ", ".join(f"('c{i}', '{c}')" for i, c in enumerate(_CASES)) + r" union all select doc_id || '-' || n, line from (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n, unnest(string_split(text, chr(10))) as line from documents)), p(ord, k, role) as (values " + ", ".join(f"({i}, '{k}', '{r}')" for i, (k, r) in enumerate(vocab.SECTION_PRIORS)) + r"), n as (select i, rtrim(lower(trim(regexp_replace(trim(regexp_replace(name, '\s+', ' ', 'g')), '(?i)^(?:[ivxlcdm]+|\d+(?:\.\d+)*|[a-z])[.)]?\s+', ''))), ':') as norm from c), e as (select i, norm, role from n join p on k = norm), w as (select i, arg_min(role, ord) as role from n join p on regexp_matches(norm, '\b' || k || '\b') group by i) select n.i, n.norm, coalesce(e.role, w.role) as role from n left join e on n.i = e.i left join w on n.i = w.i")
 def _(spark, d):
-    return spark.createDataFrame(list(enumerate(_CASES)), "i int, name string").select("i", text.norm_heading(F.col("name")).alias("norm"), text.role_hint(F.col("name")).alias("role"))
+    """Headings by hand and every line of the documents."""
+    own = lines(spark, d).select(F.concat("doc_id", F.lit("-"), "n").alias("i"), F.col("line").alias("name"))
+    hand = spark.createDataFrame([(f"c{i}", c) for i, c in enumerate(_CASES)], "i string, name string")
+    return hand.union(own).select("i", text.norm_heading(F.col("name")).alias("norm"), text.role_hint(F.col("name")).alias("role"))
 
 
 @query("t_key", oracle("entities") + r"select uuid, type || ':' || substring(regexp_replace(lower(trim(canonical_name)), '\s+', '-', 'g'), 1, 80) as entity_key from entities")
@@ -173,17 +130,24 @@ def _(spark, d):
     return g(spark, d, "entities").select("uuid", text.key(F.col("type"), F.col("canonical_name")).alias("entity_key"))
 
 
-@query("t_qstr", oracle("facts") + "select uuid, case when q_value > 25 then q_raw else trim(q_operator || cast(cast(q_value as bigint) as string) || ' ' || q_unit) end as q from facts")
+@query("t_qstr", oracle("facts") + "select uuid, case when year = 1995 then q_raw else trim(q_operator || cast((q_value * year / 700)::double as varchar) || ' ' || q_unit) end as q from facts union all select 'p' || p_partkey, trim('~' || cast(p_retailprice / 8 as varchar)) from part union all select 'n', ''")
 def _(spark, d):
-    return g(spark, d, "facts").select("uuid", text.quantity(F.when(F.col("q_value") > 25, F.col("q_raw")), F.col("q_operator"), F.col("q_value"), F.col("q_unit")).alias("q"))
+    """Whole numbers, decimals, quantities as written, without a unit, and none at all."""
+    none, y = F.lit(None).cast("string"), F.col("year")
+    f = g(spark, d, "facts").select("uuid", text.quantity(F.when(y == 1995, F.col("q_raw")), F.col("q_operator"), F.col("q_value") * y / 700, F.col("q_unit")).alias("q"))
+    p = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey"), text.quantity(none, F.lit("~"), F.col("p_retailprice") / 8, none))
+    return f.union(p).union(spark.range(1).select(F.lit("n"), text.quantity(none, F.lit("="), F.lit(None).cast("double"), F.lit("eV"))))
 
 
 _NAMES = ["Ni-15Cr alloy", "", "RF power 500 W at 50 sccm", "grown at 300 nm", "a b c d e f g h i", None, "анод 20 °C и 5 мм"]
 
 
-@query("t_conceptual", r"select i, name is not null and trim(name) <> '' and len(string_split(trim(name), ' ')) <= 8 and len(regexp_extract_all(name, '(?i)\d+(?:\.\d+)?\s*(?:W|sccm|nm|°C)(?:\b|$)')) < 2 as ok from (values " + ", ".join(f"({i}, {'null' if n is None else repr(n)})" for i, n in enumerate(_NAMES)) + ") t(i, name)")
+@query("t_conceptual", r"with n(i, name) as (values " + ", ".join(f"('{i}', {'null' if n is None else repr(n)})" for i, n in enumerate(_NAMES)) + r" union all select doc_id || '-' || n, line from (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n, unnest(string_split(text, chr(10))) as line from documents)) select i, name is not null and trim(name) <> '' and len(string_split(trim(regexp_replace(name, '\s+', ' ', 'g')), ' ')) <= 8 and len(regexp_extract_all(name, '(?i)\d+(?:\.\d+)?\s*(?:W|kW|V|mV|A|mA|sccm|nm|µm|um|mm|cm|Å|K|°C|℃|µbar|ubar|bar|Pa|kPa|MPa|GPa|Torr|rpm|Hz|kHz|MHz|GHz|min|mins|hr|h|ms|eV|meV|wt%|at%|%)(?:\b|$)')) < 2 as ok from n")
 def _(spark, d):
-    return spark.createDataFrame(list(enumerate(_NAMES)), "i int, name string").select("i", text.conceptual(F.col("name")).alias("ok"))
+    """Names by hand and every line of the documents."""
+    own = lines(spark, d).select(F.concat("doc_id", F.lit("-"), "n").alias("i"), F.col("line").alias("name"))
+    hand = spark.createDataFrame([(str(i), n) for i, n in enumerate(_NAMES)], "i string, name string")
+    return hand.union(own).select("i", text.conceptual(F.col("name")).alias("ok"))
 
 
 @query("t_ent_text", "select p_partkey, array_to_string(list_distinct_ordered, ' ; ') as t from (select p_partkey, case when p_name = p_brand then [p_name] else [p_name, p_brand] end as list_distinct_ordered from part)")
@@ -201,20 +165,27 @@ def _(spark, d):
 # sources and store
 
 
-_REFS = ["arxiv:2401.01234v2", "2401.0123", "https://arxiv.org/abs/2401.01234", "a/b/C.PDF", "x.docx"]
+_REFS = ["arxiv:2401.01234v2", "2401.0123", " 2401.01234 ", "https://arxiv.org/abs/2401.01234", "http://ARXIV.org/pdf/2401.01234v3.pdf", "https://arxiv.org/abs/hep-th/9901001", "a/b/C.PDF", " x.pdf", "x.docx", "12401.01234"]
 
 
-@query("s_route", r"select i, case when regexp_matches(ref, '(?i)^(arxiv:)?\d{4}\.\d{4,5}(v\d+)?$') or regexp_matches(ref, '(?i)arxiv\.org/(abs|html|pdf)/') then 'arxiv' when lower(ref) like '%.pdf' then 'pdf' end as adapter from (values " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(_REFS)) + ") t(i, ref)")
+@query("s_route", r"with r(i, ref) as (values " + ", ".join(f"('{i}', '{r}')" for i, r in enumerate(_REFS)) + r" union all select 'p' || page_id, url from pages), s as (select i, regexp_replace(ref, '^\s+|\s+$', '', 'g') as ref from r) select i, case when regexp_matches(ref, '(?i)^(arxiv:)?\d{4}\.\d{4,5}(v\d+)?$') or regexp_matches(ref, '(?i)arxiv\.org/(abs|html|pdf)/\d{4}\.\d{4,5}') then 'arxiv' when lower(ref) like '%.pdf' then 'pdf' end as adapter from s")
 def _(spark, d):
-    return spark.createDataFrame(list(enumerate(_REFS)), "i int, ref string").select("i", text.route(F.col("ref")).alias("adapter"))
+    """References by hand and the pages' addresses."""
+    hand = spark.createDataFrame([(str(i), r) for i, r in enumerate(_REFS)], "i string, ref string")
+    own = table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("i"), F.col("url").alias("ref"))
+    return hand.union(own).select("i", text.route(F.col("ref")).alias("adapter"))
 
 
-_LABELS = ["Table", "table_title", "doc_title", "figure_title", "Page-header", "paragraph", "formula", "abstract"]
+_LABELS = ["Table", "table_title", "doc_title", "figure_title", "Page-header", "paragraph", "formula", "abstract", "chart", "number", "table_caption"]
 
 
-@query("s_categorize", "select i, case when contains(s, 'table') and not contains(s, 'title') and not contains(s, 'caption') then 'table' when contains(s, 'title') and not contains(s, 'table') and not contains(s, 'figure') and not contains(s, 'chart') and not contains(s, 'image') then 'title' when regexp_matches(s, 'figure|image|chart|formula|equation|header|footer|number|seal|stamp|watermark|aside') then 'drop' else 'text' end as category from (select i, lower(label) as s from (values " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(_LABELS)) + ") t(i, label))")
+@query("s_categorize", "with l(i, s) as (select 'h' || i, lower(label) from (values " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(_LABELS)) + ") t(i, label) union all select 'p' || p_partkey, lower(label || p_type) from part, (values ('table '), ('title '), ('')) t(label) where p_partkey % 3 = length(label) % 3) select i, case when contains(s, 'table') and not contains(s, 'title') and not contains(s, 'caption') then 'table' when contains(s, 'title') and not contains(s, 'table') and not contains(s, 'figure') and not contains(s, 'chart') and not contains(s, 'image') then 'title' when regexp_matches(s, 'figure|image|chart|formula|equation|header|footer|number|seal|stamp|watermark|aside') then 'drop' else 'text' end as category from l")
 def _(spark, d):
-    return spark.createDataFrame(list(enumerate(_LABELS)), "i int, label string").select("i", text.layout_category(F.col("label")).alias("category"))
+    """Labels by hand and of all parts' types, with a word before."""
+    hand = spark.createDataFrame([(f"h{i}", r) for i, r in enumerate(_LABELS)], "i string, label string")
+    word = spark.createDataFrame([("table ",), ("title ",), ("",)], "word string")
+    own = table(spark, d, "part").join(F.broadcast(word), F.col("p_partkey") % 3 == F.char_length("word") % 3).select(F.concat(F.lit("p"), "p_partkey").alias("i"), F.concat("word", "p_type").alias("label"))
+    return hand.union(own).select("i", text.layout_category(F.col("label")).alias("category"))
 
 
 @query("s_needs_ocr", r"select doc_id, length(text) / 2.0 < 100 or length(regexp_replace(text, '\P{L}', '', 'g')) / greatest(length(text), 1) < 0.5 as ocr from documents")
@@ -222,11 +193,10 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", text.needs_ocr(F.col("text"), F.lit(2)).alias("ocr"))
 
 
-@query("s_entity_merge", oracle("entities") + "select entity_key, min(uuid) as uuid, arg_min(canonical_name, uuid) as canonical_name, count(*) as n from entities group by entity_key")
+@query("s_entity_merge", oracle("entities") + ", a as (select entity_key, uuid, canonical_name, unnest([canonical_name, 'alias ' || (hash_no % 7)]) as name from (select *, length(uuid) as hash_no from entities)), k as (select entity_key, min(uuid) as uuid, arg_min(canonical_name, uuid) as canonical_name, count(distinct uuid) as n from a group by 1) select k.entity_key, k.uuid, k.canonical_name, (select string_agg(distinct name, '|' order by name) from a where a.entity_key = k.entity_key and name <> k.canonical_name) as aliases, k.n from k")
 def _(spark, d):
-    e = g(spark, d, "entities")
-    n = e.groupBy("entity_key").agg(F.count(F.lit(1)).alias("n"))
-    return dedup.merge_by_key(e).select("entity_key", "uuid", "canonical_name").join(n, "entity_key")
+    e = g(spark, d, "entities").withColumn("aliases", F.array(F.concat(F.lit("alias "), F.char_length("uuid") % 7))).withColumn("provenance", F.array("uuid"))
+    return dedup.merge_by_key(e).select("entity_key", "uuid", "canonical_name", F.array_join("aliases", "|").alias("aliases"), F.size("provenance").cast("long").alias("n"))
 
 
 @query("s_upsert_uuid", "select user_id, event_id, value from (select *, row_number() over (partition by user_id order by event_id desc) as r from events) where r = 1")
@@ -234,25 +204,56 @@ def _(spark, d):
     return store.upsert(table(spark, d, "events"), ["user_id"], "event_id").select("user_id", "event_id", "value")
 
 
-@query("s_upsert_edges", oracle("edges", "entities") + "select src, dst, type from edges where src in (select uuid from entities) and dst in (select uuid from entities where uuid <> 'l3') group by all")
+_RELS = "rels as (select src, dst, type, '' as rel from edges union all select src, dst, 'OPEN', case when length(dst) % 2 = 0 then 'near' end from edges union all select src, dst, 'OPEN', 'of' from edges)"
+
+
+@query("s_upsert_edges", oracle("edges", "entities", "facts") + f", {_RELS} select src, dst, type, coalesce(rel, '') as rel from rels where src in (select uuid from entities union all select uuid from facts) and dst in (select uuid from entities where uuid <> 'l3') group by all")
 def _(spark, d):
-    return store.upsert_edges(g(spark, d, "edges"), g(spark, d, "entities").where("uuid <> 'l3'").select(F.col("uuid").alias("node")))
+    e, none = g(spark, d, "edges"), F.lit(None).cast("string")
+    open_ = lambda rel: e.select("src", "dst", F.lit("OPEN").alias("type"), rel.alias("rel"))
+    rels = e.withColumn("rel", F.lit("")).union(open_(F.when(F.char_length("dst") % 2 == 0, "near").otherwise(none))).union(open_(F.lit("of")))
+    nodes = g(spark, d, "entities").where("uuid <> 'l3'").select(F.col("uuid").alias("node")).union(g(spark, d, "facts").select("uuid"))
+    return store.upsert_edges(rels, nodes).select("src", "dst", "type", "rel")
 
 
-@query("s_by_key", oracle("entities") + "select uuid, canonical_name from entities where entity_key = 'Location:nation_3' order by uuid limit 1")
+@query("s_by_key", oracle("entities") + "select uuid, type, canonical_name from entities where entity_key = 'Location:nation_3' order by uuid limit 1")
 def _(spark, d):
-    return g(spark, d, "entities").where("entity_key = 'Location:nation_3'").orderBy("uuid").limit(1).select("uuid", "canonical_name")
+    return store.by_key(g(spark, d, "entities"), "Location:nation_3")
 
 
-@query("s_scan_facts", oracle("facts") + "select uuid, status, q_value from facts where frame_type = 'MaterialMeasurement' and year = 1998")
+@query("s_scan_entities", oracle("entities") + "select uuid, type, canonical_name, 'x' || uuid as alias from entities where type <> 'Location' and length(uuid) % 2 = 0")
 def _(spark, d):
-    return g(spark, d, "facts").where("frame_type = 'MaterialMeasurement' and year = 1998").select("uuid", "status", "q_value")
+    """Locations get a type that the model does not know; two graphs share the table."""
+    e = g(spark, d, "entities").withColumn("type", F.when(F.col("type") == "Location", "Place").otherwise(F.col("type"))).withColumn("aliases", F.array(F.concat(F.lit("x"), "uuid"))).withColumn("graph_id", (F.char_length("uuid") % 2).cast("string"))
+    return store.all_entities(e, "0").select("uuid", "type", "canonical_name", F.array_join("aliases", ",").alias("alias"))
 
 
-@query("s_paper_subgraph", oracle("facts", "edges") + "select f.uuid, e.dst, e.type from facts f join edges e on e.src = f.uuid where f.paper_ref = '7'")
+@query("s_scan_facts", oracle("facts") + "select uuid, frame_type, paper_ref, status, year, case when year % 3 = 0 then null else q_value end as value, case when year % 3 > 0 or year % 2 = 0 then q_raw end as raw, year % 3 > 0 or year % 2 = 0 as quantified from facts where year % 5 > 0")
 def _(spark, d):
-    f, e = g(spark, d, "facts").where("paper_ref = '7'").select("uuid"), g(spark, d, "edges")
-    return e.join(f, e["src"] == f["uuid"]).select("uuid", "dst", "type")
+    y = F.col("year")
+    f = g(spark, d, "facts").withColumn("q_value", F.when(y % 3 != 0, F.col("q_value"))).withColumn("q_raw", F.when((y % 3 != 0) | (y % 2 == 0), F.col("q_raw")).otherwise("")).withColumn("graph_id", F.when(y % 5 > 0, "a").otherwise("b"))
+    return store.all_facts(f, "a").select("uuid", "frame_type", "paper_ref", "status", "year", "quantity.value", "quantity.raw", F.col("quantity").isNotNull().alias("quantified"))
+
+
+@query("s_scan_edges", oracle("edges") + "select src, dst, type from edges where type <> 'LOCATED_IN'")
+def _(spark, d):
+    return store.all_edges(g(spark, d, "edges").withColumn("graph_id", F.when(F.col("type") == "LOCATED_IN", "b").otherwise("a")), "a")
+
+
+@query("s_paper_subgraph", oracle("facts") + "select uuid, frame_type from facts where paper_ref = '7'")
+def _(spark, d):
+    return store.paper_subgraph(g(spark, d, "facts"), "7")
+
+
+@query("s_persist", oracle("facts", "entities", "edges") + "select 'facts' as part, uuid as a, case when year = 1995 then 'new' else statement end as b, '' as c from facts union all select 'entities', uuid, case when type = 'Location' then 'new' else canonical_name end, '' from entities union all select 'edges', src, dst, type from (select distinct src, dst, type from edges union select src, 'l1', 'MENTIONS' from edges where dst = 'l2' and type = 'LOCATED_IN')")
+def _(spark, d):
+    """The facts of a year and all places come again; edges come again too, with new ones, and with some to nowhere."""
+    f, e, x = g(spark, d, "facts"), g(spark, d, "entities"), g(spark, d, "edges")
+    again = x.where("type = 'LOCATED_IN' and dst = 'l2'").select("src", F.explode(F.array(F.lit("l1"), F.lit("nowhere"))).alias("dst"), F.lit("MENTIONS").alias("type"))
+    facts, entities, edges = store.persist(f, e, x, f.where("year = 1995").withColumn("statement", F.lit("new")), e.where("type = 'Location'").withColumn("canonical_name", F.lit("new")), again.union(x.where("type = 'VIA_PROCESS'")))
+    part = lambda df, name, a, b, c: df.select(F.lit(name).alias("part"), a.alias("a"), b.alias("b"), c.alias("c"))
+    no = F.lit("")
+    return part(facts, "facts", F.col("uuid"), F.col("statement"), no).union(part(entities, "entities", F.col("uuid"), F.col("canonical_name"), no)).union(part(edges, "edges", F.col("src"), F.col("dst"), F.col("type")))
 
 
 _GONE = "gone as (select uuid from facts where paper_ref = '7'), kept as (select * from edges where src not in (select uuid from gone) and dst not in (select uuid from gone))"
@@ -271,17 +272,25 @@ def _(spark, d):
     return store.supersede(docs.select("doc_id", F.lit("old").alias("version")), docs.where("doc_id % 10 = 3").select("doc_id", F.lit("new").alias("version")), "doc_id")
 
 
-_TEAMS = [("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")]
+@query("s_team_ancestors", "with recursive t(id, parent) as (select 'p' || p_partkey, case when p_partkey > 1 then 'p' || (p_partkey // 2) end from part union all values ('x', 'y'), ('y', 'x')), up(id, anc) as (select id, parent from t where parent is not null union select up.id, t.parent from up join t on up.anc = t.id where t.parent is not null) select id, anc from up")
+def _(spark, d):
+    """A tree of teams as deep as the parts' numbers have bits, and a ring of two."""
+    k = F.col("p_partkey")
+    tree = table(spark, d, "part").select(F.concat(F.lit("p"), k).alias("id"), F.when(k > 1, F.concat(F.lit("p"), F.expr("p_partkey div 2"))).alias("parent_id"))
+    return control.ancestors(tree.union(spark.createDataFrame([("x", "y"), ("y", "x")], "id string, parent_id string")))
+
+
+@query("s_doc", "select doc_id::varchar as paper_ref, '' as title, null::int as year, length(text)::int as n_chars, text as raw_text from documents where doc_id = 7")
+def _(spark, d):
+    papers = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_ref"), F.lit("").alias("title"), F.lit(None).cast("int").alias("year"), F.col("text").alias("raw_text"))
+    return store.get_doc(papers, "7")
 
 
-@query("s_team_ancestors", "with recursive t(id, parent) as (values " + ", ".join(f"('{a}', {'null' if b is None else repr(b)})" for a, b in _TEAMS) + "), up(id, anc) as (select id, parent from t where parent is not null union select up.id, t.parent from up join t on up.anc = t.id where t.parent is not null) select id, anc from up")
+@query("s_extract_text", r"with l as (select doc_id, text, len(string_split(text, chr(10))) as n_pages, replace(text, chr(10), '') as t from documents where text is not null) select doc_id, t as raw_text, n_pages, length(t) / n_pages < 100 or len(regexp_extract_all(t, '\p{L}')) / greatest(length(t), 1) < 0.5 as ocr_used, case when len(regexp_extract_all(t[:4000], '[\x{0400}-\x{04FF}]')) > len(regexp_extract_all(lower(t[:4000]), '[a-z]')) then 'ru' when regexp_matches(lower(t[:4000]), '[a-z]') then 'en' end as lang from l")
 def _(spark, d):
-    t = spark.createDataFrame(_TEAMS, "id string, parent string")
-    up = known = t.where("parent is not null").select("id", F.col("parent").alias("anc"))
-    for _ in range(len(_TEAMS)):  # a chain is no longer than the teams; repeats are dropped, so cycles end
-        up = up.join(t.select(F.col("id").alias("anc"), "parent"), "anc").where("parent is not null").select("id", F.col("parent").alias("anc"))
-        known = known.union(up)
-    return known.distinct()
+    """Lines stand for pages."""
+    pages = lines(spark, d).select(F.col("doc_id").alias("paper_ref"), F.col("n").alias("page"), F.col("line").alias("text"))
+    return papers.extract_text(pages).withColumnRenamed("paper_ref", "doc_id")
 
 
 # joins
@@ -292,11 +301,17 @@ def _(spark, d):
     return members(spark, d).groupBy("fact").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("entity")), ",").alias("entities"))
 
 
-@query("j_fact_detail", oracle("edges", "entities", "facts") + f", {MEMBERS} select f.uuid, f.q_raw, f.paper_ref, (select string_agg(distinct name, ',' order by name) from members m where m.fact = f.uuid and m.type = 'Material') as materials from facts f where f.paper_ref in ('7', '8', '9')")
+_DETAIL = "t as (select fact, type, string_agg(name, ',' order by name) as names from (select distinct fact, type, name from members) group by 1, 2), parts as (select fact, string_agg(type || ':' || names, ';' order by type) as parts from t group by 1)"
+
+
+def said(parts: str = "parts"):
+    """A map of participants as text."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(parts)), lambda x: F.concat(x["key"], F.lit(":"), F.array_join(x["value"], ","))), ";")
+
+
+@query("j_fact_detail", oracle("edges", "entities", "facts") + f", {MEMBERS}, {_DETAIL} select f.uuid, f.q_raw, f.paper_ref, coalesce(parts, '') as parts from facts f left join parts on fact = f.uuid")
 def _(spark, d):
-    f = g(spark, d, "facts").where("paper_ref in ('7', '8', '9')")
-    own = members(spark, d).join(f.select(F.col("uuid").alias("fact")), "fact", "left_semi")
-    return graph.fact_detail(f, own).select("uuid", "q_raw", "paper_ref", F.array_join(F.try_element_at("parts", F.lit("Material")), ",").alias("materials"))
+    return graph.fact_detail(g(spark, d, "facts"), members(spark, d)).select("uuid", "q_raw", "paper_ref", said().alias("parts"))
 
 
 @query("j_link_substr", oracle("entities") + f", {ASK_SQL}, {LINKED} select * from anchors")
@@ -320,9 +335,9 @@ def _(spark, d):
     return graph.near_pairs(e, 0.3).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query("j_stitch_cands", oracle("edges", "entities", "facts") + f", {MEMBERS} select distinct c.uuid as claim, k.uuid as measurement from facts c join facts k on c.paper_ref = k.paper_ref and c.frame_type = 'ClaimFact' and k.frame_type = 'MaterialMeasurement' join members a on a.fact = c.uuid join members b on b.fact = k.uuid and a.entity = b.entity")
+@query("j_stitch_cands", oracle("edges", "facts") + " select distinct c.uuid as claim, k.uuid as measurement from facts c join facts k on c.paper_ref = k.paper_ref and c.frame_type in ('ClaimFact', 'HypothesisFact') and k.frame_type = 'MaterialMeasurement' join edges a on a.src = c.uuid join edges b on b.src = k.uuid and a.dst = b.dst")
 def _(spark, d):
-    return graph.stitch_candidates(g(spark, d, "facts"), members(spark, d))
+    return graph.stitch_candidates(g(spark, d, "facts"), g(spark, d, "edges"))
 
 
 @query("j_key_bridge", oracle("entities") + "select * from (select uuid as s, lead(uuid) over (partition by entity_key order by uuid) as t from entities) where t is not null")
@@ -335,9 +350,12 @@ def _(spark, d):
     return graph.adjacency(g(spark, d, "edges")).groupBy("node", "dir").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j_rewire", oracle("edges", "entities") + ", m as (select uuid as old, min(uuid) over (partition by entity_key) as canon from entities) select distinct coalesce(a.canon, src) as src, coalesce(b.canon, dst) as dst, type from edges left join m a on src = a.old left join m b on dst = b.old where coalesce(a.canon, src) <> coalesce(b.canon, dst)")
+@query("j_rewire", oracle("edges", "entities") + ", m as (select uuid as old, min(uuid) over (partition by entity_key) as canon from entities), x as (select src, dst, type, null as rel from edges union all select dst, dst, 'OPEN', 'is' from edges) select coalesce(a.canon, src) as src, coalesce(b.canon, dst) as dst, type, rel from x left join m a on src = a.old left join m b on dst = b.old")
 def _(spark, d):
-    return graph.rewire(g(spark, d, "edges"), dedup.key_merge(g(spark, d, "entities")))
+    """Every edge, and an open one from each end to itself: loops and parallel edges stay."""
+    e = g(spark, d, "edges")
+    loops = e.select("dst", "dst", F.lit("OPEN"), F.lit("is"))
+    return graph.rewire(e.withColumn("rel", F.lit(None).cast("string")).union(loops), dedup.key_merge(g(spark, d, "entities")))
 
 
 _TITLE = r"regexp_extract(html, '<title>([^<]*)', 1)"
@@ -385,10 +403,37 @@ def _(spark, d):
     return dedup.conflict_groups(_kept(spark, d).where("keep")).select("group_id", "frame_type", "n")
 
 
-@query("g_contest", oracle("facts", "edges") + f", {_SIG} select group_id as src, c.uuid as dst, 'CONTRADICTED_BY' as type from canon c join grp using (frame_type, sig) where c.uuid = c.canon and c.uuid <> group_id")
+@query("g_conflict_participants", oracle("facts", "edges", "entities") + f", {_SIG}, p as (select group_id, unnest(string_split(sig, ',')) as uuid from grp) select group_id, string_agg(coalesce(canonical_name, uuid), '|' order by coalesce(canonical_name, uuid)) as participants from p left join entities using (uuid) group by 1")
+def _(spark, d):
+    groups = dedup.conflict_groups(_kept(spark, d).where("keep"))
+    return dedup.group_participants(groups, g(spark, d, "entities")).select("group_id", F.array_join("participants", "|").alias("participants"))
+
+
+# Groups are signatures of a part and nothing else here, so that they hold many facts; those of even parts have a verdict: facts 0 and 1 are
+# duplicates, 0, 2 and 9 (which few groups have) and 3 and 1 contradict.
+_BY_PART = "p as (select *, 'm' || part as sig from facts), r as (select uuid, sig, part, frame_type, row_number() over (partition by frame_type, sig, q_value, q_unit, q_operator order by uuid) as k from p), rep as (select *, count(*) over (partition by frame_type, sig) as n, min(uuid) over (partition by frame_type, sig) as group_id, row_number() over (partition by frame_type, sig order by uuid) - 1 as id from r where k = 1), mem as (select * from rep where n >= 2)"
+_LISTED = "lists(kind, list, pos, id) as (values ('duplicates', 0, 0, 0), ('duplicates', 0, 1, 1), ('contradictions', 1, 0, 0), ('contradictions', 1, 1, 2), ('contradictions', 1, 2, 9), ('contradictions', 2, 0, 3), ('contradictions', 2, 1, 1)), told as (select group_id, uuid, kind, list, pos from mem join lists using (id) where part % 2 = 0), gone as (select distinct uuid from (select *, row_number() over (partition by group_id, list order by pos) as r from told where kind = 'duplicates') where r > 1), open as (select group_id, 0 as list, id as pos, uuid from mem where part % 2 = 1 union all select group_id, list, pos, uuid from told where kind = 'contradictions' and uuid not in (select uuid from gone)), head as (select group_id, list, arg_min(uuid, pos) as src from open group by 1, 2)"
+
+
+def _contested(spark, d):
+    f = g(spark, d, "facts").withColumn("sig", F.concat(F.lit("m"), "part"))
+    kept = dedup.exact_dedup(f).where("keep")
+    groups = dedup.conflict_groups(kept)
+    even = groups.where("substr(sig, 2) % 2 = 0").select("group_id")
+    rows = [("duplicates", 0, 0, 0), ("duplicates", 0, 1, 1), ("contradictions", 1, 0, 0), ("contradictions", 1, 1, 2), ("contradictions", 1, 2, 9), ("contradictions", 2, 0, 3), ("contradictions", 2, 1, 1)]
+    lists = even.crossJoin(F.broadcast(spark.createDataFrame(rows, "kind string, list int, pos int, id int")))  # seven rows
+    return dedup.contest(kept, groups, even, lists)
+
+
+@query("g_contest", oracle("facts") + f", {_BY_PART}, {_LISTED} select distinct src, uuid as dst, 'CONTRADICTED_BY' as type from open join head using (group_id, list) where uuid <> src")
 def _(spark, d):
-    kept = _kept(spark, d).where("keep")
-    return dedup.contest(kept, dedup.conflict_groups(kept))[1]
+    return _contested(spark, d)[1]
+
+
+@query("g_contest_status", oracle("facts") + f", {_BY_PART}, {_LISTED} select distinct uuid as fact, 'contested' as status from open union all select uuid, 'gone' from gone")
+def _(spark, d):
+    status, _, gone = _contested(spark, d)
+    return status.union(gone.select("fact", F.lit("gone").alias("status")))
 
 
 # verification
@@ -465,45 +510,43 @@ def _(spark, d):
     return retrieval.interleave(_top(spark, d, 5, 30).withColumn("quantified", F.col("id") % 3 == 0)).select("id", F.col("pos").cast("long").alias("pos"))
 
 
-_HITS = f"{MEMBERS}, {ASK_SQL}, {LINKED}, top as (select fact, count(distinct entity) as overlap from members where entity in (select entity from anchors) group by fact order by overlap desc, fact limit 16)"
-
-
-@query("r_retrieve", oracle("edges", "entities", "facts") + f", {_HITS} select f.uuid, top.overlap, f.statement, f.q_raw, f.paper_ref, f.status, (select string_agg(distinct name, ',' order by name) from members m where m.fact = f.uuid and m.type = 'Location') as places from top join facts f on f.uuid = top.fact")
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.retrieve(g(spark, d, "facts"), g(spark, d, "edges"), g(spark, d, "entities"), asked(spark))
-    return found.select("uuid", "overlap", "statement", "q_raw", "paper_ref", "status", F.array_join(F.try_element_at("parts", F.lit("Location")), ",").alias("places"))
-
-
-@query("r_sources", oracle("edges", "entities", "facts") + f", {_HITS} select f.paper_ref, count(*) as n from top join facts f on f.uuid = top.fact group by 1")
-def _(spark, d):
-    found = retrieval.retrieve(g(spark, d, "facts"), g(spark, d, "edges"), g(spark, d, "entities"), asked(spark))
-    return retrieval.sources(found.withColumn("pos", F.col("uuid"))).select("paper_ref", "n")
-
-
 def _rounds(n: int) -> str:
-    out = ["s0 as (select node, 1.0::double / (select count(*) from seeds) as score from seeds)"]
+    """Scores round by round; what seeds without edges give back follows from their share alone."""
+    out = ["iso as materialized (select count(*) filter (where node not in (select a from e)) / greatest(count(*), 1) as f, count(*) as n from seeds)", "s0 as (select node, 1.0::double / n as score, 1.0::double as back from seeds, iso)"]
+    back = "1.0::double"
     for i in range(1, n + 1):
-        out.append(f"s{i} as materialized (select node, sum(score) as score from (select e.b as node, 0.85 * s.score / deg.deg as score from s{i - 1} s join e on s.node = e.a join deg on deg.a = e.a union all select node, 0.15 / (select count(*) from seeds) from seeds) group by node)")
+        out.append(f"k{i} as materialized (select 0.15 + 0.85 * f * {back} as v from iso{f', k{i - 1}' if i > 1 else ''})")
+        back = f"k{i}.v"
+        out.append(f"s{i} as materialized (select node, sum(score) as score from (select e.b as node, 0.85 * s.score / deg.deg as score from s{i - 1} s join e on s.node = e.a join deg on deg.a = e.a union all select node, v / n from seeds, iso, k{i}) group by node)")
     return ", ".join(out)
 
 
-def _ppr_sql(pairs: str) -> str:
+def ppr_sql(pairs: str, seeds: str) -> str:
+    """CTEs whose last, s20, holds the scores."""
     e = f"e as materialized (select a, b from ({pairs}) where a <> b union select b, a from ({pairs}) where a <> b), deg as materialized (select a, count(*) as deg from e group by a)"
-    return oracle("edges", "entities", "facts") + f", {ASK_SQL}, {LINKED}, seeds as materialized (select distinct entity as node from anchors), {e}, {_rounds(20)} select node as fact, round(score, 7) as score from s20 where node in (select uuid from facts) order by round(score, 7) desc, node limit 30"
+    return f"seeds as materialized (select distinct node from ({seeds})), {e}, {_rounds(20)}"
+
+
+BRIDGED = "select src as a, dst as b from edges union all select * from (select uuid as a, lead(uuid) over (partition by entity_key order by uuid) as b from entities) where b is not null"
+
+
+def _ppr_query(pairs: str) -> str:
+    return oracle("edges", "entities", "facts") + f", {ASK_SQL}, {LINKED}, {ppr_sql(pairs, 'select entity as node from anchors union all select $$lonely$$')} select node as fact, round(score, 7) as score from s20 where node in (select uuid from facts) order by round(score, 7) desc, node limit 30"
 
 
 def _ppr(spark, d, pairs):
-    seeds = graph.link_mentions(asked(spark), g(spark, d, "entities")).select(F.col("entity").alias("node"))
-    found = retrieval.pagerank(pairs, seeds, cut=store.cut).select(F.col("node").alias("fact"), F.round("score", 7).alias("score"))
+    """One seed has no edges."""
+    seeds = graph.link_mentions(asked(spark), g(spark, d, "entities")).select(F.col("entity").alias("node")).union(spark.range(1).select(F.lit("lonely")))
+    found = retrieval.pagerank(pairs, seeds).select(F.col("node").alias("fact"), F.round("score", 7).alias("score"))
     return found.join(g(spark, d, "facts").select(F.col("uuid").alias("fact")), "fact", "left_semi").orderBy(F.desc("score"), "fact").limit(30)
 
 
-@query("r_ppr", _ppr_sql("select src as a, dst as b from edges"))
+@query("r_ppr", _ppr_query("select src as a, dst as b from edges"))
 def _(spark, d):
     return _ppr(spark, d, g(spark, d, "edges").select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@query("r_ppr_bridge", _ppr_sql("select src as a, dst as b from edges union all select * from (select uuid as a, lead(uuid) over (partition by entity_key order by uuid) as b from entities) where b is not null"))
+@query("r_ppr_bridge", _ppr_query(BRIDGED))
 def _(spark, d):
     bridges = graph.key_bridges(g(spark, d, "entities")).select(F.col("s").alias("a"), F.col("t").alias("b"))
     return _ppr(spark, d, g(spark, d, "edges").select(F.col("src").alias("a"), F.col("dst").alias("b")).union(bridges))
@@ -537,11 +580,6 @@ def _(spark, d):
     return resolution.clean_clusters(c).select("doc_id", F.array_join("names", "|").alias("names"))
 
 
-@query("g_s4", oracle("entities", "edges", "facts") + ", m as (select uuid as old, min(uuid) over (partition by entity_key) as canon from entities), e2 as (select distinct coalesce(a.canon, src) as src, coalesce(b.canon, dst) as dst, type from edges left join m a on a.old = src left join m b on b.old = dst), sg as (select src, string_agg(distinct dst, ',' order by dst) as sig from e2 where src <> dst and type not in ('SUPPORTED_BY', 'CONTRADICTED_BY', 'SUBTYPE_OF', 'PART_OF') group by 1) select uuid, min(uuid) over (partition by frame_type, sig, q_value, q_unit, q_operator) as canon from facts join sg on src = uuid")
-def _(spark, d):
-    return dedup.link_chain(g(spark, d, "facts"), g(spark, d, "entities"), g(spark, d, "edges")).select("uuid", "canon")
-
-
 @query("s_upsert_facts", oracle("facts") + "select uuid, case when year = 1995 then q_value + 1 else q_value end as q_value, q_unit, q_operator from facts")
 def _(spark, d):
     f = g(spark, d, "facts")
@@ -565,17 +603,6 @@ def _(spark, d):
     return retrieval.anchors(graph.link_mentions(asked(spark), g(spark, d, "entities")), near)
 
 
-_BY = "by_q as (select uuid, row_number() over (order by q_value desc, uuid) - 1 as pos from facts), by_y as (select uuid, row_number() over (order by year desc, uuid) - 1 as pos from facts), fused as (select uuid as id, sum(1.0 / (60 + pos)) as rrf from (select * from by_q where pos < 25 union all select * from by_y where pos < 25) group by 1)"
-
-
-@query("r_rank", oracle("edges", "entities", "facts") + f", {MEMBERS}, {ASK_SQL}, {LINKED}, o as (select fact, count(distinct entity) as overlap from members where entity in (select entity from anchors) group by fact), {_BY} select coalesce(id, fact) as id, coalesce(overlap, 0)::bigint as overlap, round(coalesce(rrf, 0), 6) as rrf from fused full join o on id = fact order by overlap desc, rrf desc, id limit 8")
-def _(spark, d):
-    f = g(spark, d, "facts").select(F.col("uuid").alias("id"), "q_value", "year")
-    first = lambda c: f.orderBy(F.desc(c), "id").limit(25).select("id", (F.row_number().over(Window.orderBy(F.desc(c), "id")) - 1).alias("pos"))
-    over = retrieval.overlap(members(spark, d), graph.link_mentions(asked(spark), g(spark, d, "entities")))
-    return retrieval.rank(retrieval.fuse(first("q_value").union(first("year"))), over, 8).select("id", "overlap", F.round("rrf", 6).alias("rrf"))
-
-
 @query("r_vsearch", "select vec_id as id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 5)), 6) as score from embeddings where label = (select label from embeddings where vec_id = 5) order by score desc, id limit 12")
 def _(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
@@ -593,17 +620,16 @@ def _(spark, d):
     return retrieval.first(retrieval.round_robin(_lists(spark, d)), 3).select("id", F.col("pos").cast("long").alias("pos"))
 
 
-# streaming operators on tables
-
-
-@query("x_trace_windows", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as cost from events group by 1, 2")
-def _(spark, d):
-    return stream.trace(table(spark, d, "events"))
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return queries()["r_retrieve"](spark, d)
 
 
 def queries() -> dict[str, Query]:
+    from factloom.plans import answers, explorer, knowledge, reading, streams  # noqa: F401  they add their queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

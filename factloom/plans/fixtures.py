@@ -37,6 +37,25 @@ select {_ID} as chunk, '0' as ord, cast(l_orderkey as string) as paper_ref,
   concat('Maker ', cast(l_suppkey as string)) as mention, case when l_suppkey % 2 = 0 then 'Person' else 'Mood' end as mention_type,
   case when l_linenumber <> 3 then concat('Line ', cast(l_linenumber as string)) end as statement, case when l_linenumber <> 3 then l_linenumber = 4 end as negated
 from lineitem""",
+    # the explorer's graph
+    "xnodes": f"""
+select concat('m', cast(p_partkey as string)) as node, 'Material' as kind, p_name as label, case when p_partkey % 3 = 0 then p_name end as name, cast(null as string) as statement, case p_partkey % 5 when 0 then 'RU' when 1 then 'world' when 2 then 'RU+world' when 3 then '' end as geography,
+  concat('pub_', substr('abcdefgh', cast(p_partkey % 8 as int) + 1, 1), cast(p_partkey as string)) as source, false as is_gap, case when p_partkey % 2 = 0 then cast(p_size as double) end as low, case when p_partkey % 2 = 0 then cast(p_size + 9 as double) end as high, cast(p_size as double) as value from part
+union all select distinct concat('p:', p_type), 'Process', p_type, cast(null as string), cast(null as string), 'RU', '', false, cast(null as double), cast(null as double), cast(null as double) from part
+union all select distinct concat('c:', o_orderpriority), 'Condition', o_orderpriority, cast(null as string), cast(null as string), '', '', false, cast(null as double), cast(null as double), cast(null as double) from orders
+union all select concat('f', cast(s_suppkey as string)), 'Facility', s_name, s_name, cast(null as string), 'world', cast(null as string), false, cast(null as double), cast(null as double), s_acctbal from supplier
+union all select concat('x', cast(c_custkey as string)), 'Expert', c_name, c_name, cast(null as string), cast(null as string), '', false, cast(null as double), cast(null as double), cast(null as double) from customer
+union all select concat('pub_', substr('abcdefgh', cast(doc_id % 8 as int) + 1, 1), cast(doc_id as string)), 'Publication', source, source, cast(null as string), '', '', false, cast(null as double), cast(null as double), cast(null as double) from documents
+union all select {_ID}, 'Finding', '', cast(null as string), concat('Order ', cast(l_orderkey as string), ' took ', cast(cast(l_quantity as int) as string), ' of part ', cast(l_partkey as string)), case when l_linenumber = 1 then 'RU' when l_linenumber = 2 then 'world' end, '', l_linenumber = 7, cast(null as double), cast(null as double), l_quantity from lineitem""",
+    "xedges": f"""
+select {_ID} as src, concat('m', cast(l_partkey as string)) as dst, 'USES_MATERIAL' as type from lineitem
+union all select {_ID}, concat('p:', p_type), 'APPLIES_TO' from lineitem join part on l_partkey = p_partkey
+union all select {_ID}, concat('c:', o_orderpriority), 'OPERATES_AT_CONDITION' from lineitem join orders on l_orderkey = o_orderkey where l_linenumber % 2 = 1
+union all select {_ID}, concat('pub_', substr('abcdefgh', cast(doc_id % 8 as int) + 1, 1), cast(doc_id as string)), 'DESCRIBED_IN' from lineitem join documents on l_orderkey = doc_id
+union all select concat('m', cast(p_partkey as string)), concat('c:', o_orderpriority), 'OPERATES_AT_CONDITION' from part join (select min(o_orderpriority) as o_orderpriority from orders) on p_partkey % 50 = 1
+union all select concat('pub_', substr('abcdefgh', cast(doc_id % 8 as int) + 1, 1), cast(doc_id as string)), concat('x', cast(doc_id % 97 + 1 as string)), 'AUTHORED_BY' from documents
+union all select concat('x', cast(c_custkey as string)), concat('f', cast(c_custkey % 10 + 1 as string)), 'WORKS_AT' from customer where c_custkey % 3 = 0
+union all select concat('m', cast(p_partkey as string)), concat('m', cast(p_partkey + 1 as string)), 'CONTRADICTS' from part where p_partkey % 10 = 4""",
 }
 
 
@@ -49,9 +68,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """facts, entities or edges."""
+    """A view by name; its tables are read from the folder."""
     sql, tables = VIEWS[name], {}
-    for t in ("lineitem", "supplier", "nation", "part"):
+    for t in ("lineitem", "supplier", "nation", "part", "orders", "customer", "documents"):
         if f" {t}" in sql:
             tables[t] = table(spark, sf_dir, t)
             for word in ("from", "join"):

@@ -41,12 +41,13 @@ def _(spark, d):
     return structure.references(table(spark, d, "documents").select("doc_id", t.alias("text")))
 
 
-@query("t_regions", "with d as (select doc_id, length(text) as n from documents where length(text) >= 60) select doc_id, unnest([5, 10, 20, 25, 30]) as start, unnest([10, 20, 25, 30, n]) as \"end\", unnest([null, 'a', 'b', null, 'c']) as ref from d")
+@query("t_regions", "with d as (select doc_id, length(text) + 60 as n from documents) select doc_id, unnest([5, 10, 20, 25, 30]) as start, unnest([10, 20, 25, 30, n]) as \"end\", unnest([null, 'a', 'b', null, 'c']) as ref from d where n is not null")
 def _(spark, d):
+    """Each text with sixty characters before it."""
     atom = lambda s, e, r: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit(r).alias("ref"))
-    n = F.char_length("text")
+    n = F.char_length("text") + 60
     atoms = F.array(atom(F.lit(30), n + 9, "c"), atom(F.lit(10), F.lit(20), "a"), atom(F.lit(15), F.lit(25), "b"), atom(F.lit(0), F.lit(5), "z"))
-    docs = table(spark, d, "documents").where(n >= 60).select("doc_id", structure.regions(F.lit(5), n, atoms).alias("r"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", structure.regions(F.lit(5), n, atoms).alias("r"))
     return docs.select("doc_id", F.explode("r").alias("x")).select("doc_id", "x.start", "x.end", "x.ref")
 
 
@@ -69,7 +70,10 @@ def _frames(spark, d):
     about = F.array(F.struct(F.col("mention"), F.col("mention_type").alias("type")), F.struct(F.lit(" ").alias("mention"), F.lit("Material").alias("type")))
     rels = F.array(F.struct(F.col("material").alias("src"), F.lit("drives").alias("rel"), F.col("location").alias("dst")), F.struct(none.alias("src"), F.lit("x").alias("rel"), F.lit("y").alias("dst")))
     slots = F.create_map(F.lit("material"), "material", F.lit("process"), "process", F.lit("location"), "location", F.lit("mood"), "mention")
-    return g(spark, d, "frames").select("chunk", "ord", "paper_ref", "frame_type", slots.alias("slots"), about.alias("about"), rels.alias("open_edges"), "statement", "negated")
+    n = F.char_length("material")
+    quantity = F.struct(n.cast("double").alias("value"), F.lit("mm").alias("unit"), F.lit("~").alias("operator"), *[none.cast("double").alias(c) for c in ("uncertainty", "lower", "upper")], none.alias("raw"))
+    more = (F.lit("table").alias("source"), n.alias("year"), F.when(n % 2 == 0, quantity).alias("quantity"))
+    return g(spark, d, "frames").select("chunk", "ord", "paper_ref", "frame_type", slots.alias("slots"), about.alias("about"), rels.alias("open_edges"), "statement", "negated", *more)
 
 
 _TYPED = "t as (select *, case when frame_type = 'Rumour' then 'ClaimFact' else frame_type end as ft from frames)"
@@ -86,9 +90,21 @@ def _(spark, d):
     return extraction.slot_table(spark)
 
 
-@query("x_build_facts", oracle("frames") + f", {_TYPED} select sha1(concat_ws('|', chunk, ord)) as uuid, ft as frame_type, statement, material as anchor from t")
+@query("x_build_facts", oracle("frames") + f", {_TYPED} select sha1(concat_ws('|', chunk, ord)) as uuid, ft as frame_type, paper_ref, statement, material as anchor, coalesce(negated, false) as negated, 'table' as source, length(material)::int as year, case when length(material) % 2 = 0 then length(material)::double end as value, case when length(material) % 2 = 0 then 'mm' end as unit, 'unverified' as status from t")
 def _(spark, d):
-    return extraction.build(extraction.clean(_frames(spark, d)))[0].select("uuid", "frame_type", "statement", "anchor")
+    f = extraction.build(extraction.clean(_frames(spark, d)))[0]
+    return f.select("uuid", "frame_type", "paper_ref", "statement", "anchor", "negated", "source", "year", "quantity.value", "quantity.unit", "status")
+
+
+@query("x_provenance", r'''with d as (select doc_id, 'About  it:' || chr(10) || text as raw from documents where text is not null), w as (select doc_id, raw, string_split(trim(regexp_replace(raw, '\s+', ' ', 'g')), ' ') as ws from d), r as (select doc_id, raw, array_to_string(ws[3:5], ' ') as anchor, list_aggregate(list_transform(ws[3:5], lambda x: regexp_escape(x)), 'string_agg', '\s+') as a from w), m as (select doc_id, raw, case when doc_id % 4 = 0 then 'nowhere' else anchor end as anchor, case when doc_id % 4 > 0 and anchor <> '' then regexp_extract(raw, a) end as hit from r) select 'f' || doc_id as uuid, sha1(raw) as text_hash, case when coalesce(hit, '') = '' then 3 else instr(raw, hit) - 1 end::int as start, case when coalesce(hit, '') = '' then 9 else instr(raw, hit) - 1 + length(hit) end::int as "end", nullif(anchor, '') as anchor from m''')
+def _(spark, d):
+    """Words 3 to 5 of a text are its fact's anchor; every fourth fact's stands nowhere, and the chunk's span is taken."""
+    raw = F.concat(F.lit("About  it:\n"), "text")
+    papers = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("paper_ref"), F.lit("").alias("title"), raw.alias("raw_text"))
+    words = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("raw_text", r"(?U)\s+", " ")), " "), 3, 3), " ")
+    facts = papers.select(F.concat(F.lit("f"), "paper_ref").alias("uuid"), "paper_ref", F.col("paper_ref").alias("chunk"), F.when(F.col("paper_ref") % 4 == 0, "nowhere").otherwise(words).alias("anchor"))
+    chunks = papers.select(F.col("paper_ref").alias("chunk"), F.lit(3).alias("start"), F.lit(9).alias("end"))
+    return extraction.provenance(facts, chunks, papers).select("uuid", "text_hash", "start", "end", "anchor")
 
 
 @query("x_build_entities", oracle("frames") + rf", {_MENTIONED} select sha1(concat_ws('|', fact, place)) as uuid, type, trim(mention) as canonical_name, type || ':' || regexp_replace(lower(trim(mention)), '\s+', '-', 'g') as entity_key from mm")
@@ -105,15 +121,17 @@ def _chunks(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk"), F.when(F.col("doc_id") % 5 == 0, "other").when(F.col("doc_id") % 5 == 1, "method").alias("role_hint"), F.when(F.col("doc_id") % 3 == 0, "tbl-0").alias("atomic_ref"), F.lit(100).alias("start"), (F.char_length("text") + 100).alias("end"), "text")
 
 
-@query("x_s3", "select l.doc_id as chunk, quality, case when l.doc_id % 3 = 0 then 'table' else 'text' end as source from labels l join documents d on l.doc_id = d.doc_id where l.doc_id % 5 <> 0")
+@query("x_s3", "select l.doc_id as chunk, quality, case when l.doc_id % 3 = 0 then 'table' else 'text' end as source, case when quality = 1 then 'MaterialMeasurement' else 'ClaimFact' end as frame_type from labels l join documents d on l.doc_id = d.doc_id where l.doc_id % 5 <> 0 and (l.doc_id % 3 > 0 or quality = 1)")
 def _(spark, d):
-    return extraction.frames_of(_chunks(spark, d), table(spark, d, "labels").select(F.col("doc_id").alias("chunk"), "quality")).select("chunk", "quality", "source")
+    told = table(spark, d, "labels").select(F.col("doc_id").alias("chunk"), "quality", F.when(F.col("quality") == 1, "MaterialMeasurement").otherwise("ClaimFact").alias("frame_type"))
+    return extraction.frames_of(_chunks(spark, d), told).select("chunk", "quality", "source", "frame_type")
 
 
-@query("x_roles", "with d as (select doc_id, text, length(text) as n, text[11:30] as a, case when doc_id % 7 = 1 then 'no such passage' else text[11:30] end as anchor from documents), p as (select *, case when anchor <> '' then instr(text, anchor) else 0 end as pos from d) select doc_id || '-u0' as unit_id, doc_id as chunk, case when doc_id % 3 <> 0 and doc_id % 2 = 0 and pos > 0 then 99 + pos else 100 end::int as start, case when doc_id % 3 <> 0 and doc_id % 2 = 0 and pos > 0 then 99 + pos + length(anchor) else 100 + n end::int as \"end\", case when doc_id % 3 = 0 then 'result' when doc_id % 2 = 0 then 'claim' else 'other' end as role, case when doc_id % 3 = 0 then 0.5 when doc_id % 2 = 0 then 0.9 else 0.0 end::double as confidence from p where text is not null")
+@query("x_roles", r'''with d as (select doc_id, text, length(text) as n, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as ws from documents where text is not null), p as (select *, array_to_string(ws[3:6], ' ') as anchor, list_aggregate(list_transform(ws[3:6], lambda x: regexp_escape(x)), 'string_agg', '\s+') as a from d), h as (select *, case when doc_id % 3 > 0 and doc_id % 2 = 0 and doc_id % 7 <> 1 and anchor <> '' then regexp_extract(text, a) end as hit from p) select doc_id || '-u0' as unit_id, doc_id as chunk, case when coalesce(hit, '') = '' then 100 else 99 + instr(text, hit) end::int as start, case when coalesce(hit, '') = '' then 100 + n else 99 + instr(text, hit) + length(hit) end::int as "end", case when doc_id % 3 = 0 then 'result' when doc_id % 2 = 0 then 'claim' else 'other' end as role, case when doc_id % 3 = 0 then 0.5 when doc_id % 2 = 0 then 0.9 else 0.0 end::double as confidence from h''')
 def _(spark, d):
-    anchor = F.when(F.col("doc_id") % 7 == 1, "no such passage").otherwise(F.substring("text", 11, 20))
-    tags = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk"), F.lit(0).alias("ord"), anchor.alias("anchor"), F.lit("claim").alias("role"), F.lit(0.9).alias("confidence"))
+    """Words 3 to 6 with single blanks between them are the anchors, whatever stands between them in the text."""
+    words = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " "), 3, 4), " ")
+    tags = table(spark, d, "documents").where("doc_id % 2 = 0 and text is not null").select(F.col("doc_id").alias("chunk"), F.lit(0).alias("ord"), F.when(F.col("doc_id") % 7 == 1, "no such passage").otherwise(words).alias("anchor"), F.lit("claim").alias("role"), F.lit(0.9).alias("confidence"))
     return extraction.units(_chunks(spark, d).where("text is not null"), tags)
 
 
@@ -172,6 +190,53 @@ def _(spark, d):
     return resolution.stitch(c.select("claim", "measurement"), c.where("q_value > 25").select("claim", "measurement"))
 
 
+# the whole chain: entities by key, places by pairs, PART_OF between places, one relation named; conflicts whose first fact's id is below
+# 8 have a verdict, and measurements with such ids support claims
+
+_S4 = """, k as (select uuid as old, min(uuid) over (partition by entity_key) as one from entities),
+mp as (select old, case when one[1:1] = 'l' then 'l' || (substr(one, 2)::int // 2 * 2) else one end as canon from k),
+e2 as (select coalesce(a.canon, src) as src, coalesce(b.canon, dst) as dst, case when type = 'VIA_PROCESS' then 'AFFECTS' else type end as type from edges left join mp a on a.old = src left join mp b on b.old = dst),
+e3 as materialized (select * from e2 union all select distinct x.canon, y.canon, 'PART_OF' from nation n join mp x on x.old = 'l' || n_nationkey join mp y on y.old = 'l' || (n_nationkey + 2) where x.canon <> y.canon),
+sg as (select src, string_agg(distinct dst, ',' order by dst) as sig from e3 where type not in ('SUPPORTED_BY', 'CONTRADICTED_BY', 'SUBTYPE_OF', 'PART_OF') group by 1),
+sf as materialized (select f.*, sig, min(uuid) over (partition by frame_type, sig, q_value, q_unit, q_operator) as canon from facts f join sg on src = uuid),
+rep as materialized (select *, count(*) over (partition by frame_type, sig) as n, min(uuid) over (partition by frame_type, sig) as group_id, row_number() over (partition by frame_type, sig order by uuid) - 1 as id from sf where uuid = canon),
+gone as materialized (select uuid from sf where uuid <> canon union select uuid from rep where n >= 2 and group_id < '8' and id = 1),
+con as materialized (select uuid, group_id, id from rep where n >= 2 and group_id >= '8'),
+kept as materialized (select uuid, frame_type, paper_ref, case when uuid in (select uuid from con) then 'contested' else status end as status from facts where uuid not in (select uuid from gone)),
+e4 as materialized (select * from e3 where src not in (select uuid from gone) and dst not in (select uuid from gone) union all select group_id, uuid, 'CONTRADICTED_BY' from con where id > 0),
+sup as (select distinct c.uuid as src, m.uuid as dst from kept c join kept m on c.paper_ref = m.paper_ref and c.frame_type in ('ClaimFact', 'HypothesisFact') and m.frame_type = 'MaterialMeasurement' join e4 a on a.src = c.uuid join e4 b on b.src = m.uuid and a.dst = b.dst where m.uuid < '8')"""
+
+
+def _s4(spark, d):
+    f, e, x = g(spark, d, "facts"), g(spark, d, "entities"), g(spark, d, "edges")
+    via = F.col("type") == "VIA_PROCESS"
+    open_ = x.select("src", "dst", F.when(via, "OPEN").otherwise(F.col("type")).alias("type"), F.when(via, "via").alias("rel"), F.when(via, "by way of").alias("rel_def"))
+    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    places = n.select(F.lit("Location").alias("grp"), F.floor(k / 2).cast("long").alias("cluster"), (k % 2).cast("long").alias("pos"), F.col("n_name").alias("name"))
+    above = n.select((k - 2).alias("below"), F.col("n_name").alias("parent"))
+    relations = n.join(above, k == F.col("below")).select(F.lit("Location").alias("grp"), F.col("n_name").alias("child"), "parent", F.lit("part_of").alias("rel"))
+    answered = f.where("uuid < '8'").select(F.col("uuid").alias("group_id"))
+    lists = answered.select("group_id", F.lit("duplicates").alias("kind"), F.lit(0).alias("list"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")).withColumn("id", F.col("pos"))
+    claims = f.where("frame_type in ('ClaimFact', 'HypothesisFact')").select(F.col("uuid").alias("claim"), "paper_ref")
+    approved = claims.join(f.where("frame_type = 'MaterialMeasurement' and uuid < '8'").select(F.col("uuid").alias("measurement"), "paper_ref"), "paper_ref").select("claim", "measurement")
+    return dedup.link_chain(f, e, open_, places, relations, spark.createDataFrame([("via", "AFFECTS")], "rel string, core_type string"), answered, lists, approved)
+
+
+@query("g_s4", oracle("entities", "edges", "facts") + f"{_S4} select uuid, frame_type, status from kept")
+def _(spark, d):
+    return _s4(spark, d)[0].select("uuid", "frame_type", "status")
+
+
+@query("g_s4_entities", oracle("entities", "edges", "facts") + f"{_S4} select canon as uuid, max(canonical_name) filter (where old = canon) as canonical_name, coalesce(string_agg(distinct canonical_name, '|' order by canonical_name) filter (where canonical_name <> (select canonical_name from entities c where c.uuid = canon)), '') as aliases from mp join entities on uuid = old group by canon")
+def _(spark, d):
+    return _s4(spark, d)[1].select("uuid", "canonical_name", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("g_s4_edges", oracle("entities", "edges", "facts") + f"{_S4} select src, dst, type from e4 union all select src, dst, 'SUPPORTED_BY' from sup")
+def _(spark, d):
+    return _s4(spark, d)[2].select("src", "dst", "type")
+
+
 # concepts
 
 _NEAR = "select item, concept, score, row_number() over (partition by item order by score desc, concept) - 1 as pos from (select a.vec_id as item, b.vec_id as concept, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as score from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 20 = 0) where score >= 0.1"
@@ -200,13 +265,40 @@ def _(spark, d):
     return concepts.components(k, pairs)
 
 
-@query("c_canopy", oracle("entities") + ", h as (select *, min(uuid) over (partition by entity_key) as comp from entities) select uuid as entity, case when comp = 'l3' then 'l1' else comp end as concept from h where type <> 'Facility'")
+# Near entities are embeddings of one label: canopies at 0.25 and clusters at 0.3. A speaker whose number is divisible by 3 is answered with the
+# nearest earlier one; names with two quantities found nothing.
+
+_ITEMS = "it as (select vec_id as id, label as type, embedding::double[] as e, case when vec_id % 11 = 0 then '5 W at 6 nm' else 'name ' || vec_id end as name from embeddings)"
+_PAIRED = "np as materialized (select a.id as a, b.id as b, list_cosine_similarity(a.e, b.e) as s from it a join it b on a.type = b.type and a.id < b.id where list_cosine_similarity(a.e, b.e) >= 0.25)"
+_CLUSTERED = "cr(a, b) as (select a, b from np where s >= 0.3 union select b, a from np where s >= 0.3 union select cr.a, p.y from cr join (select a as x, b as y from np where s >= 0.3 union select b, a from np where s >= 0.3) p on cr.b = p.x), cl as materialized (select id as node, least(id, coalesce(min(b), id)) as comp from it left join cr on cr.a = id group by id)"
+_FOUND = "hd as (select id, name from it join cl on id = node where node = comp), an as (select b as id, max(a) as told from np where b % 3 = 0 group by 1), st(id, told, fit, k) as (select hd.id, an.told, name not like '5 W%', row_number() over (order by hd.id) from hd left join an on an.id = hd.id), run(k, founds, placed) as (select 0::bigint, []::bigint[], []::bigint[][] union all select st.k, case when (told is null or not list_contains(founds, told)) and fit then list_append(founds, st.id) else founds end, case when told is not null and list_contains(founds, told) then list_append(placed, [st.id, told]) else placed end from run join st on st.k = run.k + 1), fin as (select founds, placed from run order by k desc limit 1), pl as materialized (select unnest(founds) as id, unnest(founds) as concept from fin union all select p[1], p[2] from (select unnest(placed) as p from fin))"
+
+
+def _items(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("type"), "embedding")
+
+
+def _found(spark, d):
+    items = _items(spark, d)
+    _, clusters, near = concepts.canopies(items, 0.25, 0.3)
+    named = items.select(F.col("id").alias("uuid"), "type", F.when(F.col("id") % 11 == 0, "5 W at 6 nm").otherwise(F.concat(F.lit("name "), "id")).alias("canonical_name"))
+    told = near.where("b % 3 = 0").groupBy(F.col("b").alias("item")).agg(F.max("a").alias("concept"))
+    return concepts.found_concepts(named, clusters, told, near)
+
+
+@query("c_canopy", f"with recursive {_ITEMS}, {_PAIRED}, {_CLUSTERED}, {_FOUND} select node as entity, concept from cl join pl on pl.id = comp")
 def _(spark, d):
-    e = g(spark, d, "entities")
-    named = e.withColumn("canonical_name", F.when(F.col("type") == "Facility", "5 W at 6 nm").otherwise(F.col("canonical_name")))
-    told = spark.createDataFrame([("l3", "l1")], "item string, concept string")
-    clusters = dedup.key_merge(e).select(F.col("old").alias("node"), F.col("canon").alias("comp"))
-    return concepts.found_concepts(named, clusters, told)[1]
+    return _found(spark, d)[1]
+
+
+@query("c_new", f"with recursive {_ITEMS}, {_PAIRED}, {_CLUSTERED}, {_FOUND} select pl.id as concept, name, type from pl join it on it.id = pl.id where pl.id = pl.concept")
+def _(spark, d):
+    return _found(spark, d)[0]
+
+
+@query("c_canopies", f"with recursive {_ITEMS}, {_PAIRED}, cr(a, b) as (select a, b from np union select b, a from np union select cr.a, p.y from cr join (select a as x, b as y from np union select b, a from np) p on cr.b = p.x) select id as node, least(id, coalesce(min(b), id)) as comp from it left join cr on cr.a = id group by id")
+def _(spark, d):
+    return concepts.canopies(_items(spark, d), 0.25, 0.3)[0]
 
 
 @query("c_maturity", oracle("facts") + ", r as (select supp, uuid, frame_type, row_number() over (partition by supp order by uuid) as r from facts), s as (select supp, count(*) as n, max(frame_type) filter (where r = 1) as a, max(frame_type) filter (where r = 2) as b, max(frame_type) filter (where r = 3) as c from r group by supp), t as (select supp, n, c, case when b is null or contains(a, b) then a else a || ' | ' || b end as ab from s) select supp as concept, n, case when c is null or contains(ab, c) then ab else ab || ' | ' || c end as context, n >= 3 as mature from t")
@@ -245,6 +337,51 @@ def _(spark, d):
     return concepts.merge(t, t.where("child % 7 = 0").select(F.col("child").alias("dup"), (F.col("child") - 1).alias("keep")))
 
 
+# Parts are concepts in a chain by their numbers' halves; those that end on 3 are the same as the one before, those that end on 4 the same as
+# the one before (which has gone), those that end on 5 below the one before (which stays or not), and those that end on 6 above their half.
+
+_VERDICTS = "ans as (select p_partkey as concept, case p_partkey % 10 when 6 then p_partkey // 2 else p_partkey - 1 end as other, case p_partkey % 10 when 3 then 'same' when 4 then 'same' when 5 then 'parent' else 'child' end as rel from part where p_partkey % 10 between 3 and 6 and p_partkey > 6), dup as (select concept as dup, other as keep from ans where concept % 10 = 3)"
+_MAPPED = "kept as (select distinct coalesce(a.keep, child) as child, coalesce(b.keep, parent) as parent from tree left join dup a on a.dup = child left join dup b on b.dup = parent where coalesce(a.keep, child) <> coalesce(b.keep, parent))"
+
+
+def _hierarchy(spark, d):
+    k = F.col("p_partkey")
+    p = table(spark, d, "part")
+    known = p.select(k.alias("concept"), F.lit(3).cast("long").alias("n"), F.lit(False).alias("done"))
+    digit = k % 10
+    answers = p.where(digit.between(3, 6) & (k > 6)).select(k.alias("concept"), F.when(digit == 6, F.expr("p_partkey div 2")).otherwise(k - 1).alias("other"), F.when(digit <= 4, "same").when(digit == 5, "parent").otherwise("child").alias("rel"))
+    return concepts.hierarchy(known, _tree(spark, d), p.select(F.concat(F.lit("e"), k).alias("entity"), k.alias("concept")), answers)
+
+
+# a concept ending on 4 names one that went before its turn: it stays; one ending on 5 is below it; one ending on 6 would be above its half,
+# which is above it already, so that closes a cycle
+
+
+@query("c_hierarchy", f"with {_TREE}, {_VERDICTS}, {_MAPPED}, added as (select concept as child, other as parent from ans where rel = 'parent') select child, parent from (select * from kept union select * from added) e where not exists (select 1 from added a join added b on a.parent = b.child where a.child = e.child and b.parent = e.parent)")
+def _(spark, d):
+    return _hierarchy(spark, d)[1]
+
+
+@query("c_hierarchy_instances", f"with {_TREE}, {_VERDICTS} select 'e' || p_partkey as entity, coalesce(keep, p_partkey) as concept from part left join dup on dup = p_partkey")
+def _(spark, d):
+    return _hierarchy(spark, d)[2]
+
+
+@query("c_hierarchy_concepts", f"with {_TREE}, {_VERDICTS} select p_partkey as concept, 1 + count(dup) as n, true as done from part left join dup on keep = p_partkey where p_partkey not in (select dup from dup) group by 1")
+def _(spark, d):
+    return _hierarchy(spark, d)[0].select("concept", "n", "done")
+
+
+@query("c_persist", f"with {_TREE}, {_VERDICTS} select 'e' || p_partkey as src, 'c' || coalesce(keep, p_partkey) as dst, 'INSTANCE_OF' as type from part left join dup on dup = p_partkey union all select distinct 'c' || child, 'c' || parent, 'SUBTYPE_OF' from tree")
+def _(spark, d):
+    i = _hierarchy(spark, d)[2]
+    c = lambda x: F.concat(F.lit("c"), x)
+    t = _tree(spark, d)
+    none = i.select("concept", F.lit("").alias("name"), F.lit("").alias("type"), F.lit("").alias("context"), F.lit(1).alias("n"), F.lit(True).alias("mature"), F.lit(True).alias("done"))
+    twice = t.union(t).select(c(F.col("child")).alias("child"), c(F.col("parent")).alias("parent"))
+    return concepts.rows_to_persist(none, i.select("entity", c(F.col("concept")).alias("concept")), twice)[1].drop("rel")
+
+
 # explorer
 
 _TOKENS = ["ring", "nation_1", "order 7 "]

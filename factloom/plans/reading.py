@@ -34,31 +34,13 @@ def _(spark, d):
     return sections.chunks(table(spark, d, "documents"), 60, 6)
 
 
-@query("t_blend", "select vec_id, round(0.7 * embedding[1] / sqrt(list_inner_product(embedding::double[], embedding::double[])) + 0.3 * embedding[2] / sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as b from embeddings")
+@query("t_blend", "with v as (select vec_id, embedding::double[] as e, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings) select vec_id, (generate_subscripts(e, 1) - 1)::int as i, round(0.7 * unnest(e) / n + 0.3 * unnest(list_concat(e[2:], e[:1])) / n, 6) as b from v")
 def _(spark, d):
+    """Each vector with itself turned by one place stands for a name and its context."""
     e = F.col("embedding").cast("array<double>")
     turned = F.concat(F.slice(e, 2, 1000), F.slice(e, 1, 1))
-    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.blend(e, turned)[0], 6).alias("b"))
-
-
-@query("r_trace_nodes", oracle("facts", "edges", "entities") + "select 'f:' || uuid as id, 'Fact' as kind, statement[:90] as label from facts where paper_ref in ('7', '8') union select 'e:' || n.canonical_name, min(n.type), n.canonical_name from edges e join facts f on e.src = f.uuid join entities n on e.dst = n.uuid where f.paper_ref in ('7', '8') group by n.canonical_name")
-def _(spark, d):
-    return graph.trace(g(spark, d, "facts").where("paper_ref in ('7', '8')"), graph.participants(g(spark, d, "edges"), g(spark, d, "entities")))[0]
-
-
-@query("r_trace_edges", oracle("facts", "edges", "entities") + "select distinct 'f:' || f.uuid as src, 'e:' || n.canonical_name as dst from edges e join facts f on e.src = f.uuid join entities n on e.dst = n.uuid where f.paper_ref in ('7', '8')")
-def _(spark, d):
-    return graph.trace(g(spark, d, "facts").where("paper_ref in ('7', '8')"), graph.participants(g(spark, d, "edges"), g(spark, d, "entities")))[1]
-
-
-@query("a_filter", oracle("entities") + "select uuid from entities where type in ('Location', 'Facility')")
-def _(spark, d):
-    return g(spark, d, "entities").where(F.col("type").isin("Location", "Facility")).select("uuid")
-
-
-@query("a_neighbors", oracle("edges") + "select node, other, type from (select *, row_number() over (partition by node order by other) as r from (select node, other, max(type) as type from (select src as node, dst as other, type from edges union all select dst, src, type from edges) group by 1, 2)) where r <= 30")
-def _(spark, d):
-    return graph.neighbors(graph.adjacency(g(spark, d, "edges")))
+    both = table(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.blend(e, turned)).alias("i", "b"))
+    return both.select("vec_id", "i", F.round("b", 6).alias("b"))
 
 
 @query("a_contradictions", oracle("facts") + "select a, b, sa[:180] as left_text, sb[:180] as right_text from (select uuid as a, statement as sa, lead(uuid) over w as b, lead(statement) over w as sb from facts where status = 'contested' window w as (partition by paper_ref order by uuid)) where b is not null")
@@ -82,10 +64,10 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", text.cluster(F.when(k % 3 == 0, F.concat(F.lit("pub_"), letter, k)).otherwise("n"), F.when(k % 3 == 1, F.concat(F.lit("see pub_"), letter, F.lit("7")))).alias("folder"))
 
 
-@query("t_hash_embed", "with b as (select p_partkey, [('0x' || sha256(lower(trim(p_name)))[2 * i + 1 : 2 * i + 2])::int / 255.0::double for i in range(32)] as v from part) select p_partkey, round(v[1] / sqrt(2 * list_sum([x * x for x in v])), 6) as first, round(v[32] / sqrt(2 * list_sum([x * x for x in v])), 6) as last from b")
+@query("t_hash_embed", "with b as (select p_partkey, [('0x' || sha256(lower(trim(p_name)))[2 * i + 1 : 2 * i + 2])::int / 255.0::double for i in range(32)] as v from part) select p_partkey, unnest(range(64))::int as i, round(unnest(list_concat(v, v)) / sqrt(2 * list_sum([x * x for x in v])), 6) as x from b")
 def _(spark, d):
-    v = table(spark, d, "part").select("p_partkey", vectors.hash_embedding(F.col("p_name")).alias("v"))
-    return v.select("p_partkey", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"))
+    v = table(spark, d, "part").select("p_partkey", F.posexplode(vectors.hash_embedding(F.col("p_name"))).alias("i", "x"))
+    return v.select("p_partkey", "i", F.round("x", 6).alias("x"))
 
 
 @query("v_apply", oracle("facts") + "select uuid, case when year = 1995 then 'verified' else status end as status, year = 1995 or v_checked as v_checked from facts")

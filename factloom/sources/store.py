@@ -6,16 +6,19 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom import vocab
+
 _local: dict[str, str] = {}
 
 
 def upsert(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """The newest row of each key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(seq)))
+    """The newest row of each key; of equally new ones the last by its text. A task keeps its best row of a key before it shuffles."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(seq), F.desc(F.to_json(F.struct(*df.columns)))))
     return df.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
@@ -25,9 +28,49 @@ def flatten_quantity(facts: DataFrame) -> DataFrame:
 
 
 def upsert_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of which both ends (node) exist, once each."""
+    """Edges of which both ends (node) exist, once for each source, target, type and relation (`rel`, null as empty, where edges have it)."""
     ok = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return ok.dropDuplicates(["src", "dst", "type"])
+    if "rel" in edges.columns:
+        ok = ok.withColumn("rel", F.coalesce("rel", F.lit("")))
+    return ok.dropDuplicates([c for c in ("src", "dst", "type", "rel") if c in edges.columns])
+
+
+def scalar_props(props: Column) -> Column:
+    """A map of JSON values without those that are no text, number or boolean."""
+    return F.map_filter(props, lambda k, v: v.rlike(r'^(".*"|-?[0-9].*|true|false)$'))
+
+
+def in_graph(rows: DataFrame, graph_id: str | None) -> DataFrame:
+    """Rows of one graph, where they carry graph_id; all of them for none."""
+    return rows if graph_id is None or "graph_id" not in rows.columns else rows.where(F.col("graph_id") == graph_id)
+
+
+def all_entities(entities: DataFrame, graph_id: str | None = None) -> DataFrame:
+    """(uuid, canonical_name, type, aliases) of a graph's entities of known types; a null name is empty, null aliases are none."""
+    aliases = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in entities.columns else F.array().cast("array<string>")
+    return in_graph(entities, graph_id).where(F.col("type").isin(vocab.ENTITY_TYPES)).select("uuid", F.coalesce("canonical_name", F.lit("")).alias("canonical_name"), "type", aliases.alias("aliases"))
+
+
+def all_facts(facts: DataFrame, graph_id: str | None = None) -> DataFrame:
+    """(uuid, statement, frame_type, paper_ref, status, year, quantity) of a graph's facts; without value and raw text no quantity."""
+    some = F.col("q_value").isNotNull() | F.coalesce(F.col("q_raw") != "", F.lit(False))
+    quantity = F.when(some, F.struct(F.col("q_value").alias("value"), F.col("q_unit").alias("unit"), F.col("q_operator").alias("operator"), F.col("q_raw").alias("raw")))
+    return in_graph(facts, graph_id).select("uuid", F.coalesce("statement", F.lit("")).alias("statement"), "frame_type", "paper_ref", "status", "year", quantity.alias("quantity"))
+
+
+def all_edges(edges: DataFrame, graph_id: str | None = None) -> DataFrame:
+    """(src, dst, type) of a graph's edges."""
+    return in_graph(edges, graph_id).select("src", "dst", "type")
+
+
+def paper_subgraph(facts: DataFrame, paper_ref: str, graph_id: str | None = None) -> DataFrame:
+    """(uuid, frame_type) of a paper's facts."""
+    return in_graph(facts, graph_id).where(F.col("paper_ref") == paper_ref).select("uuid", "frame_type")
+
+
+def by_key(entities: DataFrame, key: str, graph_id: str | None = None) -> DataFrame:
+    """The first entity (uuid, type, canonical_name) of a key."""
+    return in_graph(entities, graph_id).where(F.col("entity_key") == key).orderBy("uuid").limit(1).select("uuid", "type", "canonical_name")
 
 
 def delete_paper(facts: DataFrame, edges: DataFrame, entities: DataFrame, paper_ref: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -49,14 +92,73 @@ def write_version(df: DataFrame, path: str, version: int) -> None:
     df.write.mode("errorifexists").parquet(f"{path}/version={version:012d}")
 
 
-def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a table, ascending: those whose folder holds Spark's _SUCCESS."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = [p.getName() for p in names if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.partition("=")[2]) for n in done)
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of a table, the highest complete one if none is named."""
+    if version is None:
+        found = versions(spark, path)
+        if not found:
+            raise FileNotFoundError(f"no complete version under {path}")
+        version = found[-1]
     return spark.read.parquet(f"{path}/version={version:012d}")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder of spark.checkpoint.dir and read back; where none is set, on a local master, to
-    a temporary one. Later steps start from the files, also after executors are lost, and are planned by their sizes."""
+def save(df: DataFrame, path: str, key: str = "paper_ref") -> int:
+    """Puts rows into a table of documents: all rows of a key that df has are replaced by df's. Writes the next version, and returns
+    its number; readers see the old one until it is complete. Two writers of one version: the second fails."""
     spark = df.sparkSession
+    found = versions(spark, path)
+    rows = supersede(read_version(spark, path, found[-1]), df, key) if found else df
+    version = found[-1] + 1 if found else 0
+    write_version(rows, path, version)
+    return version
+
+
+def get(spark: SparkSession, path: str, paper_ref: str) -> DataFrame:
+    """A document's rows, none if it is unknown; the filter reaches the files."""
+    return read_version(spark, path).where(F.col("paper_ref") == paper_ref)
+
+
+def list_papers(spark: SparkSession, path: str) -> DataFrame:
+    """(paper_ref), once each."""
+    return read_version(spark, path).select("paper_ref").distinct()
+
+
+def get_doc(papers: DataFrame, paper_ref: str) -> DataFrame:
+    """(paper_ref, title, year, n_chars, raw_text) of a paper."""
+    return papers.where(F.col("paper_ref") == paper_ref).select("paper_ref", "title", "year", F.char_length("raw_text").alias("n_chars"), "raw_text")
+
+
+def with_vectors(rows: DataFrame, text: Column, embed: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """rows with `embedding`, made once of a text: an entity's name and aliases by blanks, a fact's statement. `embed(rows, column)` adds it."""
+    return embed(rows.withColumn("_text", text), "_text").drop("_text")
+
+
+def persist(facts: DataFrame, entities: DataFrame, edges: DataFrame, new_facts: DataFrame, new_entities: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A graph's tables with a document's rows put in: entities and facts by uuid, newest last; edges by their ends, type and relation,
+    if both ends are there."""
+    newest = lambda old, new: upsert(old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)), allowMissingColumns=True), ["uuid"], "_seq").drop("_seq")
+    f, e = newest(facts, new_facts), newest(entities, new_entities)
+    nodes = f.select(F.col("uuid").alias("node")).union(e.select("uuid"))
+    return f, e, upsert_edges(edges.unionByName(new_edges, allowMissingColumns=True), nodes)
+
+
+def scan_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", limit: int = 0) -> DataFrame:
+    """(path, length) of the files of a folder and those below, sorted, the first `limit` (0: all); their bytes are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "length").orderBy("path")
+    return found.limit(limit) if limit else found
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new place in the shared folder of spark.checkpoint.dir; where none is set, on a local master, in a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         app = spark.sparkContext.applicationId
@@ -66,6 +168,12 @@ def cut(df: DataFrame) -> DataFrame:
             _local[app] = tempfile.mkdtemp(prefix="factloom-")
             atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
         shared = f"file://{_local[app]}"
-    path = f"{shared.rstrip('/')}/factloom-{uuid.uuid4().hex}/cut"
+    return f"{shared.rstrip('/')}/factloom-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table written to a new place in the shared folder and read back. Later steps start from the files, also after
+    executors are lost, and are planned by their sizes."""
+    path = f"{new_folder(df.sparkSession)}/cut"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

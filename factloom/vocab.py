@@ -5,6 +5,11 @@ ROLES = ["background", "claim", "method", "result", "comparison", "limitation",
 ENTITY_TYPES = ["Material", "Property", "Process", "Technique", "Condition", "Phase", "Element", "Equipment", "Facility", "Person", "Location"]
 FRAME_TYPES = ["MaterialMeasurement", "SynthesisProcedure", "ClaimFact", "HypothesisFact"]
 FACT_STATUSES = ["hypothesis", "unverified", "verified", "contested", "refuted"]
+EDGE_TYPES = [
+    "HAS_MATERIAL", "HAS_PROPERTY", "USES_TECHNIQUE", "UNDER_CONDITION", "VIA_PROCESS", "PRODUCES", "CONTAINS", "HAS_PHASE", "ENABLES", "INHIBITS",
+    "CAUSES", "CORRELATES_WITH", "AFFECTS", "SUPPORTED_BY", "CONTRADICTED_BY", "DERIVED_FROM", "REPORTS", "MENTIONS", "CITES", "IS_A", "INSTANCE_OF",
+    "SUBTYPE_OF", "PART_OF", "USES_EQUIPMENT", "CONDUCTED_BY", "AUTHORED_BY", "AFFILIATED_WITH", "LOCATED_IN",
+]
 NON_PARTICIPANT = ["SUPPORTED_BY", "CONTRADICTED_BY", "SUBTYPE_OF", "PART_OF", "INSTANCE_OF", "IS_A", "AUTHORED_BY", "AFFILIATED_WITH"]
 DISCOURSE = ["SUPPORTED_BY", "CONTRADICTED_BY", "SUBTYPE_OF", "PART_OF"]
 
