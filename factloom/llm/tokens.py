@@ -16,7 +16,9 @@ least on; each plane is compressed with zstandard. All columns but payload are t
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -30,51 +32,93 @@ from pyspark.sql import functions as F
 
 from factloom.llm import scratch
 
-END, BLOCK, CHUNK, MEMO = 2, 65_536, 1 << 20, 900_000
+END, BLOCK, CHUNK, MEMO, LONG = 2, 65_536, 1 << 20, 900_000, 64
 SCHEMA = "file int, chunk int, first long, n_ids long, doc_ids array<long>, lens array<long>, width int, block int, bits int, planes array<int>, payload binary"
 #: A byte-level BPE with the usual split pattern never joins a token over the edge of these pieces: a run of other
 #: characters with the one space before it, white space up to the last before such a run, or that last one.
 #: White space is Unicode's, without the separators \x1c-\x1f that Python adds to it.
 PIECE = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]")
-_memo: dict[str, list[dict[str, bytes]]] = {}
+#: Pieces that the split pattern leaves whole (letters alone) or cuts once (letters, then marks that it takes together).
+WORD = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+_encoders: dict[str, Encoder] = {}
+
+
+def _letters() -> dict[int, str]:
+    """The characters that a byte-level model has for bytes: printable Latin-1 for itself, the others from U+0100 on in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [x for x in range(256) if x not in shown]
+    return {x: chr(x) for x in shown} | {x: chr(256 + k) for k, x in enumerate(others)}
 
 
 class Encoder:
-    """Encodes with the tokenizers library; ids of pieces that occur again are remembered by each
-    worker: MEMO pieces, and as many of an older generation, from which those still in use move on."""
+    """Encodes with the tokenizers library; ids of pieces that occur again are remembered by each worker: MEMO pieces of LONG
+    characters at most, and as many of an older generation, from which those still in use move on.
+
+    Texts are cut into pieces only for a byte-level BPE with the usual split pattern, no normaliser and no prefix; any other
+    tokenizer encodes whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), _memo.setdefault(path, [{}, {}])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.memo: list[dict[str, bytes]] = [{}, {}]
+        self.packs: dict[int, struct.Struct] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        parts = json.loads(self.tokenizer.to_str())
+        model, split = parts["model"], parts["pre_tokenizer"] or {}
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        level = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        self.cuts = bool(level and plain and model["type"] == "BPE" and parts["normalizer"] is None and not any(t["lstrip"] or t["single_word"] for t in parts["added_tokens"]))
+        self.letters, self.model = str.maketrans(_letters()), self.tokenizer.model
+        self.within = [x for x in self.special if WORD.fullmatch("a" + x)]  # special tokens that a piece of letters and marks can hold
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The worker's own, with what it remembers."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
+    def pack(self, n: int) -> struct.Struct:
+        if n not in self.packs:
+            self.packs[n] = struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}")
+        return self.packs[n]
 
     @property
     def known(self) -> dict[str, bytes]:
         return self.memo[0]
 
-    def _one(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Pieces without a line feed are encoded many at a time, with one between them: it is a token of its own there, and
-        its id cuts the result; where that gives another number of parts, and for all other pieces, one by one."""
-        apart = [p for p in new if "\n" in p or p.isspace() or any(x in p for x in self.special)]
-        joined = list(set(new) - set(apart))
-        feed = self._one(["\n"])[0]
-        for i in range(0, len(joined), 4000):
-            part = joined[i : i + 4000]
-            ids = self._one(["\n".join(part)])[0]
-            cuts = np.flatnonzero(ids == feed[0]).tolist() if len(feed) == 1 else []
-            if len(cuts) != len(part) - 1:
-                apart += part
+    def _one(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, piece: str) -> bytes:
+        """Ids of one part of the split pattern, by the library's model alone."""
+        got = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return self.pack(len(got)).pack(*[t.id for t in got])
+
+    def _learn(self, new: set[str]) -> None:
+        """Letters, and marks behind them, are encoded apart from each other, as the split pattern does; other pieces as they are."""
+        known, rest = self.known, []
+        for p in new:
+            m = WORD.fullmatch(p)
+            if m is None or (self.within and any(x in p for x in self.within)):
+                rest.append(p)
                 continue
-            raw, w = ids.tobytes(), self.width
-            self.known.update(zip(part, [raw[w * a : w * b] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True)], strict=True))
-        self.known.update(zip(apart, [x.tobytes() for x in self._one(apart)], strict=True))
+            word, marks = m.groups()
+            got = known.get(word)
+            if got is None:
+                got = known[word] = self._word(word)
+            if marks:
+                tail = known.get(marks)
+                if tail is None:
+                    tail = known[marks] = self._word(marks)
+                known[p] = got + tail
+        known.update(zip(rest, self._one(rest), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.cuts:
+            return self._one([t or "" for t in texts])
         # a special token ends the text before it, and with it a run of white space: such a text is one piece
         pieces = [([t] if any(x in t for x in self.special) else PIECE.findall(t)) if t else [] for t in texts]
         if len(self.known) > MEMO:
@@ -84,11 +128,15 @@ class Encoder:
         got = list(map(known.get, flat))
         if missing := [i for i, x in enumerate(got) if x is None]:
             new = {flat[i] for i in missing}
-            known.update({p: older[p] for p in new if p in older})
-            if new := new - known.keys():
-                self._learn(list(new))
+            long = [p for p in new if len(p) > LONG]
+            once = dict(zip(long, self._one(long), strict=True))
+            new.difference_update(long)
+            back = {p: older[p] for p in new if p in older}
+            known.update(back)
+            new.difference_update(back)
+            self._learn(new)
             for i in missing:
-                got[i] = known[flat[i]]
+                got[i] = once.get(flat[i]) or known[flat[i]]
         out, at = [], 0
         for ps in pieces:
             out.append(b"".join(got[at : at + len(ps)]))
@@ -131,12 +179,13 @@ def decode_chunk(sizes: list[int], payload: bytes, n: int, width: int, block: in
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, block: int = BLOCK, chunk: int = CHUNK, bits: int = 8) -> None:
     """Encodes every whole text (null: empty), adds `end`, and writes the ids in ascending order of doc_id.
 
-    Documents are dealt by ranges of the id before they are encoded, so they are encoded once; a range is a file. A chunk
-    holds whole documents of `chunk` ids or a little more, a longer document a chunk of its own. Rows of one id follow by text.
+    Null ids come first; rows of one id follow by text, each a document of its own, and equal rows are interchangeable. Texts of
+    any length are encoded whole. Extra columns are ignored; an empty table gives a table of files without a row. Documents are dealt by ranges of the id before they are encoded, so they are encoded once; a range is a file. A chunk
+    holds whole documents of `chunk` ids or a little more, a longer document a chunk of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file, number, first = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encode, file, number, first = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0, 0
         tail = b"" if end is None else np.array([end], f"<u{encode.width}").tobytes()
         ids, lens, parts, size = [], [], [], 0
 
@@ -148,8 +197,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = E
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                own = b.slice(at, 256)
+            for at in range(0, b.num_rows, 64):
+                own = b.slice(at, 64)
                 for doc, got in zip(own.column(0).to_pylist(), encode(own.column(1).to_pylist()), strict=True):
                     got += tail
                     ids.append(doc)
