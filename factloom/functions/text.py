@@ -89,7 +89,8 @@ def snippet(text: Column, start: Column, end: Column, around: int = 160, most: i
 
 
 def number(value: Column) -> Column:
-    """A double as text: its shortest digits, a point, and an exponent only below 1e-4 and from 1e16 on."""
+    """A double as text: its digits as Java finds them (before Java 19 a few values have one more than they need), a point, and an
+    exponent only below 1e-4 and from 1e16 on."""
 
     def plain(s: Column) -> Column:
         part = lambda n: F.regexp_extract(s, r"^(-?)(\d)\.(\d+)E(-?\d+)$", n)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from factloom.sources import store
 
@@ -89,7 +90,7 @@ def embedder(encode: Callable[[list[str]], list[list[float]]], batch: int = 64,
                     vectors = pa.array([list(map(float, v)) for v in encoded(own)], pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays([*part.columns, vectors], [*part.schema.names, "embedding"])
 
-        return rows.mapInArrow(run, rows.schema.add("embedding", "array<double>"))
+        return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
 
     return embed
 

@@ -11,8 +11,12 @@ MEAN_LEAST, RELEVANCE_LEAST, BATCH, FIRST, RATIONALE = 0.6, 0.4, 25, 20, 400  #
 
 
 def verify_tables(facts: DataFrame) -> DataFrame:
-    """Facts from tables that are not contested are verified."""
-    return facts.withColumn("status", F.when((F.col("source") == "table") & (F.col("status") != "contested"), "verified").otherwise(F.col("status")))
+    """Facts from tables that are not contested are verified, with 1 for confidence, clarity and relevance."""
+    sure = (F.col("source") == "table") & (F.col("status") != "contested")
+    out = facts.withColumn("status", F.when(sure, "verified").otherwise(F.col("status")))
+    for c in ("confidence", "clarity", "relevance"):
+        out = out.withColumn(c, F.when(sure, 1.0).otherwise(F.col(c) if c in facts.columns else F.lit(0.0)))
+    return out
 
 
 def batches(facts: DataFrame, size: int = BATCH) -> DataFrame:
@@ -36,9 +40,14 @@ def todo(facts: DataFrame) -> DataFrame:
 
 
 def apply(facts: DataFrame, checked: DataFrame) -> DataFrame:
-    """facts with the status of checked ones (uuid, status) written over; those count as checked from then on."""
-    told = facts.join(checked.select("uuid", F.col("status").alias("_s")), "uuid", "left")
-    return told.withColumn("status", F.coalesce("_s", "status")).withColumn("v_checked", F.col("_s").isNotNull() | F.coalesce("v_checked", F.lit(False))).drop("_s")
+    """facts with the status of checked ones (uuid, status; conf and rationale, as v_conf and v_rationale, where given) written over;
+    those count as checked from then on."""
+    extra = [c for c in ("conf", "rationale") if c in checked.columns]
+    told = facts.join(checked.select("uuid", F.col("status").alias("_s"), *[F.col(c).alias(f"_{c}") for c in extra]), "uuid", "left")
+    told = told.withColumn("status", F.coalesce("_s", "status")).withColumn("v_checked", F.col("_s").isNotNull() | F.coalesce("v_checked", F.lit(False)))
+    for c in extra:
+        told = told.withColumn(f"v_{c}", F.coalesce(f"_{c}", f"v_{c}") if f"v_{c}" in facts.columns else F.col(f"_{c}"))
+    return told.drop("_s", "_conf", "_rationale")
 
 
 def requests(facts: DataFrame, evidence: DataFrame, passages: DataFrame, papers: DataFrame, first: int = FIRST) -> DataFrame:

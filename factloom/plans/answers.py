@@ -10,7 +10,7 @@ from factloom.plans.catalog import ASK_SQL, BRIDGED, LINKED, MEMBERS, asked, mem
 from factloom.plans.fixtures import HEAD, oracle, table
 from factloom.plans.fixtures import graph as g
 from factloom.plans.register import query
-from factloom.sources import exports
+from factloom.sources import exports, store, vectorindex
 
 # whole papers: lines stand for regions of a layout, their category comes from their length
 
@@ -222,6 +222,15 @@ def _(spark, d):
     return answers.by_mentions(_graph(spark, d), asked(spark), _subs(spark, d)[0])
 
 
+@query("s_vector_index", "select q.vec_id as query, e.vec_id as id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings q, embeddings e where q.vec_id % 20 = 0 qualify row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) desc, e.vec_id) <= 12")
+def _(spark, d):
+    """Every twentieth vector against all, over an index of all."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = f"{store.new_folder(spark)}/index"
+    vectorindex.build(e, path, 32)
+    return vectorindex.search(spark, path, e.where("id % 20 = 0"), 12).select("query", "id", F.round("score", 6).alias("score"))
+
+
 _CHECKED = "ask as (select facts.*, pos from own join facts on uuid = id where status = 'unverified' and not v_checked qualify row_number() over (order by pos, uuid) <= 20), told as (select uuid, case when (q_value / 50 + 0.7 + (q_value % 10) / 10) / 3 >= 0.6 - 1e-10 and (q_value % 10) / 10 >= 0.4 then 'verified' else 'unverified' end as said from ask where q_value % 5 <> 0)"
 
 

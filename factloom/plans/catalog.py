@@ -439,9 +439,9 @@ def _(spark, d):
 # verification
 
 
-@query("v_table", oracle("facts") + "select uuid, case when source = 'table' and status <> 'contested' then 'verified' else status end as status from facts")
+@query("v_table", oracle("facts") + "select uuid, case when source = 'table' and status <> 'contested' then 'verified' else status end as status, case when source = 'table' and status <> 'contested' then 1.0 else 0.0 end::double as relevance from facts")
 def _(spark, d):
-    return verify.verify_tables(g(spark, d, "facts")).select("uuid", "status")
+    return verify.verify_tables(g(spark, d, "facts")).select("uuid", "status", "relevance")
 
 
 @query("v_batches", oracle("facts") + "select uuid, paper_ref, (row_number() over (partition by paper_ref order by uuid) - 1) // 25 as batch from facts where source = 'text' and status <> 'contested'")

@@ -70,10 +70,10 @@ def _(spark, d):
     return v.select("p_partkey", "i", F.round("x", 6).alias("x"))
 
 
-@query("v_apply", oracle("facts") + "select uuid, case when year = 1995 then 'verified' else status end as status, year = 1995 or v_checked as v_checked from facts")
+@query("v_apply", oracle("facts") + "select uuid, case when year = 1995 then 'verified' else status end as status, year = 1995 or v_checked as v_checked, case when year = 1995 then 0.7 end::double as v_conf, case when year = 1995 then 'seen' end as v_rationale from facts")
 def _(spark, d):
     f = g(spark, d, "facts")
-    return verify.apply(f, f.where("year = 1995").select("uuid", F.lit("verified").alias("status"))).select("uuid", "status", "v_checked")
+    return verify.apply(f, f.where("year = 1995").select("uuid", F.lit("verified").alias("status"), F.lit(0.7).alias("conf"), F.lit("seen").alias("rationale"))).select("uuid", "status", "v_checked", "v_conf", "v_rationale")
 
 
 @query("j_nmap", oracle("entities") + "select type as grp, canonical_name as name, min(uuid) as uuid from entities group by 1, 2 union all select type, 'all ' || type, min(uuid) from entities group by 1")
