@@ -57,8 +57,8 @@ def by_vectors(g: Graph, subs: list[list[float]], k: int = WIDE) -> DataFrame:
     near = retrieval.relevance_cut(tops(subs, g.fact_vectors, width(k, n)), "list").select("list", "id", (F.col("rank") - 1).alias("pos"))
     seeds = tops(subs, g.entity_vectors, 5).select(F.col("id").alias("node")).distinct()
     links = g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(graph.key_bridges(g.entities).select("s", "t"))
-    reached = retrieval.pagerank(links, seeds).select(F.col("node").alias("id"), F.round("score", 7).alias("score")).where("score > 0")
-    walk = reached.join(g.facts.select(F.col("uuid").alias("id")), "id", "left_semi").orderBy(F.desc("score"), "id").limit(max(k, 25))
+    reached = retrieval.pagerank(links, seeds, wanted=g.facts.select(F.col("uuid").alias("node")))
+    walk = reached.select(F.col("node").alias("id"), F.round("score", 7).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(max(k, 25))
     walk = walk.select(F.lit(n).alias("list"), "id", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("pos"))
     order = retrieval.round_robin(near.unionByName(walk))  # a few hundred rows at most
     quantified = g.facts.select(F.col("uuid").alias("id"), F.col("q_value").isNotNull().alias("quantified")).join(F.broadcast(order), "id")
@@ -73,8 +73,8 @@ def by_mentions(g: Graph, asked: DataFrame, question: list[float] | None = None,
     # the linked entities' edges alone are counted: a semi-join before anything else
     over = ends.join(linked, "entity", "left_semi").join(g.facts.select(F.col("uuid").alias("fact")), "fact", "left_semi").groupBy("fact").agg(F.countDistinct("entity").alias("overlap"))
     both = ends.join(g.facts.select(F.col("uuid").alias("fact")), "fact", "left_semi").join(g.entities.select(F.col("uuid").alias("entity")), "entity", "left_semi")
-    reached = retrieval.pagerank(both.select(F.col("fact").alias("a"), F.col("entity").alias("b")), linked.select(F.col("entity").alias("node")))
-    reached = reached.select(F.col("node").alias("id"), F.round("score", 7).alias("score")).where("score > 0").join(g.facts.select(F.col("uuid").alias("id")), "id", "left_semi").orderBy(F.desc("score"), "id").limit(vocab.VECTOR_TOP)
+    reached = retrieval.pagerank(both.select(F.col("fact").alias("a"), F.col("entity").alias("b")), linked.select(F.col("entity").alias("node")), wanted=g.facts.select(F.col("uuid").alias("node")))
+    reached = reached.select(F.col("node").alias("id"), F.round("score", 7).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(vocab.VECTOR_TOP)
     lists = reached.select(F.lit(1).alias("list"), "id", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("pos"))
     if question is not None and g.fact_vectors is not None:
         lists = lists.unionByName(tops([question], g.fact_vectors, vocab.VECTOR_TOP).select(F.lit(0).alias("list"), "id", "pos"))

@@ -93,63 +93,71 @@ def rank_tagged(overlaps: DataFrame, lists: DataFrame, k: int = 8) -> DataFrame:
     return rank(fused, tagged.join(fused.select("id"), "id", "left_semi").select(F.col("id").alias("fact"), "overlap"), k)
 
 
-#: Directed edges up to which one task holds a graph as numbers: 8 bytes each for both ends and some rounds' scores.
-KERNEL = 8_000_000
+#: Edges up to which one task holds a graph as numbers: 16 bytes each for both ends in both directions, and some rounds' scores.
+KERNEL = 4_000_000
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85, kernel: int = KERNEL) -> DataFrame:
-    """(node, score): personalised PageRank over undirected distinct edges (a, b) from seeds (node), all mass starting there.
+def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85, kernel: int = KERNEL, wanted: DataFrame | None = None) -> DataFrame:
+    """(node, score): personalised PageRank over undirected distinct edges (a, b) from seeds (node), all mass starting there; of the
+    wanted nodes (node) only, if given.
 
     A seed without edges gives its mass back to the seeds, so the scores sum to 1. Nodes that no mass reaches have no row;
-    without seeds there is none. A graph of `kernel` directed edges at most is worked through in one task, whose size so is
+    without seeds there is none. A graph of `kernel` edges at most is worked through in one task, whose size so is
     bounded; a larger one round by round: edges stay partitioned by their start, and only scores travel.
     """
-    pairs = edges.where("a <> b and a is not null and b is not null")
-    both = store.cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    start = store.cut(seeds.select("node").distinct())
-    n_seeds = start.count()
-    if not n_seeds:
-        return start.withColumn("score", F.lit(0.0)).where("false")
-    alone = start.join(both.select(F.col("a").alias("node")), "node", "left_anti").count() / n_seeds
-    # what the seeds get in each round: the teleported part, and what those without edges had of it before
+    pairs = edges.where("a <> b and a is not null and b is not null").select("a", "b")
+    start = store.cut(seeds.where("node is not null").select("node").distinct())
+    hashed = store.cut(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+    if hashed.count() > kernel:
+        found = _by_rounds(store.cut(pairs.union(pairs.select("b", "a")).distinct()), start, rounds, damping)
+        return found if wanted is None else found.join(wanted.select("node"), "node", "left_semi")
+    scores = _in_one_task(hashed, start, rounds, damping)
+    names = wanted.select("node") if wanted is not None else pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(start).distinct()
+    return names.join(scores, F.xxhash64("node") == F.col("h")).select("node", "score")
+
+
+def _backs(alone: float, rounds: int, damping: float) -> list[float]:
+    """What all seeds get in each round: the teleported part, and what those without edges, a part `alone` of them, had of it before."""
     back = [1.0]
     for _ in range(rounds):
         back.append((1 - damping) + damping * alone * back[-1])
-    run = _in_one_task if both.count() <= kernel else _by_rounds
-    return run(both, start, [x / n_seeds for x in back], damping)
+    return back
 
 
-def _in_one_task(both: DataFrame, start: DataFrame, back: list[float], damping: float) -> DataFrame:
-    """Nodes are 64-bit hashes there: of the few millions that a bounded graph has, two share one with a probability below 1e-6."""
-    h = lambda c: F.xxhash64(c)
-    rows = both.select(h("a").alias("a"), h("b").alias("b")).unionByName(start.select(h("node").alias("a"), F.lit(None).cast("long").alias("b")))
+def _in_one_task(hashed: DataFrame, start: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """(h, score): nodes are 64-bit hashes; of the few millions that a bounded graph has, two share one with a probability below 1e-6."""
+    rows = hashed.unionByName(start.select(F.xxhash64("node").alias("a"), F.lit(None).cast("long").alias("b")))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column(0).to_numpy(), b.column(1).fill_null(0).to_numpy(), b.column(1).is_null().to_numpy(zero_copy_only=False)) for b in batches]
         if not parts:
             return
-        start, end, seed = (np.concatenate(x) for x in zip(*parts, strict=True))
-        a, b = start[~seed], end[~seed]
-        nodes, at = np.unique(np.concatenate([a, start[seed]]), return_inverse=True)
-        a, seeds, b = at[: len(a)], at[len(a) :], np.searchsorted(nodes, b)
-        degree = np.maximum(1, np.bincount(a, minlength=len(nodes)))
-        score = np.zeros(len(nodes))
-        score[seeds] = back[0]
-        for x in back[1:]:
-            score = damping * np.bincount(b, weights=(score / degree)[a], minlength=len(nodes))
-            score[seeds] += x
+        one, two, seed = (np.concatenate(x) for x in zip(*parts, strict=True))
+        nodes, at = np.unique(np.concatenate([one, two[~seed]]), return_inverse=True)
+        seeds, u, v = at[: len(one)][seed], at[: len(one)][~seed], at[len(one) :]
+        both = np.unique(np.concatenate([u * len(nodes) + v, v * len(nodes) + u]))
+        a, b = both // len(nodes), both % len(nodes)
+        if not len(seeds):
+            return
+        degree = np.bincount(a, minlength=len(nodes))
+        share = np.zeros(len(nodes))
+        share[seeds] = 1 / len(seeds)
+        score = share
+        for x in _backs(float((degree[seeds] == 0).mean()), rounds, damping)[1:]:
+            score = damping * np.bincount(b, weights=(score / np.maximum(1, degree))[a], minlength=len(nodes)) + x * share
         some = np.flatnonzero(score)
         for i in range(0, len(some), 65_536):
             own = some[i : i + 65_536]
             yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(score[own])], ["h", "score"])
 
-    scores = rows.coalesce(1).mapInArrow(walk, "h long, score double")
-    names = both.select(F.col("a").alias("node")).union(start).distinct()
-    return names.join(scores, F.xxhash64("node") == F.col("h")).select("node", "score")
+    return rows.repartition(1).mapInArrow(walk, "h long, score double")
 
 
-def _by_rounds(both: DataFrame, start: DataFrame, back: list[float], damping: float, every: int = 5) -> DataFrame:
+def _by_rounds(both: DataFrame, start: DataFrame, rounds: int, damping: float, every: int = 5) -> DataFrame:
     """Nodes are numbered once; the numbered edges are kept, partitioned by their start, for all rounds."""
+    n = start.count()
+    alone = start.join(both.select(F.col("a").alias("node")), "node", "left_anti").count() / max(1, n)
+    back = [x / max(1, n) for x in _backs(alone, rounds, damping)]
     nodes = store.cut(both.select(F.col("a").alias("node")).union(start).distinct())
     ids = store.cut(nodes.withColumn("id", F.monotonically_increasing_id()))  # written: the numbers stay
     end = lambda c, name: ids.select(F.col("node").alias(c), F.col("id").alias(name))
@@ -159,10 +167,10 @@ def _by_rounds(both: DataFrame, start: DataFrame, back: list[float], damping: fl
     e = store.cut(e.join(degree, "s").select("s", "t", "degree")).repartition(parts, "s").persist(StorageLevel.DISK_ONLY)
     own = store.cut(start.join(ids, "node").select("id"))
     score = own.select("id", F.lit(back[0]).alias("score"))
-    for n, x in enumerate(back[1:], 1):
+    for k, x in enumerate(back[1:], 1):
         flow = score.join(e, F.col("id") == F.col("s")).select(F.col("t").alias("id"), (damping * F.col("score") / F.col("degree")).alias("score"))
         score = flow.union(own.select("id", F.lit(x).alias("score"))).groupBy("id").agg(F.sum("score").alias("score"))
-        score = store.cut(score) if n % every == 0 or n == len(back) - 1 else score
+        score = store.cut(score) if k % every == 0 or k == rounds else score
     e.unpersist()
     return score.join(ids, "id").select("node", "score")
 
