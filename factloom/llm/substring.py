@@ -23,13 +23,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.llm import scratch
 
 WINDOW, MINIMISER, NONE = 13, 3, 2**63 - 1
 BATCH_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 #: Documents that tell which words in a row are common, in how many of them they must lie for that, and how many count as common.
-SAMPLE, COMMON, MOST_COMMON = 2048, 4, 65_536
+SAMPLE, COMMON, MOST_COMMON = 2048, 32, 65_536
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -48,15 +49,17 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _grams(flat: list[bytes]) -> np.ndarray:
-    """Hashes of all MINIMISER words in a row."""
-    n = len(flat)
-    seen: dict[bytes, int] = dict.fromkeys(flat)  # type: ignore[arg-type]
-    h = xxhash.xxh3_64_intdigest
-    for w in seen:
-        seen[w] = h(w)
+def _grams(flat: list[bytes], words: dict[bytes, bytes] | None = None) -> np.ndarray:
+    """Hashes of all MINIMISER words in a row; words: those that occur, if they are known."""
+    n, h = len(flat), xxhash.xxh3_64_intdigest
+    seen = {w: h(w) for w in (words or dict.fromkeys(flat))}
     hashes = np.fromiter(map(seen.__getitem__, flat), np.uint64, n)
-    return _mix(sum((hashes[k : n - MINIMISER + 1 + k] * _M[k] for k in range(MINIMISER)), np.zeros(n - MINIMISER + 1, np.uint64))) >> np.uint64(1)
+    del seen
+    out = hashes[: n - MINIMISER + 1] * _M[0]
+    for k in range(1, MINIMISER):
+        out += hashes[k : n - MINIMISER + 1 + k] * _M[k]
+    del hashes
+    return _mix(out) >> np.uint64(1)
 
 
 def _common(rows: DataFrame) -> np.ndarray:
@@ -82,7 +85,8 @@ class Batch:
     """
 
     def __init__(self, texts: list[bytes | None], ids: np.ndarray, window: int, common: np.ndarray):
-        self.ids, self.words = ids, [(t or b"").split() for t in texts]
+        one: dict[bytes, bytes] = {}  # a word that repeats is held once
+        self.ids, self.words = ids, [list(map(one.setdefault, ws, ws)) for ws in (t.split() if t else [] for t in texts)]
         self.counts = np.fromiter(map(len, self.words), np.int64, len(texts))
         flat = [w for ws in self.words for w in ws]
         n = len(flat)
@@ -91,21 +95,27 @@ class Batch:
         self.minimiser, self.strings = np.zeros(0, np.uint64), []
         if n < window:
             return
-        grams = _grams(flat)
+        grams = _grams(flat, one)
+        del one
         if len(common):
-            at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-            grams |= (common[at] == grams).astype(np.uint64) << np.uint64(63)
+            at = np.searchsorted(common, grams).astype(np.int32)
+            np.minimum(at, len(common) - 1, out=at)
+            grams[common[at] == grams] |= np.uint64(1 << 63)
+            del at
         least = _least(grams, window - MINIMISER + 1)  # of the window at each word
-        doc_of = np.repeat(np.arange(len(texts)), self.counts)
+        del grams
+        doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
         real = doc_of[: len(least)] == doc_of[window - 1 :][: len(least)]
-        where = np.flatnonzero(real)
+        where = np.flatnonzero(real).astype(np.int32) if n < 2**31 else np.flatnonzero(real)
+        del real
         if not len(where):
             return
         start = np.ones(len(where), bool)
         start[1:] = (np.diff(where) != 1) | (least[where[1:]] != least[where[:-1]]) | (doc_of[where[1:]] != doc_of[where[:-1]])
         begin = np.flatnonzero(start)
-        self.at, self.windows = where[begin], np.diff(np.concatenate([begin, [len(where)]]))
-        self.doc, minimiser = doc_of[self.at], least[self.at]
+        self.at, self.windows = where[begin].astype(np.int64), np.diff(np.concatenate([begin, [len(where)]]))
+        self.doc, minimiser = doc_of[self.at].astype(np.int64), least[self.at]
+        del where, start, begin, doc_of, least
         packed = b" ".join(flat)
         lens = np.fromiter(map(len, flat), np.int64, n)
         del flat
@@ -224,9 +234,9 @@ def _texts(table: pa.Table) -> tuple[list[bytes | None], np.ndarray, pa.Table]:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, text and, if asked for, `carry` as struct row: every word goes that a window of `window`
-    consecutive words covers whose word sequence also starts in a document with a smaller id; what is left is joined by one
-    space. Windows are judged on the input.
+    """doc_id, n_words, n_removed, text: every word goes that a window of `window` consecutive words covers whose word sequence
+    also starts in a document with a smaller id; what is left is joined by one space. If asked for, also `carry` as struct row,
+    and then a text that loses nothing stays as it was. Windows are judged on the input.
 
     Words are runs other than \\x20 \\x09-\\x0D, unchanged. Null and empty texts have no words and an empty result; texts
     of fewer words than a window keep them. A text of any length is cut whole, in the batch that it lies in. Rows of one id count as one document. A null id counts as larger than any
@@ -234,7 +244,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("k"), F.col("text").cast("binary").alias("t"), *([F.struct(*carry).alias("row")] if carry else []))
-    kind = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
+    kind = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("text", "string")
+    kind = kind.add("row", rows.schema["row"].dataType) if carry else kind  # with its fields' own nullability
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     batches = max(scratch.partitions(spark), -(-total // BATCH_BYTES))
     buckets = max(scratch.partitions(spark), -(-3 * total // BUCKET_BYTES))
@@ -258,12 +269,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
         for k, ws in enumerate(b.words):
             own = gone[b.first[k] : b.first[k + 1]]
             removed.append(int(own.sum()))
-            kept.append(b" ".join(w for w, g in zip(ws, own.tolist(), strict=True) if not g) if removed[-1] else b" ".join(ws))
+            kept.append(b" ".join(w for w, g in zip(ws, own.tolist(), strict=True) if not g) if removed[-1] else texts[k] if carry else b" ".join(ws))
         return pa.table({"doc_id": pa.array([None if i == NONE else i for i in ids.tolist()], pa.int64()), "n_words": pa.array(b.counts), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(kept, pa.binary()).cast(pa.string())} | ({"row": table.column("row")} if carry else {}))
 
     sent = dealt.groupBy("batch").applyInArrow(send, "bucket long, batch long, blob binary").repartition(scratch.tasks(spark, 3 * total), "bucket")
     verdicts = sent.groupBy("bucket").applyInArrow(count, "batch long, verdict binary")
-    return dealt.groupBy("batch").cogroup(verdicts.groupBy("batch")).applyInArrow(apply, f"doc_id long, n_words long, n_removed long, text string{kind}")
+    return dealt.groupBy("batch").cogroup(verdicts.groupBy("batch")).applyInArrow(apply, kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,13 +284,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def apply(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without their repeats, with docs' columns: a text that loses words becomes its other words joined by one space
-    (empty if none is left), any other text stays as it was; n_chars follows the text."""
-    out = remove_repeats(docs, window, carry=docs.columns)
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("text")).otherwise(F.col("row.text"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    (empty if none is left), any other text stays as it was; n_chars follows the text. A text travels once."""
+    out = remove_repeats(docs, window, carry=[c for c in docs.columns if c != "text"])
+    n_chars = lambda: F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    own = lambda c: F.col("text") if c == "text" else n_chars() if c == "n_chars" else F.col("row")[c]
+    return out.select(*[own(c).alias(c) for c in docs.columns])
 
 
 _FOUND = f"""
