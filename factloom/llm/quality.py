@@ -17,8 +17,8 @@ PART, STEPS = 0.75, 4
 #: Fixed values for 4 statistics: the factor that makes a 75 % subset's covariance consistent for a normal distribution
 #: (PART / P(chi2_6 <= q), q the 75 % point of chi2_4), and the 1 - 1e-6 point of chi2_4 as the cut.
 CONSISTENT, CUT = 1.49, 33.4
-#: Statistics in a vector, and the units of its integers.
-P, UNIT = 4, 10_000
+#: Statistics in a vector, the units of its integers, and the rows up to which a table with a row for each key (200 bytes) is broadcast.
+P, UNIT, KEYS = 4, 10_000, 100_000
 
 
 def _repeat_words(words: Column) -> Column:
@@ -120,16 +120,16 @@ def estimates(rows: DataFrame) -> DataFrame:
     dims = rows.select("key", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(P)], 100 * F.col("n_words"))).alias("dim", "x")).withColumn("bin", F.floor(F.col("x") / 100))
     medians = _rank_bin(dims.groupBy("key", "dim", "bin").agg(F.count(F.lit(1)).alias("n")), ["key", "dim"], 0.5)
     middle = medians.groupBy("key").agg(*[F.max(F.when(F.col("dim") == i, (F.col("top") + 0.5) / 100)).alias(f"m{i}") for i in range(P)], F.max(F.when(F.col("dim") == P, F.col("top"))).alias("length"))
-    middle = scratch.small(middle.select("key", *[f"m{i}" for i in range(P)], *_floors()), "quality-middle")
+    middle = scratch.small(middle.select("key", *[f"m{i}" for i in range(P)], *_floors()), "quality-middle", KEYS)
     floors = middle.select("key", *[f"f{i}" for i in range(P)])
     middle = middle.select("key", F.lit(1).alias("start"), F.lit(0).cast("long").alias("n"), *[f"m{i}" for i in range(P)], *[(F.col(f"f{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)], F.lit(0.0).alias("logdet"))
-    now = scratch.small(_triangle(_moments(rows.withColumn("start", F.lit(0))), floors).unionByName(middle), "quality-start")
+    now = scratch.small(_triangle(_moments(rows.withColumn("start", F.lit(0))), floors).unionByName(middle), "quality-start", KEYS)
     for k in range(STEPS):
         at = rows.join(now, "key").select("key", "start", *[f"x{i}" for i in range(P)], F.floor(16 * F.log2(1 + _distance())).alias("bin"))
-        tops = scratch.small(_rank_bin(at.groupBy("key", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["key", "start"], PART), f"quality-top-{k}")
-        now = scratch.small(_triangle(_moments(at.join(tops, ["key", "start"]).where("bin <= top")), floors), f"quality-step-{k}")
+        tops = scratch.small(_rank_bin(at.groupBy("key", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["key", "start"], PART), f"quality-top-{k}", KEYS)
+        now = scratch.small(_triangle(_moments(at.join(tops, ["key", "start"]).where("bin <= top")), floors), f"quality-step-{k}", KEYS)
     best = Window.partitionBy("key").orderBy("logdet", "start")
-    return scratch.small(now.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "start", "n", "logdet"), "quality-estimates")
+    return scratch.small(now.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "start", "n", "logdet"), "quality-estimates", KEYS)
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -138,8 +138,9 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     base_failed: under 50 words, or over half of the words in repeated windows. The rest is kept unless its squared
     distance from its group passes the CUT. Groups are (lang, source), null a value of its own; those with fewer than
     LEAST_ROWS rows that pass the base rules take their language's estimate, or, where that has too few as well, that of
-    all rows; with fewer rows in all, that one all the same. Equal rows get equal verdicts. Columns beside doc_id, text,
-    lang and source are ignored; an empty table gives no row.
+    all rows; with fewer rows in all, that one all the same. Equal rows get equal verdicts, whatever
+    their ids; a null doc_id stays null. Texts of any length are read whole. Columns beside doc_id, text, lang and source are
+    ignored; an empty table gives no row.
     """
     keep = keep or []
     stats = statistics(docs, ["doc_id", "lang", "source", *keep])
@@ -149,7 +150,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     found = estimates(keys)
     counts = rows.groupBy("own", "tongue").agg(F.count_if(~F.col("base_failed")).alias("n"))
     counts = counts.withColumn("n_tongue", F.sum("n").over(Window.partitionBy("tongue")))
-    chosen = scratch.small(counts.select(F.col("own").alias("o"), F.when(F.col("n") >= LEAST_ROWS, F.col("own")).when(F.col("n_tongue") >= LEAST_ROWS, F.col("tongue")).otherwise(F.lit("all")).alias("key")), "quality-groups")
+    chosen = scratch.small(counts.select(F.col("own").alias("o"), F.when(F.col("n") >= LEAST_ROWS, F.col("own")).when(F.col("n_tongue") >= LEAST_ROWS, F.col("tongue")).otherwise(F.lit("all")).alias("key")), "quality-groups", KEYS)
     told = rows.join(chosen, F.col("own") == F.col("o")).join(found, "key", "left")
     distance = F.when(~F.col("base_failed"), _distance())
     return told.select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), (~F.col("base_failed") & (distance <= CUT)).alias("kept"))
