@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from factloom.llm import nearcopies, quality, simhash
+from factloom.llm import columns, nearcopies, quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,3 +82,22 @@ def test_simhash_deduplicate_keeps_one_row_for_null_and_repeated_ids(spark):
     t, u = (" ".join(f"{c}{i}" for i in range(70)) for c in "tu")
     df = spark.createDataFrame([(None, t, "en", "s", 1), (None, t, "en", "s", 1), (5, t, "en", "s", 1), (5, t, "en", "s", 1), (None, u, "en", "s", 1), (None, u, "en", "s", 1)], SCHEMA)
     assert sorted((r.doc_id or 0, r.text) for r in simhash.deduplicate(df).collect()) == [(0, u), (5, t)]
+
+
+CLASH = ["_id", "_h", "_row", "row", "k", "t", "batch", "h", "id", "size", "_text", "_take", "component", "key", "own", "kept", "length", "bucket"]
+
+
+def test_stages_keep_columns_that_clash(spark):
+    """Extra columns with the operators' own names come out as they went in; null ids, texts and sources and repeated rows pass."""
+    say = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(i if i % 7 else None, say(f"w{i}x", 60 + i % 5) if i % 11 else None, None if i % 3 else "en", None if i % 4 else "s", 5) for i in range(1, 45)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[0]], SCHEMA)
+    for n, c in enumerate(CLASH):
+        docs = docs.withColumn(c, columns.F.concat(columns.F.lit(f"{n}-"), columns.F.coalesce("doc_id", columns.F.lit(-1))))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert len(got) > 20 and all(r[c] == f"{n}-{-1 if r.doc_id is None else r.doc_id}" for r in got for n, c in enumerate(CLASH)), name
+        assert stage(spark, docs.limit(0), "").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 46
