@@ -99,14 +99,28 @@ def rewire(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.select(*[ends.get(c, F.col(c)).alias(c) for c in edges.columns])
 
 
-def discover_new(feed: DataFrame, known: DataFrame, head: int = 28) -> DataFrame:
-    """feed's titles of which no known title holds the first `head` characters, nor the other way round.
-
-    Titles that hold the same head share its first 8 characters as a piece; the anti join stays a nested loop over the
-    known titles, so known is meant to be the few titles of one graph.
-    """
-    a, b = F.lower(F.col("title")), F.lower(F.col("known"))
-    return feed.join(known.select(F.col("title").alias("known")), b.contains(F.substring(a, 1, head)) | a.contains(F.substring(b, 1, head)), "left_anti")
+def _held(heads: DataFrame, texts: DataFrame, gram: int) -> DataFrame:
+    """(id, other): heads (id, head) that texts (other, text) hold. A head of `gram` characters at least is looked up by its first ones
+    among the texts' pieces of that length, then compared; shorter ones are few and meet every text."""
+    long = heads.where(F.char_length("head") >= gram).withColumn("g", F.substring("head", 1, gram))
+    places = F.sequence(F.lit(1), F.char_length("text") - (gram - 1))
+    own = texts.where(F.char_length("text") >= gram)
+    pieces = own.select("other", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(gram))))).alias("g"))
+    met = long.join(pieces.join(long.select("g").distinct(), "g", "left_semi"), "g").select("id", "head", "other")
+    found = met.join(own, "other").where(F.col("text").contains(F.col("head"))).select("id", "other")
+    short = heads.where(F.char_length("head") < gram).join(texts, F.col("text").contains(F.col("head"))).select("id", "other")
+    return found.union(short)
+
+
+def discover_new(feed: DataFrame, known: DataFrame, head: int = 28, gram: int = 12) -> DataFrame:
+    """feed's rows whose title has no known one that holds its first `head` characters, nor the other way round; both in lower case.
+
+    Titles meet by a piece of `gram` characters, so only those that share one are compared. A null title is kept."""
+    a = feed.select(F.lower("title").alias("x")).where("x is not null").distinct()
+    b = known.select(F.lower("title").alias("y")).where("y is not null").distinct()
+    one = _held(a.select(F.col("x").alias("id"), F.substring("x", 1, head).alias("head")), b.select(F.col("y").alias("other"), F.col("y").alias("text")), gram).select(F.col("id").alias("x"))
+    two = _held(b.select(F.col("y").alias("id"), F.substring("y", 1, head).alias("head")), a.select(F.col("x").alias("other"), F.col("x").alias("text")), gram).select(F.col("other").alias("x"))
+    return feed.join(one.union(two).distinct(), F.lower("title") == F.col("x"), "left_anti")
 
 
 def trace(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
