@@ -49,16 +49,60 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _grams(flat: list[bytes], words: dict[bytes, bytes] | None = None) -> np.ndarray:
-    """Hashes of all MINIMISER words in a row; words: those that occur, if they are known."""
-    n, h = len(flat), xxhash.xxh3_64_intdigest
-    seen = {w: h(w) for w in (words or dict.fromkeys(flat))}
-    hashes = np.fromiter(map(seen.__getitem__, flat), np.uint64, n)
-    del seen
-    out = hashes[: n - MINIMISER + 1] * _M[0]
+#: White space by byte, a number for each byte, and one for each place in a word: a word's hash is the sum of their products.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = _mix(_mix(np.arange(1, 257, dtype=np.uint64) * _M[0]) * _M[1])
+_PLACE = np.cumprod(np.full(64, _M[2] | np.uint64(1)))
+
+
+class Words:
+    """The words of texts, each followed by one space in `packed`; starts and ends of each there, and each text's words: first[k] to first[k + 1]."""
+
+    def __init__(self, texts: list[bytes | None]):
+        raw = np.frombuffer(b"".join(x for t in texts for x in (t or b"", b"\n")), np.uint8)
+        space = _SPACE[raw]
+        behind = np.concatenate([[True], space[:-1]])  # white space before each byte
+        begin, last = np.flatnonzero(~space & behind), space & ~behind
+        limits = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))
+        self.counts = np.bincount(np.searchsorted(limits, begin, side="right"), minlength=len(texts))
+        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        sizes = np.flatnonzero(last) - begin
+        del behind, begin
+        packed = raw[~space | last]
+        del raw, space, last
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.starts = self.ends - sizes
+        packed[self.ends] = 0x20
+        self.bytes, self.packed = packed, packed.tobytes()
+
+    def hashes(self, step: int = 1 << 17) -> np.ndarray:
+        """A hash of each word, some words at a time. Words that share one only share a bucket."""
+        out = np.zeros(len(self.ends), np.uint64)
+        for i in range(0, len(out), step):
+            starts, ends = self.starts[i : i + step], self.ends[i : i + step]
+            own = self.bytes[starts[0] : ends[-1] + 1]
+            place = np.arange(len(own)) - np.repeat(starts - starts[0], ends - starts + 1)
+            out[i : i + step] = np.add.reduceat(_BYTE[own] * _PLACE[place & 63], starts - starts[0])
+        return _mix(out)
+
+    def text(self, k: int) -> bytes:
+        """A text's words, joined by one space."""
+        a, b = self.first[k], self.first[k + 1]
+        return self.packed[self.starts[a] : self.ends[b - 1]] if b > a else b""
+
+    def without(self, k: int, gone: np.ndarray) -> bytes:
+        """A text's words but those of `gone` (a flag for each of its words), joined by one space."""
+        a, b = self.first[k], self.first[k + 1]
+        stay = np.repeat(~gone, self.ends[a:b] - self.starts[a:b] + 1)
+        return self.bytes[self.starts[a] : self.ends[b - 1] + 1][stay].tobytes()[:-1]
+
+
+def _grams(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of all MINIMISER words in a row."""
+    n = max(0, len(hashes) - MINIMISER + 1)
+    out = hashes[:n] * _M[0]
     for k in range(1, MINIMISER):
-        out += hashes[k : n - MINIMISER + 1 + k] * _M[k]
-    del hashes
+        out += hashes[k : n + k] * _M[k]
     return _mix(out) >> np.uint64(1)
 
 
@@ -68,8 +112,7 @@ def _common(rows: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0):
-                words = (t.as_py() or b"").split()
-                yield pa.RecordBatch.from_arrays([pa.array((np.unique(_grams(words)) if len(words) >= MINIMISER else np.zeros(0, np.uint64)).view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_grams(Words([t.as_py()]).hashes())).view(np.int64))], ["h"])
 
     part = max(1, rows.count() // SAMPLE)
     sample = rows.where(F.pmod(F.xxhash64("k", F.octet_length("t"), F.lit(7)), F.lit(part)) == 0).select("t")
@@ -85,42 +128,32 @@ class Batch:
     """
 
     def __init__(self, texts: list[bytes | None], ids: np.ndarray, window: int, common: np.ndarray):
-        one: dict[bytes, bytes] = {}  # a word that repeats is held once
-        self.ids, self.words = ids, [list(map(one.setdefault, ws, ws)) for ws in (t.split() if t else [] for t in texts)]
-        self.counts = np.fromiter(map(len, self.words), np.int64, len(texts))
-        flat = [w for ws in self.words for w in ws]
-        n = len(flat)
-        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        self.ids, self.words = ids, Words(texts)
+        n = len(self.words.ends)
         self.doc = self.at = self.windows = self.string = self.least = np.zeros(0, np.int64)
         self.minimiser, self.strings = np.zeros(0, np.uint64), []
         if n < window:
             return
-        grams = _grams(flat, one)
-        del one
+        grams = _grams(self.words.hashes())
         if len(common):
-            at = np.searchsorted(common, grams).astype(np.int32)
+            at = np.searchsorted(common, grams)
             np.minimum(at, len(common) - 1, out=at)
             grams[common[at] == grams] |= np.uint64(1 << 63)
             del at
         least = _least(grams, window - MINIMISER + 1)  # of the window at each word
         del grams
-        doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
-        real = doc_of[: len(least)] == doc_of[window - 1 :][: len(least)]
-        where = np.flatnonzero(real).astype(np.int32) if n < 2**31 else np.flatnonzero(real)
-        del real
+        doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), self.words.counts)
+        where = np.flatnonzero(doc_of[: len(least)] == doc_of[window - 1 :][: len(least)])
         if not len(where):
             return
         start = np.ones(len(where), bool)
         start[1:] = (np.diff(where) != 1) | (least[where[1:]] != least[where[:-1]]) | (doc_of[where[1:]] != doc_of[where[:-1]])
         begin = np.flatnonzero(start)
-        self.at, self.windows = where[begin].astype(np.int64), np.diff(np.concatenate([begin, [len(where)]]))
+        self.at, self.windows = where[begin], np.diff(np.concatenate([begin, [len(where)]]))
         self.doc, minimiser = doc_of[self.at].astype(np.int64), least[self.at]
         del where, start, begin, doc_of, least
-        packed = b" ".join(flat)
-        lens = np.fromiter(map(len, flat), np.int64, n)
-        del flat
-        ends = np.cumsum(lens + 1) - 1
-        lo, hi = (ends - lens)[self.at].tolist(), ends[self.at + self.windows + window - 2].tolist()
+        packed = self.words.packed
+        lo, hi = self.words.starts[self.at].tolist(), self.words.ends[self.at + self.windows + window - 2].tolist()
         number: dict[bytes, int] = {}
         self.string = np.fromiter((number.setdefault(packed[i:j], len(number)) for i, j in zip(lo, hi, strict=True)), np.int64, len(lo))
         self.strings = list(number)
@@ -209,7 +242,7 @@ def _count(batches: list[int], blobs: list[bytes], window: int) -> Iterator[tupl
 
 def _covered(b: Batch, verdicts: list[bytes], window: int) -> np.ndarray:
     """For each word of the batch, whether a window of an earlier document covers it."""
-    n = int(b.first[-1])
+    n = int(b.words.first[-1])
     first = [None] * len(b.strings)
     for x in verdicts:
         numbers, windows, ids = (np.frombuffer(p, t) for p, t in zip(_unpack(x), (np.int32, np.int32, np.int64), strict=True))
@@ -266,11 +299,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
         b = Batch(texts, ids, window, common)
         gone = _covered(b, told.column("verdict").to_pylist(), window)
         kept, removed = [], []
-        for k, ws in enumerate(b.words):
-            own = gone[b.first[k] : b.first[k + 1]]
+        for k, t in enumerate(texts):
+            own = gone[b.words.first[k] : b.words.first[k + 1]]
             removed.append(int(own.sum()))
-            kept.append(b" ".join(w for w, g in zip(ws, own.tolist(), strict=True) if not g) if removed[-1] else texts[k] if carry else b" ".join(ws))
-        return pa.table({"doc_id": pa.array([None if i == NONE else i for i in ids.tolist()], pa.int64()), "n_words": pa.array(b.counts), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(kept, pa.binary()).cast(pa.string())} | ({"row": table.column("row")} if carry else {}))
+            kept.append(b.words.without(k, own) if removed[-1] else t if carry else b.words.text(k))
+        return pa.table({"doc_id": pa.array([None if i == NONE else i for i in ids.tolist()], pa.int64()), "n_words": pa.array(b.words.counts), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(kept, pa.binary()).cast(pa.string())} | ({"row": table.column("row")} if carry else {}))
 
     sent = dealt.groupBy("batch").applyInArrow(send, "bucket long, batch long, blob binary").repartition(scratch.tasks(spark, 3 * total), "bucket")
     verdicts = sent.groupBy("bucket").applyInArrow(count, "batch long, verdict binary")
