@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.operators import graph
+from factloom.sources import store
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -131,8 +132,9 @@ def research(nodes: DataFrame, links: DataFrame, chosen: list[str], geography: s
         out = out.where(F.coalesce(hi, F.lit(0.0)) >= low)
     if high is not None:
         out = out.where(lo <= high)
-    own = links.join(out.select("node"), "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    return out.select("node").join(own, "node", "left").fillna(0, ["degree"]).orderBy(F.desc("degree"), "node").limit(most)
+    out = store.cut(out.select("node"))  # what passes is looked up twice
+    own = links.join(out, "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return out.join(own, "node", "left").fillna(0, ["degree"]).orderBy(F.desc("degree"), "node").limit(most)
 
 
 def grouped(hits: DataFrame, nodes: DataFrame, each: int = 5, context: int = 14) -> tuple[DataFrame, DataFrame]:
