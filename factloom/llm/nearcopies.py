@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 
 from factloom.llm import scratch
 from factloom.llm.components import components
+from factloom.llm.rows import first_of_each, mark
+from factloom.llm.simhash import VantageTree
 
 SHINGLE, SEED = 5, 42
-#: Candidates differ in at most RADIUS of 128 bits. At similarity 0.8 a bit differs with probability 0.15: 19.4 bits of 128,
-#: with a deviation of 4.1. Sets smaller than FEW are compared whatever their bits.
-RADIUS, FEW = 42, 40
-#: Documents that tell which shingles are common, in how many of them one must lie for that, and how many count as common.
-SAMPLE, COMMON, MOST_COMMON = 8192, 8, 65_536
+#: Fingerprints of 64 * WORDS bits link at RADIUS differing bits, of which FIRST_RADIUS at most are in the first two words and
+#: NEXT_RADIUS at most in the first three. At similarity 0.8 a bit differs with probability 0.15: 78 bits of 512, with a deviation of
+#: 8.1; 19.4 of 128, with 4.1; 29 of 192, with 5.0. Four shingles in a set of five are the worst case with 0.1875.
+WORDS, RADIUS, FIRST_RADIUS, NEXT_RADIUS = 8, 160, 52, 70
+#: Fingerprints that shape the tree, those that a side of its node must at least hold, points tried for a node, the share of
+#: pairs that a node may leave, and levels. They set cost, not results.
+SAMPLE, COMMON, TRIES, GAIN, LEVELS = 8192, 8, 32, 0.75, 16
+#: A leaf is cut into blocks of a 32nd of all fingerprints, within these bounds, that meet pair by pair.
+CELL, MOST_CELL = 4096, 131_072
 #: Sets and shingles in a block; larger candidate groups are cut into blocks that meet pair by pair.
 BLOCK, BLOCK_SHINGLES = 1024, 2**21
-NO_ID = -(2**63)
 
 
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -35,22 +40,61 @@ def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([h(one[i:j], SEED) for i, j in zip((ends - lens)[: 1 - k].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def sketch(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits: each is set if it is in over half of the shingles' hashes, and of these mixed anew."""
-    mixed = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    ones = np.zeros(128, np.int64)
-    for i in range(0, len(hashes), 65_536):
-        part = np.stack([hashes[i : i + 65_536], mixed[i : i + 65_536] ^ (mixed[i : i + 65_536] >> np.uint64(31))], axis=1)
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
-    return tuple(np.packbits(2 * ones > len(hashes)).view(np.int64).tolist())
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """SimHash of 64 * WORDS bits: each is set if it is in over half of the shingles' hashes, mixed anew for each word."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(hashes), 255):
+        x = hashes[i : i + 255, None] + np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)  # 255 at most
+    return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles in one order of all, common ones last: sets of similarity 0.8 share one of theirs."""
-    order = (hashes >> np.uint64(1)) | (np.isin(hashes, common).astype(np.uint64) << np.uint64(63))
-    n = len(hashes)
-    return np.sort(order)[: n + (-4 * n // 5) + 1]
+def distances(fps: np.ndarray, point: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps ^ point).sum(axis=1, dtype=np.int64)
+
+
+class CopyTree(VantageTree):
+    """The vantage-point tree over fingerprints and sizes of sets, rows (n, words). Each node splits by the Hamming distance to a
+    point or, as sets of similarity 0.8 have sizes within a fifth, by size, the distance to the empty set (point None).
+
+    Both sides of a node overlap by the radius, so every pair that may link meets in a leaf. Hardly any point tells unrelated
+    texts apart at this radius; a node is made only where its sides leave GAIN of a sample's pairs, by points in large groups of copies and by sizes.
+    """
+
+    def __init__(self, sample: np.ndarray, radius: int):
+        self.radius, self.nodes = radius, {}
+        self._build(sample, 1, LEVELS)
+
+    def sides(self, items: np.ndarray, point: np.ndarray | None, median: int) -> tuple[np.ndarray, np.ndarray]:
+        if point is None:
+            n = items[:, 0].view(np.int64)
+            return n <= median, 5 * n > 4 * median
+        d = distances(items[:, 1:], point)
+        return d <= median, d > median - self.radius
+
+    def _best(self, values: np.ndarray, reach: Callable[[np.ndarray], np.ndarray]) -> tuple[float, int]:
+        """The median that leaves least pairs; reach(medians): the values up to which items are inside only."""
+        values, medians = np.sort(values), np.unique(values)
+        inside = np.searchsorted(values, medians, "right")
+        outside = len(values) - np.searchsorted(values, reach(medians), "right")
+        pairs = np.where((inside < COMMON) | (outside < COMMON), np.inf, inside.astype(float) ** 2 + outside.astype(float) ** 2)
+        k = int(np.argmin(pairs))
+        return float(pairs[k]), int(medians[k])
+
+    def _build(self, items: np.ndarray, at: int, depth: int) -> None:
+        if not depth or len(items) < 2 * COMMON:
+            return
+        best = [(*self._best(items[:, 0].view(np.int64), lambda m: 4 * m // 5), None)]
+        for point in items[:: max(1, len(items) // TRIES)][:TRIES, 1:]:
+            best.append((*self._best(distances(items[:, 1:], point), lambda m: m - self.radius), point))
+        pairs, median, point = min(best, key=lambda x: x[0])
+        if pairs > GAIN * len(items) ** 2:
+            return
+        self.nodes[at] = (point, median)
+        for side, rows in enumerate(self.sides(items, point, median)):
+            self._build(items[rows], 2 * at + side, depth - 1)
 
 
 def star(n: int, close: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -67,40 +111,80 @@ def star(n: int, close: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
     return root
 
 
-def _may_link(n: np.ndarray, a: np.ndarray, b: np.ndarray, i: int | np.ndarray, j: np.ndarray) -> np.ndarray:
-    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    bits = np.bitwise_count((a[i] ^ a[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b[i] ^ b[j]).view(np.uint64))
-    return (5 * low >= 4 * high) & ((bits <= RADIUS) | (low < FEW))
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, cid, n, a, b) sorted by h: a star of candidates for each component of those that share an h."""
-    held: list[np.ndarray] | None = None
-
-    def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-        h, cid, n, a, b = cols
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(h)))
-        two = starts[sizes == 2]
-        two = two[_may_link(n, a, b, two, two + 1)]
-        us, vs = [cid[two]], [cid[two + 1]]
-        for s, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            own = slice(s, s + size)
-            root = star(size, lambda i, j, own=own: _may_link(n[own], a[own], b[own], i, j))
-            linked = np.flatnonzero(root != np.arange(size))
-            us.append(cid[own][linked])
-            vs.append(cid[own][root[linked]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if cut:
-            yield links([c[:cut] for c in held])
-            held = [c[cut:] for c in held]
-    if held is not None:
-        yield links(held)
+def _items(n: pa.ChunkedArray | pa.Array, fp: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    words = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(-1, WORDS)
+    return np.concatenate([np.asarray(n, np.int64).view(np.uint64)[:, None], words], axis=1)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which of rows b may be similar to rows a, or to one row a, by size, the first words and all words."""
+    n, m = a[..., 0].view(np.int64), b[:, 0].view(np.int64)
+    bits = np.cumsum(np.bitwise_count(a[..., 1:4] ^ b[:, 1:4]), axis=1, dtype=np.int64)
+    may = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (bits[:, 1] <= FIRST_RADIUS) & (bits[:, 2] <= NEXT_RADIUS)
+    at = np.flatnonzero(may)
+    may[at] = np.bitwise_count((a if a.ndim == 1 else a[at])[..., 1:] ^ b[at, 1:]).sum(axis=1, dtype=np.int64) <= radius
+    return may
+
+
+def forest(items: np.ndarray, block: np.ndarray, radius: int) -> np.ndarray:
+    """For items (n, words) of one block, or of two that meet, the first that each one's component reaches within the radius."""
+    order = np.lexsort((items[:, 0].view(np.int64), block))
+    cut = int(np.searchsorted(block[order], block.max()))  # 0: one block meets itself
+    near, n = np.zeros(len(items), bool), items[order, 0].view(np.int64)
+    one, two, three = (np.ascontiguousarray(items[order, k]) for k in (1, 2, 3))
+    for i in range(0, cut or len(items), 32):
+        own = slice(i, min(i + 32, cut or len(items)))
+        low = cut + int(np.searchsorted(5 * n[cut:], 4 * n[own][0])) if cut else i
+        high = cut + int(np.searchsorted(4 * n[cut:], 5 * n[own][-1], "right"))
+        for j in range(low, high, 4096):
+            to = slice(j, min(j + 4096, high))
+            bits = np.bitwise_count(one[own, None] ^ one[None, to]) + np.bitwise_count(two[own, None] ^ two[None, to])
+            u, v = np.divmod(np.flatnonzero(bits <= FIRST_RADIUS), bits.shape[1])
+            all_three = bits[u, v] + np.bitwise_count(three[u + i] ^ three[v + j])
+            u, v = u[all_three <= NEXT_RADIUS] + i, v[all_three <= NEXT_RADIUS] + j
+            fresh = ~(near[u] & near[v]) & ((u < v) | (cut > 0))
+            if fresh.any():
+                u, v = u[fresh], v[fresh]
+                hit = _linked(items[order[u]], items[order[v]], radius)
+                near[u[hit]] = near[v[hit]] = True
+    linked = order[near]
+    own, root = items[linked], np.arange(len(items))
+    root[linked] = linked[star(len(linked), lambda i, js: _linked(own[i], own[js], radius))]
+    return root
+
+
+def link(classes: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) of cids that join the same classes (cid, n, fp) as all pairs within the radius and a fifth of their sizes would.
+
+    The tree comes from about SAMPLE classes and deals out every one. Leaves are cut into blocks by hash that meet pair by pair;
+    a task returns a star for each component that it finds, never its pairs. Cost grows with the square of the largest leaf.
+    """
+    spark, count = classes.sparkSession, classes.count()
+    sample = classes.where(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(max(1, count // SAMPLE))) == 0).select("n", "fp").orderBy("cid").toArrow()
+    tree, cell = CopyTree(_items(sample.column("n"), sample.column("fp")), radius), max(CELL, min(MOST_CELL, count // 32))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for leaf, rows in tree.route(_items(b.column(1), b.column(2))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int64)), *[c.take(pa.array(rows)) for c in b.columns]], ["leaf", "cid", "n", "fp"])
+
+    routed = scratch.stage(classes.select("cid", "n", "fp").repartition(scratch.partitions(spark), "cid").mapInArrow(route, "leaf long, cid long, n long, fp binary"), "copies-leaves")
+    sizes = routed.groupBy(F.col("leaf").alias("l")).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("blocks"))
+    dealt = (
+        routed.join(scratch.small(sizes, "copies-sizes", 2 ** (LEVELS + 1)), F.col("leaf") == F.col("l"))
+        .withColumn("x", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("leaf", F.least("x", "o").alias("i"), F.greatest("x", "o").alias("j"), "x", "cid", "n", "fp")
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("cid").to_numpy(), kind="stable")))
+        cid = table.column("cid").to_numpy()
+        root = forest(_items(table.column("n"), table.column("fp")), table.column("x").to_numpy(), radius)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"u": cid[linked], "v": cid[root[linked]]})
+
+    return dealt.groupBy("leaf", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def _verify(table: pa.Table) -> pa.Table:
@@ -125,58 +209,28 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"u": cid[linked], "v": cid[root[linked]]})
 
 
-def _common(docs: DataFrame) -> np.ndarray:
-    """Shingles that many of a sample of documents hold. They set the order of shingles, so cost, not results."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["h"])
-
-    part = max(1, docs.count() // SAMPLE)
-    sample = docs.where(F.pmod(F.xxhash64("_id", "_h", F.lit(7)), F.lit(part)) == 0).select(F.col("text").cast("binary"))
-    top = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON)
-    return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
-
-
-def mark(docs: DataFrame) -> DataFrame:
-    """_id (doc_id, with a stand-in for null), _h (the hash of the whole row), text, and _row, docs' columns whatever their names."""
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID).cast("long")).alias("_id"), F.xxhash64(*docs.columns).alias("_h"), "text", F.struct(*docs.columns).alias("_row"))
-
-
-def first_of_each(marked: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
-    """Of marked docs, one row for each component of rows (_id, _h, component): the smallest _id's, null last, then the smallest hash's."""
-    order = F.struct(F.col("_id") == NO_ID, "_id", "_h")
-    stay = rows.groupBy("component").agg(F.min(order).alias("o")).select(F.col("o._id").alias("i"), F.col("o._h").alias("h"))
-    kept = marked.join(stay, (F.col("_id") == F.col("i")) & (F.col("_h") == F.col("h"))).dropDuplicates(["_id", "_h"])
-    return kept.select(*[F.col("_row")[c].alias(c) for c in names])
-
-
 def near_copies(marked: DataFrame) -> DataFrame:
     """(_id, _h, component) for each row of marked docs: texts with similarity of 0.8 or more, or a chain of such, share a component.
 
-    Texts with equal sets are one class, named by the sets' hash. The classes' prefixes meet by shingle: size and sketch tell
-    candidates, and each shingle's candidates give stars, not pairs. Groups of candidates so joined are then compared on whole
-    sets, large ones in blocks that meet pair by pair.
+    Texts with equal sets are one class, named by the sets' hash. The classes' SimHash fingerprints link within a radius over the
+    vantage-point tree, which gives the candidates. Groups of candidates so joined are then compared on whole sets, large ones
+    in blocks that meet pair by pair.
     """
-    spark, common = marked.sparkSession, _common(marked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid, n, a, b, first = [], [], [], [], []
+            cid, n, fps = [], [], []
             for t in batch.column(2):
                 hashes = shingles(t.as_py())
                 cid.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - 2**63)
                 n.append(len(hashes))
-                for to, bits in zip((a, b), sketch(hashes), strict=True):
-                    to.append(bits)
-                first.append(prefix(hashes, common).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in (cid, n, a, b)], pa.array(first, pa.list_(pa.int64()))], ["_id", "_h", "cid", "n", "a", "b", "first"])
-
-    rows = scratch.stage(marked.select("_id", "_h", F.col("text").cast("binary")).mapInArrow(run, "_id long, _h long, cid long, n long, a long, b long, first array<long>"), "copies-rows")
-    classes = rows.groupBy("cid").agg(F.min(F.struct("_id", "_h")).alias("of"), *[F.first(c).alias(c) for c in ("n", "a", "b", "first")])
-    classes = scratch.stage(classes.select("cid", F.col("of._id").alias("i"), F.col("of._h").alias("h"), "n", "a", "b", "first"), "copies-classes")
-    met = classes.select(F.explode("first").alias("h"), "cid", "n", "a", "b").repartition(scratch.partitions(spark), "h").sortWithinPartitions("h", "cid").mapInArrow(_meet, "u long, v long")
+                fps.append(fingerprint(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.binary())], ["_id", "_h", "cid", "n", "fp"])
+
+    rows = scratch.stage(marked.select("_id", "_h", F.col("text").cast("binary")).mapInArrow(run, "_id long, _h long, cid long, n long, fp binary"), "copies-rows")
+    classes = rows.groupBy("cid").agg(F.min(F.struct("_id", "_h")).alias("of"), *[F.first(c).alias(c) for c in ("n", "fp")])
+    classes = scratch.stage(classes.select("cid", F.col("of._id").alias("i"), F.col("of._h").alias("h"), "n", "fp"), "copies-classes")
+    met = link(classes, RADIUS)
     joined = scratch.stage(components(met).select(F.col("id").alias("c"), F.col("component").alias("around")), "copies-candidates")
     members = joined.join(classes.select("cid", "i", "h", "n"), F.col("c") == F.col("cid"))
     sizes = members.groupBy(F.col("around").alias("g")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import scratch
 from factloom.llm.components import components
-from factloom.llm.nearcopies import first_of_each, mark
+from factloom.llm.rows import first_of_each, mark
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 LEAF, BLOCK, SAMPLE, LEAST_LEAVES, MOST_LEAVES = 2048, 8192, 524_288, 4, 65_536
@@ -78,6 +78,10 @@ class VantageTree:
         self._build(fps[inside], 2 * at, depth - 1)
         self._build(fps[~inside], 2 * at + 1, depth - 1)
 
+    def sides(self, fps: np.ndarray, point: np.uint64, median: int) -> tuple[np.ndarray, np.ndarray]:
+        d = np.bitwise_count(fps ^ point).astype(np.int64)
+        return d <= median, d > median - self.radius
+
     def route(self, fps: np.ndarray, at: int = 1, rows: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
         rows = np.arange(len(fps)) if rows is None else rows
         if not len(rows):
@@ -85,10 +89,9 @@ class VantageTree:
         if at not in self.nodes:
             yield at, rows
             return
-        point, median = self.nodes[at]
-        d = np.bitwise_count(fps[rows] ^ point).astype(np.int64)
-        yield from self.route(fps, 2 * at, rows[d <= median])
-        yield from self.route(fps, 2 * at + 1, rows[d > median - self.radius])
+        inside, outside = self.sides(fps[rows], *self.nodes[at])
+        yield from self.route(fps, 2 * at, rows[inside])
+        yield from self.route(fps, 2 * at + 1, rows[outside])
 
 
 def forest(fps: np.ndarray, radius: int) -> np.ndarray:

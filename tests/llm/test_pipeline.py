@@ -101,3 +101,35 @@ def test_stages_keep_columns_that_clash(spark):
         assert len(got) > 20 and all(r[c] == f"{n}-{-1 if r.doc_id is None else r.doc_id}" for r in got for n, c in enumerate(CLASH)), name
         assert stage(spark, docs.limit(0), "").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 46
+
+
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    """Candidates come from SimHash fingerprints alone: where none is within the radius, only copies go."""
+    t = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate([t, t[:-1] + ["x"], t, t[:8], t[:9], t[50:]])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for radius, want in ((nearcopies.RADIUS, [0, 3, 5]), (-1, [0, 1, 3, 4, 5])):
+        monkeypatch.setattr(nearcopies, "RADIUS", radius)
+        assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()) == want
+
+
+def test_copy_tree_deals_out_every_pair():
+    """Linked pairs meet in a leaf of the tree, over sizes and over points, and each block or pair of blocks links them."""
+    rng = np.random.default_rng(3)
+    base = np.concatenate([np.repeat(rng.integers(0, 2**63, (1, 8), dtype=np.uint64), 150, axis=0), np.repeat(rng.integers(0, 2**63, (150, 8), dtype=np.uint64), 2, axis=0)])
+    flips = np.packbits(rng.random((450, 512)) < np.where(np.arange(450) < 150, 0.02, rng.choice([0.02, 0.1, 0.2], 450))[:, None], axis=1).view(np.uint64)
+    n = np.concatenate([rng.integers(80, 100, 150), np.repeat(np.exp(rng.uniform(1.5, 7, 150)).astype(int), 2) + rng.integers(0, 2, 300)])
+    items = np.concatenate([n.view(np.uint64)[:, None], base ^ flips], axis=1)
+    link = lambda i, j: 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and nearcopies.distances(items[i : i + 1, 1:], items[j, 1:])[0] <= nearcopies.RADIUS
+    want = {(i, j) for j in range(450) for i in range(j) if link(i, j)}
+    tree = nearcopies.CopyTree(items, nearcopies.RADIUS)
+    assert {p is None for p, _ in tree.nodes.values()} == {True, False}
+    leaves = [set() for _ in items]
+    for leaf, own in tree.route(items):
+        for i in own:
+            leaves[i].add(leaf)
+    assert len(want) > 5000 and all(leaves[i] & leaves[j] for i, j in want)
+    for block in (np.zeros(450, int), rng.integers(0, 2, 450)):
+        root = nearcopies.forest(items, block, nearcopies.RADIUS)
+        assert all(root[i] == root[j] for i, j in want if block.max() == 0 or block[i] != block[j])
+        assert len(set(root)) > 100
