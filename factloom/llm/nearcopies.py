@@ -20,11 +20,14 @@ SHINGLE, SEED = 5, 42
 #: NEXT_RADIUS at most in the first three. At similarity 0.8 a bit differs with probability 0.15: 78 bits of 512, with a deviation of
 #: 8.1; 19.4 of 128, with 4.1; 29 of 192, with 5.0. Four shingles in a set of five are the worst case with 0.1875.
 WORDS, RADIUS, FIRST_RADIUS, NEXT_RADIUS = 8, 160, 52, 70
+#: Orders of shingles, each of which gives a sample fingerprint, and the smallest set that a different one can be similar to. At similarity
+#: 0.8 a sample is equal with probability 0.51; four shingles in a set of five are the worst case with 0.4, and 0.6 ** 40 is 1.3e-9.
+ORDERS, LEAST = 40, 4
 #: Fingerprints that shape the tree, those that a side of its node must at least hold, points tried for a node, the share of
 #: pairs that a node may leave, and levels. They set cost, not results.
 SAMPLE, COMMON, TRIES, GAIN, LEVELS = 8192, 8, 32, 0.75, 16
-#: A leaf is cut into blocks of a 32nd of all fingerprints, within these bounds, that meet pair by pair.
-CELL, MOST_CELL = 4096, 131_072
+#: Rows of a bucket that are compared in one piece; larger buckets go over the tree and are cut into blocks of so many.
+CELL = 4096
 #: Sets and shingles in a block; larger candidate groups are cut into blocks that meet pair by pair.
 BLOCK, BLOCK_SHINGLES = 1024, 2**21
 
@@ -40,23 +43,46 @@ def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([h(one[i:j], SEED) for i, j in zip((ends - lens)[: 1 - k].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
 
 
+def mixed(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    x = hashes + salts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprint(hashes: np.ndarray) -> bytes:
     """SimHash of 64 * WORDS bits: each is set if it is in over half of the shingles' hashes, mixed anew for each word."""
     ones = np.zeros(64 * WORDS, np.int64)
     for i in range(0, len(hashes), 255):
-        x = hashes[i : i + 255, None] + np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        ones += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)  # 255 at most
+        ones += np.unpackbits(mixed(hashes[i : i + 255, None], np.arange(WORDS)).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)  # 255 at most
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
+def samples(hashes: np.ndarray) -> np.ndarray:
+    """The distinct SimHash fingerprints, 64 bits each, of the three shingles that come first in each of ORDERS orders (MinHash's).
+
+    Sets with few differences draw the same three in many orders, so their samples' fingerprints are equal there. A set of
+    less than LEAST shingles is similar to none but itself and has no samples.
+    """
+    if len(hashes) < LEAST:
+        return np.zeros(0, np.uint64)
+    salts = np.arange(WORDS, WORDS + ORDERS)[:, None]
+
+    def first(h: np.ndarray) -> np.ndarray:
+        at = np.argpartition(mixed(h, salts), 2, axis=1)[:, :3]
+        return np.take_along_axis(np.broadcast_to(h, (ORDERS, h.shape[1])), at, axis=1)
+
+    parts = [first(h[None]) for h in np.array_split(hashes, -(-len(hashes) // 4096))]
+    a, b, c = (parts[0] if len(parts) == 1 else first(np.concatenate(parts, axis=1))).T
+    return np.unique((a & b) | (b & c) | (a & c))  # a bit is set if it is in over half of three
+
+
 def distances(fps: np.ndarray, point: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps ^ point).sum(axis=1, dtype=np.int64)
 
 
 class CopyTree(VantageTree):
-    """The vantage-point tree over fingerprints and sizes of sets, rows (n, words). Each node splits by the Hamming distance to a
+    """The vantage-point tree over fingerprints and sizes of a bucket's sets, rows (n, words). Each node splits by the Hamming distance to a
     point or, as sets of similarity 0.8 have sizes within a fifth, by size, the distance to the empty set (point None).
 
     Both sides of a node overlap by the radius, so every pair that may link meets in a leaf. Hardly any point tells unrelated
@@ -153,38 +179,108 @@ def forest(items: np.ndarray, block: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
+def _stars(cid: np.ndarray, items: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> pa.RecordBatch:
+    """Of buckets that begin at starts, a star (u, v) for each component within the radius."""
+    two = starts[sizes == 2]
+    two = two[_linked(items[two], items[two + 1], radius)]
+    us, vs = [cid[two + 1]], [cid[two]]
+    for s, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        own, ids = items[s : s + size], cid[s : s + size]
+        root = forest(own, np.zeros(size, int), radius) if size > 64 else star(size, lambda i, js, own=own: _linked(own[i], own[js], radius))
+        linked = np.flatnonzero(root != np.arange(size))
+        us.append(ids[linked])
+        vs.append(ids[root[linked]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+
+def _meet(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows (key, cid, n, fp) sorted by key: the stars of each key's bucket, which may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def stars(key: np.ndarray, cid: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            return _stars(cid, items, starts, np.diff(np.append(starts, len(key))), radius)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [b.column(0).to_numpy(), b.column(1).to_numpy(), _items(b.column(2), b.column(3))]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            if cut := int(np.searchsorted(held[0], held[0][-1])):
+                yield stars(*[x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if held:
+            yield stars(*held)
+
+    return run
+
+
 def link(classes: DataFrame, radius: int) -> DataFrame:
-    """Links (u, v) of cids that join the same classes (cid, n, fp) as all pairs within the radius and a fifth of their sizes would.
+    """Links (u, v) of cids that join the same classes (cid, n, fp, samples) as all pairs would that share a sample's
+    fingerprint and lie within the radius and a fifth of their sizes.
 
-    The tree comes from about SAMPLE classes and deals out every one. Leaves are cut into blocks by hash that meet pair by pair;
-    a task returns a star for each component that it finds, never its pairs. Cost grows with the square of the largest leaf.
+    Classes with an equal sample fingerprint are a bucket. Unrelated texts share none, so the rows that meet grow with the
+    texts and their copies, not with the square of the texts. A task returns a star for each component that it finds, never its pairs.
+    """
+    spark = classes.sparkSession
+    keys = classes.select(F.explode("samples").alias("key"), "cid").repartition(scratch.partitions(spark), "key")
+    sizes = keys.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = keys.join(sizes, F.col("key") == F.col("k")).select("key", "m", F.col("cid").alias("c"))
+    buckets = scratch.stage(shared.join(classes.select("cid", "n", "fp"), F.col("c") == F.col("cid")).select("key", "m", "cid", "n", "fp"), "copies-buckets")
+    small = buckets.where(F.col("m") <= CELL).select("key", "cid", "n", "fp").repartition(scratch.partitions(spark), "key")
+    met = small.sortWithinPartitions("key", "cid").mapInArrow(_meet(radius), "u long, v long")
+    large = buckets.where(F.col("m") > CELL)
+    return met.union(_link_large(large, radius)) if large.count() else met
+
+
+def _link_large(buckets: DataFrame, radius: int) -> DataFrame:
+    """The links of buckets (key, cid, n, fp) of any size.
+
+    The tree comes from about SAMPLE classes and deals out every row of a bucket to leaves. In a leaf all rows are compared to
+    its first one, and those that it does not link to all others, over blocks of CELL rows: a leaf of copies costs
+    its rows, one of texts without links the square of its rows.
     """
-    spark, count = classes.sparkSession, classes.count()
-    sample = classes.where(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(max(1, count // SAMPLE))) == 0).select("n", "fp").orderBy("cid").toArrow()
-    tree, cell = CopyTree(_items(sample.column("n"), sample.column("fp")), radius), max(CELL, min(MOST_CELL, count // 32))
+    spark, items = buckets.sparkSession, buckets.select("cid", "n", "fp").dropDuplicates(["cid"])
+    sample = items.where(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(max(1, items.count() // SAMPLE))) == 0).orderBy("cid").toArrow()
+    tree = CopyTree(_items(sample.column("n"), sample.column("fp")), radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for leaf, rows in tree.route(_items(b.column(1), b.column(2))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int64)), *[c.take(pa.array(rows)) for c in b.columns]], ["leaf", "cid", "n", "fp"])
+            for leaf, rows in tree.route(_items(b.column(2), b.column(3))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int64)), *[c.take(pa.array(rows)) for c in b.columns]], ["leaf", "key", "cid", "n", "fp"])
 
-    routed = scratch.stage(classes.select("cid", "n", "fp").repartition(scratch.partitions(spark), "cid").mapInArrow(route, "leaf long, cid long, n long, fp binary"), "copies-leaves")
-    sizes = routed.groupBy(F.col("leaf").alias("l")).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("blocks"))
-    dealt = (
-        routed.join(scratch.small(sizes, "copies-sizes", 2 ** (LEVELS + 1)), F.col("leaf") == F.col("l"))
-        .withColumn("x", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("leaf", F.least("x", "o").alias("i"), F.greatest("x", "o").alias("j"), "x", "cid", "n", "fp")
-    )
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            led = _linked(_items(b.column(3), b.column(4)), _items(b.column(6), b.column(7)), radius) if b.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(led)], ["leaf", "key", "cid", "n", "fp", "first", "led"])
+
+    routed = scratch.stage(buckets.select("key", "cid", "n", "fp").mapInArrow(route, "leaf long, key long, cid long, n long, fp binary"), "copies-leaves")
+    firsts = routed.groupBy(F.col("key").alias("k"), F.col("leaf").alias("l")).agg(F.min(F.struct("cid", "n", "fp")).alias("f"))
+    firsts = scratch.small(firsts.select("k", "l", F.col("f.cid").alias("first"), F.col("f.n").alias("first_n"), F.col("f.fp").alias("first_fp")), "copies-firsts")
+    with_first = routed.join(firsts, (F.col("key") == F.col("k")) & (F.col("leaf") == F.col("l"))).select("leaf", "key", "cid", "n", "fp", "first", "first_n", "first_fp")
+    followed = scratch.stage(with_first.mapInArrow(follow, "leaf long, key long, cid long, n long, fp binary, first long, led boolean"), "copies-followed")
+    sizes = followed.groupBy(F.col("key").alias("k"), F.col("leaf").alias("l")).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"), F.count(F.when(~F.col("led"), 1)).alias("left"))
+    open_ = followed.join(scratch.small(sizes.where("left > 0"), "copies-sizes"), (F.col("key") == F.col("k")) & (F.col("leaf") == F.col("l")))
+    open_ = open_.withColumn("x", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    own = open_.select("key", "leaf", F.col("x").alias("o"), F.lit(1).alias("side"), "cid", "n", "fp")
+    left = open_.where("not led").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("o <> x")
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.take(pa.array(np.argsort(table.column("cid").to_numpy(), kind="stable")))
-        cid = table.column("cid").to_numpy()
-        root = forest(_items(table.column("n"), table.column("fp")), table.column("x").to_numpy(), radius)
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"u": cid[linked], "v": cid[root[linked]]})
+        """A block's own rows (side 1) meet one another and those of other blocks (side 0)."""
+        order = np.lexsort((table.column("cid").to_numpy(), table.column("side").to_numpy()))
+        cid, side = table.column("cid").to_numpy()[order], table.column("side").to_numpy()[order]
+        items, cut, u, v = _items(table.column("n"), table.column("fp"))[order], int(np.count_nonzero(side == 0)), [], []
+        for start in {0, cut} if cut < len(cid) else ():
+            root = forest(items[start:], side[start:] if start < cut else np.zeros(len(cid) - start, int), radius)
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            u.append(cid[start:][linked])
+            v.append(cid[start:][root[linked]])
+        return pa.table({"u": np.concatenate([*u, np.zeros(0, np.int64)]), "v": np.concatenate([*v, np.zeros(0, np.int64)])})
 
-    return dealt.groupBy("leaf", "i", "j").applyInArrow(compare, "u long, v long")
+    met = own.union(left.select("key", "leaf", "o", F.lit(0).alias("side"), "cid", "n", "fp")).groupBy("key", "leaf", "o").applyInArrow(compare, "u long, v long")
+    return met.union(followed.where("led and cid <> first").select(F.col("cid").alias("u"), F.col("first").alias("v")))
 
 
 def _verify(table: pa.Table) -> pa.Table:
@@ -212,24 +308,25 @@ def _verify(table: pa.Table) -> pa.Table:
 def near_copies(marked: DataFrame) -> DataFrame:
     """(_id, _h, component) for each row of marked docs: texts with similarity of 0.8 or more, or a chain of such, share a component.
 
-    Texts with equal sets are one class, named by the sets' hash. The classes' SimHash fingerprints link within a radius over the
-    vantage-point tree, which gives the candidates. Groups of candidates so joined are then compared on whole sets, large ones
-    in blocks that meet pair by pair.
+    Texts with equal sets are one class, named by the sets' hash. Classes meet by equal SimHash fingerprints of samples of their
+    sets and link by the whole sets' SimHash fingerprints within a radius, which gives the candidates. Groups of candidates so
+    joined are then compared on whole sets, large ones in blocks that meet pair by pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid, n, fps = [], [], []
+            cid, n, fps, own = [], [], [], []
             for t in batch.column(2):
                 hashes = shingles(t.as_py())
                 cid.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - 2**63)
                 n.append(len(hashes))
                 fps.append(fingerprint(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.binary())], ["_id", "_h", "cid", "n", "fp"])
+                own.append(samples(hashes).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["_id", "_h", "cid", "n", "fp", "samples"])
 
-    rows = scratch.stage(marked.select("_id", "_h", F.col("text").cast("binary")).mapInArrow(run, "_id long, _h long, cid long, n long, fp binary"), "copies-rows")
-    classes = rows.groupBy("cid").agg(F.min(F.struct("_id", "_h")).alias("of"), *[F.first(c).alias(c) for c in ("n", "fp")])
-    classes = scratch.stage(classes.select("cid", F.col("of._id").alias("i"), F.col("of._h").alias("h"), "n", "fp"), "copies-classes")
+    rows = scratch.stage(marked.select("_id", "_h", F.col("text").cast("binary")).mapInArrow(run, "_id long, _h long, cid long, n long, fp binary, samples array<long>"), "copies-rows")
+    classes = rows.groupBy("cid").agg(F.min(F.struct("_id", "_h")).alias("of"), *[F.first(c).alias(c) for c in ("n", "fp", "samples")])
+    classes = scratch.stage(classes.select("cid", F.col("of._id").alias("i"), F.col("of._h").alias("h"), "n", "fp", "samples"), "copies-classes")
     met = link(classes, RADIUS)
     joined = scratch.stage(components(met).select(F.col("id").alias("c"), F.col("component").alias("around")), "copies-candidates")
     members = joined.join(classes.select("cid", "i", "h", "n"), F.col("c") == F.col("cid"))

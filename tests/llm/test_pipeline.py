@@ -133,3 +133,59 @@ def test_copy_tree_deals_out_every_pair():
         root = nearcopies.forest(items, block, nearcopies.RADIUS)
         assert all(root[i] == root[j] for i, j in want if block.max() == 0 or block[i] != block[j])
         assert len(set(root)) > 100
+
+
+def test_rows_that_meet_grow_with_the_texts(spark, monkeypatch):
+    """Four times the texts, unrelated but for a few copies and a passage, are about four times the rows that are dealt out to be compared."""
+    for name in ("CELL", "MOST_CELL"):
+        monkeypatch.setattr(nearcopies, name, 64, raising=False)
+    dealt = []
+    frame, grouped = type(spark.range(1)), type(spark.range(1).groupBy("id"))
+    for kind, name, rows in ((frame, "mapInArrow", lambda x: x), (grouped, "applyInArrow", lambda x: x._df)):
+        monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name), rows=rows, **b: dealt.append(rows(self).count()) or f(self, *a, **b))
+    rng, totals = np.random.default_rng(5), []
+    for n in (200, 800):
+        texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 60)) for _ in range(n)]
+        texts = [t + " the same words end every tenth text" * (i % 10 == 0) for i, t in enumerate(texts)] + [t + " x" for t in texts[: n // 20]]
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+        dealt.clear()
+        assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").select("doc_id").collect()) == list(range(n))
+        totals.append(sum(dealt))
+    assert totals[1] <= 5 * totals[0], totals
+
+
+def test_large_buckets_link_as_small_ones(spark, monkeypatch):
+    """Buckets of any size give the links of plain code: copies of one text, and texts that share most but not enough."""
+    monkeypatch.setattr(nearcopies, "COMMON", 3)
+    rng = np.random.default_rng(6)
+    base, texts = [f"b{i}" for i in range(100)], []
+    for i in range(60):
+        w = list(base)
+        for at in rng.integers(0, 100, int(rng.integers(0, 3))):
+            w[at] = f"c{i}"
+        texts.append(" ".join(w))
+        texts.append(" ".join(base[:60] + [f"d{i}x{k}" for k in range(20)]))  # 56 of its 76 shingles are the passage's
+        texts.append(texts[-1] + " end")
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    want, large = groups(texts), []
+    monkeypatch.setattr(nearcopies, "_link_large", lambda b, r, f=nearcopies._link_large: large.append(b.count()) or f(b, r))
+    for cell in (4096, 8):
+        monkeypatch.setattr(nearcopies, "CELL", cell)
+        got = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()
+        assert sorted(r.doc_id for r in got) == [i for i, g in enumerate(want) if g == i]
+    assert len(large) == 1 and large[0] > 1000 and 60 < len(set(want)) < 120
+
+
+def test_similar_sets_share_a_sample():
+    """Sets of similarity 0.8 share a sample in the share of orders that README states, of any size; unrelated ones share none."""
+    rng = np.random.default_rng(7)
+    for union in (5, 10, 50, 400, 9000):
+        differ, equal = union // 5, []
+        for _ in range(200 if union < 1000 else 5):
+            u = rng.integers(0, 2**64, union, dtype=np.uint64)
+            a, b = np.sort(u[differ // 2 :]), np.sort(u[: union - (differ - differ // 2)])
+            mine, its = nearcopies.samples(a), nearcopies.samples(b)
+            equal.append(len(np.intersect1d(mine, its)) / nearcopies.ORDERS)
+            assert equal[-1] > 0 and not np.intersect1d(mine, nearcopies.samples(~a)).size
+        assert union == 5 or abs(np.mean(equal) - 0.5) < 0.15
+    assert not nearcopies.samples(rng.integers(0, 2**64, 3, dtype=np.uint64)).size
