@@ -78,6 +78,27 @@ def test_pagerank_keeps_its_mass(spark, kernel):
     assert retrieval.pagerank(edges, spark.createDataFrame([], "node string"), kernel=kernel).count() == 0
 
 
+def test_pagerank_ways_agree(spark):
+    """In one task, over the nodes of the smaller side, and round by round; with links inside a side, and the first by score."""
+    pairs = [(f"f{i}", f"m{i * i % 7}") for i in range(60)] + [(f"f{i}", f"s{i % 3}") for i in range(60)] + [("m1", "s1"), ("m2", "m3"), ("m3", "m2"), ("f1", "f2"), (None, "m1"), ("s0", "s0")]
+    edges, seeds = spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame([("m1",), ("f3",), ("lonely",)], "node string")
+    ways = [dict(), dict(kernel=0), dict(kernel=0, core=1)]
+    one, two, three = ({r.node: round(r.score, 12) for r in retrieval.pagerank(edges, seeds, **w).collect()} for w in ways)
+    assert one == two == three and abs(sum(one.values()) - 1) < 1e-9
+    wanted = spark.createDataFrame([(f"f{i}",) for i in range(60)], "node string")
+    best = sorted((-round(s, 7), n) for n, s in one.items() if n[0] == "f")[:5]
+    for w in ways:
+        got = [(-round(r.score, 7), r.node) for r in retrieval.pagerank(edges, seeds, wanted=wanted, top=5, **w).collect()]
+        assert sorted(got)[:5] == best
+
+
+def test_pagerank_over_core_shuffles_scores_of_one_side_only(spark, monkeypatch):
+    """Edges that stay where they are: nothing is dealt round by round."""
+    monkeypatch.setattr(retrieval, "_by_rounds", None)
+    edges = spark.createDataFrame([(f"f{i}", f"m{i % 9}") for i in range(300)], "a string, b string")
+    assert retrieval.pagerank(edges, spark.createDataFrame([("m1",)], "node string"), kernel=0).count() == 35
+
+
 def test_gate(spark):
     facts = spark.createDataFrame([("1", "unverified"), ("2", "verified"), ("3", "verified"), ("4", "contested"), ("5", "hypothesis")], "uuid string, status string")
     verdicts = spark.createDataFrame([("1", 0.9, 0.8, 0.7), ("2", 0.2, 0.2, 0.2), ("3", 1.0, 1.0, 0.3), ("4", 1.0, 1.0, 1.0)], "uuid string, confidence double, clarity double, relevance double")
