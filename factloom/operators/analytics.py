@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions import text
-from factloom.operators import graph
+from factloom.functions import ids, text
+from factloom.operators import graph, runs
 from factloom.sources import store
 
 
@@ -47,11 +47,12 @@ def search(nodes: DataFrame, term: str) -> DataFrame:
 
 
 def neighbours_by_relation(links: DataFrame) -> DataFrame:
-    """(node, type, n, others): the different neighbours of each node over each type, sorted, the first five of them named."""
-    one = links.select("node", "type", "other").distinct()
-    r = F.row_number().over(Window.partitionBy("node", "type").orderBy("other"))
-    few = one.withColumn("r", r).where("r <= 5").groupBy("node", "type").agg(F.array_sort(F.collect_list("other")).alias("others"))
-    return one.groupBy("node", "type").agg(F.count(F.lit(1)).alias("n")).join(few, ["node", "type"])
+    """(node, type, n, others): the different neighbours of each node over each type, sorted, the first five of them named.
+
+    Links travel once, in ranges of node, type and neighbour, so a node of any degree is spread; their ids are bytes."""
+    dealt = links.select(ids.pack("node").alias("_n"), "type", ids.pack("other").alias("_o")).repartitionByRange("_n", "type", "_o")
+    few = runs.first(dealt.distinct().withColumn("other", ids.unpack("_o")), ["_n", "type"], ["other"], 5)
+    return few.select(ids.unpack("_n").alias("node"), "type", "n", F.transform("items", lambda x: x["other"]).alias("others"))
 
 
 def summary(nodes: DataFrame, links: DataFrame) -> DataFrame:
