@@ -4,7 +4,8 @@ import re
 
 import pytest
 from factloom.functions import ids
-from factloom.operators import analytics, graph, runs
+from factloom.operators import analytics, dedup, graph, runs
+from factloom.sources import store
 from pyspark.sql import functions as F
 
 
@@ -44,3 +45,25 @@ def test_neighbours_travel_once(spark):
         assert exchanges(df).count("rangepartitioning") >= 1
         assert df.groupBy("node").count().where("node = 'm1'").first()["count"] == (5 if df is near else 2)
     assert {(r.n, len(r.others)) for r in by.where("node like 'm%'").collect()} == {(30, 5)}
+
+
+FACT = "uuid string, frame_type string, sig string, q_value double, q_unit string, q_operator string"
+
+
+def test_equal_facts_of_one_key_are_spread(spark):
+    """A key that all ranges hold has one first fact, also where ids are no digests; no shuffle is dealt by a key's hash."""
+    rows = [(f"{i:040x}", "M", "m1", 1.0, "u", "=") for i in range(5, 400)] + [("zz", "M", "m1", 1.0, "u", "="), ("0zz", "M", "m2", None, None, None), ("00" * 8, "M", "m2", None, None, None)]
+    got = dedup.exact_dedup(spark.createDataFrame(rows, FACT).repartition(5))
+    assert {r.canon for r in got.where("sig = 'm1'").collect()} == {f"{5:040x}"} and {r.canon for r in got.where("sig = 'm2'").collect()} == {"00" * 8}
+    assert got.where("keep").count() == 2 and got.count() == len(rows)
+    assert all("uuid" not in x and "canon" not in x for x in re.findall(r"hashpartitioning\(([^)]*)\)", got._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_verdicts_cost_one_deal_of_facts(spark):
+    """Facts are dealt once by their group, whatever the verdicts say."""
+    facts = spark.createDataFrame([(f"{i:040x}", "M", f"m{i % 3}", float(i), "u", "=") for i in range(30)], FACT)
+    groups = store.cut(dedup.conflict_groups(facts))
+    lists = groups.where("sig = 'm0'").select("group_id", F.lit("duplicates").alias("kind"), F.lit(0).alias("list"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")).withColumn("id", F.col("pos"))
+    status, star, gone = dedup.contest(facts, groups, groups.where("sig = 'm0'").select("group_id"), lists)
+    assert exchanges(status) == exchanges(star) == exchanges(gone) == []
+    assert [r.fact for r in gone.collect()] == [f"{3:040x}"] and status.count() == 20 and star.count() == 18
