@@ -18,10 +18,11 @@ BLOCK, LINK_K, HIER_K, CONTEXT_CAP, DEFINE_AT, MERGE = 0.45, 6, 8, 360, 3, 0.92
 def candidates(items: DataFrame, known: DataFrame, k: int = LINK_K, least: float = BLOCK) -> DataFrame:
     """(item, concept, score, pos): the k nearest concepts of the same type with a cosine of `least` or more.
 
-    items and known: id, type, embedding. Blocks of both meet, each returns its best k + 1 of an item, and the window ranks those.
+    items and known: id, type, embedding. Blocks of both meet, each returns its best k + 1 of an item, and the window ranks those by
+    their whole scores, ties by concept.
     """
-    near = similar.join(items, known, least, top=k + 1).where("a <> b").select(F.col("a").alias("item"), F.col("b").alias("concept"), "score")
-    pos = F.row_number().over(Window.partitionBy("item").orderBy(F.desc(F.round("score", 6)), "concept")) - 1
+    near = similar.join(items, known, least, top=k + 1, whole=True).where("a <> b").select(F.col("a").alias("item"), F.col("b").alias("concept"), "score")
+    pos = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "concept")) - 1
     return near.withColumn("pos", pos).where(F.col("pos") < k)
 
 

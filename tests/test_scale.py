@@ -4,7 +4,8 @@ import re
 
 import pytest
 from factloom.functions import ids
-from factloom.operators import analytics, dedup, graph, runs
+from factloom.operators import analytics, concepts, dedup, graph, runs, similar
+from factloom.plans import catalog
 from factloom.sources import store
 from pyspark.sql import functions as F
 
@@ -67,3 +68,20 @@ def test_verdicts_cost_one_deal_of_facts(spark):
     status, star, gone = dedup.contest(facts, groups, groups.where("sig = 'm0'").select("group_id"), lists)
     assert exchanges(status) == exchanges(star) == exchanges(gone) == []
     assert [r.fact for r in gone.collect()] == [f"{3:040x}"] and status.count() == 20 and star.count() == 18
+
+
+def test_candidates_are_ranked_by_whole_scores(spark):
+    """Scores that agree in 6 digits keep their order; equal vectors that lie in different blocks are ties, the smaller id first."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 2e-4]), (3, [1.0, 1e-4]), (4, [1.0, 3e-4])] + [(10 + i, [0.3, 0.7]) for i in range(20)]
+    df = spark.createDataFrame([(i, 0, v) for i, v in rows], "id long, type int, embedding array<double>")
+    got = {r.item: [] for r in df.select(F.col("id").alias("item")).collect()}
+    for r in concepts.candidates(df, df, k=3, least=0.1).orderBy("item", "pos").collect():
+        got[r["item"]].append(r.concept)
+    assert got[1] == [3, 2, 4] and got[10] == [11, 12, 13] and got[29] == [10, 11, 12]
+    assert {r.a for r in similar.join(df, df, 0.1, top=2, block=4, whole=True).where("a = b").collect()} >= {1, 10}
+
+
+def test_every_vector_asks_for_concepts(spark):
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 20 <> 0").select("vec_id")
+    assert catalog.queries()["c_topk"](spark, d).join(n, F.col("item") == F.col("vec_id")).count() > 0
