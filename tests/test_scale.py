@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def exchanges(df) -> list[str]:
     """The shuffles of a plan, as Spark names them."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return re.findall(r"Exchange (\w+)\(", plan)
+    return re.findall(r"(?<!Broadcast)Exchange (\w+)\(", plan)
 
 
 def test_ids_come_back(spark):
@@ -85,3 +85,20 @@ def test_every_vector_asks_for_concepts(spark):
     d = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 20 <> 0").select("vec_id")
     assert catalog.queries()["c_topk"](spark, d).join(n, F.col("item") == F.col("vec_id")).count() > 0
+
+
+def test_edges_with_missing_ends_of_any_kind(spark):
+    """A source that all ranges hold, missing and null ends, repeated edges; nothing is dealt by the hash of an end's id."""
+    rows = [("hub", f"{i:040x}", "T", None) for i in range(50)] * 2 + [("hub", "gone", "T", None), ("gone", "hub", "T", "x"), (None, "hub", "T", "x"), ("hub", None, "T", "x"), ("hub", "hub", "T", "x"), ("hub", "hub", "T", "")]
+    nodes = spark.createDataFrame([("hub",), (None,), ("hub",)] + [(f"{i:040x}",) for i in range(50)], "node string")
+    got = store.upsert_edges(spark.createDataFrame(rows, "src string, dst string, type string, rel string").repartition(5), nodes)
+    assert sorted((r.src, r.dst, r.type, r.rel) for r in got.collect()) == sorted({("hub", f"{i:040x}", "T", "") for i in range(50)} | {("hub", "hub", "T", "x"), ("hub", "hub", "T", "")})
+    assert exchanges(got).count("rangepartitioning") >= 1 and not any("src" in x for x in re.findall(r"hashpartitioning\(([^)]*)\)", got._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_a_papers_facts_are_not_dealt(spark):
+    """All edges stay where they are when a paper goes."""
+    facts = spark.createDataFrame([(f"{i:040x}", str(i % 9)) for i in range(90)], "uuid string, paper_ref string")
+    edges = spark.createDataFrame([(f"{i:040x}", f"m{i}", "T") for i in range(90)], "src string, dst string, type string")
+    f, e, n = store.delete_paper(facts, edges, spark.createDataFrame([(f"m{i}",) for i in range(90)], "uuid string"), "7")
+    assert exchanges(e) == [] and (f.count(), e.count(), n.count()) == (80, 80, 80)
