@@ -102,3 +102,20 @@ def test_a_papers_facts_are_not_dealt(spark):
     edges = spark.createDataFrame([(f"{i:040x}", f"m{i}", "T") for i in range(90)], "src string, dst string, type string")
     f, e, n = store.delete_paper(facts, edges, spark.createDataFrame([(f"m{i}",) for i in range(90)], "uuid string"), "7")
     assert exchanges(e) == [] and (f.count(), e.count(), n.count()) == (80, 80, 80)
+
+
+def test_participants_lie_with_their_fact(spark):
+    """Names are gathered, joined to facts and traced without another shuffle of participants; a name of two types is one link."""
+    edges = spark.createDataFrame([(f"{i:040x}", f"e{i % 4}", "T") for i in range(20)] * 2 + [(f"{i:040x}", "x", "U") for i in range(20)], "src string, dst string, type string")
+    entities = spark.createDataFrame([(f"e{i}", "Material", "one") for i in range(4)] + [("x", "Process", "one")], "uuid string, type string, canonical_name string")
+    facts = spark.createDataFrame([(f"{i:040x}", "s") for i in range(21)], "uuid string, statement string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = graph.fact_detail(facts, graph.participants(edges, entities, keyed=True))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"hashpartitioning\(_f", plan)) <= 2 and "hashpartitioning(fact" not in plan and "hashpartitioning(uuid" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted((r.uuid, r.parts) for r in got.collect())[0][1] == {"Material": ["one"], "Process": ["one"]} and got.where("size(parts) = 0").count() == 1
+    links = graph.trace(got.select(F.lit(0).alias("pos"), "uuid", "statement", F.lit("").alias("quantity"), F.col("parts").alias("participants"), F.lit("").alias("source"), F.lit("").alias("status")))[1]
+    assert links.count() == 20 and links.distinct().count() == 20
