@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text, vectors
-from factloom.operators import similar
+from factloom.operators import paths, similar
 from factloom.sources import store
 
 # fixed values
@@ -109,14 +109,7 @@ def maturity(instances: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame) -> DataFrame:
     """(child, ancestor): all pairs reachable over (child, parent); path lengths double each round, cycles end with no new pair."""
-    reach = store.cut(edges.select("child", F.col("parent").alias("ancestor")).distinct())
-    n = reach.count()
-    while True:
-        far = reach.alias("x").join(reach.select(F.col("child").alias("via"), F.col("ancestor").alias("up")), F.col("x.ancestor") == F.col("via")).select("child", "up")
-        reach, before = store.cut(reach.union(far).distinct()), n
-        n = reach.count()
-        if n == before:
-            return reach
+    return paths.closure(edges.select(F.col("child").alias("a"), F.col("parent").alias("b"))).select(F.col("a").alias("child"), F.col("b").alias("ancestor"))
 
 
 def _reached(edges: DataFrame, ends: DataFrame) -> DataFrame:

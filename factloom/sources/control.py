@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.sources import store
-
 
 def put(table: DataFrame, row: dict) -> DataFrame:
     """The table with a row of its own id in place of an older one."""
@@ -29,14 +27,10 @@ def ensure_user(users: DataFrame, user_id: str, name: str | None = None) -> Data
 def ancestors(teams: DataFrame) -> DataFrame:
     """(id, anc): all teams above each one. Paths double each round, so rounds grow with the logarithm of the depth; a cycle ends
     where no new pair comes."""
-    reach = store.cut(teams.where("parent_id is not null").select("id", F.col("parent_id").alias("anc")).distinct())
-    known = reach.count()
-    while True:
-        far = reach.join(reach.select(F.col("id").alias("anc"), F.col("anc").alias("up")), "anc").select("id", F.col("up").alias("anc"))
-        reach, before = store.cut(reach.union(far).distinct()), known
-        known = reach.count()
-        if known == before:
-            return reach
+    from factloom.operators import paths
+
+    links = teams.where("parent_id is not null").select(F.col("id").alias("a"), F.col("parent_id").alias("b"))
+    return paths.closure(links).select(F.col("a").alias("id"), F.col("b").alias("anc"))
 
 
 def user_teams(members: DataFrame, user_id: str) -> DataFrame:

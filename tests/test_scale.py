@@ -4,7 +4,7 @@ import re
 
 import pytest
 from factloom.functions import ids
-from factloom.operators import analytics, concepts, dedup, graph, runs, similar
+from factloom.operators import analytics, concepts, dedup, graph, paths, runs, similar
 from factloom.plans import catalog
 from factloom.sources import store
 from pyspark.sql import functions as F
@@ -119,3 +119,26 @@ def test_participants_lie_with_their_fact(spark):
     assert sorted((r.uuid, r.parts) for r in got.collect())[0][1] == {"Material": ["one"], "Process": ["one"]} and got.where("size(parts) = 0").count() == 1
     links = graph.trace(got.select(F.lit(0).alias("pos"), "uuid", "statement", F.lit("").alias("quantity"), F.col("parts").alias("participants"), F.lit("").alias("source"), F.lit("").alias("status")))[1]
     assert links.count() == 20 and links.distinct().count() == 20
+
+
+@pytest.mark.parametrize("pairs", [[(i, i // 2) for i in range(2, 70)], [(i, i + 1) for i in range(40)], [(0, 1), (1, 2), (2, 0), (5, 0), (1, 1)], [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (0, 4)]])
+def test_closure_makes_each_pair_of_a_tree_once(spark, monkeypatch, pairs):
+    written = []
+    cut = store.cut
+    monkeypatch.setattr(store, "cut", lambda df: (written.append(df.count()), cut(df))[1])
+    got = paths.closure(spark.createDataFrame(pairs, "a long, b long"))
+    up = {a: {b for x, b in pairs if x == a} for a in {x for p in pairs for x in p}}
+    while any(up[a] != (new := up[a].union(*(up[b] for b in up[a]))) and not up.update({a: new}) for a in list(up)):
+        pass
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in up for b in up[a])
+    if pairs[0] == (2, 1):  # a tree: pairs are written once, and a jump a node
+        assert sum(written) <= got.count() + 70 * 3
+
+
+def test_hubs_are_counted_before_they_are_shuffled(spark):
+    edges = spark.createDataFrame([(f"f{i}", "hub", "T") for i in range(500)], "src string, dst string, type string")
+    nodes = spark.createDataFrame([("hub", "RU", 1.0, 2.0, None), ("f1", "RU", 1.0, 2.0, None), ("lone", "RU", None, None, 5.0)], "node string, geography string, low double, high double, value double")
+    got = analytics.research(nodes, graph.adjacency(edges), [], None, 0.5)
+    assert [tuple(r) for r in got.collect()] == [("hub", 500), ("f1", 1), ("lone", 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
