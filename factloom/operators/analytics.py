@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from factloom.functions import ids, text
 from factloom.operators import graph, runs
-from factloom.sources import store
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -133,9 +132,10 @@ def research(nodes: DataFrame, links: DataFrame, chosen: list[str], geography: s
         out = out.where(F.coalesce(hi, F.lit(0.0)) >= low)
     if high is not None:
         out = out.where(lo <= high)
-    out = store.cut(out.select("node"))  # what passes is looked up twice
-    own = links.join(out, "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    return out.join(own, "node", "left").fillna(0, ["degree"]).orderBy(F.desc("degree"), "node").limit(most)
+    # every node's links are counted before they are shuffled, so no node gathers its own, and digests take the place of ids
+    own = links.groupBy(ids.digest("node").alias("_n")).agg(F.count(F.lit(1)).alias("degree"))
+    told = out.select("node", ids.digest("node").alias("_n")).join(own, "_n", "left").select("node", "degree")
+    return told.fillna(0, ["degree"]).orderBy(F.desc("degree"), "node").limit(most)
 
 
 def grouped(hits: DataFrame, nodes: DataFrame, each: int = 5, context: int = 14) -> tuple[DataFrame, DataFrame]:
