@@ -6,7 +6,7 @@ import pytest
 from factloom.functions import ids
 from factloom.operators import analytics, concepts, dedup, graph, paths, runs, similar
 from factloom.plans import catalog
-from factloom.sources import store
+from factloom.sources import exports, store
 from pyspark.sql import functions as F
 
 
@@ -142,3 +142,10 @@ def test_hubs_are_counted_before_they_are_shuffled(spark):
     assert [tuple(r) for r in got.collect()] == [("hub", 500), ("f1", 1), ("lone", 0)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan
+
+
+def test_exported_links_travel_as_bytes(spark):
+    links = spark.createDataFrame([(f"{i:040x}", f"m{i % 3}", "T") for i in range(30)], "node string, other string, type string")
+    got = exports.subgraph_lines(links, spark.createDataFrame([("m0", "name", "Material")], "uuid string, canonical_name string, type string"))
+    assert "(_o" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.where("line like '%\"name\":\"name\"%'").count() == 10 and got.where(F.col("center") == f"{7:040x}").first().other == "m1"
